@@ -51,13 +51,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 split.where("clash").select("doc_id", "sha", "text").join(grouped, ["sha", "text"]).drop("text")
             )
         )
-    one = F.row_number().over(Window.partitionBy("sha", "doc_id", "keep_id").orderBy("group_size"))
-    return joined.select(
-        F.col("doc_id").alias(id_col),
-        "keep_id",
-        "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (one == 1)).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
+    found = materialize(joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))), "found")
+    again = found.where("kept").groupBy("sha", "doc_id", "keep_id").count().where("count > 1")
+    if not again.isEmpty():  # only rows that repeat the id of a kept row are numbered
+        one = Window.partitionBy("sha", "doc_id", "keep_id").orderBy("group_size")
+        found = found.where("NOT kept").unionByName(
+            found.where("kept").withColumn("kept", F.row_number().over(one) == 1)
+        )
+    return found.select(
+        F.col("doc_id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256")
     )
 
 

@@ -1,77 +1,191 @@
-"""Words, word hashes and shingles of texts, on bytes and numpy arrays."""
+"""Words, word hashes and shingles of whole Arrow string columns, as numpy arrays.
+
+Everything works on the bytes of a column at once, so a task pays per byte and
+not per Python object. Null texts count as empty.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 
-_CACHE_WORDS = 1_500_000
+_STEP = 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_ODD = 0xD6E8FEB86659FD93
+_INVERSE = pow(_ODD, -1, 1 << 64)
 _SHIFT = np.uint64(29)
 
 
-def to_bytes(text: str | None) -> bytes:
-    """UTF-8 of a text; null counts as empty."""
-    return (text or "").encode("utf-8", "surrogatepass")
-
-
-def space_words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case (bytes methods touch ASCII only)."""
-    return to_bytes(text).lower().split()
-
-
-#: Every ASCII byte but digits and letters becomes a space, A-Z become a-z.
-_ALNUM = bytes(
-    c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20
-    for c in range(256)
-)
-
-
-def alnum_words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z in lower case."""
-    return to_bytes(text).translate(_ALNUM).split()
-
-
-class WordHashes(dict):
-    """64-bit hash of a word, remembered; forgets everything when it grows too large."""
+def mix(x: np.ndarray) -> np.ndarray:
+    """Finaliser of splitmix64: spreads every input bit over the output."""
+    with np.errstate(over="ignore"):
+        x = x + _MIX
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
+@dataclass(frozen=True)
+class WordClass:
+    """Which bytes part words, and a random number for each byte (A-Z as a-z)."""
 
-#: One per Python worker, so that its tasks share it.
-WORD_HASHES = WordHashes()
+    parts: np.ndarray
+    numbers: np.ndarray
 
+    @staticmethod
+    def of(is_separator) -> WordClass:
+        lower = np.arange(256)
+        lower[0x41:0x5B] += 32
+        return WordClass(np.array([is_separator(c) for c in range(256)]), mix(lower.astype(np.uint64)))
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
 
+#: Words ``[^\x20\x09-\x0D]+`` with A-Z in lower case.
+SPACE = WordClass.of(lambda c: c == 0x20 or 0x09 <= c <= 0x0D)
+#: Words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` with A-Z in lower case.
+ALNUM = WordClass.of(
+    lambda c: c < 0x80 and not (0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A)
+)
 
-def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:
-    """Hash of each run of ``width`` words in order; of the whole sequence if it is shorter."""
-    n = len(hashes)
-    if n == 0:
-        return hashes
-    width = min(width, n)
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, _STEP + 65536)
+        _powers[:] = []
+        for base in (_ODD, _INVERSE):
+            table = np.full(size, base, np.uint64)
+            table[0] = 1
+            _powers.append(np.multiply.accumulate(table))
+    return _powers[0], _powers[1]
+
+
+def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a string column and, for each row, where it starts (and the end)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = pc.fill_null(column, "")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    if len(column) == 0:
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.empty(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
+
+
+@dataclass
+class Words:
+    """Hash, first byte and end byte of every word; ``rows[i]:rows[i + 1]`` are those of row i."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    rows: np.ndarray
+
+    def counts(self) -> np.ndarray:
+        return np.diff(self.rows)
+
+    def row_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.rows) - 1), self.counts())
+
+
+def words(column: pa.Array, kind: WordClass) -> Words:
+    """The words of every row of a string column.
+
+    A word's hash is a polynomial of its bytes, taken as the difference of two
+    prefix sums, so no word becomes a Python object.
+    """
+    data, at = text_buffer(column)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    a, n = 0, len(data)
+    while a < n:
+        b = min(n, a + _STEP)
+        while b < n:  # up to the end of a word
+            ahead = np.flatnonzero(kind.parts[data[b : b + 4096]])
+            if len(ahead):
+                b += int(ahead[0])
+                break
+            b = min(n, b + 4096)
+        found.append(_span(data[a:b], a, at, kind))
+        a = b
+    if not found:
+        empty = np.empty(0, np.int64)
+        return Words(np.empty(0, np.uint64), empty, empty, np.zeros(len(at), np.int64))
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*found))
+    return Words(hashes, starts, ends, np.searchsorted(starts, at))
+
+
+def _span(data: np.ndarray, base: int, at: np.ndarray, kind: WordClass):
+    n = len(data)
+    inside = ~kind.parts[data]
+    edge = np.zeros(n + 1, bool)
+    edge[0] = edge[n] = True
+    edge[at[np.searchsorted(at, base) : np.searchsorted(at, base + n, "right")] - base] = True
+    before = np.empty(n, bool)
+    before[0] = False
+    before[1:] = inside[:-1]
+    starts = np.flatnonzero(inside & (~before | edge[:n]))
+    after = np.empty(n, bool)
+    after[-1] = False
+    after[:-1] = inside[1:]
+    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    power, inverse = _power_tables(n + 1)
+    total = np.empty(n + 1, np.uint64)
+    total[0] = 0
     with np.errstate(over="ignore"):
-        out = hashes[: n - width + 1] + np.uint64(width)
+        np.cumsum(kind.numbers[data] * power[:n], out=total[1:])
+        value = (total[ends] - total[starts]) * inverse[starts]
+        return mix(value + (ends - starts).astype(np.uint64)), starts + base, ends + base
+
+
+def shingles(words_: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every run of ``width`` words of a row, of all its words if it has fewer; and its row."""
+    counts, h, rows = words_.counts(), words_.hashes, words_.row_of()
+    if len(h) == 0:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    out, owner = [], []
+    for w in range(1, width + 1):
+        if w < width:
+            first = words_.rows[:-1][counts == w]
+        else:
+            first = np.arange(max(0, len(h) - width + 1))
+            first = first[rows[first] == rows[first + width - 1]] if len(first) else first
+        if len(first):
+            out.append(_run(h, first, w))
+            owner.append(rows[first])
+    return np.concatenate(out), np.concatenate(owner)
+
+
+def _run(h: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        value = h[first] + np.uint64(width)
         for j in range(1, width):
-            out = (out ^ (out >> _SHIFT)) * _MIX + hashes[j : n - width + 1 + j]
-        return (out ^ (out >> _SHIFT)) * _MIX
+            value = (value ^ (value >> _SHIFT)) * _MIX + h[first + j]
+        return mix(value)
+
+
+def distinct_by_row(values: np.ndarray, owner: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values of each row, one row after the other; and where each row starts."""
+    order = np.argsort(owner, kind="stable")
+    values, owner = values[order], owner[order]
+    bounds = np.searchsorted(owner, np.arange(n_rows + 1))
+    parts = [np.unique(values[a:b]) if b - a > 1 else values[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    sizes = np.fromiter(map(len, parts), np.int64, n_rows)
+    flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    return flat, np.concatenate([[0], np.cumsum(sizes)])
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts in ``column`` come to about ``most_bytes`` at most."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(lengths) // most_bytes
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
