@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,6 +133,20 @@ def _packer(capacity: int, base: int):
     return lambda frame: _pack_group(frame, capacity, base)
 
 
+def _dealer(groups: int):
+    """Deals rows in order of length, so that every group gets the same mixture of lengths."""
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn = TaskContext.get().partitionId() * 7919
+        for frame in frames:
+            rank = np.empty(len(frame), np.int64)
+            rank[np.argsort(frame["length"].to_numpy(), kind="stable")] = np.arange(len(frame))
+            yield frame.assign(group=(rank + turn) % groups)
+            turn += len(frame)
+
+    return deal
+
+
 def _pack_group(frame: pd.DataFrame, capacity: int, base: int) -> pd.DataFrame:
     lengths = frame["length"].to_numpy()
     group = int(frame["group"].iloc[0])
@@ -152,8 +167,8 @@ def _pack_group(frame: pd.DataFrame, capacity: int, base: int) -> pd.DataFrame:
 def pack_pieces(pieces: DataFrame, capacity: int, group_rows: int = 8192) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces that have a ``length`` of at most ``capacity``.
 
-    Pieces are dealt evenly into groups of about ``group_rows``, whatever
-    their ids, and each group is packed by best fit and local search. All
+    Pieces are dealt evenly into groups of about ``group_rows`` with equal
+    mixtures of lengths, whatever their ids, and each group is packed by best fit and local search. All
     pieces of sequences left underfull, a small share of each group, are
     dealt into new groups and packed again, round after round, until one
     group holds all of them or they hardly get fewer; a group keeps its old sequences where packing
@@ -169,7 +184,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, group_rows: int = 8192) -> Dat
         before = count
         groups = max(1, -(-count // group_rows))
         if turn == 0:
-            dealt = left.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+            dealt = left.mapInPandas(_dealer(groups), f"{fields}, group long")
         else:  # a sequence stays together
             dealt = left.withColumn("group", F.pmod(F.xxhash64("sequence_id", F.lit(turn)), F.lit(groups)))
         packed = dealt.groupBy("group").applyInPandas(
