@@ -87,29 +87,31 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Exchanges items between underfull bins while the sum of squared fills grows.
 
-    Fullest bins first, each takes what closes most of its gap from a bin
-    that is not fuller: a move (an item for none), one item for one of its
-    own, or one item for two of its own. Each step raises the sum, so the
-    search ends; bins that run empty are dropped.
+    The emptiest bins give and all other underfull bins, fullest first, take
+    what closes most of their gap: a move (an item for none), one item for
+    one of theirs, or one item for two of theirs. Each step raises the sum,
+    so the search ends; bins that run empty are dropped and other bins become
+    the emptiest. It also ends where no fewer bins could hold the items.
     """
     size = lengths.tolist()
-    fill = [sum(size[i] for i in b) for b in bins]
-    done = [b for b, f in zip(bins, fill) if f == capacity]
-    work = sorted(((f, b) for b, f in zip(bins, fill) if f < capacity), key=lambda x: -x[0])
-    fills = [f for f, _ in work]
-    items = [list(b) for _, b in work]
-    changed = True
-    while changed:
+    least = -(-sum(size) // capacity)
+    fills = [sum(size[i] for i in b) for b in bins]
+    bins = [list(b) for b in bins]
+    while True:
+        underfull = sorted((k for k in range(len(bins)) if fills[k] < capacity), key=lambda k: (fills[k], k))
+        spare = len(bins) - least
+        if spare <= 0 or len(underfull) < 2:
+            return bins
+        givers, takers = underfull[: 2 * spare + 2], underfull[::-1]
         changed = False
-        order = sorted((k for k in range(len(items)) if items[k]), key=lambda k: (-fills[k], k))
-        for place, a in enumerate(order):
-            while fills[a] < capacity and items[a]:
-                others = [(k, i) for k in order[place + 1 :] for i in items[k]]
+        for a in takers:
+            while fills[a] < capacity and bins[a]:
+                others = [(k, i) for k in givers if k != a and fills[k] <= fills[a] for i in bins[k]]
                 if not others:
                     break
                 give = np.array([size[i] for _, i in others])
                 theirs = np.array([fills[k] for k, _ in others])
-                own = items[a]
+                own = bins[a]
                 sets: list[tuple[int, ...]] = [(), *((i,) for i in own)]
                 sets += [(own[x], own[y]) for x in range(len(own)) for y in range(x)] if len(own) < 48 else []
                 back = np.array([sum(size[i] for i in s) for s in sets])
@@ -121,12 +123,15 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
                 s, t = np.unravel_index(int(best.argmax()), best.shape)
                 k, item = others[int(t)]
                 d = int(best[s, t])
-                items[a] = [i for i in own if i not in sets[s]] + [item]
-                items[k] = [i for i in items[k] if i != item] + list(sets[s])
+                bins[a] = [i for i in own if i not in sets[s]] + [item]
+                bins[k] = [i for i in bins[k] if i != item] + list(sets[s])
                 fills[a] += d
                 fills[k] -= d
                 changed = True
-    return done + [b for b in items if b]
+        if not changed:
+            return bins
+        full = [(f, b) for f, b in zip(fills, bins) if b]
+        fills, bins = [f for f, _ in full], [b for _, b in full]
 
 
 def _packer(capacity: int, base: int):
@@ -169,14 +174,14 @@ def pack_pieces(pieces: DataFrame, capacity: int, group_rows: int = 8192) -> Dat
 
     Pieces are dealt evenly into groups of about ``group_rows`` with equal
     mixtures of lengths, whatever their ids, and each group is packed by best fit and local search. All
-    pieces of sequences left underfull, a small share of each group, are
-    dealt into new groups and packed again, round after round, until one
+    pieces of sequences filled to less than 15/16, a small share of each
+    group, are dealt into new groups and packed again, round after round, until one
     group holds all of them or they hardly get fewer; a group keeps its old sequences where packing
     anew does not need fewer.
     """
     left = materialize(pieces, "pieces")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields)
-    out, before = None, 0
+    out, before, enough = None, 0, capacity * 15 // 16
     for turn in range(7):
         count = left.count()
         if turn and count > 0.7 * before:  # what is left does not get better
@@ -195,14 +200,14 @@ def pack_pieces(pieces: DataFrame, capacity: int, group_rows: int = 8192) -> Dat
         if groups == 1:
             settled, left = packed, None
         else:
-            settled, left = packed.where(F.col("filled") == capacity), packed.where(F.col("filled") < capacity)
+            settled, left = packed.where(F.col("filled") >= enough), packed.where(F.col("filled") < enough)
         out = settled if out is None else out.unionByName(settled)
         if left is None:
             break
         left = left.drop("offset", "filled")
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields if f.name not in _PLACED)
     if left is not None:  # as last packed
-        out = out.unionByName(packed.where(F.col("filled") < capacity))
+        out = out.unionByName(packed.where(F.col("filled") < enough))
     return out.drop("filled")
 
 

@@ -11,7 +11,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives a task one core
 
-_CACHE_WORDS = 800_000
+_CACHE_WORDS = 1_000_000
 #: A single space between two characters that are not white space.
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _SIGNS = ".,;:!?*%&#$|-"
@@ -19,15 +19,32 @@ _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 class _Parts(dict):
-    """Ids of parts as bytes; notes parts that it has not met and gives nothing for them."""
+    """Ids of parts as bytes; a part that it has not met is encoded and remembered.
 
-    def __init__(self):
+    When it is full it begins anew, and parts met again come back from the one before.
+    """
+
+    def __init__(self, encode, code: str, space: str, tails: _Parts | None = None):
         super().__init__()
-        self.new: set[str] = set()
+        self.encode, self.code, self.space, self.tails = encode, code, space, tails
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        self.new.add(part)
-        return b""
+        ids = self.before.get(part)
+        if ids is None:
+            stem = part.rstrip(_SIGNS)
+            if self.tails is not None and len(stem) < len(part) and stem.isalpha():
+                # letters and then signs are two pieces, which many parts share
+                ids = self[stem] + self.tails[part[len(stem) :]]
+            else:
+                ids = array(self.code, self.encode(self.space + part, add_special_tokens=False).ids).tobytes()
+        self[part] = ids
+        return ids
+
+    def age(self, most: int) -> None:
+        if len(self) > most:
+            self.before = dict(self)
+            self.clear()
 
 
 class Encoder:
@@ -53,53 +70,20 @@ class Encoder:
         plain = isinstance(kind, ByteLevel) and kind.use_regex and not kind.add_prefix_space
         self.by_parts = plain and self.tokenizer.normalizer is None and self.tokenizer.post_processor is None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.firsts, self.parts = _Parts(), _Parts()  # without, and with a space before them
+        # without, and with a space before them
+        self.firsts = _Parts(self.tokenizer.encode, self.code, "")
+        self.parts = _Parts(self.tokenizer.encode, self.code, " ", self.firsts)
 
     def encode(self, text: str | None) -> np.ndarray:
-        return self.encode_many([text])[0]
-
-    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text, little-endian and of the smallest width that holds the vocabulary."""
-        cut = [self._cut(t) for t in texts]
-        out: list[bytes] = []
-        again: list[int] = []
-        for i, c in enumerate(cut):
-            out.append(self._ids(c))
-            if self.firsts.new or self.parts.new:
-                again.append(i)
-                if len(again) > 1 and len(self.parts.new) > 4096:
-                    self._learn()
-                    for j in again:
-                        out[j] = self._ids(cut[j])
-                    again.clear()
-        self._learn()
-        for j in again:
-            out[j] = self._ids(cut[j])
+        """The text's ids, little-endian and of the smallest width that holds the vocabulary."""
+        first, rest = self._cut(text)
+        ids = self.firsts[first] + b"".join(map(self.parts.__getitem__, rest))
         for known in (self.firsts, self.parts):
-            if len(known) > _CACHE_WORDS:
-                known.clear()
-        return [np.frombuffer(x, self.dtype) for x in out]
-
-    def _ids(self, cut: tuple[str, list[str]]) -> bytes:
-        return self.firsts[cut[0]] + b"".join(map(self.parts.__getitem__, cut[1]))
+            known.age(_CACHE_WORDS)
+        return np.frombuffer(ids, self.dtype)
 
-    def _learn(self) -> None:
-        new, self.parts.new = self.parts.new, set()
-        tails = {}  # letters and then signs are two pieces, which many parts share
-        for part in new:
-            stem = part.rstrip(_SIGNS)
-            if len(stem) < len(part) and stem.isalpha():
-                tails[part] = stem, part[len(stem) :]
-        self._add(self.parts, " ", {tails[p][0] if p in tails else p for p in new})
-        self._add(self.firsts, "", self.firsts.new.union(t for _, t in tails.values()))
-        for part, (stem, tail) in tails.items():
-            self.parts[part] = self.parts[stem] + self.firsts[tail]
-        self.firsts.new = set()
-
-    def _add(self, known: _Parts, before: str, parts: set[str]) -> None:
-        new = [p for p in parts if p not in known]
-        for got, part in zip(self.tokenizer.encode_batch_fast([before + p for p in new], add_special_tokens=False), new):
-            known[part] = array(self.code, got.ids).tobytes()
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [self.encode(t) for t in texts]
 
     def _cut(self, text: str | None) -> tuple[str, list[str]]:
         """The first part, and the others without the space before them."""
