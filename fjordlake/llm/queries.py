@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .jaccard_join import near_duplicates
 from .packing import pack_documents
+from .suffix_tree import score_texts
 from .token_files import token_files
 from .toxicity import toxicity
 
@@ -26,6 +27,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_lm_scoring": op3_lm_scoring,
     "op5_token_id_output": op5_token_id_output,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
