@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .jaccard_join import near_duplicates
 from .packing import pack_documents
+from .quality import quality
 from .suffix_tree import score_texts
 from .token_files import token_files
 from .toxicity import toxicity
@@ -31,6 +32,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_token_id_output": op5_token_id_output,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
