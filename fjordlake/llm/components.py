@@ -14,21 +14,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ``component`` is the smallest node reachable. Each step groups by node
     for a minimum, combined before it is shuffled, and joins it back; no
     group is gathered anywhere. Edges are written to the shared folder after
-    every round. Loops and repeated edges do not matter; edges with a null
-    end are ignored.
+    every round, until every node hangs on the smallest of its component.
+    Loops and repeated edges do not matter; edges with a null end are ignored.
     """
     ends = edges.select(F.greatest(F.col(a), F.col(b)).alias("u"), F.least(F.col(a), F.col(b)).alias("v"))
     edge = materialize(ends.where("u > v AND v IS NOT NULL").distinct(), "edges")
-    before = None
-    while True:
-        state = edge.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if state == before or state[0] == 0:
-            return edge.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = state
+    while not _are_stars(edge):
         both = edge.unionByName(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(least, "u")
@@ -37,3 +31,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .unionByName(least.select("u", F.col("m").alias("v")))
         )
         edge = materialize(small.distinct(), "edges")
+    return edge.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _are_stars(edge: DataFrame) -> bool:
+    """Whether every edge's larger end has this edge alone."""
+    ends = edge.select(F.col("u").alias("x"), F.lit(1).alias("above"), F.lit(0).alias("below"))
+    ends = ends.unionByName(edge.select(F.col("v").alias("x"), F.lit(0).alias("above"), F.lit(1).alias("below")))
+    role = ends.groupBy("x").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
+    return role.where("above > 1 OR (above > 0 AND below > 0)").isEmpty()

@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import materialize
+from .list_links import link_lists
+from .storage import broadcast_if_small, materialize
 from .text import SPACE, chunks, distinct_by_row, mix, shingles, words
 
 _SUBSET = 2
 _MOST_COMMON = 1 << 20
-_LEAST_COMMON = 32
+_LEAST_COMMON = 4
 _CHUNK = 12 << 20
-#: Ids up to this many (16 MB) are broadcast to pick texts; more are joined by a shuffle.
-_BROADCAST_IDS = 2_000_000
+#: Sets above this size are large whatever the costs; a boundary there never pays.
+_MOST_SUBSET_SIZE = 256
 
 
 def overlap_needed(n, numerator: int, denominator: int):
@@ -85,14 +86,16 @@ def _common_shingles(docs: DataFrame, width: int, numerator: int, denominator: i
 
     counted = docs.select("text").mapInArrow(count, "kind int, key long, n long")
     counted = materialize(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "common")
-    sizes = {r.key: r.n for r in counted.where("kind = 1 AND key <= 64").collect()}
+    by_size = counted.where("kind = 1 AND key > 0")
+    sizes = {r.key: r.n for r in by_size.where(F.col("key") <= _MOST_SUBSET_SIZE).collect()}
+    total = by_size.agg(F.sum(F.col("key") * F.col("n"))).first()[0] or 1
     row = counted.where("kind = 0").agg(F.sum("n"), F.count(F.lit(1))).first()
     least = max(_LEAST_COMMON, -(-(row[0] or 0) // _MOST_COMMON))
     found = counted.where((F.col("kind") == 0) & (F.col("n") >= least)).select("key").toArrow()
     common = np.sort(found.column("key").to_numpy().astype(np.int64).view(np.uint64))
     rest = counted.where((F.col("kind") == 0) & (F.col("n") < least))
-    scanned = rest.agg(F.sum(F.col("n").cast("double") * F.col("n")), F.sum("n")).first()
-    return common, choose_boundary(sizes, (scanned[0] or 0.0) / (scanned[1] or 1), numerator, denominator)
+    others = rest.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1))).first()[0] or 0.0
+    return common, choose_boundary(sizes, others / total, numerator, denominator)
 
 
 def _keys(flat, at, common, boundary: int, numerator: int, denominator: int):
@@ -148,7 +151,7 @@ def _signed(docs: DataFrame, width: int, common, boundary: int, numerator: int,
     return docs.mapInArrow(sign, "doc_id long, n long, digest binary, keys array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
     """The pairs ``a, b`` whose texts' shingle sets are at the threshold."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,19 +165,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, numerator: int, de
                 linked.append(both > 0 and denominator * both >= numerator * (len(x) + len(y) - both))
             yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    wanted = broadcast_if_small(materialize(wanted, "wanted"))
+    texts = materialize(docs.join(wanted, "doc_id", "left_semi"), "texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    return materialize(both.mapInArrow(verify, "a long, b long").distinct(), "links")
 
 
-def links(docs: DataFrame, width: int, numerator: int, denominator: int, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, width: int, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
     """Documents ``doc_id, n, digest, rep`` and verified links ``a, b`` that connect all that are linked.
 
-    ``rep`` is the smallest id with the same set. The links do not hold every
-    pair: inside a key's list all members are first verified against the
-    list's smallest document, and only members that are still apart from
-    others of the list are verified with those. So a list costs as many pairs
-    as it has members where they are near copies of each other.
+    ``rep`` is the smallest id with the same set. See :func:`.list_links.link_lists`
+    for how the lists of keys are turned into pairs.
     """
     common, boundary = _common_shingles(docs, width, numerator, denominator)
     signed = materialize(_signed(docs, width, common, boundary, numerator, denominator), "signed")
@@ -185,56 +189,20 @@ def links(docs: DataFrame, width: int, numerator: int, denominator: int, rounds:
     shared = listed.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y")
     rep_of = members.where("rep IS NOT NULL").select("doc_id", "rep", "n").distinct()
     postings = listed.join(shared.select("key"), "key").join(rep_of, "doc_id").groupBy("key", "rep").agg(F.max("n").alias("n"))
-    postings = materialize(postings, "postings")
-
-    wanted = postings.select(F.col("rep").alias("doc_id")).distinct()
-    wanted = materialize(wanted, "wanted")
-    if wanted.count() <= _BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = materialize(docs.join(wanted, "doc_id", "left_semi"), "texts")
 
-    def check(pairs: DataFrame) -> DataFrame:
-        return materialize(_verified(pairs, texts, width, numerator, denominator).distinct(), "links")
-
-    fits = F.expr(f"least(n, m) * {denominator} >= greatest(n, m) * {numerator}")
-    found = tried = None
-    apart = postings.withColumn("part", F.col("rep"))
-    for turn in range(rounds + 1):
-        # of each list with parts apart: the members apart from its smallest document
-        first = apart.groupBy("key").agg(F.min(F.struct("rep", "n", "part")).alias("first"))
-        first = first.select("key", F.col("first.rep").alias("pivot"), F.col("first.n").alias("m"), F.col("first.part").alias("pivot_part"))
-        if turn == 0:
-            pairs = apart.join(first, "key").where(fits & (F.col("rep") != F.col("pivot")))
-            pairs = pairs.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-        else:
-            minor = materialize(apart.join(first.select("key", "pivot_part"), "key").where("part <> pivot_part").drop("pivot_part"), "minor")
-            if minor.isEmpty():
-                break
-            counted = minor.groupBy("key").agg(F.count(F.lit(1)).alias("u")).join(apart.groupBy("key").count(), "key")
-            work = counted.agg(F.sum(F.col("u").cast("double") * F.col("count"))).first()[0]
-            if work <= 8.0 * postings.count() or turn == rounds:
-                one = minor
-            else:
-                one = minor.groupBy("key").agg(F.min(F.struct("rep", "n", "part")).alias("s")).select("key", "s.*")
-            one = one.select("key", F.col("rep").alias("pivot"), F.col("n").alias("m"), F.col("part").alias("pivot_part"))
-            pairs = apart.join(one, "key").where(fits & (F.col("part") != F.col("pivot_part")))
-            pairs = pairs.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
-            if work <= 8.0 * postings.count():
-                rounds = turn
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = check(pairs)
-        found = new if found is None else found.unionByName(new)
-        if turn >= rounds:
-            break
-        label = components(found)
-        labelled = postings.join(label.withColumnRenamed("node", "rep"), "rep", "left")
-        labelled = labelled.select("key", "rep", "n", F.coalesce("component", "rep").alias("part"))
-        mixed = labelled.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y")
-        apart = materialize(labelled.join(mixed.select("key"), "key", "left_semi"), "apart")
+    def enough(s, n, m):
+        # two sets that share s elements of their prefixes share fewer than s + ceil(t * larger size) in all;
+        # keys of small sets are subsets and say nothing of the number
+        need = F.ceil((n + m) * numerator / F.lit(numerator + denominator) - 1e-6)
+        most = s + F.ceil(F.greatest(n, m) * numerator / F.lit(denominator) - 1e-6) - 1
+        return (F.least(n, m) <= boundary) | (most >= need)
+
+    found = link_lists(
+        materialize(postings.withColumnRenamed("rep", "item"), "postings"),
+        lambda pairs: _verified(pairs, docs, width, numerator, denominator),
+        lambda n, m: F.least(n, m) * denominator >= F.greatest(n, m) * numerator,
+        enough,
+    )
     return members, found
 
 
@@ -275,6 +243,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     found = materialize(near_duplicates(docs, id_col, text_col), "near")
     gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
+    gone = broadcast_if_small(materialize(gone, "gone"))
     left = docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
     again = found.groupBy(id_col).count().where(f"count > 1 AND `{id_col}` IS NOT NULL")
     if again.isEmpty():

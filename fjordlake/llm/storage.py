@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 _own_dir: str | None = None
@@ -36,3 +37,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a few numbers and digests, some 20 MB.
+_BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(rows: DataFrame) -> DataFrame:
+    """A materialised table of narrow rows, marked for broadcast if it has few; else as it is, for a shuffled join."""
+    return F.broadcast(rows) if rows.count() <= _BROADCAST_ROWS else rows
