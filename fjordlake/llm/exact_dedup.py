@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import broadcast_if_small, materialize
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
@@ -68,10 +68,18 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows that repeat a kept id with the same text come back once.
     """
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), "text_sha256")
-    sha = F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256)
-    out = docs.withColumn("__sha", sha).join(
-        kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("text_sha256")), "left_semi"
+    columns = docs.columns
+    plain = docs.toDF(*[f"d{i}" for i in range(len(columns))])
+    row_id, text = F.col(f"d{columns.index(id_col)}"), F.col(f"d{columns.index(text_col)}")
+    found = materialize(exact_duplicates(docs, id_col, text_col).toDF("id", "keep", "size", "kept", "sha"), "exact")
+    found = found.select("id", "kept", F.unhex("sha").alias("sha"))
+    by_row = found.groupBy("id", "sha").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    gone = materialize(by_row.where("NOT kept").select("id", "sha"), "gone")
+    rows = plain.withColumn("sha", F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)))
+    left = rows.alias("r").join(
+        broadcast_if_small(gone).alias("g"), row_id.eqNullSafe(F.col("g.id")) & (F.col("r.sha") == F.col("g.sha")), "left_anti"
     )
-    one = F.row_number().over(Window.partitionBy(id_col, "__sha").orderBy(F.lit(1)))
-    return out.withColumn("__n", one).where("__n = 1").select([F.col(f"`{c}`") for c in docs.columns])
+    if not by_row.where("kept AND n > 1").isEmpty():
+        one = Window.partitionBy(row_id, "sha").orderBy(F.lit(1))
+        left = left.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+    return left.drop("sha").toDF(*columns)

@@ -117,7 +117,9 @@ def encode_ids(ids: np.ndarray, block: int) -> tuple[list[bytes], np.ndarray, np
     symbols, shares = id_table(ids)
     below = np.concatenate([[0], np.cumsum(shares)]).astype(np.int64)
     steps, lengths = _columns(ids, block)
-    rank = np.searchsorted(symbols, steps) if len(symbols) else np.zeros(steps.shape, np.int64)
+    rank = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 1, np.int32)
+    rank[symbols] = np.arange(len(symbols))
+    rank = rank[steps]
     n = len(lengths)
     model = Predictor(n)
     low, width = np.zeros(n, np.uint64), np.full(n, (1 << 48) - 1, np.uint64)
@@ -166,8 +168,8 @@ def encode_ids(ids: np.ndarray, block: int) -> tuple[list[bytes], np.ndarray, np
             break
         words &= np.uint32(0xFFFF)
         words[:-1] += carry[1:]
-    codes = np.ascontiguousarray(words.T).astype("<u2")
-    return [codes[i, : place[i]].tobytes() for i in range(n)], lengths, symbols, shares
+    codes = words.astype("<u2")
+    return [codes[: place[i], i].tobytes() for i in range(n)], lengths, symbols, shares
 
 
 def decode_ids(codes: list[bytes], lengths: np.ndarray, symbols: np.ndarray, shares: np.ndarray) -> list[np.ndarray]:

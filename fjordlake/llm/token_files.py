@@ -26,8 +26,8 @@ def write_token_files(
     end_id: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
-    segment_ids: int = 8 << 20,
-    block: int = 4096,
+    segment_ids: int = 4 << 20,
+    block: int = 2048,
 ) -> None:
     """Encodes all whole texts, each followed by ``end_id``, in ascending order of id (nulls first).
 
