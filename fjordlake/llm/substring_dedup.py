@@ -23,14 +23,14 @@ class Limits:
     The similarity is that of their sets of ``width``-word shingles. Of
     ``hashes`` min-hashes over those, ``agree`` must be the same for two
     passages to be candidates: equal passages share all, and two at a
-    similarity of 0.8 share so many with a chance over 98 %. ``shift`` bounds
+    similarity of 0.8 share so many with a chance of 97 %. ``shift`` bounds
     how far words put in or left out move one agreement against another.
     """
 
     length: int = 50
     width: int = 5
-    hashes: int = 6
-    agree: int = 3
+    hashes: int = 4
+    agree: int = 2
     shift: int = 8
     numerator: int = 80
     denominator: int = 100
@@ -49,38 +49,47 @@ def _token_shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarra
 
 
 def compact_windows(values: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows ``left, center, right`` of each row's sequence of hash values, of ``length`` words or more.
+    """Windows ``left, center, right`` of each row's sequence of hash values, of ``length`` places or more.
 
     A window stands for all subsequences from ``left..center`` to
-    ``center..right``: the value at ``center`` is the least of each. These are
-    the nodes of the row's Cartesian tree, of which only subtrees of at least
-    ``length`` words are visited: about two for each ``length`` words.
-    ``right`` is inclusive; of equal values the first is the root.
+    ``center..right``: the value at ``center`` is the least of each, the
+    first of equals. They are the nodes of the row's Cartesian tree whose
+    subtrees have ``length`` places, about two for each ``length`` of them.
+    Their centers are the minima of all runs of ``length`` places; as a
+    node's parent has a larger subtree, a stack over the centers alone builds
+    this part of the tree. ``right`` is inclusive.
     """
-    left, center, right = [], [], []
-    # level by level over all rows at once: each subtree's root is its first least value
-    low, high = rows[:-1], rows[1:]
-    while True:
-        fits = high - low >= length
-        low, high = low[fits], high[fits]
-        if not len(low):
-            break
-        spans = np.stack([low, high], axis=1).ravel()
-        top = np.minimum.reduceat(np.append(values, np.uint64(2**64 - 1)), spans)[::2]
-        size = high - low
-        owner = np.repeat(np.arange(len(low)), size)
-        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + low[owner]
-        least = np.flatnonzero(values[place] == top[owner])
-        which, at = np.unique(owner[least], return_index=True)
-        root = place[least[at]]
-        left.append(low[which])
-        center.append(root)
-        right.append(high[which] - 1)
-        low, high = np.concatenate([low, root + 1]), np.concatenate([root, high])
-    if not left:
-        empty = np.empty(0, np.int64)
+    n = len(values)
+    empty = np.empty(0, np.int64)
+    if n < length:
+        return empty, empty, empty
+    bits = np.uint64(max(1, n.bit_length()))
+    ranked = (values >> bits << bits) | np.arange(n, dtype=np.uint64)
+    padded = np.full(-(-n // length) * length, np.uint64(2**64 - 1))
+    padded[:n] = ranked
+    grid = padded.reshape(-1, length)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(behind[: n - length + 1], ahead[length - 1 : n])
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    least = least[row[: n - length + 1] == row[length - 1 :]]
+    if not len(least):
         return empty, empty, empty
-    return np.concatenate(left), np.concatenate(center), np.concatenate(right)
+    center = (least[np.concatenate([[True], least[1:] != least[:-1]])] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    own = row[center]
+    left, right = rows[own].tolist(), (rows[own + 1] - 1).tolist()
+    stack: list[int] = []
+    last = -1
+    places, ranks = center.tolist(), ranked[center].tolist()
+    for k, (r, at, rank) in enumerate(zip(own.tolist(), places, ranks)):
+        if r != last:
+            stack, last = [], r
+        while stack and ranks[stack[-1]] > rank:
+            right[stack.pop()] = at - 1
+        if stack:
+            left[k] = places[stack[-1]] + 1
+        stack.append(k)
+    return np.array(left, np.int64), center, np.array(right, np.int64)
 
 
 def _windows(docs: DataFrame, limits: Limits) -> DataFrame:
@@ -111,31 +120,39 @@ def near_spans(x: np.ndarray, y: np.ndarray, low: int, high: int, limits: Limits
     joined over gaps of up to a fifth of the least length; what is long
     enough is a near copy if the shingle sets of both spans say so.
     """
-    places, diagonals = [], []
-    for d in range(low - 1, high + 2):
-        a, b = max(0, d), min(len(x), len(y) + d)
-        if b > a and not (same and d == 0):
-            hits = np.flatnonzero(x[a:b] == y[a - d : b - d]) + a
-            places.append(hits)
-            diagonals.append(np.full(len(hits), d))
-    if not places:
-        return []
-    place, diagonal = np.concatenate(places), np.concatenate(diagonals)
-    order = np.argsort(place, kind="stable")
-    place, diagonal = place[order], diagonal[order]
-    cut = (np.flatnonzero(np.diff(place) > max(1, limits.length // 5)) + 1).tolist()
     least = limits.length - limits.width + 1
-    found = []
-    for a, b in zip([0, *cut], [*cut, len(place)]):
-        if b > a and place[b - 1] - place[a] + 1 >= least:
-            p, q = int(place[a]), int(place[b - 1]) + 1
-            other = place[a:b] - diagonal[a:b]
-            r, s = int(other.min()), int(other.max()) + 1
-            both = len(np.intersect1d(x[p:q], y[r:s]))
-            union = len(np.unique(x[p:q])) + len(np.unique(y[r:s])) - both
-            if s - r >= least * limits.numerator // limits.denominator and both * limits.denominator >= union * limits.numerator:
-                found.append((p, q, r, s))
-    return found
+    for more in (0, 2):  # first the diagonals themselves, then their neighbours too
+        places, diagonals = [], []
+        for d in range(low - more, high + more + 1):
+            a, b = max(0, d), min(len(x), len(y) + d)
+            if b > a and not (same and d == 0):
+                hits = np.flatnonzero(x[a:b] == y[a - d : b - d]) + a
+                places.append(hits)
+                diagonals.append(np.full(len(hits), d))
+        if not places:
+            continue
+        place, diagonal = np.concatenate(places), np.concatenate(diagonals)
+        if len(places) > 1:
+            order = np.argsort(place, kind="stable")
+            place, diagonal = place[order], diagonal[order]
+        cut = (np.flatnonzero(np.diff(place) > max(1, limits.length // 5)) + 1).tolist()
+        found = []
+        for a, b in zip([0, *cut], [*cut, len(place)]):
+            if b > a and place[b - 1] - place[a] + 1 >= least:
+                p, q = int(place[a]), int(place[b - 1]) + 1
+                other = place[a:b] - diagonal[a:b]
+                r, s = int(other.min()), int(other.max()) + 1
+                if q - p == s - r == b - a and len(places) == 1:
+                    found.append((p, q, r, s))  # word for word
+                    continue
+                both = len(np.intersect1d(x[p:q], y[r:s]))
+                union = len(np.unique(x[p:q])) + len(np.unique(y[r:s])) - both
+                enough = both * limits.denominator >= union * limits.numerator
+                if enough and s - r >= least * limits.numerator // limits.denominator:
+                    found.append((p, q, r, s))
+        if found:
+            return found
+    return []
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, limits: Limits) -> DataFrame:
@@ -180,23 +197,25 @@ def passage_spans(docs: DataFrame, limits: Limits, rounds: int = 3) -> DataFrame
     listed = _windows(docs, limits)
     shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     listed = materialize(listed.join(shared, "key", "left_semi"), "listed")
-    open_, found = listed, None
+    open_ = rest = listed
+    found = None
     window = F.struct("doc", "at", "lo", "hi")
     for turn in range(rounds):
         last = turn == rounds - 1
         if last:  # a pair of two open windows comes up twice and is made one
-            sides = open_.select("key", window.alias("g")).join(listed.select("key", window.alias("f")), "key")
+            sides = open_.select("key", window.alias("g")).join(rest.select("key", window.alias("f")), "key")
             sides = sides.select("key", F.least("f", "g").alias("f"), F.greatest("f", "g").alias("g")).where("f < g")
         else:
             first = open_.groupBy("key").agg(F.min(window).alias("f"))
-            sides = open_.select("key", window.alias("g")).join(first, "key").where("f < g")
+            sides = rest.select("key", window.alias("g")).join(first, "key").where("f <> g")
+            sides = sides.select("key", F.least("f", "g").alias("f"), F.greatest("f", "g").alias("g"))
         joined = sides.select("key", "f", "g.*")
         room = F.least(F.expr("at - lo"), F.expr("f.at - f.lo")) + F.least(F.expr("hi - at"), F.expr("f.hi - f.at")) + 1
         least = (limits.length - limits.width + 1) * limits.numerator // limits.denominator
         votes = joined.where(room >= least).select(
-            F.col("f.doc").alias("a"), F.col("doc").alias("b"), F.expr("f.at - at").alias("shift"),
-            F.expr("CAST(key & 15 AS int)").alias("k"), F.explode(F.array(F.lit(0), F.lit(limits.shift // 2))).alias("half"),
+            F.col("f.doc").alias("a"), F.col("doc").alias("b"), F.expr("f.at - at").alias("shift"), F.expr("CAST(key & 15 AS int)").alias("k")
         )
+        votes = votes.distinct().select("*", F.explode(F.array(F.lit(0), F.lit(limits.shift // 2))).alias("half"))
         band = F.floor((F.col("shift") + F.col("half")) / limits.shift)
         pairs = votes.groupBy("a", "b", "half", band.alias("band")).agg(
             F.expr("bit_count(bit_or(shiftleft(1, k)))").alias("agreed"), F.min("shift").alias("low"), F.max("shift").alias("high")
@@ -206,9 +225,13 @@ def passage_spans(docs: DataFrame, limits: Limits, rounds: int = 3) -> DataFrame
         found = spans if found is None else found.unionByName(spans)
         if last:
             break
-        covered = open_.join(spans, "doc").where("at >= start AND at < end").select("key", "doc", "at").distinct()
-        left = open_.join(covered, ["key", "doc", "at"], "left_anti")
-        open_ = materialize(left, "open")
+        # the smallest windows have met all others of their lists; covered ones need no more partners
+        tried = first.select("key", "f.doc", "f.at")
+        covered = broadcast_if_small(materialize(spans.select("doc", "start", "end").distinct(), "covered"))
+        rest = materialize(rest.join(tried, ["key", "doc", "at"], "left_anti"), "rest")
+        left = open_.join(tried, ["key", "doc", "at"], "left_anti")
+        done = left.select("key", "doc", "at").join(covered, "doc").where("at >= start AND at < end").select("key", "doc", "at").distinct()
+        open_ = materialize(left.join(done, ["key", "doc", "at"], "left_anti"), "open")
         if open_.isEmpty():
             break
     return found

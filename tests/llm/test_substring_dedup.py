@@ -12,7 +12,7 @@ SCHEMA = "doc_id long, text string, spans string, n_words int"
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 30), max_size=25), min_size=1, max_size=4), st.integers(1, 6))
 def test_windows_name_the_least_of_every_subsequence(rows, length):
-    values = np.array([v for r in rows for v in r], np.uint64)
+    values = np.array([v << 40 for r in rows for v in r], np.uint64)
     at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     lo, mid, hi = S.compact_windows(values, at, length)
     seen = {}
