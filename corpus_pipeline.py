@@ -10,11 +10,12 @@ from fjordlake.llm.decontaminate import remove_contaminated
 from fjordlake.llm.exact_dedup import drop_duplicates
 from fjordlake.llm.jaccard_join import drop_near_duplicates
 from fjordlake.llm.packing import pack_documents
-from fjordlake.llm.storage import materialize
+from fjordlake.llm.storage import bound_batches, materialize
 from fjordlake.llm.toxicity import drop_toxic
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,6 +41,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left, placed in sequences."""
+    bound_batches(spark)
     return pack_documents(docs)
 
 

@@ -185,24 +185,21 @@ def links(docs: DataFrame, width: int, numerator: int, denominator: int) -> tupl
     sets = signed.where("n > 0 AND doc_id IS NOT NULL")
     rep = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     members = materialize(signed.select("doc_id", "n", "digest").join(rep, "digest", "left"), "members")
-    listed = sets.select("doc_id", F.explode("keys").alias("key"))
-    shared = listed.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y")
-    rep_of = members.where("rep IS NOT NULL").select("doc_id", "rep", "n").distinct()
-    postings = listed.join(shared.select("key"), "key").join(rep_of, "doc_id").groupBy("key", "rep").agg(F.max("n").alias("n"))
-
-    def enough(s, n, m):
-        # two sets that share s elements of their prefixes share fewer than s + ceil(t * larger size) in all;
-        # keys of small sets are subsets and say nothing of the number
-        need = F.ceil((n + m) * numerator / F.lit(numerator + denominator) - 1e-6)
-        most = s + F.ceil(F.greatest(n, m) * numerator / F.lit(denominator) - 1e-6) - 1
-        return (F.least(n, m) <= boundary) | (most >= need)
-
-    found = link_lists(
-        materialize(postings.withColumnRenamed("rep", "item"), "postings"),
-        lambda pairs: _verified(pairs, docs, width, numerator, denominator),
-        lambda n, m: F.least(n, m) * denominator >= F.greatest(n, m) * numerator,
-        enough,
-    )
+    listed = sets.select("doc_id", "n", F.posexplode("keys").alias("place", "key"))
+    # the smaller set of a pair has a common element even in a shorter prefix: it shares 2t/(1+t) of its elements or more
+    early = F.col("place") <= F.col("n") - F.ceil(2 * numerator * F.col("n") / F.lit(numerator + denominator) - 1e-6)
+    listed = listed.select("doc_id", "key", ((F.col("n") <= boundary) | early).alias("early"))
+    shared = listed.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.max("early").alias("early"))
+    shared = shared.where("x < y AND early").select("key")
+    rep_of = members.where("rep IS NOT NULL").select("doc_id", F.col("rep").alias("item"), "n").distinct()
+    postings = listed.join(shared, "key").join(rep_of, "doc_id").groupBy("key", "item")
+    postings = materialize(postings.agg(F.max("n").alias("n"), F.max("early").alias("early")), "postings")
+
+    def fits(n, early, m, early_m):
+        able = F.when(n < m, early).when(n > m, early_m).otherwise(early & early_m)
+        return able & (F.least(n, m) * denominator >= F.greatest(n, m) * numerator)
+
+    found = link_lists(postings, lambda pairs: _verified(pairs, docs, width, numerator, denominator), fits)
     return members, found
 
 

@@ -14,68 +14,37 @@ from .storage import materialize
 def link_lists(
     postings: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
-    fits: Callable[[Column, Column], Column],
-    enough: Callable[[Column, Column, Column], Column] | None = None,
-    rounds: int = 4,
+    fits: Callable[[Column, Column, Column, Column], Column],
 ) -> DataFrame:
     """Verified links ``a, b`` that connect all items of a list that are linked through candidates.
 
-    ``postings`` has a row ``key, item, n`` for each item of each list;
-    ``verify`` keeps the linked ones of some pairs ``a, b``; ``fits`` says
-    whether sizes n and m may be linked at all. The links do not hold every
-    pair: inside a list all items are first verified against the smallest
-    one. Components follow from the links so far, and only lists whose items
-    are still in several of them go on, with pairs between an item that is
-    apart from the smallest item and any item in another component: those of
-    one such item, or of all once that is no more than a few pairs an item.
-    So a list of near copies costs as many pairs as it has items, and no pair
-    is left out whose items end in different components. In the last round,
-    where a pair comes up once for each list that holds both, ``enough(s, n,
-    m)`` may turn it down for too few lists s.
+    ``postings`` has a row ``key, item, n, early`` for each item of each list;
+    ``verify`` keeps the linked ones of some pairs ``a, b``; ``fits(n, early,
+    m, early_m)`` says whether two entries of a list may be linked at all.
+    The links do not hold every pair: inside a list all items are first
+    verified against the smallest one. Components follow from those links,
+    and only lists whose items are still in several of them go on, with the
+    pairs of an item that is apart from the smallest item and any item in
+    another component. So a list of near copies costs as many pairs as it
+    has items, and no pair is left out whose items are in different
+    components.
     """
-    many = postings.count()
-    found = tried = None
-    apart = postings.withColumn("part", F.col("item"))
-    for turn in range(rounds + 1):
-        first = apart.groupBy("key").agg(F.min(F.struct("item", "n", "part")).alias("f"))
-        first = first.select("key", F.col("f.item").alias("pivot"), F.col("f.n").alias("m"), F.col("f.part").alias("pivot_part"))
-        possible = fits(F.col("n"), F.col("m"))
-        last = False
-        if turn == 0:
-            pairs = apart.join(first, "key").where(possible & (F.col("item") != F.col("pivot")))
-            pairs = pairs.select(F.col("pivot").alias("a"), F.col("item").alias("b")).distinct()
-        else:
-            marked = apart.join(first.select("key", "pivot_part"), "key")
-            marked = materialize(marked.withColumn("minor", F.col("part") != F.col("pivot_part")).drop("pivot_part"), "marked")
-            minor = marked.where("minor")
-            by_key = marked.groupBy("key").agg(F.sum(F.col("minor").cast("double")).alias("u"), F.count(F.lit(1)).alias("c"))
-            work = by_key.agg(F.sum(F.expr("u * c"))).first()[0] or 0.0
-            if not work:
-                break
-            last = work <= 8.0 * many or turn == rounds
-            one = minor if last else minor.groupBy("key").agg(F.min(F.struct("item", "n", "part")).alias("s")).select("key", "s.*")
-            one = one.select("key", F.col("item").alias("pivot"), F.col("n").alias("m"), F.col("part").alias("pivot_part"))
-            pairs = marked.join(one, "key").where(possible & (F.col("part") != F.col("pivot_part")))
-            ends = F.least("pivot", "item").alias("a"), F.greatest("pivot", "item").alias("b")
-            if last:
-                pairs = pairs.where("NOT minor OR pivot < item")
-                pairs = pairs.groupBy(*ends).agg(F.count(F.lit(1)).alias("s"), F.max("n").alias("n"), F.max("m").alias("m"))
-                if enough is not None:
-                    pairs = pairs.where(enough(F.col("s"), F.col("n"), F.col("m")))
-                pairs = pairs.select("a", "b")
-            else:
-                pairs = pairs.select(*ends).distinct()
-        if tried is not None and not last:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = verify(pairs)
-        found = new if found is None else found.unionByName(new)
-        if last:
-            break
-        label = components(found)
-        labelled = postings.join(label.withColumnRenamed("node", "item"), "item", "left")
-        labelled = labelled.select("key", "item", "n", F.coalesce("component", "item").alias("part"))
-        mixed = labelled.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y")
-        apart = materialize(labelled.join(mixed.select("key"), "key", "left_semi"), "apart")
-    return found
+    entry = F.struct("item", "n", "early")
+    first = postings.groupBy("key").agg(F.min(entry).alias("f"))
+    possible = fits(F.col("n"), F.col("early"), F.col("f.n"), F.col("f.early"))
+    pairs = postings.join(first, "key").where((F.col("item") != F.col("f.item")) & possible)
+    tried = materialize(pairs.select(F.col("f.item").alias("a"), F.col("item").alias("b")).distinct(), "pairs")
+    found = verify(tried)
+
+    label = components(found).withColumnRenamed("node", "item")
+    labelled = postings.join(label, "item", "left").withColumn("part", F.coalesce("component", "item")).drop("component")
+    parts = labelled.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.min(F.struct("item", "part")).alias("f"))
+    parts = parts.where("x < y").select("key", F.col("f.part").alias("first_part"))
+    apart = labelled.join(parts, "key").withColumn("minor", F.col("part") != F.col("first_part")).drop("first_part")
+    apart = materialize(apart, "apart")
+    other = apart.where("minor").select("key", F.struct("item", "n", "early", "part").alias("f"))
+    possible = fits(F.col("n"), F.col("early"), F.col("f.n"), F.col("f.early")) & (F.col("part") != F.col("f.part"))
+    pairs = apart.join(other, "key").where(possible & (~F.col("minor") | (F.col("f.item") < F.col("item"))))
+    pairs = pairs.select(F.least("f.item", "item").alias("a"), F.greatest("f.item", "item").alias("b")).distinct()
+    rest = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    return found.unionByName(verify(rest))

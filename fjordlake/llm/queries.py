@@ -12,6 +12,7 @@ from .jaccard_join import near_duplicates
 from .line_dedup import line_report
 from .packing import pack_documents
 from .quality import quality
+from .storage import bound_batches
 from .substring_dedup import repeated_passages
 from .suffix_tree import score_texts
 from .token_files import token_files
@@ -19,6 +20,7 @@ from .toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

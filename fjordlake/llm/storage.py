@@ -46,3 +46,10 @@ _BROADCAST_ROWS = 500_000
 def broadcast_if_small(rows: DataFrame) -> DataFrame:
     """A materialised table of narrow rows, marked for broadcast if it has few; else as it is, for a shuffled join."""
     return F.broadcast(rows) if rows.count() <= _BROADCAST_ROWS else rows
+
+
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lowers the rows of an Arrow batch, whose default suits numbers and not texts, unless the session sets its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
