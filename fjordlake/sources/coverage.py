@@ -38,9 +38,9 @@ def decode(pos: Column, nx: Column, ny: Column) -> tuple[Column, Column, Column]
 def cube_rows(cubes: DataFrame) -> DataFrame:
     """One row per point and time of grids, nulls kept. A cube without ranges, times or axes raises."""
     named = cubes.select(axis("x", "lon").alias("xs"), axis("y", "lat").alias("ys"), F.col("domain.axes.t.values").alias("ts"), "ranges")
-    sound = F.col("ranges").isNotNull() & (F.size("ts") > 0) & (F.size("xs") > 0) & (F.size("ys") > 0)
-    checked = named.where(F.coalesce(sound, F.lit(False)) | F.assert_true(F.coalesce(sound, F.lit(False)), "incomplete coverage").isNull())
-    flat = checked.select("xs", "ys", "ts", F.explode("ranges").alias("parameter", "range"))
+    sound = F.coalesce(F.col("ranges").isNotNull() & (F.size("ts") > 0) & (F.size("xs") > 0) & (F.size("ys") > 0), F.lit(False))
+    checked = F.when(sound, F.col("ranges")).otherwise(F.raise_error(F.lit("incomplete coverage")))
+    flat = named.select("xs", "ys", "ts", F.explode(checked).alias("parameter", "range"))
     flat = flat.select("xs", "ys", "ts", "parameter", F.posexplode("range.values").alias("pos", "value"))
     t, y, x = decode(F.col("pos"), F.size("xs"), F.size("ys"))
     rows = flat.select(
