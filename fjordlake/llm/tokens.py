@@ -11,7 +11,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives a task one core
 
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 900_000
 #: A single space between two characters that are not white space.
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _SIGNS = ".,;:!?*%&#$|-"
