@@ -199,7 +199,21 @@ def links(docs: DataFrame, width: int, numerator: int, denominator: int) -> tupl
         able = F.when(n < m, early).when(n > m, early_m).otherwise(early & early_m)
         return able & (F.least(n, m) * denominator >= F.greatest(n, m) * numerator)
 
-    found = link_lists(postings, lambda pairs: _verified(pairs, docs, width, numerator, denominator), fits)
+    def screen(pairs):
+        # two sets that share s elements of their prefixes share fewer than s + ceil(t * larger size) in all;
+        # keys of small sets are subsets and say nothing of the number
+        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        some = signed.select("doc_id", "n", "keys").join(broadcast_if_small(materialize(ids, "wanted")), "doc_id", "left_semi")
+        some = materialize(some, "prefixes")
+        both = pairs.join(some.toDF("b", "m", "keys_b"), "b").join(some.toDF("a", "n", "keys_a"), "a")
+        n, m, s = F.col("n"), F.col("m"), F.size(F.array_intersect("keys_a", "keys_b"))
+        need = F.ceil((n + m) * numerator / F.lit(numerator + denominator) - 1e-6)
+        most = s + F.ceil(F.greatest(n, m) * numerator / F.lit(denominator) - 1e-6) - 1
+        return materialize(both.where((F.least(n, m) <= boundary) | (most >= need)).select("a", "b").distinct(), "pairs")
+
+    found = link_lists(
+        postings, lambda pairs: _verified(pairs, docs, width, numerator, denominator), fits, screen
+    )
     return members, found
 
 

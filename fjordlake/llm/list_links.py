@@ -15,12 +15,14 @@ def link_lists(
     postings: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     fits: Callable[[Column, Column, Column, Column], Column],
+    screen: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Verified links ``a, b`` that connect all items of a list that are linked through candidates.
 
     ``postings`` has a row ``key, item, n, early`` for each item of each list;
     ``verify`` keeps the linked ones of some pairs ``a, b``; ``fits(n, early,
-    m, early_m)`` says whether two entries of a list may be linked at all.
+    m, early_m)`` says whether two entries of a list may be linked at all;
+    ``screen`` drops pairs that cannot be linked before they are verified.
     The links do not hold every pair: inside a list all items are first
     verified against the smallest one. Components follow from those links,
     and only lists whose items are still in several of them go on, with the
@@ -34,7 +36,7 @@ def link_lists(
     possible = fits(F.col("n"), F.col("early"), F.col("f.n"), F.col("f.early"))
     pairs = postings.join(first, "key").where((F.col("item") != F.col("f.item")) & possible)
     tried = materialize(pairs.select(F.col("f.item").alias("a"), F.col("item").alias("b")).distinct(), "pairs")
-    found = verify(tried)
+    found = verify(screen(tried) if screen else tried)
 
     label = components(found).withColumnRenamed("node", "item")
     labelled = postings.join(label, "item", "left").withColumn("part", F.coalesce("component", "item")).drop("component")
@@ -47,4 +49,4 @@ def link_lists(
     pairs = apart.join(other, "key").where(possible & (~F.col("minor") | (F.col("f.item") < F.col("item"))))
     pairs = pairs.select(F.least("f.item", "item").alias("a"), F.greatest("f.item", "item").alias("b")).distinct()
     rest = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    return found.unionByName(verify(rest))
+    return found.unionByName(verify(screen(rest) if screen else rest))
