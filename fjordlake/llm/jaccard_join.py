@@ -185,15 +185,20 @@ def links(docs: DataFrame, width: int, numerator: int, denominator: int) -> tupl
     sets = signed.where("n > 0 AND doc_id IS NOT NULL")
     rep = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     members = materialize(signed.select("doc_id", "n", "digest").join(rep, "digest", "left"), "members")
-    listed = sets.select("doc_id", "n", F.posexplode("keys").alias("place", "key"))
+    # with each key go hashes of the two before it, which tell that two sets have met at an earlier key
+    linked = F.expr(
+        "transform(keys, (k, i) -> named_struct('key', k, 'p', if(i > 0, hash(get(keys, i - 1)), NULL), 'q', if(i > 1, hash(get(keys, i - 2)), NULL)))"
+    )
+    listed = sets.select("doc_id", "n", F.posexplode(linked).alias("place", "k"))
     # the smaller set of a pair has a common element even in a shorter prefix: it shares 2t/(1+t) of its elements or more
     early = F.col("place") <= F.col("n") - F.ceil(2 * numerator * F.col("n") / F.lit(numerator + denominator) - 1e-6)
-    listed = listed.select("doc_id", "key", ((F.col("n") <= boundary) | early).alias("early"))
+    listed = listed.select("doc_id", "k.key", "k.p", "k.q", ((F.col("n") <= boundary) | early).alias("early"))
     shared = listed.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.max("early").alias("early"))
     shared = shared.where("x < y AND early").select("key")
     rep_of = members.where("rep IS NOT NULL").select("doc_id", F.col("rep").alias("item"), "n").distinct()
     postings = listed.join(shared, "key").join(rep_of, "doc_id").groupBy("key", "item")
-    postings = materialize(postings.agg(F.max("n").alias("n"), F.max("early").alias("early")), "postings")
+    only = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).alias(c)  # noqa: E731  texts that share an id may differ
+    postings = materialize(postings.agg(F.max("n").alias("n"), F.max("early").alias("early"), only("p"), only("q")), "postings")
 
     def fits(n, early, m, early_m):
         able = F.when(n < m, early).when(n > m, early_m).otherwise(early & early_m)

@@ -19,7 +19,10 @@ def link_lists(
 ) -> DataFrame:
     """Verified links ``a, b`` that connect all items of a list that are linked through candidates.
 
-    ``postings`` has a row ``key, item, n, early`` for each item of each list;
+    ``postings`` has a row ``key, item, n, early, p, q`` for each item of each
+    list; p and q name two keys whose lists the item is in also, or are null,
+    and a pair that shares one of them is left to that list. If an item is
+    early in a list, so it is in those that p and q name;
     ``verify`` keeps the linked ones of some pairs ``a, b``; ``fits(n, early,
     m, early_m)`` says whether two entries of a list may be linked at all;
     ``screen`` drops pairs that cannot be linked before they are verified.
@@ -44,9 +47,10 @@ def link_lists(
     parts = parts.where("x < y").select("key", F.col("f.part").alias("first_part"))
     apart = labelled.join(parts, "key").withColumn("minor", F.col("part") != F.col("first_part")).drop("first_part")
     apart = materialize(apart, "apart")
-    other = apart.where("minor").select("key", F.struct("item", "n", "early", "part").alias("f"))
+    other = apart.where("minor").select("key", F.struct("item", "n", "early", "part", "p", "q").alias("f"))
     possible = fits(F.col("n"), F.col("early"), F.col("f.n"), F.col("f.early")) & (F.col("part") != F.col("f.part"))
-    pairs = apart.join(other, "key").where(possible & (~F.col("minor") | (F.col("f.item") < F.col("item"))))
+    met = F.coalesce(F.expr("p = f.p OR p = f.q OR q = f.p OR q = f.q"), F.lit(False))
+    pairs = apart.join(other, "key").where(possible & ~met & (~F.col("minor") | (F.col("f.item") < F.col("item"))))
     pairs = pairs.select(F.least("f.item", "item").alias("a"), F.greatest("f.item", "item").alias("b")).distinct()
     rest = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     return found.unionByName(verify(screen(rest) if screen else rest))
