@@ -181,13 +181,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, limits: Limits) -> DataFrame:
     return materialize(spans.distinct(), "spans")
 
 
+def agreed_pairs(votes: DataFrame, limits: Limits) -> DataFrame:
+    """Pairs ``a, b, low, high`` with ``votes`` of enough hash functions at near shifts, one of them new."""
+    votes = votes.select("*", F.explode(F.array(F.lit(0), F.lit(limits.shift // 2))).alias("half"))
+    band = F.floor((F.col("shift") + F.col("half")) / limits.shift)
+    pairs = votes.groupBy("a", "b", "half", band.alias("band")).agg(
+        F.expr("bit_count(bit_or(shiftleft(1, k)))").alias("agreed"), F.min("shift").alias("low"),
+        F.max("shift").alias("high"), F.max("new").alias("new"),
+    )
+    return pairs.where((F.col("agreed") >= limits.agree) & F.col("new")).select("a", "b", "low", "high").distinct()
+
+
 def passage_spans(docs: DataFrame, limits: Limits, rounds: int = 3) -> DataFrame:
     """Spans of near-duplicate passages of ``docs`` (``doc_id, text``): see :func:`_verified`.
 
     Windows that share a least value under a hash function form a list. The
     intervals of two of its windows that overlap around it by a passage make
     a vote for the documents and the shift between the places; votes of
-    ``agree`` hash functions make a pair, which is verified on the words. At
+    ``agree`` hash functions, cast in any rounds, make a pair, which is
+    verified on the words. Votes are kept, as a pair's come in the rounds in
+    which one of its windows is the smallest of its list. At
     first every window of a list is joined with that of the smallest
     document, so a passage costs as many pairs as it has copies. Windows
     whose least value is inside a verified passage are done; the others go on
@@ -198,7 +211,7 @@ def passage_spans(docs: DataFrame, limits: Limits, rounds: int = 3) -> DataFrame
     shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     listed = materialize(listed.join(shared, "key", "left_semi"), "listed")
     open_ = rest = listed
-    found = None
+    found = cast = asked = None
     window = F.struct("doc", "at", "lo", "hi")
     for turn in range(rounds):
         last = turn == rounds - 1
@@ -215,14 +228,18 @@ def passage_spans(docs: DataFrame, limits: Limits, rounds: int = 3) -> DataFrame
         votes = joined.where(room >= least).select(
             F.col("f.doc").alias("a"), F.col("doc").alias("b"), F.expr("f.at - at").alias("shift"), F.expr("CAST(key & 15 AS int)").alias("k")
         )
-        votes = votes.distinct().select("*", F.explode(F.array(F.lit(0), F.lit(limits.shift // 2))).alias("half"))
-        band = F.floor((F.col("shift") + F.col("half")) / limits.shift)
-        pairs = votes.groupBy("a", "b", "half", band.alias("band")).agg(
-            F.expr("bit_count(bit_or(shiftleft(1, k)))").alias("agreed"), F.min("shift").alias("low"), F.max("shift").alias("high")
-        )
-        pairs = pairs.where(F.col("agreed") >= limits.agree).select("a", "b", "low", "high").distinct()
-        spans = _verified(materialize(pairs, "pairs"), docs, limits)
+        votes = votes.distinct() if last else materialize(votes.distinct(), "votes")
+        known = votes.withColumn("new", F.lit(True))
+        if cast is not None:
+            known = known.unionByName(cast.withColumn("new", F.lit(False)))
+        pairs = agreed_pairs(known, limits)
+        if asked is not None:
+            pairs = pairs.join(asked, ["a", "b", "low", "high"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        spans = _verified(pairs, docs, limits)
         found = spans if found is None else found.unionByName(spans)
+        cast = votes if cast is None else cast.unionByName(votes)
+        asked = pairs if asked is None else asked.unionByName(pairs)
         if last:
             break
         # the smallest windows have met all others of their lists; covered ones need no more partners
