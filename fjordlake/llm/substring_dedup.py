@@ -113,14 +113,52 @@ def _windows(docs: DataFrame, limits: Limits) -> DataFrame:
     return docs.mapInArrow(work, "key long, doc long, at int, lo int, hi int")
 
 
+def _is_near(x: np.ndarray, y: np.ndarray, limits: Limits) -> bool:
+    """Whether the sets of two spans of shingles are at the threshold, and the second is not much too short."""
+    both = len(np.intersect1d(x, y))
+    union = len(np.unique(x)) + len(np.unique(y)) - both
+    least = (limits.length - limits.width + 1) * limits.numerator // limits.denominator
+    return both * limits.denominator >= union * limits.numerator and len(y) >= least
+
+
+def _inside(x: np.ndarray, y: np.ndarray, place: np.ndarray, other: np.ndarray, limits: Limits) -> list[tuple[int, ...]]:
+    """Near copies inside a chain of agreements ``x[place] == y[other]`` that is none as a whole.
+
+    Each place of x counts for its span if y's part of the chain has its
+    shingle, and against it if not, so that a span's sum is not negative if
+    two spans of its length can be at the threshold. From each agreement the
+    longest such spans are tried first, down to one whose sets are near.
+    """
+    least = limits.length - limits.width + 1
+    p, q = int(place[0]), int(place[-1]) + 1
+    known = np.isin(x[p:q], y[int(other.min()) : int(other.max()) + 1])
+    worth = np.where(known, limits.denominator + limits.numerator, 0) - 2 * limits.numerator
+    sums = np.concatenate([[0], np.cumsum(worth)])
+    begins, ends = sums[place - p], sums[place - p + 1]
+    found: list[tuple[int, ...]] = []
+    reach = 0  # spans that end sooner are in one that is found
+    for i in range(len(place)):
+        last = np.flatnonzero((ends >= begins[i]) & (place + 1 >= max(int(place[i]) + least, reach + 1)))
+        for j in last[::-1].tolist():
+            r, s = int(other[i : j + 1].min()), int(other[i : j + 1].max()) + 1
+            a, b = int(place[i]), int(place[j]) + 1
+            if _is_near(x[a:b], y[r:s], limits):
+                found.append((a, b, r, s))
+                reach = b
+                break
+    return found
+
+
 def near_spans(x: np.ndarray, y: np.ndarray, low: int, high: int, limits: Limits, same: bool) -> list[tuple[int, ...]]:
     """Near copies ``x[p:q], y[r:s]`` of two sequences of shingles, on the diagonals from ``low`` to ``high``.
 
     A diagonal is a place in x less a place in y. Agreements on them are
     joined over gaps of up to a fifth of the least length; what is long
-    enough is a near copy if the shingle sets of both spans say so.
+    enough is a near copy if the shingle sets of both spans say so. If they do
+    not, the near copies inside are looked for: see :func:`_inside`.
     """
     least = limits.length - limits.width + 1
+    found: list[tuple[int, ...]] = []
     for more in (0, 2):  # first the diagonals themselves, then their neighbours too
         places, diagonals = [], []
         for d in range(low - more, high + more + 1):
@@ -136,7 +174,7 @@ def near_spans(x: np.ndarray, y: np.ndarray, low: int, high: int, limits: Limits
             order = np.argsort(place, kind="stable")
             place, diagonal = place[order], diagonal[order]
         cut = (np.flatnonzero(np.diff(place) > max(1, limits.length // 5)) + 1).tolist()
-        found = []
+        whole = True
         for a, b in zip([0, *cut], [*cut, len(place)]):
             if b > a and place[b - 1] - place[a] + 1 >= least:
                 p, q = int(place[a]), int(place[b - 1]) + 1
@@ -145,14 +183,14 @@ def near_spans(x: np.ndarray, y: np.ndarray, low: int, high: int, limits: Limits
                 if q - p == s - r == b - a and len(places) == 1:
                     found.append((p, q, r, s))  # word for word
                     continue
-                both = len(np.intersect1d(x[p:q], y[r:s]))
-                union = len(np.unique(x[p:q])) + len(np.unique(y[r:s])) - both
-                enough = both * limits.denominator >= union * limits.numerator
-                if enough and s - r >= least * limits.numerator // limits.denominator:
+                if _is_near(x[p:q], y[r:s], limits):
                     found.append((p, q, r, s))
-        if found:
-            return found
-    return []
+                else:
+                    whole = False
+                    found += _inside(x, y, place[a:b], other, limits)
+        if found and whole:
+            break
+    return sorted(set(found))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, limits: Limits) -> DataFrame:

@@ -35,3 +35,36 @@ def test_votes_of_different_rounds_add_up(spark):
             break
     got = found(spark, [(3, other), (10, passage), (20, passage)], hashes=2, agree=2)
     assert limits.length == 50 and got == {3: [], 10: [(0, 50)], 20: [(0, 50)]}
+
+
+def near(x, y):
+    return 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y))
+
+
+def test_near_copies_inside_a_chain():
+    x = np.arange(116, dtype=np.uint64)
+    y = x.copy()
+    changed = [t for c in range(63, 120, 8) for t in range(c - 4, c + 1) if t < 116]  # one word, five shingles
+    y[changed] += np.uint64(1000)
+    assert not near(x.tolist(), y.tolist())
+    spans = S.near_spans(x, y, 0, 0, S.Limits(), False)
+    assert spans and min(s[0] for s in spans) == 0 and max(s[1] for s in spans) >= 59
+    assert all(near(x[p:q].tolist(), y[r:s].tolist()) and q - p >= 46 for p, q, r, s in spans)
+
+
+def test_every_near_span_inside_is_covered():
+    r = random.Random(4)
+    for _ in range(30):
+        n = r.randrange(60, 200)
+        x = np.arange(n, dtype=np.uint64)
+        y = x.copy()
+        share = [r.choice([0.0, 0.1, 0.3]) for _ in range(0, n, 40)]
+        y[[t for t in range(n) if r.random() < share[t // 40]]] += np.uint64(1000)
+        want, hit = set(), x == y
+        for p in range(n):
+            for q in range(p + 46, n + 1):
+                both = int(hit[p:q].sum())
+                if hit[p] and hit[q - 1] and 100 * both >= 80 * (2 * (q - p) - both):
+                    want |= set(range(p, q))
+        spans = S.near_spans(x, y, 0, 0, S.Limits(), False)
+        assert want <= {t for p, q, *_ in spans for t in range(p, q)}
