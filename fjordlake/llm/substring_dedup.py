@@ -23,14 +23,14 @@ class Limits:
     The similarity is that of their sets of ``width``-word shingles. Of
     ``hashes`` min-hashes over those, ``agree`` must be the same for two
     passages to be candidates: equal passages share all, and two at a
-    similarity of 0.8 share so many with a chance of 97 %. ``shift`` bounds
+    similarity of 0.8 share so many with a chance of 98.3 %. ``shift`` bounds
     how far words put in or left out move one agreement against another.
     """
 
     length: int = 50
     width: int = 5
-    hashes: int = 4
-    agree: int = 2
+    hashes: int = 6
+    agree: int = 3
     shift: int = 8
     numerator: int = 80
     denominator: int = 100

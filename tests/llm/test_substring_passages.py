@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -68,3 +69,19 @@ def test_every_near_span_inside_is_covered():
                     want |= set(range(p, q))
         spans = S.near_spans(x, y, 0, 0, S.Limits(), False)
         assert want <= {t for p, q, *_ in spans for t in range(p, q)}
+
+
+def test_recall_of_single_near_copies(spark):
+    limits = S.Limits()
+    chance = sum(math.comb(limits.hashes, k) * 0.8**k * 0.2 ** (limits.hashes - k) for k in range(limits.agree, limits.hashes + 1))
+    assert chance >= 0.98  # by design, for one window of each hash function
+    r, fresh, docs = random.Random(5), new_words("u"), []
+    for i in range(400):
+        p = fresh(r.randrange(50, 62))
+        q = list(p)
+        q[r.randrange(8, len(q) - 8)] = "changed"
+        sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (p, q)]
+        assert 0.80 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) <= 0.85
+        docs += [(2 * i, fresh(60) + p + fresh(60)), (2 * i + 1, fresh(60) + q + fresh(60))]
+    got = found(spark, docs)
+    assert sum(bool(got[2 * i] and got[2 * i + 1]) for i in range(400)) >= 0.985 * 400
