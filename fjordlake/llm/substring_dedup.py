@@ -137,7 +137,11 @@ def _inside(x: np.ndarray, y: np.ndarray, place: np.ndarray, other: np.ndarray,
     begins, ends = sums[place - p], sums[place - p + 1]
     found: list[tuple[int, ...]] = []
     reach = 0  # spans that end sooner are in one that is found
-    for i in range(len(place)):
+    highest = np.maximum.accumulate(ends[::-1])
+    furthest = np.maximum(len(place) - np.searchsorted(highest, begins) - 1, 0)
+    for i in np.flatnonzero(place[furthest] + 1 - place >= least).tolist():
+        if place[furthest[i]] < reach:
+            continue
         last = np.flatnonzero((ends >= begins[i]) & (place + 1 >= max(int(place[i]) + least, reach + 1)))
         for j in last[::-1].tolist():
             r, s = int(other[i : j + 1].min()), int(other[i : j + 1].max()) + 1
@@ -241,7 +245,8 @@ def passage_spans(docs: DataFrame, limits: Limits, rounds: int = 3) -> DataFrame
     which one of its windows is the smallest of its list. At
     first every window of a list is joined with that of the smallest
     document, so a passage costs as many pairs as it has copies. Windows
-    whose least value is inside a verified passage are done; the others go on
+    of which all words from ``lo`` to ``hi`` are in verified passages are
+    done, as every passage that they stand for is found; the others go on
     with the smallest of them, and in the last round with all windows of
     their lists.
     """
@@ -282,10 +287,11 @@ def passage_spans(docs: DataFrame, limits: Limits, rounds: int = 3) -> DataFrame
             break
         # the smallest windows have met all others of their lists; covered ones need no more partners
         tried = first.select("key", "f.doc", "f.at")
-        covered = broadcast_if_small(materialize(spans.select("doc", "start", "end").distinct(), "covered"))
+        covered = merge_spans(found.select("doc", "start", "end").distinct())
+        covered = broadcast_if_small(materialize(covered, "covered"))
         rest = materialize(rest.join(tried, ["key", "doc", "at"], "left_anti"), "rest")
         left = open_.join(tried, ["key", "doc", "at"], "left_anti")
-        done = left.select("key", "doc", "at").join(covered, "doc").where("at >= start AND at < end").select("key", "doc", "at").distinct()
+        done = left.join(covered, "doc").where(F.expr("start <= lo") & (F.col("hi") + limits.width <= F.col("end"))).select("key", "doc", "at").distinct()
         open_ = materialize(left.join(done, ["key", "doc", "at"], "left_anti"), "open")
         if open_.isEmpty():
             break

@@ -85,3 +85,11 @@ def test_recall_of_single_near_copies(spark):
         docs += [(2 * i, fresh(60) + p + fresh(60)), (2 * i + 1, fresh(60) + q + fresh(60))]
     got = found(spark, docs)
     assert sum(bool(got[2 * i] and got[2 * i + 1]) for i in range(400)) >= 0.985 * 400
+
+
+def test_longer_copies_keep_their_tails(spark):
+    for k in range(3):
+        fresh = new_words(f"t{k}x")
+        p = fresh(75)
+        got = found(spark, [(1, fresh(50) + p[:60] + fresh(50)), (2, fresh(50) + p + fresh(50)), (3, fresh(50) + p + fresh(50))])
+        assert got == {1: [(50, 110)], 2: [(50, 125)], 3: [(50, 125)]}
