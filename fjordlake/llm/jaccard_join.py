@@ -8,11 +8,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .list_links import link_lists
+from .list_links import all_links, link_lists
 from .storage import broadcast_if_small, materialize
 from .text import SPACE, chunks, distinct_by_row, mix, shingles, words
 
@@ -174,11 +175,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, numerator: int, den
     return materialize(both.mapInArrow(verify, "a long, b long").distinct(), "links")
 
 
-def links(docs: DataFrame, width: int, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, width: int, numerator: int, denominator: int, connect=link_lists) -> tuple[DataFrame, DataFrame]:
     """Documents ``doc_id, n, digest, rep`` and verified links ``a, b`` that connect all that are linked.
 
     ``rep`` is the smallest id with the same set. See :func:`.list_links.link_lists`
-    for how the lists of keys are turned into pairs.
+    for how the lists of keys are turned into pairs; with :func:`.list_links.all_links`
+    as ``connect`` the links are all there are.
     """
     common, boundary = _common_shingles(docs, width, numerator, denominator)
     signed = materialize(_signed(docs, width, common, boundary, numerator, denominator), "signed")
@@ -216,7 +218,7 @@ def links(docs: DataFrame, width: int, numerator: int, denominator: int) -> tupl
         most = s + F.ceil(F.greatest(n, m) * numerator / F.lit(denominator) - 1e-6) - 1
         return materialize(both.where((F.least(n, m) <= boundary) | (most >= need)).select("a", "b").distinct(), "pairs")
 
-    found = link_lists(
+    found = connect(
         postings, lambda pairs: _verified(pairs, docs, width, numerator, denominator), fits, screen
     )
     return members, found
@@ -251,6 +253,55 @@ def near_duplicates(
     )
 
 
+def near_links(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    numerator: int = 80,
+    denominator: int = 100,
+) -> tuple[DataFrame, DataFrame]:
+    """All links, and each row's number of them, at the level of distinct shingle sets.
+
+    A class is the rows with an id and one set, named by the set's digest in
+    hexadecimal. Returns the links ``a, b, n_a, n_b`` of different classes at
+    the threshold, with their sizes in rows, and per row ``id_col, class_id,
+    n_links``: the other rows of its class and all rows of linked classes. No
+    row is gone, whether texts that share an id differ or not. Rows without
+    shingles or an id have no class and no links.
+    """
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text", _CHUNK):
+            flat, at = shingle_sets(part.column("text"), width)
+            able = pa.array(np.diff(at) > 0)
+            names = pa.array([d.hex() for d in set_digests(flat, at)], pa.string())
+            named = pa.compute.if_else(able, names, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), named], names=["doc_id", "text", "class_id"])
+
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    named = rows.mapInArrow(digest, "doc_id long, text string, class_id string")
+    of_class = named.where("doc_id IS NOT NULL AND class_id IS NOT NULL").groupBy("class_id")
+    sets = of_class.agg(F.count(F.lit(1)).alias("size"), F.first("text").alias("text"))
+    sets = materialize(sets.withColumn("doc_id", F.monotonically_increasing_id()), "sets")
+    _, found = links(sets.select("doc_id", "text"), width, numerator, denominator, all_links)
+    sizes = sets.select("doc_id", "class_id", "size")
+    pairs = found.join(sizes.toDF("a", "class_a", "n_a"), "a").join(sizes.toDF("b", "class_b", "n_b"), "b")
+    pairs = pairs.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"),
+                         F.when(F.col("class_a") < F.col("class_b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"),
+                         F.when(F.col("class_a") < F.col("class_b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
+    pairs = materialize(pairs, "links")
+    ends = pairs.select(F.col("a").alias("class_id"), F.col("n_b").alias("m")).unionByName(
+        pairs.select(F.col("b").alias("class_id"), F.col("n_a").alias("m"))
+    )
+    linked = ends.groupBy("class_id").agg(F.sum("m").alias("m"))
+    count = sets.select("class_id", "size").join(linked, "class_id", "left")
+    count = count.select("class_id", (F.col("size") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
+    member = named.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    out = member.join(count, "class_id", "left")
+    return pairs, out.select(F.col("doc_id").alias(id_col), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, of the smallest id of each component.
 

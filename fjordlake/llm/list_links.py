@@ -54,3 +54,18 @@ def link_lists(
     pairs = pairs.select(F.least("f.item", "item").alias("a"), F.greatest("f.item", "item").alias("b")).distinct()
     rest = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     return found.unionByName(verify(screen(rest) if screen else rest))
+
+
+def all_links(
+    postings: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    fits: Callable[[Column, Column, Column, Column], Column],
+    screen: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Every verified link ``a, b``, a below b: as :func:`link_lists`, but with all pairs of each list."""
+    other = postings.select("key", F.struct("item", "n", "early", "p", "q").alias("f"))
+    possible = fits(F.col("n"), F.col("early"), F.col("f.n"), F.col("f.early"))
+    met = F.coalesce(F.expr("p = f.p OR p = f.q OR q = f.p OR q = f.q"), F.lit(False))
+    pairs = postings.join(other, "key").where(possible & ~met & (F.col("f.item") < F.col("item")))
+    pairs = materialize(pairs.select(F.col("f.item").alias("a"), F.col("item").alias("b")).distinct(), "pairs")
+    return verify(screen(pairs) if screen else pairs)
