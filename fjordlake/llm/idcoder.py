@@ -2,19 +2,22 @@
 
 Format of a segment, all integers little-endian:
 
-    magic "FJI1", then u32: rows of the id table, ids in a block, documents, blocks
+    magic "FJI2", then u32: ids there may be, ids in a block, documents, blocks
     i64 per document: its id; u8 per document: 1 if the id is null; u32 per document: its ids
-    u32 and u32 per row of the id table: an id and its share of 2**18
     u32 per block: ids in it, bytes of its code, CRC-32 of its ids
     the blocks' codes, one after the other
 
 The ids of all documents of a segment follow each other and are cut into
-blocks. Each block is coded on its own, from empty predictions, so any block
-can be read without the others. An id is predicted by three models whose
-shares of the interval add up: order 2 names the id that last followed the two
-ids before it, order 1 the one that last followed the id before it, each with
-a share that adapts to how often predictions made with the same confidence
-came true; order 0 has the rest, in proportion to the id table.
+blocks. Each block is coded on its own: all three models are empty where it
+starts, so any block can be read without the others. An id's share of the
+interval is the sum of its shares under three models. Order 2 names the id
+that last followed the two ids before it and order 1 the one that last
+followed the id before it; the weight of either adapts to how often its
+predictions of the same confidence came true. Order 0 has the rest and spreads
+it over classes of neighbouring ids in proportion to how often they have
+occurred in the block, evenly inside a class; its shares are taken anew every
+32 ids. As ids of common tokens are small, classes are single ids at first and
+get wider as the ids get larger.
 
 Blocks are coded side by side as the columns of numpy arrays: a step codes one
 id of every block.
@@ -24,84 +27,157 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 
-MAGIC = b"FJI1"
-_SCALE = 18  # order 0 shares add up to 2**18
-_TOTAL = 22  # an id's interval is a share of 2**22
-_SLOTS = 1 << 11
+MAGIC = b"FJI2"
+_TOTAL = 30  # an id's interval is a share of 2**30
+_SLOT_BITS = 9
 _LEVELS = 4
+_RENEW = 32  # steps after which order 0 takes its shares anew
+_FIRST, _MORE = 16, 8  # count of a class at first, and for each id in it
+_SCALE = 16  # order 0 shares of classes add up to 2**16
+_MOST = 60000  # chance, of 2**16, that a prediction can have at most
 _MASK48 = np.uint64((1 << 48) - 1)
 _LOW32 = np.uint64((1 << 32) - 1)
 
 
-class Predictor:
-    """Order 1 and order 2 predictions of many blocks at once."""
+@lru_cache(maxsize=4)
+def classes(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class of each id below ``size``, each class's first id, and the power of two that is its width."""
+    first, power, at = [], [], 0
+    while at < size:
+        k = min(12, max(0, at.bit_length() - 4))
+        first.append(at)
+        power.append(k)
+        at += 1 << k
+    of = np.repeat(np.arange(len(first)), 1 << np.array(power))[:size]
+    return of.astype(np.int64), np.array(first, np.int64), np.array(power, np.int64)
 
-    def __init__(self, blocks: int):
-        self.base = np.arange(blocks, dtype=np.int64) * _SLOTS
+
+class Models:
+    """Predictions of all three orders for many blocks at once."""
+
+    def __init__(self, blocks: int, size: int):
+        self.of, self.first, self.power = classes(max(size, 1))
+        self.width = len(self.first) + 1
+        self.base = np.arange(blocks, dtype=np.int64) << _SLOT_BITS
         self.level_base = np.arange(blocks, dtype=np.int64) * (2 * _LEVELS)
         # an entry is (id + 1) << 2 | confidence; 0 is empty
-        self.one = np.zeros(blocks * _SLOTS, np.uint32)
-        self.two = np.zeros(blocks * _SLOTS, np.uint32)
+        self.one = np.zeros(blocks << _SLOT_BITS, np.uint32)
+        self.two = np.zeros(blocks << _SLOT_BITS, np.uint32)
         # chance in 2**16 that a prediction of each order and confidence comes true
         start = [3000, 9000, 20000, 36000, 12000, 26000, 40000, 52000]
         self.chance = np.tile(np.array(start, np.int64), blocks)
         self.last = np.zeros(blocks, np.uint32)
         self.hash2 = np.zeros(blocks, np.uint32)
+        self.count = np.full((blocks, self.width - 1), _FIRST, np.uint32)
+        self.count_base = np.arange(blocks, dtype=np.int64) * (self.width - 1)
+        self.below = np.zeros((blocks, self.width), np.int64)
+        self.below_base = np.arange(blocks, dtype=np.int64) * self.width
         self.active = blocks
+        self.steps = 0
 
     def narrow(self, blocks: int) -> None:
         """Only the first so many blocks go on."""
         if blocks < self.active:
             self.active = blocks
-            self.base, self.level_base = self.base[:blocks], self.level_base[:blocks]
-            self.last, self.hash2 = self.last[:blocks], self.hash2[:blocks]
-
-    def predict(self):
-        """Predicted ids + 1 of order 2 and 1 (0: none), and their shares of 2**22."""
-        h1 = (self.last * np.uint32(0x9E3779B1)) >> np.uint32(21)
-        self.at1 = self.base + h1
-        self.at2 = self.base + (self.hash2 >> np.uint32(21))
+            for name in ("base", "level_base", "last", "hash2", "count_base", "below_base", "count", "below"):
+                setattr(self, name, getattr(self, name)[:blocks])
+
+    def predict(self) -> None:
+        """Ids + 1 that orders 1 and 2 name (0: none), their shares, and the ``rest`` that is order 0's."""
+        if self.steps % _RENEW == 0:
+            total = _FIRST * (self.width - 1) + _MORE * self.steps
+            sums = np.cumsum(self.count, axis=1, dtype=np.int64)
+            self.below[:, 1:] = (sums << _SCALE) // total if total & (total - 1) else sums << _SCALE >> (total.bit_length() - 1)
+            self.flat = self.below.ravel()
+        self.at1 = self.base + (self.last * np.uint32(0x9E3779B1) >> np.uint32(32 - _SLOT_BITS))
+        self.at2 = self.base + (self.hash2 >> np.uint32(32 - _SLOT_BITS))
         self.e1, self.e2 = self.one[self.at1], self.two[self.at2]
-        id1, id2 = self.e1 >> np.uint32(2), self.e2 >> np.uint32(2)
+        self.id1, self.id2 = self.e1 >> np.uint32(2), self.e2 >> np.uint32(2)
         self.level1 = self.level_base + (self.e1 & np.uint32(3))
         self.level2 = self.level_base + (self.e2 & np.uint32(3)) + _LEVELS
         self.c1, self.c2 = self.chance[self.level1], self.chance[self.level2]
-        share2 = np.where(id2 > 0, self.c2 * 48, 0)
-        share1 = np.where((id1 > 0) & (id1 != id2), (self.c1 * ((1 << 22) - share2)) >> 17, 0)
-        self.id1, self.id2 = id1, id2
-        return id2, share2, id1, share1
+        self.share2 = np.where(self.id2 > 0, self.c2 << (_TOTAL - 16), 0)
+        left = (1 << _TOTAL) - self.share2
+        self.share1 = np.where(self.id1 > 0, self.c1 * (left >> 16), 0)
+        self.rest = left - self.share1
+
+    def order0(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the shares of ids begin under order 0 alone, and their sizes."""
+        k = self.of[ids]
+        at = self.below_base + k
+        a, b = (self.flat[at] * self.rest) >> _SCALE, (self.flat[at + 1] * self.rest) >> _SCALE
+        size, power, inside = b - a, self.power[k], ids - self.first[k]
+        first = (size * inside) >> power
+        return a + first, ((size * (inside + 1)) >> power) - first
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the shares of ids begin when all models are added up, and their sizes."""
+        first, size = self.order0(ids)
+        seen = ids + 1
+        first += np.where(self.id1 < seen, self.share1, 0)
+        first += np.where(self.id2 < seen, self.share2, 0)
+        size += np.where(self.id1 == seen, self.share1, 0)
+        size += np.where(self.id2 == seen, self.share2, 0)
+        return first, size
+
+    def id_at(self, value: np.ndarray) -> np.ndarray:
+        """The id whose interval holds a value: one that is named, or that of order 0 once named shares before it are off."""
+        swap = self.id1 > self.id2
+        low, high = np.minimum(self.id1, self.id2).astype(np.int64), np.maximum(self.id1, self.id2).astype(np.int64)
+        share_low = np.where(swap, self.share2, self.share1)
+        share_high = self.share1 + self.share2 - share_low
+        # an order that names none has no share, whichever id stands for it
+        a, size = self.order0(np.maximum(low - 1, 0))
+        beyond = value >= a + size + share_low
+        is_low = (value >= a) & ~beyond & (share_low > 0)
+        value = value - np.where(beyond, share_low, 0)
+        a, size = self.order0(np.maximum(high - 1, 0))
+        beyond = value >= a + size + share_high
+        is_high = (value >= a) & ~beyond & (share_high > 0) & ~is_low
+        value = value - np.where(beyond, share_high, 0)
+        found = np.where(is_low, low - 1, high - 1)
+        rest = np.flatnonzero(~(is_low | is_high))
+        if len(rest):
+            found[rest] = self._order0_at(value[rest], self.below_base[rest], self.rest[rest])
+        return found
+
+    def _order0_at(self, value: np.ndarray, base: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        # shares begin at (below * rest) >> 16, so the class is the last whose below is not above this
+        goal = np.minimum((((value + 1) << _SCALE) - 1) // rest, (1 << _SCALE) - 1)
+        at = base.copy()
+        step = 1 << ((self.width - 1).bit_length() - 1)
+        end = base + (self.width - 2)
+        while step:
+            probe = np.minimum(at + step, end)
+            at = np.where(self.flat[probe] <= goal, probe, at)
+            step >>= 1
+        k = at - base
+        a, b = (self.flat[at] * rest) >> _SCALE, (self.flat[at + 1] * rest) >> _SCALE
+        inside = (((value - a + 1) << self.power[k]) - 1) // np.maximum(b - a, 1)
+        return self.first[k] + inside
 
     def update(self, ids: np.ndarray) -> None:
-        seen = ids + np.uint32(1)
+        self.steps += 1
+        self.count.ravel()[self.count_base + self.of[ids]] += np.uint32(_MORE)
+        seen = (ids + 1).astype(np.uint32)
         for entries, at, entry, named, level, chance in (
             (self.two, self.at2, self.e2, self.id2, self.level2, self.c2),
             (self.one, self.at1, self.e1, self.id1, self.level1, self.c1),
         ):
             right = named == seen
-            sure = entry & np.uint32(3)
             # a right one gains confidence; a wrong one loses it, or is replaced
             kept = np.where(right, np.minimum(entry + np.uint32(1), entry | np.uint32(3)), entry - np.uint32(1))
-            entries[at] = np.where(right | (sure > 0), kept, seen << np.uint32(2))
-            goal = np.where(right, 65535, 64) - chance
+            entries[at] = np.where(right | ((entry & np.uint32(3)) > 0), kept, seen << np.uint32(2))
+            goal = np.where(right, _MOST, 64) - chance
             self.chance[level] = np.where(named > 0, chance + (goal >> 4), chance)
         self.hash2 = (self.last * np.uint32(0x85EBCA6B) + seen) * np.uint32(0xC2B2AE35)
         self.last = seen
 
 
-def id_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids that occur and shares of 2**18 in proportion to their counts, each at least 1."""
-    symbols, counts = np.unique(ids, return_counts=True)
-    total = 1 << _SCALE
-    if not len(symbols):
-        return symbols, counts
-    shares = 1 + (counts * (total - len(symbols))) // counts.sum()
-    shares[np.argmax(shares)] += total - shares.sum()
-    return symbols, shares
-
-
 def _columns(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids as steps x blocks, and the ids in each block; only the last block may be shorter."""
     n = max(1, -(-len(ids) // block))
@@ -112,16 +188,11 @@ def _columns(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(padded.reshape(n, block).T), lengths
 
 
-def encode_ids(ids: np.ndarray, block: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the blocks of ``ids``, ids in each, and the id table (ids, shares)."""
-    symbols, shares = id_table(ids)
-    below = np.concatenate([[0], np.cumsum(shares)]).astype(np.int64)
+def encode_ids(ids: np.ndarray, block: int, size: int) -> tuple[list[bytes], np.ndarray]:
+    """Codes of the blocks of ``ids``, which are below ``size``, and the ids in each."""
     steps, lengths = _columns(ids, block)
-    rank = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 1, np.int32)
-    rank[symbols] = np.arange(len(symbols))
-    rank = rank[steps]
     n = len(lengths)
-    model = Predictor(n)
+    model = Models(n, size)
     low, width = np.zeros(n, np.uint64), np.full(n, (1 << 48) - 1, np.uint64)
     words = np.zeros((block * 2 + 4, n), np.uint32)  # 16 bits each, a carry on top
     place = np.zeros(n, np.int64)
@@ -130,22 +201,12 @@ def encode_ids(ids: np.ndarray, block: int) -> tuple[list[bytes], np.ndarray, np
     for t in range(int(lengths[0]) if len(ids) else 0):
         m = n if t < lengths[-1] else n - 1
         model.narrow(m)
-        now = steps[t, :m]
-        id2, share2, id1, share1 = model.predict()
-        seen = now + np.uint32(1)
-        hit2, hit1 = id2 == seen, id1 == seen
-        hit1 &= share1 > 0
-        hit1 &= ~hit2
-        rest = (1 << _TOTAL) - share2 - share1
-        r = rank[t, :m]
-        first = (below[r] * rest) >> _SCALE
-        size = ((below[r + 1] * rest) >> _SCALE) - first
-        first += share2 + share1
-        first = np.where(hit2, 0, np.where(hit1, share2, first)).astype(np.uint64)
-        size = np.where(hit2, share2, np.where(hit1, share1, size)).astype(np.uint64)
+        now = steps[t, :m].astype(np.int64)
+        model.predict()
+        first, share = model.interval(now)
         unit = width[:m] >> np.uint64(_TOTAL)
-        lo = low[:m] + unit * first
-        wi = unit * size
+        lo = low[:m] + unit * first.astype(np.uint64)
+        wi = unit * share.astype(np.uint64)
         over = np.flatnonzero(lo > _MASK48)
         if len(over):  # carry into the 16 bits before; ripples are settled at the end
             flat[(place[over] - 1) * n + over] += 1
@@ -168,22 +229,17 @@ def encode_ids(ids: np.ndarray, block: int) -> tuple[list[bytes], np.ndarray, np
             break
         words &= np.uint32(0xFFFF)
         words[:-1] += carry[1:]
-    codes = words.astype("<u2")
-    return [codes[: place[i], i].tobytes() for i in range(n)], lengths, symbols, shares
+    codes = np.ascontiguousarray(words.astype("<u2").T)
+    return [codes[i, : place[i]].tobytes() for i in range(n)], lengths
 
 
-def decode_ids(codes: list[bytes], lengths: np.ndarray, symbols: np.ndarray, shares: np.ndarray) -> list[np.ndarray]:
+def decode_ids(codes: list[bytes], lengths: np.ndarray, size: int) -> list[np.ndarray]:
     """The ids of each block; any blocks of a segment may be given, in any order."""
     if not len(codes):
         return []
     order = np.argsort(-np.asarray(lengths), kind="stable")
     lengths = np.asarray(lengths)[order]
     n, most = len(order), int(lengths[0])
-    below = np.concatenate([[0], np.cumsum(shares)]).astype(np.int64)
-    slot = np.repeat(np.arange(len(symbols)), shares)  # of each of the 2**18 shares
-    symbols = symbols.astype(np.uint32)
-    rank_of = np.zeros(int(symbols[-1]) + 2 if len(symbols) else 2, np.int64)
-    rank_of[symbols.astype(np.int64) + 1] = np.arange(len(symbols))
     stride = max(len(c) for c in codes) // 2 + 8
     words = np.zeros((n, stride), np.uint64)
     for i, k in enumerate(order):
@@ -192,39 +248,29 @@ def decode_ids(codes: list[bytes], lengths: np.ndarray, symbols: np.ndarray, sha
     flat = words.ravel()
     code = (words[:, 0] << np.uint64(32)) | (words[:, 1] << np.uint64(16)) | words[:, 2]
     read = np.arange(n) * stride + 3
+    last = np.arange(n) * stride + stride - 1
     width = np.full(n, (1 << 48) - 1, np.uint64)
-    model = Predictor(n)
+    model = Models(n, size)
     out = np.zeros((most, n), np.uint32)
     ends = np.searchsorted(-lengths, -np.arange(most), "left")  # blocks longer than t
     for t in range(most):
         m = int(ends[t])
         if m < model.active:
             model.narrow(m)
-            code, width, read = code[:m], width[:m], read[:m]
-        id2, share2, id1, share1 = model.predict()
+            code, width, read, last = code[:m], width[:m], read[:m], last[:m]
+        model.predict()
         unit = width >> np.uint64(_TOTAL)
         value = np.minimum(code // unit, np.uint64((1 << _TOTAL) - 1)).astype(np.int64)
-        named = share2 + share1
-        rest = (1 << _TOTAL) - named
-        hit2 = value < share2
-        hit1 = (value < named) & ~hit2
-        inside = np.maximum(value - named, 0)
-        # the largest r with (below[r] * rest) >> 18 <= inside
-        r = slot[np.minimum((((inside + 1) << _SCALE) - 1) // rest, (1 << _SCALE) - 1)]
-        first = (below[r] * rest) >> _SCALE
-        size = ((below[r + 1] * rest) >> _SCALE) - first
-        first += named
-        now = np.where(hit2, id2 - np.uint32(1), np.where(hit1, id1 - np.uint32(1), symbols[r]))
-        first = np.where(hit2, 0, np.where(hit1, share2, first)).astype(np.uint64)
-        size = np.where(hit2, share2, np.where(hit1, share1, size)).astype(np.uint64)
-        code = code - unit * first
-        width = unit * size
+        now = model.id_at(value)
+        first, share = model.interval(now)
+        code = code - unit * first.astype(np.uint64)
+        width = unit * share.astype(np.uint64)
         small = np.flatnonzero(width <= _LOW32)
         while len(small):
-            code[small] = (code[small] << np.uint64(16)) | flat[read[small]]
+            code[small] = (code[small] << np.uint64(16)) | flat[np.minimum(read[small], last[small])]
             read[small] += 1
             width[small] <<= np.uint64(16)
-            small = small[width[small] <= _LOW32]
+            small = small[(width[small] <= _LOW32) & (width[small] > 0)]
         out[t, :m] = now
         model.update(now)
     found: list[np.ndarray] = [np.empty(0, np.uint32)] * n
@@ -234,32 +280,32 @@ def decode_ids(codes: list[bytes], lengths: np.ndarray, symbols: np.ndarray, sha
     return found
 
 
-def write_segment(doc_ids: list[int | None], documents: list[np.ndarray], block: int) -> bytes:
-    """The file image of some documents' ids."""
-    ids = np.concatenate(documents).astype(np.uint32) if documents else np.empty(0, np.uint32)
-    codes, lengths, symbols, shares = encode_ids(ids, block)
+def write_segment(doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray, block: int) -> bytes:
+    """The file image of some documents' ids, one after the other, of which ``sizes`` belong to each."""
+    ids = ids.astype("<u4")
+    size = int(ids.max()) + 1 if len(ids) else 1
+    codes, lengths = encode_ids(ids, block, size)
     ends = np.cumsum(lengths)
-    sums = [zlib.crc32(ids[e - k : e].astype("<u4").tobytes()) for e, k in zip(ends.tolist(), lengths.tolist())]
+    sums = [zlib.crc32(ids[e - k : e].tobytes()) for e, k in zip(ends.tolist(), lengths.tolist())]
     blocks = np.array([lengths, [len(c) for c in codes], sums], "<u4").T
     return b"".join(
         [
             MAGIC,
-            struct.pack("<IIII", len(symbols), block, len(doc_ids), len(codes)),
+            struct.pack("<IIII", size, block, len(doc_ids), len(codes)),
             np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
             np.array([d is None for d in doc_ids], "u1").tobytes(),
-            np.array([len(d) for d in documents], "<u4").tobytes(),
-            np.array([symbols, shares], "<u4").T.tobytes(),
+            np.asarray(sizes, "<u4").tobytes(),
             blocks.tobytes(),
             *codes,
         ]
     )
 
 
-def read_segment(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
+def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """What :func:`write_segment` was given; raises ValueError where a block's checksum is wrong."""
     if data[:4] != MAGIC:
         raise ValueError("not a segment of token ids")
-    rows, _, n_docs, n_blocks = struct.unpack_from("<IIII", data, 4)
+    size, _, n_docs, n_blocks = struct.unpack_from("<IIII", data, 4)
     at = 20
 
     def take(kind: str, count: int) -> np.ndarray:
@@ -269,15 +315,12 @@ def read_segment(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
         return part
 
     names, nulls, sizes = take("<i8", n_docs), take("u1", n_docs), take("<u4", n_docs).astype(np.int64)
-    table = take("<u4", 2 * rows).reshape(-1, 2).astype(np.int64)
     blocks = take("<u4", 3 * n_blocks).reshape(-1, 3).astype(np.int64)
     ends = at + np.cumsum(blocks[:, 1])
     codes = [data[e - k : e] for e, k in zip(ends.tolist(), blocks[:, 1].tolist())]
-    found = decode_ids(codes, blocks[:, 0], table[:, 0], table[:, 1])
+    found = decode_ids(codes, blocks[:, 0], size)
     for k, part in enumerate(found):
         if zlib.crc32(part.astype("<u4").tobytes()) != blocks[k, 2]:
             raise ValueError(f"block {k} is damaged")
     ids = np.concatenate(found) if found else np.empty(0, np.uint32)
-    cuts = np.cumsum(sizes)[:-1]
-    documents = np.split(ids, cuts) if n_docs else []
-    return [None if z else int(i) for i, z in zip(names.tolist(), nulls.tolist())], documents
+    return [None if z else int(i) for i, z in zip(names.tolist(), nulls.tolist())], ids, sizes

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count as count_from
 
 import numpy as np
 import pandas as pd
@@ -36,25 +37,29 @@ def token_pieces(
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode_many
-        for part in chunks(batches, "text", 2 << 20):
-            rows: list[tuple] = []
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())):
-                ids = np.append(ids, ids.dtype.type(end_id)).astype("<u4")
-                n = len(ids)
-                ends = range(n - (n - 1) // capacity * capacity, n + 1, capacity)
-                start = 0
-                for k, end in enumerate(ends):
-                    raw = ids[start:end].tobytes()
-                    rows.append((doc_id, k, start, end - start, zlib.crc32(raw), raw if with_ids else None))
-                    start = end
-            columns = list(zip(*rows))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            width = 5 + with_ids
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns[:width], kinds)], names=names[:width]
-            )
+        encode = encoder(tokenizer).column
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+        for part in chunks(batches, "text", 1 << 20):
+            ids, at = encode(part.column("text"))
+            ids = np.insert(ids, at[1:], end_id).astype("<u4")
+            at = at + np.arange(len(at))
+            n = np.diff(at)
+            many = -(-n // capacity)
+            row = np.repeat(np.arange(len(n)), many)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            first = n - (many - 1) * capacity  # all others are full
+            start = np.where(piece > 0, first[row] + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, first[row])
+            begin = (at[:-1][row] + start) * 4
+            raw = memoryview(ids.tobytes())
+            slices = [raw[i:j] for i, j in zip(begin.tolist(), (begin + length * 4).tolist())]
+            columns = [
+                part.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length),
+                pa.array(list(map(zlib.crc32, slices)), pa.int64()),
+            ]
+            if with_ids:
+                columns.append(pa.array(list(map(bytes, slices)), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(cut, _PIECES + (", ids binary" if with_ids else ""))
@@ -87,51 +92,76 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Exchanges items between underfull bins while the sum of squared fills grows.
 
-    The emptiest bins give and all other underfull bins, fullest first, take
-    what closes most of their gap: a move (an item for none), one item for
-    one of theirs, or one item for two of theirs. Each step raises the sum,
-    so the search ends; bins that run empty are dropped and other bins become
-    the emptiest. It also ends where no fewer bins could hold the items.
+    Bins give in turn, emptiest first, and all other underfull bins, fullest
+    first, take what closes most of their gap: a move (an item for none), one
+    item for one of theirs, or one item for two of theirs. Each step raises
+    the sum, so the search ends; bins that run empty are dropped. The
+    emptiest bins give first, as many as there are bins too many; all
+    underfull ones give where those cannot. It ends where no step raises the
+    sum or no fewer bins could hold the items.
     """
     size = lengths.tolist()
     least = -(-sum(size) // capacity)
     fills = [sum(size[i] for i in b) for b in bins]
     bins = [list(b) for b in bins]
+    every = False
     while True:
         underfull = sorted((k for k in range(len(bins)) if fills[k] < capacity), key=lambda k: (fills[k], k))
         spare = len(bins) - least
         if spare <= 0 or len(underfull) < 2:
             return bins
-        givers, takers = underfull[: 2 * spare + 2], underfull[::-1]
+        givers = underfull if every else underfull[: 2 * spare + 2]
         changed = False
-        for a in takers:
+        for a in underfull[::-1]:
             while fills[a] < capacity and bins[a]:
-                others = [(k, i) for k in givers if k != a and fills[k] <= fills[a] for i in bins[k]]
-                if not others:
+                step = _best_step(bins, fills, size, givers, a, capacity)
+                if step is None:
                     break
-                give = np.array([size[i] for _, i in others])
-                theirs = np.array([fills[k] for k, _ in others])
-                own = bins[a]
-                sets: list[tuple[int, ...]] = [(), *((i,) for i in own)]
-                sets += [(own[x], own[y]) for x in range(len(own)) for y in range(x)] if len(own) < 48 else []
-                back = np.array([sum(size[i] for i in s) for s in sets])
-                gain = give[None, :] - back[:, None]
-                fits = (gain > 0) & (gain <= capacity - fills[a]) & (fills[a] + gain > theirs[None, :])
-                if not fits.any():
-                    break
-                best = np.where(fits, gain, 0)
-                s, t = np.unravel_index(int(best.argmax()), best.shape)
-                k, item = others[int(t)]
-                d = int(best[s, t])
-                bins[a] = [i for i in own if i not in sets[s]] + [item]
-                bins[k] = [i for i in bins[k] if i != item] + list(sets[s])
+                k, item, back, d = step
+                bins[a] = [i for i in bins[a] if i not in back] + [item]
+                bins[k] = [i for i in bins[k] if i != item] + list(back)
                 fills[a] += d
                 fills[k] -= d
                 changed = True
-        if not changed:
+        if changed:
+            full = [(f, b) for f, b in zip(fills, bins) if b]
+            fills, bins = [f for f, _ in full], [b for _, b in full]
+            every = False
+        elif every or len(givers) == len(underfull):
             return bins
-        full = [(f, b) for f, b in zip(fills, bins) if b]
-        fills, bins = [f for f, _ in full], [b for _, b in full]
+        else:
+            every = True
+
+
+def _best_step(bins, fills, size, givers, a: int, capacity: int):
+    """The step that raises the fill of bin ``a`` most: giver, its item, what it gets back, by how much.
+
+    Of items of one size one stands for all, in ``a`` as in the givers, so a
+    bin has few sets of one or two items however many it holds. A giver is
+    not fuller than ``a``, so that every gain raises the sum of squares.
+    """
+    give: dict[int, tuple[int, int]] = {}
+    for k in givers:
+        if k != a and fills[k] <= fills[a]:
+            for i in bins[k]:
+                give.setdefault(size[i], (k, i))
+    if not give:
+        return None
+    alike: dict[int, list[int]] = {}
+    for i in bins[a]:
+        alike.setdefault(size[i], []).append(i)
+    one = [v[0] for v in alike.values()]
+    sets: list[tuple[int, ...]] = [(), *((i,) for i in one)]
+    sets += [(one[x], one[y]) for x in range(len(one)) for y in range(x)]
+    sets += [(v[0], v[1]) for v in alike.values() if len(v) > 1]
+    back = np.array([sum(size[i] for i in s) for s in sets])
+    sizes = np.array(sorted(give))
+    at = np.searchsorted(sizes, back + (capacity - fills[a]), "right") - 1
+    gain = np.where(at >= 0, sizes[at] - back, 0)
+    s = int(gain.argmax())
+    if gain[s] <= 0:
+        return None
+    return (*give[int(sizes[at[s]])], sets[s], int(gain[s]))
 
 
 def _packer(capacity: int, base: int):
@@ -169,22 +199,25 @@ def _pack_group(frame: pd.DataFrame, capacity: int, base: int) -> pd.DataFrame:
     return frame.drop(columns="group").assign(sequence_id=sequence, offset=offset, filled=filled)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int, group_rows: int = 8192) -> DataFrame:
+def pack_pieces(
+    pieces: DataFrame, capacity: int, group_rows: int = 8192, rounds: int | None = 7, fewer: float = 0.7
+) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces that have a ``length`` of at most ``capacity``.
 
     Pieces are dealt evenly into groups of about ``group_rows`` with equal
     mixtures of lengths, whatever their ids, and each group is packed by best fit and local search. All
     pieces of sequences filled to less than 15/16, a small share of each
     group, are dealt into new groups and packed again, round after round, until one
-    group holds all of them or they hardly get fewer; a group keeps its old sequences where packing
-    anew does not need fewer.
+    group holds all of them, after ``rounds`` rounds, or when more than ``fewer`` of a round's pieces are
+    left; ``rounds=None, fewer=1.0`` goes on as long as a round settles any. A group keeps its old
+    sequences where packing anew does not need fewer.
     """
     left = materialize(pieces, "pieces")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields)
     out, before, enough = None, 0, capacity * 15 // 16
-    for turn in range(7):
+    for turn in range(rounds) if rounds else count_from(0):
         count = left.count()
-        if turn and count > 0.7 * before:  # what is left does not get better
+        if turn and (count >= before or count > fewer * before):  # what is left does not get better
             break
         before = count
         groups = max(1, -(-count // group_rows))
@@ -193,7 +226,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, group_rows: int = 8192) -> Dat
         else:  # a sequence stays together
             dealt = left.withColumn("group", F.pmod(F.xxhash64("sequence_id", F.lit(turn)), F.lit(groups)))
         packed = dealt.groupBy("group").applyInPandas(
-            _packer(capacity, turn << 60),
+            _packer(capacity, turn << 56),
             fields + ", sequence_id long, offset long, filled long",
         )
         packed = materialize(packed, "packed")

@@ -6,6 +6,7 @@ not per Python object. Null texts count as empty.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,9 +16,11 @@ import pyarrow.compute as pc
 
 _STEP = 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_ODD = 0xD6E8FEB86659FD93
-_INVERSE = pow(_ODD, -1, 1 << 64)
 _SHIFT = np.uint64(29)
+#: Words above this many bytes are hashed one by one.
+_LONG = 64
+#: Which bits of 8 bytes, read little-endian, belong to a word of 0 to 8 bytes.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,16 +34,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class WordClass:
-    """Which bytes part words, and a random number for each byte (A-Z as a-z)."""
+    """Which bytes part words."""
 
     parts: np.ndarray
-    numbers: np.ndarray
 
     @staticmethod
     def of(is_separator) -> WordClass:
-        lower = np.arange(256)
-        lower[0x41:0x5B] += 32
-        return WordClass(np.array([is_separator(c) for c in range(256)]), mix(lower.astype(np.uint64)))
+        return WordClass(np.array([is_separator(c) for c in range(256)]))
 
 
 #: Words ``[^\x20\x09-\x0D]+`` with A-Z in lower case.
@@ -50,18 +50,51 @@ ALNUM = WordClass.of(
     lambda c: c < 0x80 and not (0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A)
 )
 
-_powers: list[np.ndarray] = []
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, _STEP + 65536)
-        _powers[:] = []
-        for base in (_ODD, _INVERSE):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers.append(np.multiply.accumulate(table))
-    return _powers[0], _powers[1]
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of ``data`` as one number; past the end they are 0."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    return np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))
+
+
+def hash_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each slice of ``data``: its 8-byte lanes and its length, mixed one after the other.
+
+    No step is linear in the bytes, so different slices meet by chance alone;
+    where two hashes decide something, :func:`same_slices` compares the bytes.
+    """
+    eight, length = lanes(data), ends - starts
+    value = mix(length.astype(np.uint64) ^ mix(eight[starts] & _KEEP[np.minimum(length, 8)]))
+    todo = np.flatnonzero(length > 8)
+    at = 8
+    while len(todo) and at < _LONG:
+        left = length[todo] - at
+        value[todo] = mix(value[todo] ^ mix((eight[starts[todo] + at] & _KEEP[np.minimum(left, 8)]) + np.uint64(at)))
+        at += 8
+        todo = todo[left > 8]
+    for i in todo.tolist():
+        raw = data[starts[i] : ends[i]].tobytes()
+        value[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+    return value
+
+
+def same_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether slice x[i] has the bytes of slice y[i]."""
+    eight, length = lanes(data), ends - starts
+    same = length[x] == length[y]
+    todo, at = np.flatnonzero(same), 0
+    while len(todo):
+        a, b, left = x[todo], y[todo], length[x[todo]] - at
+        keep = _KEEP[np.clip(left, 0, 8)]
+        last = len(eight) - 1
+        equal = (eight[np.minimum(starts[a] + at, last)] & keep) == (eight[np.minimum(starts[b] + at, last)] & keep)
+        same[todo[~equal]] = False
+        at += 8
+        todo = todo[equal & (left > 8)]
+    return same
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +130,8 @@ class Words:
 def words(column: pa.Array, kind: WordClass) -> Words:
     """The words of every row of a string column.
 
-    A word's hash is a polynomial of its bytes, taken as the difference of two
-    prefix sums, so no word becomes a Python object.
+    A word's hash is that of its bytes with A-Z in lower case, so no word
+    becomes a Python object.
     """
     data, at = text_buffer(column)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -134,13 +167,19 @@ def _span(data: np.ndarray, base: int, at: np.ndarray, kind: WordClass):
     after[-1] = False
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    power, inverse = _power_tables(n + 1)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    with np.errstate(over="ignore"):
-        np.cumsum(kind.numbers[data] * power[:n], out=total[1:])
-        value = (total[ends] - total[starts]) * inverse[starts]
-        return mix(value + (ends - starts).astype(np.uint64)), starts + base, ends + base
+    return hash_slices(_LOWER[data], starts, ends), starts + base, ends + base
+
+
+def exact(found: Words, column: pa.Array) -> np.ndarray:
+    """A number for each word, the same for two words if and only if their bytes are (A-Z as a-z)."""
+    data = _LOWER[text_buffer(column)[0]]
+    hashes = found.hashes.copy()
+    while True:
+        _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        other = np.flatnonzero(~same_slices(data, found.starts, found.ends, np.arange(len(number)), first[number]))
+        if not len(other):
+            return number
+        hashes[other] = mix(hashes[other])
 
 
 def shingles(words_: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

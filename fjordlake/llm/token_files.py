@@ -32,7 +32,7 @@ def write_token_files(
     """Encodes all whole texts, each followed by ``end_id``, in ascending order of id (nulls first).
 
     Documents are range-partitioned and sorted by id; each task writes
-    segments of about ``segment_ids`` ids (at least one document each), in the
+    segments of about ``segment_ids`` ids (whole documents), in the
     format of :mod:`.idcoder`. As only Spark can write to every store, the
     segments are the ``payload`` rows of a Parquet table, numbered by part and
     segment. Null texts count as empty. Rows that repeat an id follow each
@@ -41,28 +41,29 @@ def write_token_files(
     vocabulary = tokenizer or default_path()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode = encoder(vocabulary).column
         part, segment, size = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
         found: list = []
+        sizes: list = []
 
         def close() -> pa.RecordBatch:
-            data = write_segment(names, found, block)
+            data = write_segment(names, np.concatenate(found), np.concatenate(sizes), block)
             row = [[part], [segment], [len(names)], [size], [data]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(row, kinds)], names=["part", "segment", "n_docs", "n_ids", "payload"]
             )
 
-        for batch in chunks(batches, "text"):
-            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text)
-                names.append(name)
-                found.append(np.append(ids, ids.dtype.type(end_id)))
-                size += len(ids) + 1
-                if size >= segment_ids:
-                    yield close()
-                    names, found, size, segment = [], [], 0, segment + 1
+        for batch in chunks(batches, "text", 1 << 20):
+            ids, at = encode(batch.column("text"))
+            names += batch.column("doc_id").to_pylist()
+            found.append(np.insert(ids, at[1:], end_id))
+            sizes.append(np.diff(at) + 1)
+            size += len(found[-1])
+            if size >= segment_ids:
+                yield close()
+                names, found, sizes, size, segment = [], [], [], 0, segment + 1
         if names:
             yield close()
 
@@ -83,24 +84,21 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, segment, data in zip(*(batch.column(c).to_pylist() for c in ("part", "segment", "payload"))):
-                names, found = read_segment(data)
-                raw = [d.astype("<u4").tobytes() for d in found]
-                before = 0
-                starts = []
-                for d in found:
-                    starts.append(before)
-                    before += len(d)
+                names, ids, sizes = read_segment(data)
+                ends = np.cumsum(sizes)
+                raw = memoryview(ids.astype("<u4").tobytes())
+                found = [raw[4 * a : 4 * b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
                 n = len(names)
                 columns = [
                     pa.array([part] * n, pa.int32()),
                     pa.array([segment] * n, pa.int32()),
                     pa.array(names, pa.int64()),
-                    pa.array(starts, pa.int64()),
-                    pa.array([len(d) for d in found], pa.int64()),
-                    pa.array([zlib.crc32(x) for x in raw], pa.int64()),
+                    pa.array(ends - sizes, pa.int64()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(list(map(zlib.crc32, found)), pa.int64()),
                 ]
                 if with_ids:
-                    columns.append(pa.array(raw, pa.binary()))
+                    columns.append(pa.array(list(map(bytes, found)), pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=fields)
 
     fields = ["part", "segment", "doc_id", "before", "n_tokens", "ids_crc32"] + (["ids"] if with_ids else [])

@@ -46,3 +46,43 @@ def test_shingles():
     sets = [set(flat[a:b].tolist()) for a, b in zip(at[:-1], at[1:])]
     assert [len(s) for s in sets] == [2, 1, 1, 0, 0, 1, 1]
     assert sets[1] == sets[6] and sets[1] < sets[0] and sets[2] != sets[5]
+
+
+def thue_morse():
+    """A word of 1,024 letters and its complement, which no polynomial modulo 2**64 tells apart."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("size", [8, 16, 40, 64, 1024])
+def test_words_that_polynomials_confuse(size):
+    a, b = (w[:size] for w in thue_morse())
+    column = pa.array([a, b, a.upper(), a + "\0"])
+    found = T.words(column, T.SPACE)
+    assert found.hashes[0] != found.hashes[1] and found.hashes[0] == found.hashes[2] != found.hashes[3]
+    number = T.exact(found, column).tolist()
+    assert number[0] == number[2] and len(set(number)) == 3
+
+
+def test_equal_hashes_are_told_apart_by_their_bytes():
+    column = pa.array(["one two one", "two three One"])
+    found = T.words(column, T.SPACE)
+    found.hashes[:] = 7
+    number = T.exact(found, column).tolist()
+    assert number[0] == number[2] == number[5] and number[1] == number[3] and len(set(number)) == 3
+
+
+def test_operators_tell_long_words_apart(spark):
+    from fjordlake.llm.decontaminate import contamination
+    from fjordlake.llm.jaccard_join import near_duplicates
+    from fjordlake.llm.suffix_tree import score_texts
+
+    a, b = thue_morse()
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a.upper())], "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_duplicates(docs).collect()) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+    items = spark.createDataFrame([("x", b)], "item_id string, text string")
+    assert {r.doc_id: r.n_hit for r in contamination(docs, items).collect()} == {1: 0, 2: 1, 3: 0}
+    known = {r.doc_id: r.n_known for r in score_texts(docs.where("doc_id <> 2")).collect()}
+    assert known[1] == known[3] == 2
+    train = spark.createDataFrame([(2, a), (11, b)], "doc_id long, text string")  # 11 is held out
+    assert {r.doc_id: r.n_known for r in score_texts(train).collect()} == {2: 2, 11: 1}
