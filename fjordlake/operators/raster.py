@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -77,56 +78,191 @@ def interpolate(x, y, z, at_x, at_y, method: str = "linear") -> np.ndarray:
     so that quadratic fields come out exactly; it is smooth at the points and
     continuous everywhere.
     """
-    out = np.full(len(at_x), np.nan)
-    _, first = np.unique(np.round(np.column_stack([x, y]), 9), axis=0, return_index=True)
-    first = np.sort(first)
-    x, y, z = x[first], y[first], z[first]
+    x, y, z = distinct_points(x, y, z)
     triangles = triangulate(x, y)
-    slopes = gradients(x, y, z, triangles) if method == "cubic" and len(triangles) else None
+    owner, weights = np.full(len(at_x), -1), np.zeros((3, len(at_x)))
     order = np.argsort(at_y, kind="stable")
     rows = at_y[order]
-    for t in triangles:
-        tx, ty = x[t], y[t]
-        near = order[np.searchsorted(rows, ty.min()) : np.searchsorted(rows, ty.max(), "right")]
-        near = near[(at_x[near] >= tx.min()) & (at_x[near] <= tx.max())]
-        if not len(near):
-            continue
-        area = (tx[1] - tx[0]) * (ty[2] - ty[0]) - (tx[2] - tx[0]) * (ty[1] - ty[0])
-        l1 = ((at_x[near] - tx[0]) * (ty[2] - ty[0]) - (tx[2] - tx[0]) * (at_y[near] - ty[0])) / area
-        l2 = ((tx[1] - tx[0]) * (at_y[near] - ty[0]) - (at_x[near] - tx[0]) * (ty[1] - ty[0])) / area
-        weights = np.array([1 - l1 - l2, l1, l2])
-        inside = (weights >= -1e-9).all(0)
-        near, weights = near[inside], weights[:, inside]
-        out[near] = z[t] @ weights if slopes is None else _cubic(tx, ty, z[t], slopes[t], weights)
-    return out
+    for k, t in enumerate(triangles):
+        near = order[np.searchsorted(rows, y[t].min()) : np.searchsorted(rows, y[t].max(), "right")]
+        near = near[(at_x[near] >= x[t].min()) & (at_x[near] <= x[t].max())]
+        found = _barycentric(x[t][:, None], y[t][:, None], at_x[near], at_y[near])
+        inside = (found >= -1e-9).all(0)
+        owner[near[inside]], weights[:, near[inside]] = k, found[:, inside]
+    return surface(x, y, z, triangles, owner, weights, method)
 
 
-def _cubic(x, y, z, slope, w) -> np.ndarray:
-    side = np.empty((3, 3))  # control value on the side from i towards j
-    for i in range(3):
-        for j in range(3):
-            if i != j:
-                side[i, j] = z[i] + (slope[i, 0] * (x[j] - x[i]) + slope[i, 1] * (y[j] - y[i])) / 3
-    rim = sum(side[i, j] for i in range(3) for j in range(3) if i != j)
-    total = 6 * (rim / 4 - z.sum() / 6) * w[0] * w[1] * w[2]
+def distinct_points(x, y, z) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The points at places of their own, the first of equals."""
+    _, first = np.unique(np.round(np.column_stack([x, y]), 9), axis=0, return_index=True)
+    first = np.sort(first)
+    return x[first], y[first], z[first]
+
+
+def _barycentric(x, y, at_x, at_y) -> np.ndarray:
+    """Weights of the three corners ``x[0], y[0]`` and so on at places."""
+    area = (x[1] - x[0]) * (y[2] - y[0]) - (x[2] - x[0]) * (y[1] - y[0])
+    l1 = ((at_x - x[0]) * (y[2] - y[0]) - (x[2] - x[0]) * (at_y - y[0])) / area
+    l2 = ((x[1] - x[0]) * (at_y - y[0]) - (at_x - x[0]) * (y[1] - y[0])) / area
+    return np.array([1 - l1 - l2, l1, l2])
+
+
+def cover(x, y, triangles, at_x: np.ndarray, at_y: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell of a lattice, row by row, its triangle (-1: none) and the weights of the corners.
+
+    Every triangle looks at the cells in its bounding box; boxes are listed
+    for many triangles at once, about ``most`` cells.
+    """
+    columns = len(at_x)
+    owner, weights = np.full(len(at_y) * columns, -1), np.zeros((3, len(at_y) * columns))
+    if not len(triangles):
+        return owner, weights
+    tx, ty = x[triangles].T, y[triangles].T
+    left, right = np.searchsorted(at_x, tx.min(0)), np.searchsorted(at_x, tx.max(0), "right")
+    low, high = np.searchsorted(at_y, ty.min(0)), np.searchsorted(at_y, ty.max(0), "right")
+    wide, cells = right - left, (right - left) * (high - low)
+    part = np.cumsum(cells) // most
+    for k in np.unique(part):
+        some = np.flatnonzero((part == k) & (cells > 0))
+        t = np.repeat(some, cells[some])
+        place = np.arange(len(t)) - np.repeat(np.cumsum(cells[some]) - cells[some], cells[some])
+        i, j = low[t] + place // wide[t], left[t] + place % wide[t]
+        found = _barycentric(tx[:, t], ty[:, t], at_x[j], at_y[i])
+        inside = (found >= -1e-9).all(0)
+        cell = i[inside] * columns + j[inside]
+        owner[cell], weights[:, cell] = t[inside], found[:, inside]
+    return owner, weights
+
+
+def surface(x, y, z, triangles, owner, weights, method: str) -> np.ndarray:
+    """Values at places whose triangles and weights are known, NaN where there is none."""
+    out = np.full(len(owner), np.nan)
+    there = np.flatnonzero(owner >= 0)
+    if not len(there):
+        return out
+    w, of = weights[:, there], owner[there]
+    if method == "linear":
+        out[there] = (z[triangles[of]].T * w).sum(0)
+        return out
+    slopes = gradients(x, y, z, triangles)
+    corner = z[triangles].T
+    rim = np.zeros(len(triangles))
+    total = np.zeros(len(there))
     for i in range(3):
-        total = total + z[i] * w[i] ** 3
+        total += corner[i][of] * w[i] ** 3
         for j in range(3):
-            if i != j:
-                total = total + 3 * side[i, j] * w[i] ** 2 * w[j]
-    return total
+            if i != j:  # control value on the side from i towards j
+                a, b = triangles[:, i], triangles[:, j]
+                side = corner[i] + (slopes[a, 0] * (x[b] - x[a]) + slopes[a, 1] * (y[b] - y[a])) / 3
+                rim += side
+                total += 3 * side[of] * w[i] ** 2 * w[j]
+    out[there] = total + 6 * (rim / 4 - corner.sum(0) / 6)[of] * w[0] * w[1] * w[2]
+    return out
 
 
-def fill_nearest(grid: np.ndarray, x, y, z, at_x, at_y) -> np.ndarray:
-    """Values where the grid has none: those of the nearest points, the first of equals."""
+def fill_nearest(grid: np.ndarray, x, y, z, at_x, at_y, tile: int = 1024) -> np.ndarray:
+    """Values where the grid has none: those of the nearest points, the first of equals.
+
+    Places are taken in tiles of neighbours. A tile meets only the points
+    that can be nearest to one of its places: those no farther from its
+    middle than the nearest one and the tile's extent.
+    """
     out = grid.copy()
-    for part in np.array_split(np.flatnonzero(np.isnan(grid)), max(1, np.isnan(grid).sum() // 4096)):
-        if len(part) and len(x):
-            d = (at_x[part][:, None] - x[None, :]) ** 2 + (at_y[part][:, None] - y[None, :]) ** 2
-            out[part] = z[d.argmin(1)]
+    empty = np.flatnonzero(np.isnan(grid))
+    if not len(empty) or not len(x):
+        return out
+    span = max(np.ptp(at_x[empty]), np.ptp(at_y[empty])) or 1.0
+    side = span / max(1, int(np.sqrt(len(empty) / tile)))
+    number = np.floor((at_y[empty] - at_y[empty].min()) / side) * 65536 + np.floor((at_x[empty] - at_x[empty].min()) / side)
+    order = np.argsort(number, kind="stable")
+    for part in np.split(empty[order], np.flatnonzero(np.diff(number[order])) + 1):
+        px, py = at_x[part], at_y[part]
+        mx, my = (px.min() + px.max()) / 2, (py.min() + py.max()) / 2
+        reach = np.sqrt((px - mx) ** 2 + (py - my) ** 2).max()
+        away = np.sqrt((x - mx) ** 2 + (y - my) ** 2)
+        near = np.flatnonzero(away <= away.min() + 2 * reach + 1e-9)
+        d = (x[near][None, :] - px[:, None]) ** 2 + (y[near][None, :] - py[:, None]) ** 2
+        out[part] = z[near[d.argmin(1)]]
     return out
 
 
+@lru_cache(maxsize=2)
+def _covered(points: bytes, count: int, at_x: bytes, at_y: bytes):
+    """Triangles of some places and the cover of a lattice, which the hours of one worker share if their places are the same."""
+    x, y = np.frombuffer(points).reshape(2, count)
+    triangles = triangulate(x, y)
+    return triangles, *cover(x, y, triangles, np.frombuffer(at_x), np.frombuffer(at_y))
+
+
+def lattice_values(x, y, z, at_x: np.ndarray, at_y: np.ndarray, method: str, fill: bool) -> np.ndarray:
+    """Values at the cells of a lattice, row by row: ``nearest``, or by triangles and then the nearest point where asked."""
+    gy, gx = (a.ravel() for a in np.meshgrid(at_y, at_x, indexing="ij"))
+    grid = np.full(len(gx), np.nan)
+    if len(x) and method != "nearest":
+        px, py, pz = distinct_points(x, y, z)
+        triangles, owner, weights = _covered(np.stack([px, py]).tobytes(), len(px), at_x.tobytes(), at_y.tobytes())
+        grid = surface(px, py, pz, triangles, owner, weights, method)
+    return fill_nearest(grid, x, y, z, gx, gy) if fill or method == "nearest" else grid
+
+
+def wet_cells(edges: list[tuple[int, float, float, float, float]], at_x: np.ndarray, at_y: np.ndarray) -> np.ndarray:
+    """Which cells of a lattice are in a polygon, by parity: each row is cut where edges ``polygon, x1, y1, x2, y2`` cross it."""
+    out = np.zeros((len(at_y), len(at_x)), bool)
+    polygon, x1, y1, x2, y2 = np.array(edges, float).reshape(-1, 5).T
+    low, high = np.minimum(y1, y2), np.maximum(y1, y2)
+    for i, lat in enumerate(at_y):
+        met = np.flatnonzero((low <= lat) & (lat < high))
+        cuts = x1[met] + (lat - y1[met]) * (x2[met] - x1[met]) / (y2[met] - y1[met])
+        for p in np.unique(polygon[met]):
+            beyond = np.sort(cuts[polygon[met] == p])
+            out[i] |= (len(beyond) - np.searchsorted(beyond, at_x, "right")) % 2 == 1
+    return out
+
+
+def raster_job(
+    rows: DataFrame, by: list[str], n: int, box: tuple[float, float, float, float],
+    edges: list[tuple[int, float, float, float, float]] | None = None, method: str = "cubic", side: int = 25, draw: bool = True,
+) -> DataFrame:
+    """The whole way from scattered values to masked pictures, for each group of rows ``parameter, lon, lat, value, seq``.
+
+    ``side`` places on each side of the box get the value of the row nearest
+    to them; all are interpolated, what is outside the hull is filled from
+    the nearest, speeds and salinities are held at 0, cells outside the
+    polygons of ``edges`` are emptied, and the rest is counted and drawn.
+    Returns the group, ``n_points, n_values, n_empty, least, most, mean`` and
+    the ``png`` (null if not drawn). A group is one parameter and time: the
+    points of one raster, whose task makes it alone.
+    """
+    west, east, south, north = box
+    at_x, at_y = np.linspace(west, east, n), np.linspace(south, north, n)
+    share = np.arange(side) / (side - 1)
+    edge_x = np.concatenate([west + share * (east - west)] * 2 + [np.full(side, west), np.full(side, east)])
+    edge_y = np.concatenate([np.full(side, south), np.full(side, north)] + [south + share * (north - south)] * 2)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields)
+    wet = wet_cells(edges, at_x, at_y).ravel() if edges is not None else np.ones(n * n, bool)
+
+    def make(frame: pd.DataFrame) -> pd.DataFrame:
+        name = frame["parameter"].iloc[0]
+        good = frame.dropna(subset=["value"]).sort_values("seq", kind="stable")
+        x, y, z = (good[c].to_numpy(float) for c in ("lon", "lat", "value"))
+        if len(x):
+            around = fill_nearest(np.full(len(edge_x), np.nan), x, y, z, edge_x, edge_y)
+            x, y, z = np.append(x, edge_x), np.append(y, edge_y), np.append(z, around)
+        grid = lattice_values(x, y, z, at_x, at_y, method, True)
+        if name in ("current", "salinity"):
+            grid = np.where(grid < 0, 0.0, grid)
+        grid = np.where(wet, grid, np.nan)
+        kept = grid[~np.isnan(grid)]
+        some = (float(kept.min()), float(kept.max()), float(kept.mean())) if len(kept) else (None, None, None)
+        found = [{c: frame[c].iloc[0] for c in by} | dict(zip(("least", "most", "mean"), some))]
+        return pd.DataFrame(found).assign(
+            n_points=len(good), n_values=len(kept), n_empty=len(grid) - len(kept), png=[png(grid, n, name) if draw else None]
+        )[[*by, "n_points", "n_values", "n_empty", "least", "most", "mean", "png"]]
+
+    out = f"{kinds}, n_points long, n_values long, n_empty long, least double, most double, mean double, png binary"
+    return rows.groupBy(*by).applyInPandas(make, out)
+
+
 def rasters(rows: DataFrame, by: list[str], value: str, n: int, box: tuple[float, float, float, float], method: str = "cubic", fill: bool = True) -> DataFrame:
     """Rasters of n by n values, row by row from below, one for each group of ``lon, lat, value`` rows.
 
@@ -140,9 +276,8 @@ def rasters(rows: DataFrame, by: list[str], value: str, n: int, box: tuple[float
     def make(frame: pd.DataFrame) -> pd.DataFrame:
         good = frame.dropna(subset=[value]).sort_values(["lat", "lon"], kind="stable")
         x, y, z = (good[c].to_numpy(float) for c in ("lon", "lat", value))
-        at_y, at_x = (a.ravel() for a in np.meshgrid(np.linspace(south, north, n), np.linspace(west, east, n), indexing="ij"))
-        grid = interpolate(x, y, z, at_x, at_y, method) if len(x) else np.full(n * n, np.nan)
-        grid = fill_nearest(grid, x, y, z, at_x, at_y) if fill else grid
+        at_x, at_y = np.linspace(west, east, n), np.linspace(south, north, n)
+        grid = lattice_values(x, y, z, at_x, at_y, method, fill)
         values = [None if np.isnan(v) else float(v) for v in grid]
         return pd.DataFrame([{**{c: frame[c].iloc[0] for c in by}, "n_points": len(x), "values": values}])
 
@@ -181,14 +316,14 @@ def convex_hull(points: np.ndarray) -> list[tuple[float, float]]:
     return chain(distinct) + chain(distinct[::-1])
 
 
-def png(values: list[float | None], n: int, parameter: str, alpha: float = 0.8) -> bytes:
+def png(values, n: int, parameter: str, alpha: float = 0.8) -> bytes:
     """An n by n picture of a raster on its parameter's ramp; places without a value are transparent."""
     stops = RAMPS[parameter]
     at = np.array([s for s, _ in stops])
     colours = np.array([rgb(c) for _, c in stops], float)
     level = at[0] + np.arange(256) / 255 * (at[-1] - at[0])
     table = np.column_stack([np.interp(level, at, colours[:, c]) for c in range(3)])
-    grid = np.array([np.nan if v is None else v for v in values], float).reshape(n, n)[::-1]
+    grid = np.array(values, float).reshape(n, n)[::-1]  # None is NaN
     share = np.floor((np.nan_to_num(grid) - at[0]) / (at[-1] - at[0]) * 256)
     picture = np.zeros((n, n, 4), np.uint8)
     picture[..., :3] = np.floor(table[np.clip(share, 0, 255).astype(int)] + 0.5)

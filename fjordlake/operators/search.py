@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -48,3 +48,17 @@ def box_gaps(rows: DataFrame, lon_min: float, lon_max: float, lat_min: float, la
         "south": F.col("s") - F.lit(lat_min), "north": F.lit(lat_max) - F.col("n"),
     }
     return bounds.select(*[g.alias(k) for k, g in gaps.items()], *[V.kilometres(g).alias(f"{k}_km") for k, g in gaps.items()])
+
+
+def expand_all(wanted: list[str], every: list[str]) -> list[str]:
+    """The wanted names; ``all`` stands for every one."""
+    return list(every) if "all" in wanted else list(wanted)
+
+
+def is_wanted(name: Column, wanted: list[str]) -> Column:
+    return F.array_contains(F.array(*[F.lit(w) for w in wanted]), name)
+
+
+def first_times(times: DataFrame, column: str, most: int) -> DataFrame:
+    """The first ``most`` rows of a time axis; all for 0."""
+    return times.orderBy(column).limit(most) if most else times

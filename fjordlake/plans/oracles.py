@@ -241,4 +241,32 @@ a AS (SELECT i + di AS i, j + dj AS j, z FROM f, (VALUES (-1), (0), (1)) p(di),
 SELECT i::INT AS i, j::INT AS j, round(avg(z), 4) AS z, count(*) AS n FROM a WHERE (i, j) NOT IN (SELECT (i, j) FROM f) GROUP BY i, j""",
     "first_of_area": _with(_OBS) + """, r AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS rank FROM obs)
 SELECT day, rank::INT AS rank, event_id FROM r WHERE rank <= 3""",
+    "raster_job_statistics": _with(_OBS, _RING, _lattice(32), _inside("cells", "cell")) + f""", p AS (SELECT event_id AS seq, lon, lat, {_SPEED} AS current, temperature, salinity - 2 AS salinity FROM obs WHERE {_DAY}),
+val AS (UNPIVOT p ON current, temperature, salinity INTO NAME parameter VALUE value),
+e AS (SELECT s*25 + k AS id, s, k/24::DOUBLE AS f FROM range(4) a(s), range(25) b(k)),
+g AS (SELECT id, CASE WHEN s < 2 THEN 10.3::DOUBLE + f*(16.6::DOUBLE-10.3::DOUBLE) WHEN s = 2 THEN 10.3::DOUBLE ELSE 16.6::DOUBLE END AS lon,
+ CASE WHEN s = 0 THEN 54.9::DOUBLE WHEN s = 1 THEN 59.6::DOUBLE ELSE 54.9::DOUBLE + f*(59.6::DOUBLE-54.9::DOUBLE) END AS lat FROM e),
+h AS (SELECT parameter, id + 1000000000000 AS seq, any_value(g.lon) AS lon, any_value(g.lat) AS lat,
+ arg_min(value, ((val.lon-g.lon)*(val.lon-g.lon)+(val.lat-g.lat)*(val.lat-g.lat), val.seq)) AS value FROM g, val GROUP BY parameter, id),
+a AS (SELECT parameter, seq, lon, lat, value FROM val UNION ALL SELECT parameter, seq, lon, lat, value FROM h),
+n AS (SELECT parameter, cell, arg_min(value, ((a.lon-c.lon)*(a.lon-c.lon)+(a.lat-c.lat)*(a.lat-c.lat), seq)) AS raw FROM cells c, a GROUP BY ALL),
+z AS (SELECT parameter, CASE WHEN parameter <> 'temperature' AND raw < 0 THEN 0 ELSE raw END AS value FROM n JOIN wet USING (cell)),
+c AS (SELECT parameter, count(*) AS n_points FROM val GROUP BY parameter)
+SELECT parameter, '{DAY}' AS day, any_value(n_points) AS n_points, count(*) AS n_values, 1024 - count(*) AS n_empty,
+ round(min(value), 6) AS least, round(max(value), 6) AS most, round(avg(value), 4) AS mean FROM z JOIN c USING (parameter) GROUP BY parameter""",
+    "exact_time": _with(_OBS) + "SELECT event_id, point_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM obs WHERE ts = (SELECT ts FROM obs WHERE event_id = 7)",
+    "hour_prefix": _with(_OBS) + f"SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS time FROM obs WHERE starts_with(strftime(ts, '%Y-%m-%dT%H:%M:%S'), '{DAY}T1')",
+    "wanted_parameters": _with(_OBS) + f""", p AS (SELECT {_SPEED} AS current, temperature, salinity - 2 AS salinity FROM obs WHERE {_DAY}),
+val AS (UNPIVOT p ON current, temperature, salinity INTO NAME parameter VALUE value)
+SELECT asked, parameter, count(value) AS n, round(max(value), 6) AS most FROM val, (VALUES ('two'), ('all')) w(asked)
+ WHERE asked = 'all' OR parameter IN ('salinity', 'temperature') GROUP BY ALL""",
+    "first_images": _with(_OBS) + """, h AS (SELECT DISTINCT date_trunc('hour', ts) AS hour FROM obs)
+SELECT 'all' AS of, strftime(hour, '%Y-%m-%d %H') AS hour FROM h UNION ALL SELECT * FROM (SELECT 'first', strftime(hour, '%Y-%m-%d %H') FROM h ORDER BY hour LIMIT 5)""",
+    "mask_document": _with(_RING) + "SELECT poly_id::BIGINT AS poly_id, ring_id, seq, x, y FROM ring",
+    "area_documents": _with(_OBS) + f"""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS time_str,
+ (row_number() OVER (PARTITION BY point_id ORDER BY strftime(ts, '%Y-%m-%dT%H:%M:%S.%g'), u, v, temperature, salinity) - 1)::INT AS seq, false AS is_point_specific,
+ round(lat, 6) AS lat, round(lon, 6) AS lon, u, v, round(temperature, 6) AS temperature, round(salinity, 6) AS salinity FROM obs WHERE {_DAY}""",
+    "image_of_hour": _with(_OBS) + f""", t AS (SELECT DISTINCT strftime(ts, '%Y-%m-%dT%H') AS hour FROM obs WHERE {_DAY})
+SELECT parameter, asked, (SELECT min(hour) || ':00:00.000Z' FROM t WHERE hour = '{DAY}T' || asked) AS timestamp
+ FROM (VALUES ('current'), ('temperature'), ('salinity')) p(parameter), (VALUES ('00'), ('09'), ('15'), ('24')) a(asked)""",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,8 +20,8 @@ from ..operators import raster as R
 from ..operators import regions as G
 from ..operators import search as Q
 from ..operators import series as E
-from ..sinks.files import features, missing
-from ..sources import coverage, geometry
+from ..sinks.files import features, missing, shared_path, write_document
+from ..sources import area, catalog, coverage, geometry
 from ..sources.observations import observations, table
 from .fixtures import BASE, DAY, LAT, LON, RADIUS, TOLERANCE, ring_points
 
@@ -516,3 +517,112 @@ def first_of_area(spark, folder):
     rows = observations(spark, folder).withColumn("day", day())
     order = Window.partitionBy("day").orderBy("ts", "event_id")
     return rows.withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("day", "rank", "event_id")
+
+
+def _values_of_day(spark, folder):
+    """A day's values of all three parameters."""
+    rows = of_day(observations(spark, folder))
+    values = {"current": V.magnitude(F.col("u"), F.col("v")), "temperature": F.col("temperature"), "salinity": F.col("salinity") - 2}
+    parts = F.array(*[F.struct(F.lit(p).alias("parameter"), v.alias("value")) for p, v in values.items()])
+    return rows.select(day().alias("day"), "lon", "lat", F.col("event_id").alias("seq"), F.explode(parts).alias("p")).select("day", "lon", "lat", "seq", "p.*")
+
+
+def raster_job(spark, folder, n=64, method="cubic", draw=True, parameters=None):
+    """The rasters of a day, from edges to pictures."""
+    edges = [tuple(r) for r in geometry.edges(ring_points(spark)).select("poly_id", "x1", "y1", "x2", "y2").collect()]
+    rows = _values_of_day(spark, folder)
+    rows = rows.where(F.col("parameter").isin(*parameters)) if parameters else rows
+    return R.raster_job(rows, ["parameter", "day"], n, BOX, edges, method, draw=draw)
+
+
+@query
+def raster_pictures(spark, folder):
+    found = raster_job(spark, folder)
+    return found.select("parameter", "day", "n_points", "n_values", "n_empty", F.octet_length("png").alias("n_bytes"))
+
+
+@query
+def raster_job_statistics(spark, folder):
+    """Edges, nearest values, clamp, mask and statistics of each raster of a day."""
+    found = raster_job(spark, folder, 32, "nearest", draw=False)
+    numbers = [r6(F.col(c)).alias(c) for c in ("least", "most")]
+    return found.select("parameter", "day", "n_points", "n_values", "n_empty", *numbers, F.round("mean", 4).alias("mean"))
+
+
+@query
+def exact_time(spark, folder):
+    """Observations at one time: that of event 7."""
+    rows = observations(spark, folder)
+    at = rows.where("event_id = 7").select("ts")
+    return rows.join(F.broadcast(at), "ts").select("event_id", "point_id", r6(F.col("lat")).alias("lat"), r6(F.col("lon")).alias("lon"))
+
+
+@query
+def hour_prefix(spark, folder):
+    """Observations whose time begins with a day and the first figure of an hour."""
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    return observations(spark, folder).where(time.startswith(f"{DAY}T1")).select("event_id", time.alias("time"))
+
+
+@query
+def wanted_parameters(spark, folder):
+    """Values of the wanted parameters, with ``all`` standing for every one, counted by day."""
+    wanted = Q.expand_all(["salinity", "temperature"], list(PARAMETERS))
+    everything = Q.expand_all(["all"], list(PARAMETERS))
+    rows = _values_of_day(spark, folder)
+    kept = rows.where(Q.is_wanted(F.col("parameter"), wanted)).withColumn("asked", F.lit("two"))
+    kept = kept.unionByName(rows.where(Q.is_wanted(F.col("parameter"), everything)).withColumn("asked", F.lit("all")))
+    return kept.groupBy("asked", "parameter").agg(F.count("value").alias("n"), r6(F.max("value")).alias("most"))
+
+
+@query
+def first_images(spark, folder):
+    """The first five hours of the time axis, and all of them."""
+    hours = observations(spark, folder).select(F.date_trunc("hour", "ts").alias("hour")).distinct()
+    few, every = (Q.first_times(hours, "hour", most) for most in (5, 0))
+    label = F.date_format("hour", "yyyy-MM-dd HH")
+    return few.select(F.lit("first").alias("of"), label.alias("hour")).unionByName(every.select(F.lit("all").alias("of"), label.alias("hour")))
+
+
+@query
+def mask_document(spark, folder):
+    """The mask as GeoJSON, written to the shared folder and read back as points of rings."""
+    rings = ring_points(spark).groupBy("poly_id", "ring_id").agg(F.sort_array(F.collect_list(F.struct("seq", F.array("x", "y").alias("xy")))).alias("p"))
+    polygons = rings.groupBy("poly_id").agg(F.sort_array(F.collect_list(F.struct("ring_id", "p"))).alias("r"))
+    shape = F.struct(
+        F.lit("Feature").alias("type"),
+        F.struct(F.lit("Polygon").alias("type"), F.transform("r", lambda r: F.transform(r["p"], lambda p: p["xy"])).alias("coordinates")).alias("geometry"),
+        F.struct(F.col("poly_id").alias("number")).alias("properties"),
+    )
+    feature = polygons.select(F.col("poly_id"), shape.alias("f"))
+    path = shared_path(spark, "mask")
+    collection = feature.agg(F.transform(F.sort_array(F.collect_list(F.struct("poly_id", "f"))), lambda x: x["f"]).alias("features"))
+    collection.select(F.lit("FeatureCollection").alias("type"), "features").write.json(path)
+    found = geometry.read_mask(spark, path)
+    return found.select((F.col("poly_id") / 1_000_000 + 1).cast("bigint").alias("poly_id"), "ring_id", "seq", "x", "y")
+
+
+@query
+def area_documents(spark, folder):
+    """A day's observations as nested documents of 64 points each, written gzipped and read back as a long table."""
+    rows = of_day(observations(spark, folder)).withColumn("time_str", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    named = rows.select("point_id", "lat", "lon", F.lit(None).cast("string").alias("name"), F.lit(False).alias("is_point_specific"), "time_str", "u", "v", "temperature", "salinity")
+    nested = area.document(named, "point_id").withColumn("doc", F.floor(F.col("point_id") / 64)).drop("point_id")
+    path = shared_path(spark, "area")
+    write_document(area.with_metadata(nested, "doc", ["current", "temperature", "salinity"]), path)
+    found = area.long_table(area.read_area(spark, path))
+    values = [r6(F.col(c)).alias(c) for c in ("lat", "lon", "u", "v", "temperature", "salinity")]
+    return found.select("time_str", "seq", "is_point_specific", *values)
+
+
+@query
+def image_of_hour(spark, folder):
+    """The picture of an hour by the metadata of a day's pictures, written and read back."""
+    times = of_day(observations(spark, folder)).select(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("time"))
+    listed = times.distinct().agg(F.sort_array(F.collect_list("time")).alias("timestamps"))
+    meta = listed.select(F.explode(F.array(*[F.lit(p) for p in PARAMETERS])).alias("parameter"), "timestamps")
+    path = shared_path(spark, "metadata")
+    write_document(meta, path)
+    found = catalog.raster_metadata(spark, path)
+    hits = [catalog.image_for_hour(found, f"{DAY}T{h}").withColumn("asked", F.lit(h)) for h in ("00", "09", "15", "24")]
+    return reduce(DataFrame.unionByName, hits)

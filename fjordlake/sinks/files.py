@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +12,8 @@ from ..constants import RAMPS, parameter
 
 
 def write_document(rows: DataFrame, path: str) -> None:
-    """One gzipped JSON row per record; documents are small, tables go to Parquet."""
-    rows.write.mode("overwrite").option("compression", "gzip").json(path)
+    """A gzipped JSON document a file for each row; documents are small, tables go to Parquet."""
+    rows.write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", 1).json(path)
 
 
 def write_pictures(pictures: DataFrame, path: str, name: str = "name") -> None:
@@ -39,3 +42,20 @@ def raster_metadata(spark: SparkSession, name: str, timestamps: list[str], writt
 def missing(wanted: DataFrame, there: DataFrame, key: str, force: bool = False) -> DataFrame:
     """What is not there yet; everything if forced."""
     return wanted if force else wanted.join(there.select(key).distinct(), key, "left_anti")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary one only for a local session without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='fjordlake-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def sizes(spark: SparkSession, path: str, raw: DataFrame) -> DataFrame:
+    """Files and bytes of a written document, the bytes its rows have as JSON text, and the share that is left."""
+    files = spark.read.format("binaryFile").load(path).select("length").agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"))
+    text = raw.select(F.octet_length(F.to_json(F.struct(*raw.columns))).cast("long").alias("n")).agg(F.sum(F.col("n") + 1).alias("n_raw"))
+    return files.crossJoin(text).withColumn("share", F.col("n_bytes") / F.col("n_raw"))

@@ -31,14 +31,25 @@ def long_table(area: DataFrame) -> DataFrame:
     )
 
 
-def document(rows: DataFrame) -> DataFrame:
-    """The nested points of a long table, each series in order of time."""
+def document(rows: DataFrame, *more: str) -> DataFrame:
+    """The nested points of a long table, each series in order of time, and columns ``more`` that a point has."""
     entry = F.struct(
         F.col("time_str").alias("time"),
         F.when(F.col("u").isNotNull() | F.col("v").isNotNull(), F.struct("u", "v")).alias("current"), "temperature", "salinity",
     )
     grouped = rows.groupBy("point_id", "lat", "lon", "name", "is_point_specific").agg(F.sort_array(F.collect_list(entry)).alias("data"))
-    return grouped.select("lat", "lon", "name", F.col("is_point_specific").alias("isPointSpecific"), "data")
+    return grouped.select(*more, "lat", "lon", "name", F.col("is_point_specific").alias("isPointSpecific"), "data")
+
+
+def with_metadata(points: DataFrame, doc: str, parameters: list[str]) -> DataFrame:
+    """One document ``metadata, points`` for each value of ``doc``, which should hold few points."""
+    nested = F.sort_array(F.collect_list(F.struct("lat", "lon", "name", "isPointSpecific", "data")))
+    counts = F.struct(
+        F.array(*[F.lit(p) for p in parameters]).alias("parameters"),
+        F.count_if(~F.col("isPointSpecific")).alias("gridPoints"), F.count_if("isPointSpecific").alias("pointSpecificPoints"),
+        F.count(F.lit(1)).alias("totalPoints"),
+    )
+    return points.groupBy(doc).agg(counts.alias("metadata"), nested.alias("points")).drop(doc)
 
 
 def legacy_grid(spark: SparkSession, path: str) -> DataFrame:
