@@ -219,3 +219,51 @@ def test_streams(spark, tmp_path):
     assert mine[:3] == [(0, 0.0), (60_000, 2.0), (200_000, 3.0)]
     sessions.keep_fresh(stream, f"{tmp_path}/fresh", str(tmp_path / "fresh-state")).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/fresh").count() == len(rows)
+
+
+def test_lattice_rasters():
+    rng = np.random.default_rng(4)
+    x, y = rng.random(120), rng.random(120)
+    plane = lambda a, b: 2 * a - 3 * b + 1
+    at_x, at_y = np.linspace(0, 1, 31), np.linspace(0, 1, 23)
+    gy, gx = (a.ravel() for a in np.meshgrid(at_y, at_x, indexing="ij"))
+    z = np.sin(5 * x) + y
+    for method in ("linear", "cubic"):
+        alone = R.interpolate(x, y, z, gx, gy, method)
+        grid = R.lattice_values(x, y, z, at_x, at_y, method, False)
+        assert np.array_equal(np.isnan(alone), np.isnan(grid)) and np.allclose(alone, grid, equal_nan=True)
+        flat = R.lattice_values(x, y, plane(x, y), at_x, at_y, method, False)
+        there = ~np.isnan(flat)
+        assert there.sum() > 500 and np.allclose(flat[there], plane(gx, gy)[there])
+    nearest = z[((gx[:, None] - x) ** 2 + (gy[:, None] - y) ** 2).argmin(1)]
+    assert np.array_equal(R.lattice_values(x, y, z, at_x, at_y, "nearest", True), nearest)
+    filled = R.lattice_values(x, y, z, at_x, at_y, "linear", True)
+    hole = np.isnan(R.interpolate(x, y, z, gx, gy))
+    assert hole.any() and np.array_equal(filled[hole], nearest[hole])
+
+
+def test_wet_cells():
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
+    hole = [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0), (1.0, 1.0)]
+    sides = [(1, *a, *b) for r in (ring, hole) for a, b in zip(r, r[1:])] + [(2, *a, *b) for a, b in zip(ring, ring[1:])][:0]
+    at = np.array([-0.5, 0.5, 2.0, 3.5, 4.5])
+    want = [[0 < v < 4 and 0 < w < 4 and not (1 < v < 3 and 1 < w < 3) for v in at] for w in at]
+    assert R.wet_cells(sides, at, at).tolist() == want
+    assert not R.wet_cells([], at, at).any()
+
+
+def test_raster_job(spark):
+    rows = [("salinity", "a", x / 4, y / 4, x / 4 + y / 4 - 0.5, x * 5 + y) for x in range(5) for y in range(5)]
+    rows += [("salinity", "b", 0.5, 0.5, None, 0)]
+    frame = spark.createDataFrame(rows, "parameter string, hour string, lon double, lat double, value double, seq long")
+    got = {r.hour: r for r in R.raster_job(frame, ["parameter", "hour"], 9, (0, 1, 0, 1), None, "linear").collect()}
+    a, b = got["a"], got["b"]
+    assert (a.n_points, a.n_values, a.n_empty) == (25, 81, 0) and a.least == 0.0 and abs(a.most - 1.5) < 1e-9
+    assert a.png.startswith(b"\x89PNG") and (b.n_points, b.n_values, b.n_empty, b.least) == (0, 0, 81, None)
+
+
+def test_document_sizes(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "same " * 50) for i in range(20)], "id int, text string").repartition(2)
+    files.write_document(rows, f"file://{tmp_path}/sized")
+    found = files.sizes(spark, f"file://{tmp_path}/sized", rows).first()
+    assert found.n_files == 20 and found.n_raw == sum(len('{"id":%d,"text":"%s"}' % (i, "same " * 50)) + 1 for i in range(20)) and found.share < 1
