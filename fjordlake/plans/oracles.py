@@ -269,4 +269,19 @@ SELECT 'all' AS of, strftime(hour, '%Y-%m-%d %H') AS hour FROM h UNION ALL SELEC
     "image_of_hour": _with(_OBS) + f""", t AS (SELECT DISTINCT strftime(ts, '%Y-%m-%dT%H') AS hour FROM obs WHERE {_DAY})
 SELECT parameter, asked, (SELECT min(hour) || ':00:00.000Z' FROM t WHERE hour = '{DAY}T' || asked) AS timestamp
  FROM (VALUES ('current'), ('temperature'), ('salinity')) p(parameter), (VALUES ('00'), ('09'), ('15'), ('24')) a(asked)""",
+    "accepted_changes": """WITH RECURSIVE x AS (SELECT user_id, event_id, value/500 AS share, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT user_id, event_id, share, n, true AS kept, share AS last FROM x WHERE n = 1 UNION ALL
+ SELECT x.user_id, x.event_id, x.share, x.n, abs(x.share - w.last) <= 0.5, CASE WHEN abs(x.share - w.last) <= 0.5 THEN x.share ELSE w.last END
+ FROM w JOIN x ON x.user_id = w.user_id AND x.n = w.n + 1)
+SELECT user_id, event_id, round(share, 6) AS share FROM w WHERE kept""",
+    "throttled_events": """WITH RECURSIVE x AS (SELECT user_id, event_id, epoch_us(ts)//1000 AS now, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT user_id, n, NULL::BIGINT AS late_id, NULL::BIGINT AS late_ms, event_id::BIGINT AS own_id, now AS own_ms, now + 21600000 AS due, NULL::BIGINT AS waiting FROM x WHERE n = 1 UNION ALL
+ SELECT user_id, n, CASE WHEN fires THEN waiting END, CASE WHEN fires THEN due END, CASE WHEN opens THEN event_id END, CASE WHEN opens THEN now END,
+  CASE WHEN opens THEN now + 21600000 ELSE next END, CASE WHEN opens THEN NULL ELSE event_id END
+ FROM (SELECT *, now >= due AND now >= next AS opens FROM (SELECT *, CASE WHEN fires THEN due + 21600000 ELSE due END AS next
+  FROM (SELECT x.user_id, x.n, x.event_id::BIGINT AS event_id, x.now, w.due, w.waiting, x.now >= w.due AND w.waiting IS NOT NULL AS fires
+   FROM w JOIN x ON x.user_id = w.user_id AND x.n = w.n + 1))))
+SELECT user_id, late_id AS event_id, late_ms AS emitted_ms FROM w WHERE late_id IS NOT NULL UNION ALL
+SELECT user_id, own_id, own_ms FROM w WHERE own_id IS NOT NULL UNION ALL
+SELECT user_id, waiting, due FROM w WHERE waiting IS NOT NULL AND (user_id, n) IN (SELECT (user_id, max(n)) FROM x GROUP BY user_id)""",
 }
