@@ -158,7 +158,7 @@ class Models:
         k = at - base
         a, b = (self.flat[at] * rest) >> _SCALE, (self.flat[at + 1] * rest) >> _SCALE
         inside = (((value - a + 1) << self.power[k]) - 1) // np.maximum(b - a, 1)
-        return self.first[k] + inside
+        return np.minimum(self.first[k] + inside, len(self.of) - 1)  # beyond it only where a code is damaged
 
     def update(self, ids: np.ndarray) -> None:
         self.steps += 1
@@ -260,7 +260,8 @@ def decode_ids(codes: list[bytes], lengths: np.ndarray, size: int) -> list[np.nd
             code, width, read, last = code[:m], width[:m], read[:m], last[:m]
         model.predict()
         unit = width >> np.uint64(_TOTAL)
-        value = np.minimum(code // unit, np.uint64((1 << _TOTAL) - 1)).astype(np.int64)
+        with np.errstate(divide="ignore"):  # a damaged code may run dry; its checksum tells
+            value = np.minimum(code // unit, np.uint64((1 << _TOTAL) - 1)).astype(np.int64)
         now = model.id_at(value)
         first, share = model.interval(now)
         code = code - unit * first.astype(np.uint64)
