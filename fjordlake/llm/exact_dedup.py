@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import broadcast_if_small, materialize
+from .storage import broadcast_if_small, join_groups, materialize
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
@@ -15,9 +15,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     partition are combined before they leave it (all carry the partition's
     salt, so the map side holds one row a text), salted groups are merged,
     then the winners of all salts. A text that a third of all rows share
-    reaches a task as one row a map task at most. Rows find their group again
-    by the digest alone; should two texts ever share a digest, those rows
-    alone are joined by the whole text.
+    reaches a task as one row a map task at most. Rows of texts that occur
+    again find their group by the digest alone, with the group broadcast or
+    the digest salted; should two texts ever share a digest, those rows alone
+    are joined by the whole text.
 
     Returns ``id_col, keep_id, group_size, kept, text_sha256``, one row per
     input row. Null texts count as empty. The largest id stays; of rows that
@@ -37,20 +38,21 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
     )
     winners = materialize(grouped.select("sha", "keep_id", "group_size"), "winners")
+    groups = materialize(winners.where("group_size > 1"), "groups")
+
+    def looked_up(part: DataFrame) -> DataFrame:  # a text that one row has is its own winner
+        found = join_groups(part.select("doc_id", "sha"), groups, "sha")
+        keep, size = F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size")
+        return found.select("doc_id", "sha", keep, size)
+
     shared = winners.groupBy("sha").count().where("count > 1").select("sha")
     if shared.isEmpty():
-        joined = rows.select("doc_id", "sha").join(winners, "sha")
+        joined = looked_up(rows)
     else:
         clash = shared.withColumn("clash", F.lit(True))
         split = rows.join(clash, "sha", "left")
-        joined = (
-            split.where("clash IS NULL")
-            .select("doc_id", "sha")
-            .join(winners, "sha")
-            .unionByName(
-                split.where("clash").select("doc_id", "sha", "text").join(grouped, ["sha", "text"]).drop("text")
-            )
-        )
+        by_text = split.where("clash").select("doc_id", "sha", "text").join(grouped, ["sha", "text"]).drop("text")
+        joined = looked_up(split.where("clash IS NULL")).unionByName(by_text)
     found = materialize(joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))), "found")
     again = found.where("kept").groupBy("sha", "doc_id", "keep_id").count().where("count > 1")
     if not again.isEmpty():  # only rows that repeat the id of a kept row are numbered

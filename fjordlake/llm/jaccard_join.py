@@ -9,18 +9,18 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .list_links import all_links, link_lists
-from .storage import broadcast_if_small, materialize
-from .text import SPACE, chunks, distinct_by_row, mix, shingles, words
+from .storage import broadcast_if_small, discard, join_groups, materialize
+from .text import SPACE, chunks, distinct_by_row, exact, mix, shingles, words
 
 _SUBSET = 2
 _MOST_COMMON = 1 << 20
 _LEAST_COMMON = 4
-_CHUNK = 12 << 20
+_CHUNK = 4 << 20
 #: Sets above this size are large whatever the costs; a boundary there never pays.
 _MOST_SUBSET_SIZE = 256
 
@@ -156,23 +156,28 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, numerator: int, den
     """The pairs ``a, b`` whose texts' shingle sets are at the threshold."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "text_a", _CHUNK // 2):
-            a, at_a = shingle_sets(part.column("text_a"), width)
-            b, at_b = shingle_sets(part.column("text_b"), width)
+        for part in chunks(batches, "text_a", "text_b", _CHUNK):
+            n = part.num_rows
+            texts = pa.concat_arrays([part.column("text_a"), part.column("text_b")])
+            found = words(texts, SPACE)
+            found.hashes = mix(exact(found, texts).astype(np.uint64))  # the words themselves decide which are the same
+            flat, at = distinct_by_row(*shingles(found, width), 2 * n)
             linked = []
-            for i in range(part.num_rows):
-                x, y = a[at_a[i] : at_a[i + 1]], b[at_b[i] : at_b[i + 1]]
+            for i in range(n):
+                x, y = flat[at[i] : at[i + 1]], flat[at[n + i] : at[n + i + 1]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(both > 0 and denominator * both >= numerator * (len(x) + len(y) - both))
             yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = broadcast_if_small(materialize(wanted, "wanted"))
-    texts = materialize(docs.join(wanted, "doc_id", "left_semi"), "texts")
+    wanted = materialize(wanted, "wanted")
+    texts = materialize(docs.join(broadcast_if_small(wanted), "doc_id", "left_semi"), "texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return materialize(both.mapInArrow(verify, "a long, b long").distinct(), "links")
+    links_ = materialize(both.mapInArrow(verify, "a long, b long").distinct(), "links")
+    discard(wanted, texts)
+    return links_
 
 
 def links(docs: DataFrame, width: int, numerator: int, denominator: int, connect=link_lists) -> tuple[DataFrame, DataFrame]:
@@ -185,11 +190,14 @@ def links(docs: DataFrame, width: int, numerator: int, denominator: int, connect
     common, boundary = _common_shingles(docs, width, numerator, denominator)
     signed = materialize(_signed(docs, width, common, boundary, numerator, denominator), "signed")
     sets = signed.where("n > 0 AND doc_id IS NOT NULL")
-    rep = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = materialize(signed.select("doc_id", "n", "digest").join(rep, "digest", "left"), "members")
-    # with each key go hashes of the two before it, which tell that two sets have met at an earlier key
+    # most sets have one document; groups of more are looked up without gathering their rows
+    groups = sets.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    groups = materialize(groups.select("digest", "least"), "groups")
+    rep = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("rep")
+    members = materialize(join_groups(signed.select("doc_id", "n", "digest"), groups, "digest").select("digest", "doc_id", "n", rep), "members")
+    # with each key go the two before it, which tell that two sets have met at an earlier key
     linked = F.expr(
-        "transform(keys, (k, i) -> named_struct('key', k, 'p', if(i > 0, hash(get(keys, i - 1)), NULL), 'q', if(i > 1, hash(get(keys, i - 2)), NULL)))"
+        "transform(keys, (k, i) -> named_struct('key', k, 'p', if(i > 0, get(keys, i - 1), NULL), 'q', if(i > 1, get(keys, i - 2), NULL)))"
     )
     listed = sets.select("doc_id", "n", F.posexplode(linked).alias("place", "k"))
     # the smaller set of a pair has a common element even in a shorter prefix: it shares 2t/(1+t) of its elements or more
@@ -200,12 +208,17 @@ def links(docs: DataFrame, width: int, numerator: int, denominator: int, connect
     rep_of = members.where("rep IS NOT NULL").select("doc_id", F.col("rep").alias("item"), "n").distinct()
     postings = listed.join(shared, "key").join(rep_of, "doc_id").groupBy("key", "item")
     only = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).alias(c)  # noqa: E731  texts that share an id may differ
-    postings = materialize(postings.agg(F.max("n").alias("n"), F.max("early").alias("early"), only("p"), only("q")), "postings")
+    postings = postings.agg(F.max("n").alias("n"), F.max("early").alias("early"), only("p"), only("q"))
+    postings = materialize(postings.select("key", "item", F.struct("n", "early", "p", "q").alias("mark")), "postings")
 
-    def fits(n, early, m, early_m):
-        able = F.when(n < m, early).when(n > m, early_m).otherwise(early & early_m)
+    def fits(x, y):
+        n, m = x["n"], y["n"]
+        able = F.when(n < m, x["early"]).when(n > m, y["early"]).otherwise(x["early"] & y["early"])
         return able & (F.least(n, m) * denominator >= F.greatest(n, m) * numerator)
 
+    def met(x, y):  # in an earlier list, whose keys p and q name, both are early if they are in this one
+        return F.coalesce(reduce(Column.__or__, [x[i] == y[j] for i in "pq" for j in "pq"]), F.lit(False))
+
     def screen(pairs):
         # two sets that share s elements of their prefixes share fewer than s + ceil(t * larger size) in all;
         # keys of small sets are subsets and say nothing of the number
@@ -216,10 +229,12 @@ def links(docs: DataFrame, width: int, numerator: int, denominator: int, connect
         n, m, s = F.col("n"), F.col("m"), F.size(F.array_intersect("keys_a", "keys_b"))
         need = F.ceil((n + m) * numerator / F.lit(numerator + denominator) - 1e-6)
         most = s + F.ceil(F.greatest(n, m) * numerator / F.lit(denominator) - 1e-6) - 1
-        return materialize(both.where((F.least(n, m) <= boundary) | (most >= need)).select("a", "b").distinct(), "pairs")
+        left = materialize(both.where((F.least(n, m) <= boundary) | (most >= need)).select("a", "b").distinct(), "pairs")
+        discard(some)
+        return left
 
     found = connect(
-        postings, lambda pairs: _verified(pairs, docs, width, numerator, denominator), fits, screen
+        postings, lambda pairs: _verified(pairs, docs, width, numerator, denominator), fits, met, screen
     )
     return members, found
 
@@ -303,18 +318,26 @@ def near_links(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, of the smallest id of each component.
+    """Of each component of near-duplicate rows the one of the smallest id, with all its columns.
 
-    Rows without an id stay. Of rows that repeat a kept id, equal texts or
-    not, one stays.
+    Rows without an id stay, and so do those without words. Rows that repeat
+    an id are told apart by their texts: of equal or near ones one stays, a
+    different text under the same id is a row of its own.
     """
-    found = materialize(near_duplicates(docs, id_col, text_col), "near")
-    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
+    columns = docs.columns
+    plain = docs.toDF(*[f"d{i}" for i in range(len(columns))])
+    own, text = F.col(f"d{columns.index(id_col)}").cast("long"), F.col(f"d{columns.index(text_col)}")
+    if plain.where(own.isNotNull()).groupBy(own.alias("id")).count().where("count > 1").isEmpty():
+        found = materialize(near_duplicates(docs, id_col, text_col).toDF("id", "n", "component"), "near")
+        gone = found.where("component <> id").select("id")
+    else:
+        plain = materialize(plain.withColumn("own", own).withColumn("row", F.monotonically_increasing_id()), "numbered")
+        own = F.col("row")
+        found = near_duplicates(plain.where("own IS NOT NULL").select("row", text.alias("text")), "row", "text")
+        found = materialize(found.toDF("id", "n", "component"), "near")
+        by_id = found.join(plain.select(F.col("row").alias("id"), "own"), "id")
+        kept = by_id.groupBy("component").agg(F.min(F.struct("own", "id")).alias("k")).select("component", "k.id")
+        gone = found.join(kept, ["component", "id"], "left_anti").select("id")
     gone = broadcast_if_small(materialize(gone, "gone"))
-    left = docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
-    again = found.groupBy(id_col).count().where(f"count > 1 AND `{id_col}` IS NOT NULL")
-    if again.isEmpty():
-        return left
-    one = Window.partitionBy(F.col(f"`{id_col}`")).orderBy(F.length(F.col(f"`{text_col}`")).desc(), F.col(f"`{text_col}`"))
-    numbered = left.withColumn("__n", F.row_number().over(one))
-    return numbered.where(F.col(f"`{id_col}`").isNull() | (F.col("__n") == 1)).select([F.col(f"`{c}`") for c in docs.columns])
+    left = plain.join(gone, own == F.col("id"), "left_anti")
+    return left.select(*[f"d{i}" for i in range(len(columns))]).toDF(*columns)

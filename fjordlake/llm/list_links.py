@@ -8,64 +8,97 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import materialize
+from .storage import discard, materialize
+
+Fits = Callable[[Column, Column], Column]
+
+def _pairs(entries: DataFrame, other: DataFrame, possible: Column) -> DataFrame:
+    found = entries.join(other, "key").where(possible)
+    return found.select(F.least("f.item", "item").alias("a"), F.greatest("f.item", "item").alias("b")).distinct()
 
 
 def link_lists(
     postings: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
-    fits: Callable[[Column, Column, Column, Column], Column],
+    fits: Fits,
+    met: Fits | None = None,
     screen: Callable[[DataFrame], DataFrame] | None = None,
+    rounds: int = 4,
+    pairs_an_entry: int = 64,
 ) -> DataFrame:
     """Verified links ``a, b`` that connect all items of a list that are linked through candidates.
 
-    ``postings`` has a row ``key, item, n, early, p, q`` for each item of each
-    list; p and q name two keys whose lists the item is in also, or are null,
-    and a pair that shares one of them is left to that list. If an item is
-    early in a list, so it is in those that p and q name;
-    ``verify`` keeps the linked ones of some pairs ``a, b``; ``fits(n, early,
-    m, early_m)`` says whether two entries of a list may be linked at all;
-    ``screen`` drops pairs that cannot be linked before they are verified.
-    The links do not hold every pair: inside a list all items are first
-    verified against the smallest one. Components follow from those links,
-    and only lists whose items are still in several of them go on, with the
-    pairs of an item that is apart from the smallest item and any item in
-    another component. So a list of near copies costs as many pairs as it
-    has items, and no pair is left out whose items are in different
-    components.
-    """
-    entry = F.struct("item", "n", "early")
-    first = postings.groupBy("key").agg(F.min(entry).alias("f"))
-    possible = fits(F.col("n"), F.col("early"), F.col("f.n"), F.col("f.early"))
-    pairs = postings.join(first, "key").where((F.col("item") != F.col("f.item")) & possible)
-    tried = materialize(pairs.select(F.col("f.item").alias("a"), F.col("item").alias("b")).distinct(), "pairs")
-    found = verify(screen(tried) if screen else tried)
+    ``postings`` has a row ``key, item, mark`` for each item of each list.
+    ``fits(mark, other)`` says whether two entries of a list may be linked at
+    all, ``met(mark, other)`` whether the two are in another list also that
+    the pair is left to; ``screen`` drops pairs that cannot be linked before
+    ``verify`` keeps the linked ones of some pairs ``a, b``.
 
-    label = components(found).withColumnRenamed("node", "item")
-    labelled = postings.join(label, "item", "left").withColumn("part", F.coalesce("component", "item")).drop("component")
-    parts = labelled.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.min(F.struct("item", "part")).alias("f"))
-    parts = parts.where("x < y").select("key", F.col("f.part").alias("first_part"))
-    apart = labelled.join(parts, "key").withColumn("minor", F.col("part") != F.col("first_part")).drop("first_part")
-    apart = materialize(apart, "apart")
-    other = apart.where("minor").select("key", F.struct("item", "n", "early", "part", "p", "q").alias("f"))
-    possible = fits(F.col("n"), F.col("early"), F.col("f.n"), F.col("f.early")) & (F.col("part") != F.col("f.part"))
-    met = F.coalesce(F.expr("p = f.p OR p = f.q OR q = f.p OR q = f.q"), F.lit(False))
-    pairs = apart.join(other, "key").where(possible & ~met & (~F.col("minor") | (F.col("f.item") < F.col("item"))))
-    pairs = pairs.select(F.least("f.item", "item").alias("a"), F.greatest("f.item", "item").alias("b")).distinct()
-    rest = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    return found.unionByName(verify(screen(rest) if screen else rest))
+    The links do not hold every pair: inside a list all items are verified
+    against one, at first the smallest. Components follow from the links, and
+    only lists whose items are still in several of them go on, in each round
+    against another item drawn by a hash, and only with items of other
+    components. So a list costs as many pairs as it has items in each round;
+    when few items are apart, so that pairs come to ``pairs_an_entry`` times
+    the entries of all lists at most, or after ``rounds`` rounds, those that
+    are not in their list's main component meet all others of the list, so no
+    pair is left out whose items are in different components.
+    """
+    found: DataFrame | None = None
+    tried: DataFrame | None = None
+    entries = postings.withColumn("part", F.col("item"))
+    for turn in range(rounds + 1):
+        order = F.xxhash64("item", F.lit(turn)) if turn else F.col("item")
+        entry = F.struct(order.alias("order"), "item", "mark", "part")
+        first = entries.groupBy("key").agg(F.min(entry).alias("f"))
+        every = turn == rounds
+        if turn and not every:
+            minor = entries.join(first.select("key", F.col("f.part").alias("p")), "key")
+            size = minor.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("part") != F.col("p")).cast("long")).alias("m"))
+            total = size.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("pairs")).first()
+            every = total.n is None or total.pairs <= pairs_an_entry * total.n
+        apart = (F.col("part") != F.col("f.part")) & fits(F.col("mark"), F.col("f.mark"))
+        if every:
+            main = entries.join(first.select("key", F.col("f.part").alias("p")), "key")
+            main = main.withColumn("minor", F.col("part") != F.col("p")).drop("p")
+            other = main.where("minor").select("key", F.struct("item", "mark", "part").alias("f"))
+            once = ~F.col("minor") | (F.col("f.item") < F.col("item"))
+            left = ~met(F.col("mark"), F.col("f.mark")) if met else F.lit(True)
+            pairs = _pairs(main, other, apart & once & left)
+        else:
+            pairs = _pairs(entries, first, apart)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        links = verify(screen(pairs) if screen else pairs)
+        found = links if found is None else found.unionByName(links)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if every:
+            return found
+        label = components(found).withColumnRenamed("node", "item")
+        labelled = entries.drop("part").join(label, "item", "left").withColumn("part", F.coalesce("component", "item")).drop("component")
+        parts = labelled.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("key")
+        again = materialize(labelled.join(parts, "key"), "apart")
+        if turn:
+            discard(entries)
+        discard(label)
+        entries = again
+        if entries.isEmpty():
+            return found
+    return found
 
 
 def all_links(
     postings: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
-    fits: Callable[[Column, Column, Column, Column], Column],
+    fits: Fits,
+    met: Fits | None = None,
     screen: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Every verified link ``a, b``, a below b: as :func:`link_lists`, but with all pairs of each list."""
-    other = postings.select("key", F.struct("item", "n", "early", "p", "q").alias("f"))
-    possible = fits(F.col("n"), F.col("early"), F.col("f.n"), F.col("f.early"))
-    met = F.coalesce(F.expr("p = f.p OR p = f.q OR q = f.p OR q = f.q"), F.lit(False))
-    pairs = postings.join(other, "key").where(possible & ~met & (F.col("f.item") < F.col("item")))
-    pairs = materialize(pairs.select(F.col("f.item").alias("a"), F.col("item").alias("b")).distinct(), "pairs")
+    other = postings.select("key", F.struct("item", "mark").alias("f"))
+    possible = fits(F.col("mark"), F.col("f.mark")) & (F.col("f.item") < F.col("item"))
+    if met:
+        possible &= ~met(F.col("mark"), F.col("f.mark"))
+    pairs = materialize(_pairs(postings, other, possible), "pairs")
     return verify(screen(pairs) if screen else pairs)

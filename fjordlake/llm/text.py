@@ -219,12 +219,14 @@ def distinct_by_row(values: np.ndarray, owner: np.ndarray, n_rows: int) -> tuple
     return flat, np.concatenate([[0], np.cumsum(sizes)])
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose texts in ``column`` come to about ``most_bytes`` at most."""
+def chunks(batches: Iterator[pa.RecordBatch], *columns: str | int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose texts in ``columns`` come to about the bytes given last (4 MB) at most."""
+    names = [c for c in columns if isinstance(c, str)]
+    most_bytes = next((c for c in columns if isinstance(c, int)), 4 << 20)
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        lengths = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in names)
         part = np.cumsum(lengths) // most_bytes
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
