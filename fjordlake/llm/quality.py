@@ -233,8 +233,9 @@ def quality(
     rows = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
     short = rows.where(F.col("__id").isNotNull() & (F.length("__text") <= settings.most_chars))
     near = short.select("__id").distinct().orderBy(F.xxhash64("__id"), "__id").limit(settings.sample_rows)
-    sample = short.join(F.broadcast(materialize(near, "sample")), "__id").collect()
-    texts = sorted({(r["__id"], r["__text"]) for r in sample})
+    # one text for each id, so that the sample is bounded however often an id repeats
+    sample = short.join(F.broadcast(materialize(near, "sample")), "__id").groupBy("__id").agg(F.min("__text").alias("__text"))
+    texts = sorted((r["__id"], r["__text"]) for r in sample.collect())
     column = pa.array([t for _, t in texts], pa.large_string())
     target = np.array([chance.get(p, 0.5) for p in patterns_of(votes(column)).tolist()])
     scorer = Scorer(settings).fit([t for _, t in texts], target)

@@ -303,15 +303,17 @@ def fit(docs: DataFrame, labels: DataFrame, shape: Shape, id_col: str, text_col:
     ``shape.toxic_rows`` and ``shape.clean_rows``, and of those the texts of
     up to ``shape.most_chars`` characters, whole.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(F.col(id_col)))
-    known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
+    own, label = F.col(f"`{id_col}`"), F.col(f"`{label_col}`")
+    known = labels.where(label.isNotNull() & own.isNotNull() & ~is_held_out(own))
+    known = known.groupBy(own.alias("__id")).agg(F.max(label).cast("int").alias("__y"))
     near = F.xxhash64("__id")
     sample = known.where("__y > 0").orderBy(near, "__id").limit(shape.toxic_rows)
     sample = sample.unionByName(known.where("__y = 0").orderBy(near, "__id").limit(shape.clean_rows))
     sample = F.broadcast(materialize(sample, "sample"))
     texts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
-    rows = texts.where(F.length("__text") <= shape.most_chars).join(sample, "__id").collect()
-    rows = sorted({(r["__id"], r["__y"], r["__text"]) for r in rows})
+    # one text for each id, so that the sample is bounded however often an id repeats
+    rows = texts.where(F.length("__text") <= shape.most_chars).join(sample, "__id").groupBy("__id", "__y").agg(F.min("__text").alias("__text"))
+    rows = sorted((r["__id"], r["__y"], r["__text"]) for r in rows.collect())
     return train([t for _, _, t in rows], [int(y > 0) for _, y, _ in rows], shape)
 
 
@@ -351,8 +353,8 @@ def toxicity(
     """
     network = fit(docs, labels, shape or Shape(), id_col, text_col, label_col)
     return score(docs, network, [id_col], text_col).select(
-        F.col(id_col),
-        is_held_out(F.col(id_col)).alias("held_out"),
+        F.col(f"`{id_col}`"),
+        is_held_out(F.col(f"`{id_col}`")).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )

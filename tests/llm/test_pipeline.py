@@ -39,3 +39,23 @@ def test_each_decision_takes_effect(spark, tmp_path):
     assert named["ngram_jaccard_join"] == {2, 4, 5, 6, 7}
     assert named["benchmark_decontamination"] == {2, 5, 6, 7} == named["best_fit_packing"]
     assert {r.doc_id for r in P.run(spark, str(tmp_path)).collect()} == seen["best_fit_packing"]
+
+
+def test_stages_on_nulls_repeats_clashes_and_nothing(spark, tmp_path):
+    kinds = "doc_id long, text string, d0 string, score double, component_id long, gone int, sha string, id long, row long"
+    long = " ".join(f"t{i % 700}" for i in range(9000))
+    rows = [(1, "a b c d e f g", "x", 0.5, 1, 1, "s", 1, 1), (1, "a b c d e f g", "x", 0.5, 1, 1, "s", 1, 1), (1, "other words of one", None, None, None, None, None, None, None),
+            (None, "a b c d e f g", "y", None, 2, 2, "t", 2, 2), (None, None, None, None, None, None, None, None, None), (3, None, "z", 1.0, 3, 3, "u", 3, 3),
+            (4, "", "", 0.0, 4, 4, "", 4, 4), (5, long, "w", 0.1, 5, 5, "v", 5, 5)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("q", "nothing like it at all here")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    full, empty = spark.createDataFrame(rows, kinds), spark.createDataFrame([], kinds)
+    for name, stage in P.STAGES:
+        out = stage(spark, full, str(tmp_path))
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+        ids = [r.doc_id for r in out.collect()]
+        assert {1, 4, 5} <= set(ids), name  # a null text is an empty one, so 3 goes with 4
+        if name != "best_fit_packing":
+            assert out.columns == full.columns
+            full = spark.createDataFrame(out.collect(), kinds)
+    assert ids.count(1) == 2 and ids.count(5) > 8  # two texts of document 1; a long text in pieces
