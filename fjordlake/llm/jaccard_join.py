@@ -20,7 +20,7 @@ from .text import SPACE, chunks, distinct_by_row, exact, mix, shingles, words
 _SUBSET = 2
 _MOST_COMMON = 1 << 20
 _LEAST_COMMON = 4
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 #: Sets above this size are large whatever the costs; a boundary there never pays.
 _MOST_SUBSET_SIZE = 256
 

@@ -6,6 +6,7 @@ not per Python object. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _STEP = 1 << 19
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 #: Words above this many bytes are hashed one by one.
@@ -219,8 +221,18 @@ def distinct_by_row(values: np.ndarray, owner: np.ndarray, n_rows: int) -> tuple
     return flat, np.concatenate([[0], np.cumsum(sizes)])
 
 
+def release() -> None:
+    """Gives memory that is free back to the system; a Python worker goes on with other stages' tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], *columns: str | int) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose texts in ``columns`` come to about the bytes given last (4 MB) at most."""
+    """Slices of the batches whose texts in ``columns`` come to about the bytes given last (4 MB) at most.
+
+    At the end of a task's rows the worker's free memory is given back.
+    """
     names = [c for c in columns if isinstance(c, str)]
     most_bytes = next((c for c in columns if isinstance(c, int)), 4 << 20)
     for batch in batches:
@@ -231,3 +243,4 @@ def chunks(batches: Iterator[pa.RecordBatch], *columns: str | int) -> Iterator[p
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    release()

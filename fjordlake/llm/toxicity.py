@@ -327,7 +327,7 @@ def score(docs: DataFrame, network: Network, keep: list[str], text_col: str = "t
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[: len(keep)]]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, text, 2 << 20):
+        for part in chunks(batches, text, 1 << 20):
             scores = held.value.scores(part.column(text))
             columns = [part.column(c) for c in names[: len(keep)]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores)], names=[*names[: len(keep)], "score"])
