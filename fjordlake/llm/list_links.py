@@ -23,7 +23,7 @@ def link_lists(
     fits: Fits,
     met: Fits | None = None,
     screen: Callable[[DataFrame], DataFrame] | None = None,
-    rounds: int = 4,
+    rounds: int = 2,
     pairs_an_entry: int = 64,
 ) -> DataFrame:
     """Verified links ``a, b`` that connect all items of a list that are linked through candidates.
