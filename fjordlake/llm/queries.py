@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .jaccard_join import near_duplicates
 from .line_dedup import line_report
+from .merkle import verified_manifest
 from .packing import pack_documents
 from .quality import quality
 from .storage import bound_batches
@@ -65,6 +66,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.drop("longest_match", "longest_item", "longest_start")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -76,4 +81,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
