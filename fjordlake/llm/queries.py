@@ -16,6 +16,7 @@ from .packing import pack_documents
 from .quality import quality
 from .storage import bound_batches
 from .substring_dedup import repeated_passages
+from .suffix_dedup import suffix_dedup
 from .suffix_tree import score_texts
 from .token_files import token_files
 from .toxicity import toxicity
@@ -71,6 +72,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents")).drop("cut")
 
@@ -87,5 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_suffix_array_dedup": op12_suffix_array_dedup,
     "op13_phrase_collocations": op13_phrase_collocations,
 }

@@ -85,13 +85,14 @@ def broadcast_if_small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= _BROADCAST_ROWS else rows
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, salts: int = 32) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, salts: int = 32, weight: int | None = None) -> DataFrame:
     """``rows`` left-joined with a materialised table of one row a ``key``, however many rows have one key.
 
     Few groups are broadcast; more are joined by the key and a salt, so that
-    the rows of one key are dealt to ``salts`` tasks.
+    the rows of one key are dealt to ``salts`` tasks. ``weight`` is what counts
+    instead of the number of groups where these hold arrays.
     """
-    if groups.count() <= _BROADCAST_ROWS:
+    if (groups.count() if weight is None else weight) <= _BROADCAST_ROWS:
         return rows.join(F.broadcast(groups), key, "left")
     salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
