@@ -35,8 +35,6 @@ from .text import chunks, hash_slices, mix, release, text_buffer
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _COUNTED = "lang string, phrase string, n long"
 _SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
-#: Bits of the bitmap of frequent runs: 8 MB on the driver and in a worker, whatever the input.
-_BITS = 26
 _SALTS = 8
 
 
@@ -117,7 +115,7 @@ def _runs(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], marks=None,
 
 
 def _bit(hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    at = hashes >> np.uint64(64 - _BITS)
+    at = hashes >> np.uint64(65 - (64 * len(marks)).bit_length())
     return (marks[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -132,19 +130,19 @@ def _counted(table: DataFrame, least: int, sizes: tuple[int, ...], marks=None, m
     return materialize(combined.mapInArrow(merge, _COUNTED), f"runs{max(sizes)}")
 
 
-def _marks(spark: SparkSession, runs: DataFrame, size: int):
+def _marks(spark: SparkSession, runs: DataFrame, size: int, bits: int):
     """The bitmap of runs of ``size`` words, broadcast."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "phrase"):
             data, starts, ends, row = _words(batch.column("phrase"))
-            at = _run_hashes(batch.column("lang"), hash_slices(data, starts, ends), row, size)[::size] >> np.uint64(64 - _BITS)
+            at = _run_hashes(batch.column("lang"), hash_slices(data, starts, ends), row, size)[::size] >> np.uint64(64 - bits)
             word, bit = at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63))
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bit.view(np.int64))], ["word", "bits"])
 
     words = runs.mapInArrow(places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    found = words.toArrow()  # at most 2 ** (_BITS - 6) rows
-    marks = np.zeros(1 << (_BITS - 6), np.uint64)
+    found = words.toArrow()  # at most 2 ** (bits - 6) rows
+    marks = np.zeros(1 << (bits - 6), np.uint64)
     marks[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return spark.sparkContext.broadcast(marks)
 
@@ -195,10 +193,13 @@ def _inner(candidates: DataFrame) -> DataFrame:
 
 def collocations(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
-    least: int = 100, most_words: int = 5, share: int = 100, top: int = 2000,
+    least: int = 100, most_words: int = 5, share: int = 100, top: int = 2000, bits: int = 26,
 ) -> DataFrame:
     """The ``top`` phrases of 2 to ``most_words`` words of each language by the score of their weakest cut.
 
+    ``bits`` is the size of the bitmap of frequent runs (8 MB on the driver
+    and in a worker, whatever the input) and has no effect on the result.
+
     Candidates occur at least ``least`` times within pieces. One is dropped
     if its words lie inside a longer candidate that has at least ``share``
     per cent of its occurrences. Returns ``lang, rank, phrase, a, l, r, n,
@@ -217,9 +218,9 @@ def collocations(
     totals = materialize(table.groupBy("lang").agg(F.sum(F.col("n") * F.size(F.split("piece", " "))).alias("n")), "totals")
     runs = [_counted(table, least, (1,))]
     for size in range(2, min(most_words, 3) + 1):
-        runs.append(_counted(table, least, (size,), _marks(spark, runs[-1], size - 1), size - 1))
+        runs.append(_counted(table, least, (size,), _marks(spark, runs[-1], size - 1, bits), size - 1))
     if most_words > 3:
-        runs.append(_counted(table, least, tuple(range(4, most_words + 1)), _marks(spark, runs[-1], 3), 3))
+        runs.append(_counted(table, least, tuple(range(4, most_words + 1)), _marks(spark, runs[-1], 3, bits), 3))
     discard(table)
     found = reduce(DataFrame.unionByName, runs[1:]).withColumnRenamed("n", "a")
     scored = _scored(found, reduce(DataFrame.unionByName, runs), totals)
