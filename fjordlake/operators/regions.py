@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import REGIONS
+from .asof import nearest_asof
 
 _BOUNDS = ["lon_min", "lon_max", "lat_min", "lat_max"]
 
@@ -45,10 +46,5 @@ def corners(lat_offset: Column, lon_offset: Column, box: tuple[float, float, flo
 
 
 def nearest_hours(targets: DataFrame, available: DataFrame) -> DataFrame:
-    """``target, nearest``: of the available hours (a column ``hour``) the nearest, the earlier of two as near.
-
-    Hours of a forecast are few: they are gathered in one sorted array.
-    """
-    hours = available.agg(F.array_sort(F.collect_set("hour")).alias("hours"))
-    spread = F.transform("hours", lambda h: F.struct(F.abs(h - F.col("target")).alias("d"), h.alias("h")))
-    return targets.crossJoin(F.broadcast(hours)).select("target", F.array_min(spread)["h"].alias("nearest"))
+    """``target, nearest`` of each distinct target: of the available hours (a column ``hour``) the nearest, the earlier of two as near."""
+    return nearest_asof(targets, available.select(F.col("hour").alias("target")), "target")

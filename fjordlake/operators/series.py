@@ -64,55 +64,6 @@ def gap_sessions(rows: DataFrame, by: str, gap: str, time: str = "ts") -> DataFr
     return grouped.drop("w")
 
 
-def accepted_changes(rows: DataFrame, by: str, value: str, order: list[str], largest: float, least: float = 0.0) -> DataFrame:
-    """Rows whose value is within ``largest`` of the last accepted one of its group; the first is accepted.
-
-    What is accepted depends on all rows before, so each group is one pass in order.
-    """
-    import pandas as pd
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        last, keep = None, []
-        for x in frame.sort_values(order)[value].tolist():
-            near = last is None or least <= abs(x - last) <= largest
-            keep.append(near)
-            last = x if near else last
-        return frame.sort_values(order)[keep]
-
-    return rows.groupBy(by).applyInPandas(walk, rows.schema)
-
-
-def throttled(rows: DataFrame, by: str, limit_ms: int, time: str = "ts", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """Rows that a throttle passes: at most one in ``limit_ms``, the first at once and the last of a burst at its end."""
-    import pandas as pd
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(list(order)).reset_index(drop=True)
-        at = frame[time].astype("datetime64[us]").astype("int64").to_numpy() // 1000
-        out, due, waiting = [], None, None
-        for k, now in enumerate(at.tolist()):
-            if due is not None and now >= due:
-                if waiting is not None:
-                    out.append((waiting, due))
-                    due, waiting = due + limit_ms, None
-                if now >= due:
-                    due = None
-            if due is None:
-                out.append((k, now))
-                due = now + limit_ms
-            else:
-                waiting = k
-        if waiting is not None:
-            out.append((waiting, due))
-        picked = frame.iloc[[k for k, _ in out]].copy()
-        picked["emitted_ms"] = [t for _, t in out]
-        return picked
-
-    return rows.groupBy(by).applyInPandas(walk, f"{fields}, emitted_ms long")
-
-
 def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
     """Numbers rows of a small table in batches of a size."""
     return rows.withColumn("batch", ((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("int"))

@@ -18,6 +18,7 @@ from ..operators import mask as M
 from ..operators import nearest as N
 from ..operators import raster as R
 from ..operators import regions as G
+from ..operators import scan
 from ..operators import search as Q
 from ..operators import series as E
 from ..sinks.files import features, missing, shared_path, write_document
@@ -415,13 +416,13 @@ def debounced_last(spark, folder):
 @query
 def throttled_events(spark, folder):
     rows = table(spark, folder, "events").select("user_id", "ts", "event_id")
-    return E.throttled(rows, "user_id", 6 * 3_600_000).select("user_id", "event_id", "emitted_ms")
+    return scan.throttled(rows, "user_id", 6 * 3_600_000).select("user_id", "event_id", "emitted_ms")
 
 
 @query
 def accepted_changes(spark, folder):
     rows = table(spark, folder, "events").select("user_id", "ts", "event_id", (F.col("value") / 500).alias("share"))
-    return E.accepted_changes(rows, "user_id", "share", ["ts", "event_id"], 0.5).select("user_id", "event_id", r6(F.col("share")).alias("share"))
+    return scan.accepted_changes(rows, "user_id", "share", ["ts", "event_id"], 0.5).select("user_id", "event_id", r6(F.col("share")).alias("share"))
 
 
 @query

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fjordlake.functions import vectors as V
 from fjordlake.operators import mask as M
 from fjordlake.operators import nearest as N
+from fjordlake.operators import scan
 from fjordlake.operators import raster as R
 from fjordlake.operators import search as Q
 from fjordlake.operators import series as E
@@ -190,11 +191,11 @@ def test_throttle_and_changes_in_batch(spark):
     at = lambda ms: f"2024-01-01 00:00:{ms / 1000:06.3f}"
     rows = [(1, i, at(ms)) for i, ms in enumerate([0, 40, 90, 120, 400, 430])]
     frame = spark.createDataFrame(rows, "user_id int, event_id int, t string").withColumn("ts", F.col("t").cast("timestamp_ntz")).drop("t")
-    got = E.throttled(frame, "user_id", 100).orderBy("emitted_ms").collect()
+    got = scan.throttled(frame, "user_id", 100).orderBy("emitted_ms").collect()
     base = min(r.emitted_ms for r in got)
     assert [(r.event_id, r.emitted_ms - base) for r in got] == [(0, 0), (2, 100), (3, 200), (4, 400), (5, 500)]
     shares = spark.createDataFrame([(1, i, v) for i, v in enumerate([0.1, 0.9, 0.4, 0.95, 0.8])], "k int, n int, v double")
-    assert [r.n for r in E.accepted_changes(shares, "k", "v", ["n"], 0.5).orderBy("n").collect()] == [0, 2, 4]
+    assert [r.n for r in scan.accepted_changes(shares, "k", "v", ["n"], 0.5).orderBy("n").collect()] == [0, 2, 4]
 
 
 def test_streams(spark, tmp_path):
