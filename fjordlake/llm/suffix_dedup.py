@@ -5,19 +5,23 @@ short runs in them, their anchor, is. Windows that slide along a text keep an
 anchor for some places, so all windows of a text fall into blocks, one for
 each anchor. A block whose anchor occurs once holds nothing that is repeated,
 one whose anchor always comes with the same bytes is repeated whole. What is
-left, anchors with different blocks, is dealt to shards by ranges of anchors,
-each different block once with its number. A shard's suffix array is made by
+left, anchors with different blocks, is dealt to shards by anchor, each
+different block once with its number. A shard's suffix array is made by
 Larsson-Sadakane refinement: sorted by a few bytes, then only groups of equal
 suffixes are sorted again, by the ranks of what follows, over twice the length
 each time. Kasai's common prefixes of neighbours give classes of equal windows.
-Anchors that reach over the border of a shard send one window of each class,
-and sorted runs of such windows are merged by binary search.
+The blocks of an anchor that has too many for a shard are spread over shards
+and merged by binary search: their windows are halved by their distance from
+the anchor, all windows of a half share more bytes, which is a longer anchor
+for it, and halves are counted across shards as blocks were. So the ends of
+what is repeated are closed in on, until every anchor fits into a shard.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +34,10 @@ from .text import chunks, lanes, mix, release, text_buffer
 _SEGMENT = 1 << 20
 _PLACE = np.uint64((1 << 21) - 1)
 _SALTS = 8
+#: More than is ever broadcast: anchors are joined the same way at every size.
+_MANY = 1 << 62
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_BLOCKS = "key binary, start long, size int, gram long, d1 long, d2 long"
+_BLOCKS = "key binary, start long, size int, anchor int, gram long, d1 long, d2 long"
 
 
 def _two(raw: bytes) -> tuple[int, int]:
@@ -54,8 +60,8 @@ def _least(values: np.ndarray, count: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def blocks(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and anchor's hash of each block of the texts ``data[at[i]:at[i + 1]]``."""
+def blocks(data: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
+    """First window, number of windows, anchor's distance from the first and its hash, of each block of the texts ``data[at[i]:at[i + 1]]``."""
     gram = 8 * max(1, min(4, width // 16))
     ends = np.repeat(at[1:], np.diff(at))
     found = []
@@ -72,24 +78,22 @@ def blocks(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np
         if len(whole):
             anchor = first[whole].astype(np.int64)
             new = np.flatnonzero(np.r_[True, (np.diff(whole) != 1) | (np.diff(anchor) != 0)])
-            found.append((whole[new] + a, np.diff(np.r_[new, len(whole)]), value[anchor[new]].view(np.int64)))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    start, size, anchor = (np.concatenate(x) for x in zip(*found))
-    return start, size, anchor
+            found.append((whole[new] + a, np.diff(np.r_[new, len(whole)]), anchor[new] - whole[new], value[anchor[new]].view(np.int64)))
+    return [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64)] * 4
 
 
 def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Places of all suffixes in order; a suffix at i stops before ``ends[i]``, equal ones are in order of places."""
     n = len(data)
-    left = ends - np.arange(n)
+    left = (ends - np.arange(n)).astype(np.int32)
     bits = (8 * np.minimum(left, 7)).astype(np.uint64)
     key = lanes(data)[:n].byteswap()
     key = (key >> (np.uint64(64) - bits)) << (np.uint64(64) - bits) | np.minimum(left, 7).astype(np.uint64)
-    order = np.argsort(key)
+    order = np.argsort(key).astype(np.int32)
     key = key[order]
-    group = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(n), 0))
-    rank = np.empty(n, np.int64)
+    group = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(n, dtype=np.int32), 0))
+    del key, bits
+    rank = np.empty(n, np.int32)
     rank[order] = group
     had, have = 6, 7
     while True:
@@ -99,7 +103,7 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
             break
         p = order[slots]
         after = np.where(left[p] > have, rank[np.minimum(p + have, n - 1)] + 1, 0)
-        both = rank[p] << 32 | after
+        both = rank[p].astype(np.int64) << 32 | after
         again = np.argsort(both)
         p, both = p[again], both[again]
         order[slots] = p
@@ -153,7 +157,7 @@ def window_classes(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.n
 def _blocks_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text", 1 << 21):
         data, at = text_buffer(batch.column("text"))
-        start, size, anchor = blocks(data, at, width)
+        start, size, anchor, gram = blocks(data, at, width)
         raw = memoryview(np.ascontiguousarray(data))
         row = np.searchsorted(at, start, "right") - 1
         for a in range(0, len(start), 200_000):
@@ -161,8 +165,8 @@ def _blocks_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
             d1, d2 = _pair([raw[i : i + k + width - 1] for i, k in zip(start[some].tolist(), size[some].tolist())])
             inside = pa.array(start[some] - at[row[some]])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(row[some])), inside, pa.array(size[some].astype(np.int32)), pa.array(anchor[some]), pa.array(d1), pa.array(d2)],
-                ["key", "start", "size", "gram", "d1", "d2"],
+                [batch.column("key").take(pa.array(row[some])), inside, *(pa.array(x[some].astype(np.int32)) for x in (size, anchor)), pa.array(gram[some]), pa.array(d1), pa.array(d2)],
+                ["key", "start", "size", "anchor", "gram", "d1", "d2"],
             )
 
 
@@ -176,126 +180,148 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
                 some = asked.slice(a, 1000)
                 at = zip(some.column("start").to_pylist(), some.column("size").to_pylist())
                 cut = pa.array([bytes(raw[k : k + size + width - 1]) for k, size in at], pa.binary())
-                yield some.select(["gram", "d1", "d2", "n"]).append_column("raw", cut)
+                yield some.select(["gram", "d1", "d2", "n", "size", "anchor"]).append_column("raw", cut)
     release()
 
 
-_SOLVED = "gram long, d1 long, d2 long, lo int, hi int, w1 long, w2 long, n long"
+_CUT = "gram long, d1 long, d2 long, n long, size int, anchor int, raw binary"
+#: A part of a block: the block's digest and number, the part's first window in it, and anchor, digest and bytes of the part.
+_PART = "of struct<gram:bigint,d1:bigint,d2:bigint>, n long, lo int, size int, anchor int, gram long, d1 long, d2 long, raw binary"
+_RUNS = "of struct<gram:bigint,d1:bigint,d2:bigint>, lo int, hi int"
+
+
+def _halves(batches: Iterator[pa.RecordBatch], width: int, shift: int) -> Iterator[pa.RecordBatch]:
+    """Parts cut where the windows' distances from the anchor differ in more than their last ``shift`` bits.
+
+    The new anchor is what all windows of such distances share, whether the
+    part has them or not, so that equal windows come to one anchor.
+    """
+    for batch in chunks(batches, "raw", 1 << 21):
+        row, first, size, raws, grams = [], [], [], [], []
+        columns = (batch.column(c).to_pylist() for c in ("size", "anchor", "gram", "raw"))
+        for i, (n, anchor, gram, raw) in enumerate(zip(*columns)):
+            a = 0
+            while a < n:
+                near = (anchor - a) >> shift << shift  # the windows' distances fall from anchor to anchor - n + 1
+                b = min(n, anchor - near + 1)
+                shared = raw[anchor - near : max(anchor - near, anchor - near - (1 << shift) + 1 + width)]
+                row.append(i)
+                first.append(a)
+                size.append(b - a)
+                raws.append(raw[a : b + width - 1])
+                grams.append(_two(gram.to_bytes(8, "little", signed=True) + bytes([shift]) + near.to_bytes(2, "little") + shared)[0])
+                a = b
+        row_, first_ = np.array(row), np.array(first, np.int32)
+        d1, d2 = _pair(raws)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("of").take(pa.array(row_)), batch.column("n").take(pa.array(row_)),
+                pa.array(batch.column("lo").to_numpy()[row_] + first_), pa.array(size, pa.int32()),
+                pa.array(batch.column("anchor").to_numpy()[row_] - first_), pa.array(grams, pa.int64()), pa.array(d1), pa.array(d2), pa.array(raws, pa.binary()),
+            ],
+            ["of", "n", "lo", "size", "anchor", "gram", "d1", "d2", "raw"],
+        )
+    release()
 
 
 def _shard(rows: pa.Table, width: int) -> pa.RecordBatch:
-    """Runs of repeated windows of a shard's blocks; and one window of each class of its first and its last anchor."""
+    """Runs of windows that are repeated in a shard, by its parts' blocks."""
     data, at = text_buffer(rows["raw"].cast(pa.large_binary()).combine_chunks().view(pa.large_string()))
-    gram, n = rows["gram"].to_numpy(), rows["n"].to_numpy()
-    block = np.repeat(np.arange(len(gram)), np.diff(at))
-    place, number = window_classes(data, at[1:][block], width)
-    total = np.bincount(number, weights=n[block[place]].astype(np.float64)).astype(np.int64)
+    part = np.repeat(np.arange(rows.num_rows), np.diff(at))
+    place, number = window_classes(data, at[1:][part], width)
+    total = np.bincount(number, weights=rows["n"].to_numpy()[part[place]].astype(np.float64))
     repeated = np.sort(place[total[number] > 1])
-    new = np.flatnonzero(np.r_[True, (np.diff(repeated) != 1) | (np.diff(block[repeated]) != 0)]) if len(repeated) else np.empty(0, np.int64)
+    new = np.flatnonzero(np.r_[True, (np.diff(repeated) != 1) | (np.diff(part[repeated]) != 0)]) if len(repeated) else np.empty(0, np.int64)
     lo, hi = repeated[new], repeated[np.r_[new[1:] - 1, len(repeated) - 1]] if len(new) else new
-    open_ = (gram == gram[0]) | (gram == gram[-1])
-    sent = open_[block[place]]
-    _, first = np.unique(number[sent], return_index=True)
-    sent = np.flatnonzero(sent)[first]
-    raw = memoryview(np.ascontiguousarray(data))
-    w1, w2 = _pair([raw[i : i + width] for i in place[sent].tolist()])
-    from_, to = np.r_[lo, place[sent]], np.r_[hi, place[sent]]
-    of, runs = block[from_], len(lo)
-    key = [pa.array(rows[c].to_numpy()[of]) for c in ("gram", "d1", "d2")]
-    inside = [pa.array((x - at[of]).astype(np.int32)) for x in (from_, to)]
-    sent_of = [pa.concat_arrays([pa.nulls(runs, pa.int64()), pa.array(x)]) for x in (w1, w2, total[number[sent]])]
-    return pa.RecordBatch.from_arrays([*key, *inside, *sent_of], ["gram", "d1", "d2", "lo", "hi", "w1", "w2", "n"])
+    of = part[lo]
+    ends = [pa.array((x - at[of] + rows["lo"].to_numpy()[of]).astype(np.int32)) for x in (lo, hi)]
+    return pa.RecordBatch.from_arrays([rows["of"].combine_chunks().take(pa.array(of)), *ends], ["of", "lo", "hi"])
 
 
 def _solve(batches: Iterator[pa.RecordBatch], width: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The shards of a task, which hold all parts of their anchors."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size, last = 0, None
     for batch in chunks(batches, "raw", shard_bytes):
-        more = batch.column("raw").nbytes
-        if held and size + more > shard_bytes:
-            yield _shard(pa.Table.from_batches(held), width)
-            held, size = [], 0
-        held.append(batch)
-        size += more
+        gram = batch.column("gram").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(gram)) + 1).tolist(), len(gram)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and size >= shard_bytes and gram[a] != last:
+                yield _shard(pa.Table.from_batches(held), width)
+                held, size = [], 0
+            held.append(batch.slice(a, b - a))
+            size += held[-1].column("raw").nbytes
+            last = gram[a]
     if held:
         yield _shard(pa.Table.from_batches(held), width)
     release()
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of windows sorted by digest those that occur more than once in all shards together."""
-    names = ["gram", "d1", "d2", "lo"]
-
-    def settled(table: pa.Table) -> pa.RecordBatch:
-        w1, w2, n = (table[c].to_numpy() for c in ("w1", "w2", "n"))
-        first = np.flatnonzero(np.r_[True, (np.diff(w1) != 0) | (np.diff(w2) != 0)])
-        up_to = np.r_[0, np.cumsum(n)]
-        run = np.searchsorted(first, np.arange(len(n)), "right")
-        ends = np.r_[first[1:], len(n)]
-        total = up_to[ends[run - 1]] - up_to[first[run - 1]]
-        return table.select(names).filter(pa.array(total > 1)).combine_chunks().to_batches()
-
-    rest = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table])
-        w1, w2 = table["w1"].to_numpy(), table["w2"].to_numpy()
-        last = np.flatnonzero((w1 != w1[-1]) | (w2 != w2[-1]))
-        cut = int(last[-1]) + 1 if len(last) else 0  # the last window may go on in the next batch
-        if cut:
-            yield from settled(table.slice(0, cut))
-        rest = table.slice(cut)
-    if rest is not None:
-        yield from settled(rest)
-
-
 def _text_key(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
 
 
 def _block_hits(rows: DataFrame, width: int, shard_bytes: int) -> DataFrame:
     """Byte ranges ``key, lo, hi`` of texts, one or more for each block with repeated windows."""
-    spark = rows.sparkSession
     all_blocks = materialize(rows.mapInArrow(lambda it: _blocks_of(it, width), _BLOCKS), "blocks")
-    differ = (F.min("d1") != F.max("d1")) | (F.min("d2") != F.max("d2"))
-    grams = all_blocks.groupBy("gram").agg(F.count(F.lit(1)).alias("found"), differ.alias("mixed"))
+    grams = all_blocks.groupBy("gram").agg(F.count(F.lit(1)).alias("found"), _differ().alias("mixed"))
     grams = materialize(grams.where("found > 1").select("gram", "mixed"), "grams")
-    suspects = join_groups(all_blocks, grams, "gram", _SALTS).where("mixed IS NOT NULL")
-    suspects = materialize(suspects.withColumn("block", F.struct("gram", "d1", "d2")).drop("gram", "d1", "d2"), "suspects")
+    suspects = join_groups(all_blocks, grams, "gram", _SALTS, _MANY).where("mixed IS NOT NULL")
+    suspects = materialize(suspects.withColumn("of", F.struct("gram", "d1", "d2")).drop("gram", "d1", "d2"), "suspects")
     discard(all_blocks, grams)
     end = F.col("start") + F.col("size") + F.lit(width - 1)
     whole = suspects.where("NOT mixed").select("key", F.col("start").alias("lo"), end.alias("hi"))
     mixed = suspects.where("mixed").drop("mixed")
 
-    one = mixed.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start", "size")).alias("at"))
-    wanted = one.select("at.key", F.struct("block.gram", "block.d1", "block.d2", "at.start", "at.size", "n").alias("w"))
+    one = mixed.groupBy("of").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start", "size", "anchor")).alias("at"))
+    wanted = one.select("at.key", F.struct("of.gram", "of.d1", "of.d2", "at.start", "at.size", "at.anchor", "n").alias("w"))
     wanted = materialize(wanted.groupBy("key").agg(F.collect_list("w").alias("wanted")), "wanted")
     keys = materialize(wanted.select("key", F.lit(True).alias("is_wanted")), "keys")
     texts = join_groups(rows, keys, "key", _SALTS).where("is_wanted").groupBy("key").agg(F.first("text").alias("text"))
     asked = texts.join(wanted, "key").select("text", "wanted")
-    cut = materialize(asked.mapInArrow(lambda it: _cut(it, width), "gram long, d1 long, d2 long, n long, raw binary"), "cut")
+    cut = materialize(asked.mapInArrow(lambda it: _cut(it, width), _CUT), "cut")
     discard(wanted, keys)
 
-    count = int(cut.agg(F.coalesce(F.sum(F.length("raw")), F.lit(0))).first()[0]) // (32 * shard_bytes)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count)
-    by_anchor = cut.repartitionByRange(tasks, "gram", "d1", "d2").sortWithinPartitions("gram", "d1", "d2")
-    solved = materialize(by_anchor.mapInArrow(lambda it: _solve(it, width, shard_bytes), _SOLVED), "solved")
-    discard(cut)
-    sent = solved.where("w1 IS NOT NULL").select("w1", "w2", "n", "gram", "d1", "d2", "lo")
-    met = sent.repartitionByRange("w1", "w2").sortWithinPartitions("w1", "w2")
-    met = met.mapInArrow(_merged, "gram long, d1 long, d2 long, lo int").withColumn("hi", F.col("lo"))
-    runs = solved.where("w1 IS NULL").select("gram", "d1", "d2", "lo", "hi").unionByName(met)
-    runs = runs.groupBy(F.struct("gram", "d1", "d2").alias("block")).agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
-    runs = materialize(runs, "runs")
+    runs = materialize(_runs(cut, width, shard_bytes), "runs").groupBy("of").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    runs = materialize(runs, "runs_of")
     weight = int(runs.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0])
-    found = join_groups(mixed, runs, "block", _SALTS, weight).where("runs IS NOT NULL")
+    found = join_groups(mixed, runs, "of", _SALTS, weight).where("runs IS NOT NULL")
     parts = found.select("key", "start", F.inline("runs"))
     parts = parts.select("key", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + width).alias("hi"))
     return materialize(whole.unionByName(parts).distinct(), "hits")
 
 
+def _differ() -> Column:
+    return (F.min("d1") != F.max("d1")) | (F.min("d2") != F.max("d2"))
+
+
+def _runs(cut: DataFrame, width: int, shard_bytes: int) -> DataFrame:
+    """Runs of repeated windows of blocks, as first and last window."""
+    spark, most = cut.sparkSession, max(2, shard_bytes // width)
+    parts = cut.select(F.struct("gram", "d1", "d2").alias("of"), "n", F.lit(0).alias("lo"), "size", "anchor", "gram", "d1", "d2", "raw")
+    settled, fitting, shift = [], [], 7
+    while (1 << shift) < width:
+        shift += 1
+    many = materialize(parts.groupBy("gram").count().where(F.col("count") > most).select("gram", F.lit(True).alias("many")), "many")
+    while not many.isEmpty():
+        shift -= 1
+        marked = join_groups(parts, many, "gram", _SALTS)
+        fitting.append(marked.where("many IS NULL").drop("many"))
+        cut_ = lambda it, shift=shift: _halves(it, width, shift)
+        halves = materialize(marked.where("many").drop("many").mapInArrow(cut_, _PART), "halves")
+        counts = halves.groupBy("gram").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("found"), _differ().alias("mixed"))
+        counts = materialize(counts.where("found > 1"), "counts")
+        known = join_groups(halves, counts, "gram", _SALTS).where("mixed IS NOT NULL")
+        settled.append(known.where("NOT mixed").select("of", "lo", (F.col("lo") + F.col("size") - 1).alias("hi")))
+        parts = known.where("mixed").drop("mixed", "parts", "found")
+        many = materialize(counts.where(F.col("mixed") & (F.col("parts") > most)).select("gram", F.lit(True).alias("many")), "many")
+    fitting = reduce(DataFrame.unionByName, [*fitting, parts])
+    size = fitting.agg(F.coalesce(F.sum(F.length("raw")), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size) // (32 * shard_bytes))
+    shards = fitting.repartition(tasks, "gram").sortWithinPartitions("gram")
+    return reduce(DataFrame.unionByName, [*settled, shards.mapInArrow(lambda it: _solve(it, width, shard_bytes), _RUNS)])
+
+
 def _joined(hits: DataFrame) -> DataFrame:
     """Ranges of a text that touch or overlap as one."""
     order = Window.partitionBy("key").orderBy("lo")
@@ -333,9 +359,10 @@ def repeated_strings(
     Null texts are empty, texts below ``width`` bytes keep all. Rows with the
     same text, whatever their ids, repeat each other. Ids may be null or
     repeated; further columns are ignored; an empty table gives an empty
-    result. ``width`` is at least 16. Blocks, texts and windows of other
-    shards are known by 128-bit digests (BLAKE2b, SHA-256), within a shard
-    bytes are compared.
+    result. ``width`` is at least 16. Blocks and texts are known by 128-bit
+    digests (BLAKE2b, SHA-256), within a shard bytes are compared.
+    ``shard_bytes`` bounds what a suffix array is made of, to about three
+    times that, and has no effect on the result.
     """
     if width < 16:
         raise ValueError("width must be at least 16")
