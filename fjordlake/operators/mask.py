@@ -2,48 +2,89 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Edges of a mask up to this many are broadcast (some 50 MB); more are joined by bands of latitude.
-_BROADCAST_EDGES = 1_000_000
+from .ranges import stage
 
 
-def _crossing(lon: Column, lat: Column) -> Column:
+def _crossing(lon: Column, lat: Column, of: Callable[[str], Column] = F.col) -> Column:
     """Whether a ray to the east of a point crosses an edge; a lower end counts and an upper one does not."""
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    meets = F.col("x1") + (lat - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    return F.when((low <= lat) & (lat < high), (lon < meets).cast("int")).otherwise(0)
+    x1, y1, x2, y2 = (of(c) for c in ("x1", "y1", "x2", "y2"))
+    meets = x1 + (lat - y1) * (x2 - x1) / F.nullif(y2 - y1, F.lit(0.0))
+    return F.when((F.least(y1, y2) <= lat) & (lat < F.greatest(y1, y2)), (lon < meets).cast("int")).otherwise(0)
+
+
+def _on_edge(lon: Column, lat: Column, of: Callable[[str], Column] = F.col) -> Column:
+    x1, y1, x2, y2 = (of(c) for c in ("x1", "y1", "x2", "y2"))
+    cross = (x2 - x1) * (lat - y1) - (y2 - y1) * (lon - x1)
+    return (cross == 0) & lon.between(F.least(x1, x2), F.greatest(x1, x2)) & lat.between(F.least(y1, y2), F.greatest(y1, y2))
+
+
+class PolygonGrid:
+    """Polygons on square grids: of each cell whether it is inside a polygon or cut by its edges.
 
+    A polygon of n edges has cells whose side is a power of two, about
+    sqrt(n) along its longer side, so its rows hold few edges. ``cells`` has
+    the cells that are not outside, ``rows`` the edges of each row of cells
+    of each polygon, which are all that a ray from a point in it can cross.
+    """
 
-def _on_edge(lon: Column, lat: Column) -> Column:
-    cross = (F.col("x2") - F.col("x1")) * (lat - F.col("y1")) - (F.col("y2") - F.col("y1")) * (lon - F.col("x1"))
-    inside = lon.between(F.least("x1", "x2"), F.greatest("x1", "x2")) & lat.between(F.least("y1", "y2"), F.greatest("y1", "y2"))
-    return (cross == 0) & inside
+    def __init__(self, edges: DataFrame) -> None:
+        extent = F.greatest(
+            F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2")), F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))
+        )
+        across = F.greatest(F.sqrt(F.count(F.lit(1))), F.lit(4.0))
+        sides = edges.groupBy("poly_id").agg(F.ceil(F.log2(F.greatest(extent / across, F.lit(1e-6)))).cast("int").alias("k"))
+        sized = edges.join(sides, "poly_id").withColumn("s", F.pow(F.lit(2.0), "k"))
+        low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+        banded = sized.withColumn("iy", F.explode(F.sequence(F.floor(low / F.col("s")), F.floor(high / F.col("s")))))
+        at = lambda y: F.col("x1") + (y - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
+        flat = F.col("y1") == F.col("y2")
+        a = F.when(flat, F.col("x1")).otherwise(at(F.greatest(low, F.col("iy") * F.col("s"))))
+        b = F.when(flat, F.col("x2")).otherwise(at(F.least(high, (F.col("iy") + 1) * F.col("s"))))
+        slack = F.col("s") * 1e-9 + 1e-12
+        cut = F.struct(F.floor((F.least(a, b) - slack) / F.col("s")).alias("a"), F.floor((F.greatest(a, b) + slack) / F.col("s")).alias("b"))
+        rows = banded.withColumn("cut", cut).groupBy("poly_id", "k", "s", "iy").agg(
+            F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"), F.collect_list("cut").alias("cuts"), F.min("cut.a").alias("a"), F.max("cut.b").alias("b")
+        )
+        self.rows = stage(rows, "polygon_rows")
+        spread = self.rows.withColumn("ix", F.explode(F.sequence("a", "b")))
+        is_cut = F.exists("cuts", lambda c: (c["a"] <= F.col("ix")) & (F.col("ix") <= c["b"]))
+        centre = self.crossings((F.col("ix") + 0.5) * F.col("s"), (F.col("iy") + 0.5) * F.col("s"))
+        spread = spread.select("poly_id", "k", "s", "ix", "iy", is_cut.alias("cut"), F.when(is_cut, True).otherwise(centre % 2 == 1).alias("held"))
+        self.cells = stage(spread.where("held").drop("held"), "polygon_cells")
+
+    @staticmethod
+    def crossings(x: Column, y: Column) -> Column:
+        """How many of a row's edges a ray to the east of a place crosses."""
+        return F.aggregate("edges", F.lit(0), lambda n, e: n + _crossing(x, y, lambda c: e[c]))
+
+    def containing(self, points: DataFrame, key: str, boundary: bool) -> DataFrame:
+        sides = [r.k for r in self.cells.select("k").distinct().collect()]  # exponents of two: some dozens at most
+        lon, lat = F.col("lon"), F.col("lat")
+        grids = F.array(*[F.lit(k) for k in sides]).cast("array<int>")
+        probes = points.select(key, "lon", "lat", F.explode(grids).alias("k")).withColumn("s", F.pow(F.lit(2.0), "k"))
+        probes = probes.withColumns({"ix": F.floor(lon / F.col("s")), "iy": F.floor(lat / F.col("s"))}).drop("s")
+        met = probes.join(self.cells.drop("s"), ["k", "ix", "iy"])
+        near = met.where("cut").join(self.rows.select("poly_id", "k", "iy", "edges"), ["poly_id", "k", "iy"])
+        odd = self.crossings(lon, lat) % 2 == 1
+        on_edge = F.exists("edges", lambda e: _on_edge(lon, lat, lambda c: e[c]))
+        exact = near.where((odd | on_edge) if boundary else (odd & ~on_edge))
+        return met.where("NOT cut").select(key, "poly_id").unionByName(exact.select(key, "poly_id"))
 
 
 def containing(points: DataFrame, edges: DataFrame, key: str, boundary: bool = False) -> DataFrame:
     """``key, poly_id`` of each polygon around each point, counted by the parity of crossings.
 
     Each polygon counts for itself, so overlaps do not cancel and holes do
-    work. Points on an edge are inside if ``boundary`` says so. The edges are
-    joined by their range of latitude; a large mask is not broadcast but met
-    by bands of a tenth of a degree.
+    work. Points on an edge are inside if ``boundary`` says so. Points meet
+    cells of a :class:`PolygonGrid` by equality, and only those in cut cells
+    the edges of their row; keys are not repeated.
     """
-    lon, lat = F.col("lon"), F.col("lat")
-    spans = (F.least("y1", "y2") <= lat) & (lat <= F.greatest("y1", "y2"))
-    if edges.count() <= _BROADCAST_EDGES:
-        joined = points.join(F.broadcast(edges), spans)
-    else:
-        banded = edges.withColumn(
-            "band", F.explode(F.sequence(F.floor(F.least("y1", "y2") * 10), F.floor(F.greatest("y1", "y2") * 10)))
-        )
-        joined = points.withColumn("band", F.floor(lat * 10)).join(banded, "band").where(spans)
-    sides = joined.groupBy(key, "poly_id").agg(
-        (F.sum(_crossing(lon, lat)) % 2 == 1).alias("odd"), F.max(_on_edge(lon, lat)).alias("edge")
-    )
-    inside = (F.col("odd") | F.col("edge")) if boundary else (F.col("odd") & ~F.col("edge"))
-    return sides.where(inside).select(key, "poly_id")
+    return PolygonGrid(edges).containing(points, key, boundary)
 
 
 def inside(points: DataFrame, edges: DataFrame, key: str, boundary: bool = False) -> DataFrame:

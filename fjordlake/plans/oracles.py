@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..constants import ARROW_COLOURS, ARROW_TOP, CONTROL_POINTS, FUTURE, KNOT_BINS, MONTHS, PAST, RAMPS, REGIONS, WEEKDAYS, rgb
-from .fixtures import BASE, DAY, LAT, LON, RADIUS, RINGS, TOLERANCE
+from .fixtures import BASE, DAY, HOLE, LAT, LON, OUTER, RADIUS, RINGS, TOLERANCE
 
 
 def _d(x) -> str:
@@ -29,6 +29,13 @@ _RING = "ring(poly_id, ring_id, seq, x, y) AS (VALUES " + _values(
     (p, r, i, x, y) for p, r, corners in RINGS for i, (x, y) in enumerate(corners)
 ) + """), edge AS (SELECT * FROM (SELECT poly_id, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2
  FROM ring WINDOW w AS (PARTITION BY poly_id, ring_id ORDER BY seq)) WHERE x2 IS NOT NULL)"""
+_RINGS_OF = "corner(ring_id, seq, dx, dy) AS (VALUES " + _values(
+    (k, i, x, y) for k, corners in enumerate((OUTER, HOLE)) for i, (x, y) in enumerate(corners)
+) + """), sized AS (SELECT point_id, lat, lon, count(*) AS n, 0.1::DOUBLE + count(*) % 5 * 0.1::DOUBLE AS hx,
+ 0.1::DOUBLE + count(*) FILTER (event_type = 'error') % 4 * 0.08::DOUBLE AS hy FROM obs GROUP BY ALL),
+ring AS (SELECT point_id AS poly_id, ring_id::INT AS ring_id, seq::INT AS seq, lon + dx*hx AS x, lat + dy*hy AS y FROM sized, corner WHERE ring_id = 0 OR n % 3 = 0),
+edge AS (SELECT * FROM (SELECT poly_id, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2
+ FROM ring WINDOW w AS (PARTITION BY poly_id, ring_id ORDER BY seq)) WHERE x2 IS NOT NULL)"""
 _CROSS = """CASE WHEN least(y1,y2) <= lat AND lat < greatest(y1,y2)
  THEN (lon < x1 + (lat - y1)*(x2 - x1)/(y2 - y1))::INT ELSE 0 END"""
 _ON = """((x2-x1)*(lat-y1) - (y2-y1)*(lon-x1) = 0 AND lon BETWEEN least(x1,x2) AND greatest(x1,x2)
@@ -186,25 +193,25 @@ SELECT round(west, 6) AS west, round(east, 6) AS east, round(south, 6) AS south,
     "raster_stats_by_hour": _with(_OBS) + """, s AS (SELECT strftime(ts, '%Y-%m-%d') AS day, salinity - 2 AS x, CASE WHEN salinity - 2 < 0 THEN 0::DOUBLE ELSE salinity - 2 END AS y FROM obs)
 SELECT day, round(min(y), 6) AS least, round(max(y), 6) AS most, round(avg(y), 4) AS mean, count(y) AS n, count(*) FILTER (x IS NULL) AS n_missing,
  count(*) FILTER (x < 0) AS n_negative, round(count(*) FILTER (x IS NULL)/count(*)::DOUBLE*100, 6) AS missing_share FROM s GROUP BY day""",
-    "point_in_polygon": _with(_OBS, _RING, _inside("pts", "point_id")) + "SELECT point_id, poly_id::BIGINT AS poly_id, false AS closed FROM sides WHERE odd AND NOT on_edge UNION ALL SELECT point_id, poly_id::BIGINT, true FROM sides WHERE odd OR on_edge",
-    "water_semi_join": _with(_OBS, _RING, _inside("pts", "point_id")) + """SELECT point_id, count(*) AS n FROM obs WHERE (round(lat*10000)::BIGINT, round(lon*10000)::BIGINT) IN
+    "point_in_polygon": _with(_OBS, _RINGS_OF, _inside("pts", "point_id")) + "SELECT point_id, poly_id::BIGINT AS poly_id, false AS closed FROM sides WHERE odd AND NOT on_edge UNION ALL SELECT point_id, poly_id::BIGINT, true FROM sides WHERE odd OR on_edge",
+    "water_semi_join": _with(_OBS, _RINGS_OF, _inside("pts", "point_id")) + """SELECT point_id, count(*) AS n FROM obs WHERE (round(lat*10000)::BIGINT, round(lon*10000)::BIGINT) IN
  (SELECT (round(lat*10000)::BIGINT, round(lon*10000)::BIGINT) FROM pts JOIN wet USING (point_id)) GROUP BY point_id""",
-    "mask_grid": _with(_RING, _lattice(48), _inside("cells", "cell")) + "SELECT i, count(*) AS n, min(j) AS first_j, max(j) AS last_j FROM cells JOIN wet USING (cell) GROUP BY i",
-    "mask_bounds": _with(_RING) + """SELECT min(x) AS west, max(x) AS east, min(y) AS south, max(y) AS north, 'all' AS of FROM ring UNION ALL
+    "mask_grid": _with(_OBS, _RINGS_OF, _lattice(48), _inside("cells", "cell")) + "SELECT i, count(*) AS n, min(j) AS first_j, max(j) AS last_j FROM cells JOIN wet USING (cell) GROUP BY i",
+    "mask_bounds": _with(_OBS, _RINGS_OF) + """SELECT min(x) AS west, max(x) AS east, min(y) AS south, max(y) AS north, 'all' AS of FROM ring UNION ALL
 SELECT min(x), max(x), min(y), max(y), 'outer' FROM ring WHERE ring_id = 0 AND poly_id < 3 UNION ALL SELECT 7.5::DOUBLE, 13.5::DOUBLE, 54.5::DOUBLE, 58::DOUBLE, 'none'""",
-    "polygon_report": _with(_RING) + f""", p AS (SELECT *, {_d(LON)} AS lon, {_d(LAT)} AS lat, (x2-x1)*(x2-x1)+(y2-y1)*(y2-y1) AS size FROM edge),
+    "polygon_report": _with(_OBS, _RINGS_OF) + f""", p AS (SELECT *, {_d(LON)} AS lon, {_d(LAT)} AS lat, (x2-x1)*(x2-x1)+(y2-y1)*(y2-y1) AS size FROM edge),
 q AS (SELECT *, least(greatest(((lon-x1)*(x2-x1)+(lat-y1)*(y2-y1))/size, 0), 1) AS t FROM p)
-SELECT poly_id::BIGINT AS poly_id, min(least(x1,x2)) AS west, max(greatest(x1,x2)) AS east, min(least(y1,y2)) AS south, max(greatest(y1,y2)) AS north, sum({_CROSS}) % 2 = 1 AS holds,
+SELECT poly_id::BIGINT AS poly_id, round(min(least(x1,x2)), 6) AS west, round(max(greatest(x1,x2)), 6) AS east, round(min(least(y1,y2)), 6) AS south, round(max(greatest(y1,y2)), 6) AS north, sum({_CROSS}) % 2 = 1 AS holds,
  round(CASE WHEN sum({_CROSS}) % 2 = 1 THEN 0::DOUBLE ELSE min(sqrt(pow(x1+t*(x2-x1)-lon, 2)+pow(y1+t*(y2-y1)-lat, 2))) END, 6) AS distance FROM q GROUP BY poly_id""",
-    "edge_nearest": _with(_OBS) + f""", o AS (SELECT * FROM obs WHERE {_DAY} AND temperature IS NOT NULL),
+    "edge_nearest": _with(_OBS) + """, o AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM obs WHERE temperature IS NOT NULL),
 e AS (SELECT s*25 + k AS id, s, k/24::DOUBLE AS f FROM range(4) a(s), range(25) b(k)),
 p AS (SELECT id, CASE WHEN s < 2 THEN 10.3::DOUBLE + f*(16.6::DOUBLE-10.3::DOUBLE) WHEN s = 2 THEN 10.3::DOUBLE ELSE 16.6::DOUBLE END AS lon,
  CASE WHEN s = 0 THEN 54.9::DOUBLE WHEN s = 1 THEN 59.6::DOUBLE ELSE 54.9::DOUBLE + f*(59.6::DOUBLE-54.9::DOUBLE) END AS lat FROM e)
-SELECT id, round(any_value(p.lon), 6) AS lon, round(any_value(p.lat), 6) AS lat,
- round(arg_min(temperature, ((o.lon-p.lon)*(o.lon-p.lon)+(o.lat-p.lat)*(o.lat-p.lat), event_id)), 6) AS temperature FROM p, o GROUP BY id""",
-    "nearest_raster": _with(_OBS, _RING, _lattice(24), _inside("cells", "cell")) + f""", o AS (SELECT *, {_SPEED} AS speed FROM obs WHERE {_DAY}),
-n AS (SELECT cell, arg_min(speed, ((o.lon-c.lon)*(o.lon-c.lon)+(o.lat-c.lat)*(o.lat-c.lat), event_id)) AS speed FROM cells c, o GROUP BY cell)
-SELECT i, j, CASE WHEN wet.cell IS NOT NULL THEN round(speed, 6) END AS speed FROM cells JOIN n USING (cell) LEFT JOIN wet USING (cell)""",
+SELECT day, id::INT AS id, round(any_value(p.lon), 6) AS lon, round(any_value(p.lat), 6) AS lat,
+ round(arg_min(temperature, ((o.lon-p.lon)*(o.lon-p.lon)+(o.lat-p.lat)*(o.lat-p.lat), event_id)), 6) AS temperature FROM p, o GROUP BY day, id""",
+    "nearest_raster": _with(_OBS, _RINGS_OF, _lattice(24), _inside("cells", "cell")) + f""", o AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day, {_SPEED} AS speed FROM obs),
+n AS (SELECT day, cell, arg_min(speed, ((o.lon-c.lon)*(o.lon-c.lon)+(o.lat-c.lat)*(o.lat-c.lat), event_id)) AS speed FROM cells c, o GROUP BY day, cell)
+SELECT day, i, j, CASE WHEN wet.cell IS NOT NULL THEN round(speed, 6) END AS speed FROM cells JOIN n USING (cell) LEFT JOIN wet USING (cell)""",
     "color_ramp": _with(_OBS) + ", c AS (" + " UNION ALL ".join([_ramp("current", _SPEED), _ramp("temperature", "temperature"), _ramp("salinity", "salinity")]) + ") SELECT parameter, r, g, b, count(*) AS n FROM c GROUP BY ALL",
     "arrow_color": _with(_OBS) + f"SELECT event_id, {_arrow(0)} AS r, {_arrow(1)} AS g, {_arrow(2)} AS b FROM obs",
     "progress_colors": _with(_OBS) + f""", h AS (SELECT DISTINCT {_HOUR} AS hour FROM obs)
@@ -262,7 +269,7 @@ SELECT asked, parameter, count(value) AS n, round(max(value), 6) AS most FROM va
  WHERE asked = 'all' OR parameter IN ('salinity', 'temperature') GROUP BY ALL""",
     "first_images": _with(_OBS) + """, h AS (SELECT DISTINCT date_trunc('hour', ts) AS hour FROM obs)
 SELECT 'all' AS of, strftime(hour, '%Y-%m-%d %H') AS hour FROM h UNION ALL SELECT * FROM (SELECT 'first', strftime(hour, '%Y-%m-%d %H') FROM h ORDER BY hour LIMIT 5)""",
-    "mask_document": _with(_RING) + "SELECT poly_id::BIGINT AS poly_id, ring_id, seq, x, y FROM ring",
+    "mask_document": _with(_OBS, _RINGS_OF) + "SELECT (dense_rank() OVER (ORDER BY poly_id) - 1)::BIGINT AS feature, ring_id, seq, round(x, 6) AS x, round(y, 6) AS y FROM ring",
     "area_documents": _with(_OBS) + f"""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS time_str,
  (row_number() OVER (PARTITION BY point_id ORDER BY strftime(ts, '%Y-%m-%dT%H:%M:%S.%g'), u, v, temperature, salinity) - 1)::INT AS seq, false AS is_point_specific,
  round(lat, 6) AS lat, round(lon, 6) AS lon, u, v, round(temperature, 6) AS temperature, round(salinity, 6) AS salinity FROM obs WHERE {_DAY}""",

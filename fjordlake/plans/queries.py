@@ -24,7 +24,7 @@ from ..operators import series as E
 from ..sinks.files import features, missing, shared_path, write_document
 from ..sources import area, catalog, coverage, geometry
 from ..sources.observations import observations, table
-from .fixtures import BASE, DAY, LAT, LON, RADIUS, TOLERANCE, ring_points
+from .fixtures import BASE, DAY, LAT, LON, RADIUS, TOLERANCE, event_rings, ring_points
 
 BOX = (LON_MIN, LON_MAX, LAT_MIN, LAT_MAX)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,11 @@ def points(spark: SparkSession, folder: str) -> DataFrame:
     return observations(spark, folder).select("point_id", "lat", "lon").distinct()
 
 
+def mask_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges of the polygons around the points of the events."""
+    return geometry.edges(event_rings(observations(spark, folder)))
+
+
 @query
 def arrows_at_hour(spark, folder):
     """Arrows of one day: first entry of each point, zero components missing, regions looked up."""
@@ -272,7 +277,7 @@ def raster_stats_by_hour(spark, folder):
 @query
 def point_in_polygon(spark, folder):
     places = points(spark, folder)
-    edges = geometry.edges(ring_points(spark))
+    edges = mask_edges(spark, folder)
     open_ = M.containing(places, edges, "point_id").withColumn("closed", F.lit(False))
     return open_.unionByName(M.containing(places, edges, "point_id", boundary=True).withColumn("closed", F.lit(True)))
 
@@ -281,22 +286,22 @@ def point_in_polygon(spark, folder):
 def water_semi_join(spark, folder):
     """Observations whose rounded coordinates are those of a point in the water."""
     rows = observations(spark, folder).select("point_id", "event_id", "lat", "lon")
-    water = M.inside(points(spark, folder), geometry.edges(ring_points(spark)), "point_id")
+    water = M.inside(points(spark, folder), mask_edges(spark, folder), "point_id")
     keys = {"lat_key": V.key4(F.col("lat")), "lon_key": V.key4(F.col("lon"))}
     return M.wet(rows, water, keys).groupBy("point_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def mask_grid(spark, folder):
-    cells = geometry.lattice(spark, 48, *BOX).withColumn("cell", F.col("i") * 48 + F.col("j"))
-    return M.inside(cells, geometry.edges(ring_points(spark)), "cell").groupBy("i").agg(
+    cells = geometry.lattice(spark.range(1).drop("id"), 48, *BOX).withColumn("cell", F.col("i") * 48 + F.col("j"))
+    return M.inside(cells, mask_edges(spark, folder), "cell").groupBy("i").agg(
         F.count(F.lit(1)).alias("n"), F.min("j").alias("first_j"), F.max("j").alias("last_j")
     )
 
 
 @query
 def mask_bounds(spark, folder):
-    rings = ring_points(spark)
+    rings = event_rings(observations(spark, folder))
     return M.mask_bounds(rings, (7.5, 13.5, 54.5, 58.0)).withColumn("of", F.lit("all")).unionByName(
         M.mask_bounds(rings.where("ring_id = 0 AND poly_id < 3"), (7.5, 13.5, 54.5, 58.0)).withColumn("of", F.lit("outer"))
     ).unionByName(M.mask_bounds(rings.where("false"), (7.5, 13.5, 54.5, 58.0)).withColumn("of", F.lit("none")))
@@ -304,26 +309,29 @@ def mask_bounds(spark, folder):
 
 @query
 def polygon_report(spark, folder):
-    found = M.polygon_report(geometry.edges(ring_points(spark)), LON, LAT)
-    return found.withColumn("distance", r6(F.col("distance")))
+    found = M.polygon_report(mask_edges(spark, folder), LON, LAT)
+    return found.withColumns({c: r6(F.col(c)) for c in ("west", "east", "south", "north", "distance")})
 
 
 @query
 def edge_nearest(spark, folder):
-    """Values on the edge of the box, from the nearest observation of a day."""
-    rows = of_day(observations(spark, folder)).where("temperature IS NOT NULL")
-    found = N.nearest(N.box_edge(spark, 25, *BOX), rows, "id", "temperature", "event_id")
-    return found.select("id", r6(F.col("lon")).alias("lon"), r6(F.col("lat")).alias("lat"), r6(F.col("temperature")).alias("temperature"))
+    """Values on the edge of the box on each day, from the nearest observation of the day."""
+    rows = observations(spark, folder).withColumn("day", day()).where("temperature IS NOT NULL")
+    edge = N.box_edge(rows.select("day").distinct(), 25, *BOX)
+    found = N.nearest(edge, rows, "id", "temperature", "event_id", ["day"])
+    return found.select("day", "id", r6(F.col("lon")).alias("lon"), r6(F.col("lat")).alias("lat"), r6(F.col("temperature")).alias("temperature"))
 
 
 @query
 def nearest_raster(spark, folder):
-    """A masked raster of a day's speeds from the nearest observations."""
-    rows = of_day(observations(spark, folder)).withColumn("speed", V.magnitude(F.col("u"), F.col("v")))
-    cells = geometry.lattice(spark, 24, *BOX).withColumn("cell", F.col("i") * 24 + F.col("j"))
-    wet = M.inside(cells, geometry.edges(ring_points(spark)), "cell").select("cell", F.lit(True).alias("wet"))
-    found = N.nearest(cells, rows, "cell", "speed", "event_id").join(wet, "cell", "left")
-    return found.select("i", "j", r6(F.when(F.col("wet"), F.col("speed"))).alias("speed"))
+    """A masked raster of each day's speeds from the nearest observations."""
+    rows = observations(spark, folder).withColumns({"day": day(), "speed": V.magnitude(F.col("u"), F.col("v"))})
+    cell = F.col("i") * 24 + F.col("j")
+    cells = geometry.lattice(rows.select("day").distinct(), 24, *BOX).withColumn("cell", cell)
+    one = geometry.lattice(spark.range(1).drop("id"), 24, *BOX).withColumn("cell", cell)
+    wet = M.inside(one, mask_edges(spark, folder), "cell").select("cell", F.lit(True).alias("wet"))
+    found = N.nearest(cells, rows, "cell", "speed", "event_id", ["day"]).join(wet, "cell", "left")
+    return found.select("day", "i", "j", r6(F.when(F.col("wet"), F.col("speed"))).alias("speed"))
 
 
 @query
@@ -588,7 +596,7 @@ def first_images(spark, folder):
 @query
 def mask_document(spark, folder):
     """The mask as GeoJSON, written to the shared folder and read back as points of rings."""
-    rings = ring_points(spark).groupBy("poly_id", "ring_id").agg(F.sort_array(F.collect_list(F.struct("seq", F.array("x", "y").alias("xy")))).alias("p"))
+    rings = event_rings(observations(spark, folder)).groupBy("poly_id", "ring_id").agg(F.sort_array(F.collect_list(F.struct("seq", F.array("x", "y").alias("xy")))).alias("p"))
     polygons = rings.groupBy("poly_id").agg(F.sort_array(F.collect_list(F.struct("ring_id", "p"))).alias("r"))
     shape = F.struct(
         F.lit("Feature").alias("type"),
@@ -600,7 +608,7 @@ def mask_document(spark, folder):
     collection = feature.agg(F.transform(F.sort_array(F.collect_list(F.struct("poly_id", "f"))), lambda x: x["f"]).alias("features"))
     collection.select(F.lit("FeatureCollection").alias("type"), "features").write.json(path)
     found = geometry.read_mask(spark, path)
-    return found.select((F.col("poly_id") / 1_000_000 + 1).cast("bigint").alias("poly_id"), "ring_id", "seq", "x", "y")
+    return found.select((F.col("poly_id") / 1_000_000).cast("bigint").alias("feature"), "ring_id", "seq", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
 
 
 @query

@@ -33,12 +33,13 @@ def edges(points: DataFrame) -> DataFrame:
     return rows.where("x2 IS NOT NULL")
 
 
-def lattice(spark: SparkSession, n: int, lon_min: float, lon_max: float, lat_min: float, lat_max: float) -> DataFrame:
-    """An n by n lattice with its ends: ``i`` counts rows of latitude from below, ``j`` columns."""
-    cells = spark.range(n * n).select(F.floor(F.col("id") / n).cast("int").alias("i"), (F.col("id") % n).cast("int").alias("j"))
+def lattice(groups: DataFrame, n: int, lon_min: float, lon_max: float, lat_min: float, lat_max: float) -> DataFrame:
+    """For each row of ``groups`` an n by n lattice with its ends: ``i`` counts rows of latitude from below, ``j`` columns."""
+    axis = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cells = groups.withColumn("i", axis).withColumn("j", axis)
     lat = F.lit(lat_min) + F.col("i") * F.lit(lat_max - lat_min) / F.lit(n - 1)
     lon = F.lit(lon_min) + F.col("j") * F.lit(lon_max - lon_min) / F.lit(n - 1)
-    return cells.select("i", "j", lat.alias("lat"), lon.alias("lon"))
+    return cells.select("*", lat.alias("lat"), lon.alias("lon"))
 
 
 def stepped(start: float, stop: float, step: float) -> list[float]:
