@@ -149,12 +149,13 @@ SELECT hour, step, nearest, floor(least(greatest((hour + 400)/700::DOUBLE, 0), 1
 SELECT point_id, day, round(temperature, 6) AS temperature FROM f WHERE k = 1 AND temperature IS NOT NULL""",
     "series_by_point": _with(_OBS) + """SELECT point_id, count(*) AS n, min(ts) AS first_ts, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS ids FROM obs GROUP BY point_id""",
     "series_validity": _with(_OBS) + """SELECT point_id, bool_and(temperature IS NOT NULL AND salinity IS NOT NULL) AS all_valid, bool_or(temperature IS NOT NULL OR salinity IS NOT NULL) AS any_valid FROM obs GROUP BY point_id""",
-    "merge_parameter_batches": _with(_OBS) + """, d AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM obs),
-base AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY point_id, day ORDER BY ts, event_id) = 1),
-batch AS (SELECT * FROM d WHERE event_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY point_id, day ORDER BY ts, event_id) = 1)
-SELECT base.point_id, base.day, round(base.temperature, 6) AS temperature,
- round(CASE WHEN batch.event_type <> 'click' THEN batch.salinity ELSE base.salinity END, 6) AS salinity
-FROM base LEFT JOIN batch ON base.point_id = batch.point_id AND base.day = batch.day""",
+    "merge_parameter_batches": _with(_OBS) + """, a AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY ts, event_id) - 1 AS k FROM obs),
+b AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY ts, event_id) - 1 AS k FROM obs WHERE event_type <> 'error')
+SELECT a.point_id AS position, a.k::INT AS k, (CASE WHEN a.event_type <> 'click' THEN 2 ELSE 1 END)::INT AS n_values,
+ round(CASE WHEN b.event_type = 'purchase' THEN -b.u ELSE a.u END, 6) AS u, round(a.v, 6) AS v,
+ round(CASE WHEN b.event_type <> 'click' THEN b.v ELSE a.temperature END, 6) AS temperature,
+ round(CASE WHEN a.event_type <> 'click' THEN a.salinity END, 6) AS salinity
+FROM a LEFT JOIN b ON b.point_id = a.point_id AND b.k = a.k AND b.ts = a.ts""",
     "union_control_points": _with(_OBS, _CONTROL) + """SELECT point_id, lat, lon, NULL::VARCHAR AS name, false AS is_point_specific FROM pts
 UNION ALL SELECT NULL::BIGINT, lat, lon, name, true FROM control""",
     "dedup_by_key": _with(_OBS) + """SELECT round(lat*10000)::BIGINT AS lat_key, round(lon*10000)::BIGINT AS lon_key, round(arg_min(lat, (ts, event_id)), 6) AS lat,
@@ -246,6 +247,14 @@ SELECT point_id, (pos // 6)::INT AS t, (pos // 3 % 2)::INT AS y, (pos % 3)::INT
     "neighbour_mean": _with(_OBS) + """, f AS (SELECT floor((lat - 54.9::DOUBLE)*4)::INT AS i, floor((lon - 10.3::DOUBLE)*4)::INT AS j, avg(u) AS z FROM obs GROUP BY 1, 2),
 a AS (SELECT i + di AS i, j + dj AS j, z FROM f, (VALUES (-1), (0), (1)) p(di), (VALUES (-1), (0), (1)) q(dj) WHERE di <> 0 OR dj <> 0)
 SELECT i::INT AS i, j::INT AS j, round(avg(z), 4) AS z, count(*) AS n FROM a WHERE (i, j) NOT IN (SELECT (i, j) FROM f) GROUP BY i, j""",
+    "dilated_raster": _with(_OBS).replace("WITH", "WITH RECURSIVE", 1) + f""", f AS (SELECT strftime(ts, '%Y-%m-%d') AS day, floor((lat - 54.9::DOUBLE)*4)::INT AS i, floor((lon - 10.3::DOUBLE)*4)::INT AS j, avg({_SPEED}) AS z
+ FROM obs WHERE event_type = 'error' GROUP BY ALL),
+g AS (SELECT d.day, a.i::INT AS i, b.j::INT AS j, f.z FROM (SELECT DISTINCT day FROM f) d, range(19) a(i), range(26) b(j) LEFT JOIN f ON f.day = d.day AND f.i = a.i AND f.j = b.j),
+r(k, day, i, j, z, sweep) AS (SELECT 0, day, i, j, z, CASE WHEN z IS NOT NULL THEN 0 END FROM g UNION ALL
+ SELECT any_value(c.k) + 1, c.day, c.i, c.j, coalesce(any_value(c.z), CASE WHEN bool_or(n.z IS NOT NULL AND (n.i = c.i OR n.j = c.j)) THEN avg(n.z) END),
+  coalesce(any_value(c.sweep), CASE WHEN any_value(c.z) IS NULL AND bool_or(n.z IS NOT NULL AND (n.i = c.i OR n.j = c.j)) THEN any_value(c.k) + 1 END)
+ FROM r c JOIN r n ON n.day = c.day AND n.i BETWEEN c.i - 1 AND c.i + 1 AND n.j BETWEEN c.j - 1 AND c.j + 1 WHERE c.k < 20 GROUP BY c.day, c.i, c.j)
+SELECT day, i, j, sweep::INT AS sweep, round(z, 4) AS z FROM r WHERE k = 20""",
     "first_of_area": _with(_OBS) + """, r AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS rank FROM obs)
 SELECT day, rank::INT AS rank, event_id FROM r WHERE rank <= 3""",
     "raster_job_statistics": _with(_OBS, _RING, _lattice(32), _inside("cells", "cell")) + f""", p AS (SELECT event_id AS seq, lon, lat, {_SPEED} AS current, temperature, salinity - 2 AS salinity FROM obs WHERE {_DAY}),
@@ -272,7 +281,7 @@ SELECT 'all' AS of, strftime(hour, '%Y-%m-%d %H') AS hour FROM h UNION ALL SELEC
     "mask_document": _with(_OBS, _RINGS_OF) + "SELECT (dense_rank() OVER (ORDER BY poly_id) - 1)::BIGINT AS feature, ring_id, seq, round(x, 6) AS x, round(y, 6) AS y FROM ring",
     "area_documents": _with(_OBS) + f"""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS time_str,
  (row_number() OVER (PARTITION BY point_id ORDER BY strftime(ts, '%Y-%m-%dT%H:%M:%S.%g'), u, v, temperature, salinity) - 1)::INT AS seq, false AS is_point_specific,
- round(lat, 6) AS lat, round(lon, 6) AS lon, u, v, round(temperature, 6) AS temperature, round(salinity, 6) AS salinity FROM obs WHERE {_DAY}""",
+ round(lat, 6) AS lat, round(lon, 6) AS lon, u, v, round(temperature, 6) AS temperature, round(salinity, 6) AS salinity FROM obs""",
     "image_of_hour": _with(_OBS) + f""", t AS (SELECT DISTINCT strftime(ts, '%Y-%m-%dT%H') AS hour FROM obs WHERE {_DAY})
 SELECT parameter, asked, (SELECT min(hour) || ':00:00.000Z' FROM t WHERE hour = '{DAY}T' || asked) AS timestamp
  FROM (VALUES ('current'), ('temperature'), ('salinity')) p(parameter), (VALUES ('00'), ('09'), ('15'), ('24')) a(asked)""",

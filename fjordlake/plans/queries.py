@@ -15,12 +15,14 @@ from ..functions import layout as L
 from ..functions import sun as S
 from ..functions import vectors as V
 from ..operators import mask as M
+from ..operators import merge as P
 from ..operators import nearest as N
 from ..operators import raster as R
 from ..operators import regions as G
 from ..operators import scan
 from ..operators import search as Q
 from ..operators import series as E
+from ..operators.dilate import dilate
 from ..sinks.files import features, missing, shared_path, write_document
 from ..sources import area, catalog, coverage, geometry
 from ..sources.observations import observations, table
@@ -156,14 +158,26 @@ def series_validity(spark, folder):
 
 @query
 def merge_parameter_batches(spark, folder):
-    """A batch of salinities, some present but null, merged into the base by point and day."""
-    rows = observations(spark, folder).select("point_id", "ts", "event_id", "temperature", "salinity", "event_type").withColumn("day", day())
-    base = E.first_entry(rows.drop("event_type"), "point_id", "day").select("point_id", "day", "temperature", "salinity")
-    batch = E.first_entry(rows.where("event_id % 3 = 0"), "point_id", "day")
-    batch = batch.select("point_id", "day", "salinity", (F.col("event_type") != "click").alias("has_salinity"))
-    return E.merge_batch(base, batch, ["point_id", "day"], ["salinity"]).select(
-        "point_id", "day", r6(F.col("temperature")).alias("temperature"), r6(F.col("salinity")).alias("salinity")
+    """Series of temperatures with two batches merged in by position: one of the same times, one that lacks some of them."""
+    rows = observations(spark, folder)
+    fields = ("ts", "event_id", "event_type", "u", "v", "temperature", "salinity")
+    always = F.lit(True)
+
+    def nested(part, current, values):
+        entry = lambda e: F.struct(e["ts"].alias("time"), P.present(**current(e)).alias("current"), P.present(**values(e)).alias("values"))
+        ordered = F.sort_array(F.collect_list(F.struct(*fields)))
+        return part.groupBy(F.col("point_id").alias("position")).agg(ordered.alias("e")).select("position", F.transform("e", entry).alias("entries"))
+
+    base = nested(rows, lambda e: {"u": (e["u"], always)}, lambda e: {"temperature": (e["temperature"], always)})
+    same = nested(rows, lambda e: {"v": (e["v"], always)}, lambda e: {"salinity": (e["salinity"], e["event_type"] != "click")})
+    some = nested(
+        rows.where("event_type <> 'error'"),
+        lambda e: {"u": (-e["u"], e["event_type"] == "purchase")}, lambda e: {"temperature": (e["v"], e["event_type"] != "click")},
     )
+    merged = P.merge_by_position(base, [same, None, some])
+    out = merged.select("position", F.posexplode("entries").alias("k", "e"))
+    at = lambda m, k: r6(F.col(f"e.{m}")[k]).alias(k)
+    return out.select("position", "k", F.size("e.values").alias("n_values"), at("current", "u"), at("current", "v"), at("values", "temperature"), at("values", "salinity"))
 
 
 @query
@@ -483,6 +497,17 @@ def neighbour_mean(spark, folder):
     return near.join(full.select("i", "j"), ["i", "j"], "left_anti").groupBy("i", "j").agg(F.round(F.avg("z"), 4).alias("z"), F.count(F.lit(1)).alias("n"))
 
 
+@query
+def dilated_raster(spark, folder):
+    """Each day's lattice of quarter degrees with mean speeds of failed events, its gaps filled from their edges."""
+    rows = observations(spark, folder).where("event_type = 'error'").withColumn("day", day())
+    cell = {"i": F.floor((F.col("lat") - LAT_MIN) * 4).cast("int"), "j": F.floor((F.col("lon") - LON_MIN) * 4).cast("int")}
+    full = rows.withColumns(cell).groupBy("day", "i", "j").agg(F.avg(V.magnitude(F.col("u"), F.col("v"))).alias("z"))
+    lattice = full.select("day").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(18)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(25))))
+    cells = lattice.join(full, ["day", "i", "j"], "left").withColumns({"lat": F.col("i") * 0.25, "lon": F.col("j") * 0.25})
+    return dilate(cells, "z", ["day"]).select("day", "i", "j", "sweep", F.round("z", 4).alias("z"))
+
+
 @query
 def linear_raster(spark, folder):
     return _rasters(spark, folder, "linear", False)
@@ -613,8 +638,8 @@ def mask_document(spark, folder):
 
 @query
 def area_documents(spark, folder):
-    """A day's observations as nested documents of 64 points each, written gzipped and read back as a long table."""
-    rows = of_day(observations(spark, folder)).withColumn("time_str", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    """Observations as nested documents of 64 points each, written gzipped and read back as a long table."""
+    rows = observations(spark, folder).withColumn("time_str", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
     named = rows.select("point_id", "lat", "lon", F.lit(None).cast("string").alias("name"), F.lit(False).alias("is_point_specific"), "time_str", "u", "v", "temperature", "salinity")
     nested = area.document(named, "point_id").withColumn("doc", F.floor(F.col("point_id") / 64)).drop("point_id")
     path = shared_path(spark, "area")
