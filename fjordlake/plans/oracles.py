@@ -282,6 +282,11 @@ SELECT 'all' AS of, strftime(hour, '%Y-%m-%d %H') AS hour FROM h UNION ALL SELEC
     "area_documents": _with(_OBS) + f"""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS time_str,
  (row_number() OVER (PARTITION BY point_id ORDER BY strftime(ts, '%Y-%m-%dT%H:%M:%S.%g'), u, v, temperature, salinity) - 1)::INT AS seq, false AS is_point_specific,
  round(lat, 6) AS lat, round(lon, 6) AS lon, u, v, round(temperature, 6) AS temperature, round(salinity, 6) AS salinity FROM obs""",
+    "document_sizes": """WITH w AS (SELECT * FROM events WHERE event_type <> 'click' OR value > 250)
+SELECT event_type AS kind, count(*) AS n_rows, sum(strlen('{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '"}') + 1)::BIGINT AS raw_bytes,
+ true AS smaller, count(*) AS n_read, max(event_id) AS last_event FROM w GROUP BY event_type""",
+    "refreshed_table": """SELECT user_id, count(*) AS n, max(event_id) AS last_event, 'first' AS version FROM events WHERE event_type <> 'click' GROUP BY user_id
+UNION ALL SELECT user_id, count(*), max(event_id), 'second' FROM events GROUP BY user_id""",
     "image_of_hour": _with(_OBS) + f""", t AS (SELECT DISTINCT strftime(ts, '%Y-%m-%dT%H') AS hour FROM obs WHERE {_DAY})
 SELECT parameter, asked, (SELECT min(hour) || ':00:00.000Z' FROM t WHERE hour = '{DAY}T' || asked) AS timestamp
  FROM (VALUES ('current'), ('temperature'), ('salinity')) p(parameter), (VALUES ('00'), ('09'), ('15'), ('24')) a(asked)""",

@@ -23,7 +23,9 @@ from ..operators import scan
 from ..operators import search as Q
 from ..operators import series as E
 from ..operators.dilate import dilate
+from ..sinks.documents import Documents, Folder
 from ..sinks.files import features, missing, shared_path, write_document
+from ..sinks.versions import Versions
 from ..sources import area, catalog, coverage, geometry
 from ..sources.observations import observations, table
 from .fixtures import BASE, DAY, LAT, LON, RADIUS, TOLERANCE, event_rings, ring_points
@@ -649,6 +651,37 @@ def area_documents(spark, folder):
     return found.select("time_str", "seq", "is_point_specific", *values)
 
 
+@query
+def document_sizes(spark, folder):
+    """Events written as documents by kind, one kind written again: rows and bytes by the manifest, and rows read back."""
+    spark.dataSource.register(Documents)
+    rows = table(spark, folder, "events")
+    body = F.to_json(F.struct("event_id", "user_id", "event_type")).alias("body")
+    path = shared_path(spark, "documents")
+    for part in (rows, rows.where("event_type = 'click' AND value > 250")):
+        part.select(F.col("event_type").alias("kind"), body).write.format("documents_by_kind").mode("append").save(path)
+    listed = spark.createDataFrame(Folder(path).manifest(), "kind string, file string, rows long, raw_bytes long, bytes long")
+    sizes = listed.groupBy("kind").agg(
+        F.sum("rows").alias("n_rows"), F.sum("raw_bytes").alias("raw_bytes"), (F.sum("bytes") < F.sum("raw_bytes")).alias("smaller")
+    )
+    back = spark.read.format("documents_by_kind").load(path).groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n_read"), F.max(F.get_json_object("body", "$.event_id").cast("long")).alias("last_event")
+    )
+    return sizes.join(back, "kind")
+
+
+@query
+def refreshed_table(spark, folder):
+    """Rows by user of a table's first version, read after it was refreshed, and of its second."""
+    rows = table(spark, folder, "events").select("event_id", "user_id", "event_type")
+    versions = Versions(spark, shared_path(spark, "versions"))
+    versions.write(rows.where("event_type <> 'click'"))
+    open_ = versions.read()
+    versions.write(rows)
+    counted = lambda frame, name: frame.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event")).withColumn("version", F.lit(name))
+    return counted(open_, "first").unionByName(counted(versions.read(), "second"))
+
+
 @query
 def image_of_hour(spark, folder):
     """The picture of an hour by the metadata of a day's pictures, written and read back."""

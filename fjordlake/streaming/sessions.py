@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sinks.versions import Versions
+
 
 def drag_sessions(events: DataFrame, gap: str, late: str, by: str = "user_id", time: str = "ts") -> DataFrame:
     """Sessions that end after a gap without events, with their last event: one row each once the watermark has passed it."""
@@ -61,11 +63,17 @@ def throttle(events: DataFrame, limit_ms: int, by: str = "user_id", time: str =
     )
 
 
-def keep_fresh(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Replaces a table by each batch of newly arrived files that has rows, so readers see the newest document."""
+def keep_fresh(updates: DataFrame, path: str, checkpoint: str, keep: int = 2) -> StreamingQuery:
+    """A new version of a table for each batch of newly arrived files that has rows.
+
+    The version counts after its write, so readers that are open keep theirs
+    and later ones see the newest document: :class:`~fjordlake.sinks.versions.Versions`.
+    """
 
-    def replace(batch: DataFrame, _: int) -> None:
+    def refresh(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            batch.write.mode("overwrite").parquet(path)
+            versions = Versions(batch.sparkSession, path)
+            versions.write(batch)
+            versions.clear(keep)
 
-    return updates.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return updates.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

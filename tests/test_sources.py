@@ -16,6 +16,7 @@ from fjordlake.operators import raster as R
 from fjordlake.operators import search as Q
 from fjordlake.operators import series as E
 from fjordlake.sinks import files
+from fjordlake.sinks.versions import Versions
 from fjordlake.sources import area, catalog, coverage, geometry, rest
 from fjordlake.streaming import sessions
 
@@ -216,8 +217,8 @@ def test_streams(spark, tmp_path):
     first = min(r.emitted_ms for r in passed if r.user_id == 1)
     mine = sorted((r.emitted_ms - first, r.value) for r in passed if r.user_id == 1)
     assert mine[:3] == [(0, 0.0), (60_000, 2.0), (200_000, 3.0)]
-    sessions.keep_fresh(stream, f"{tmp_path}/fresh", str(tmp_path / "fresh-state")).awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/fresh").count() == len(rows)
+    sessions.keep_fresh(stream, f"file://{tmp_path}/fresh", str(tmp_path / "fresh-state")).awaitTermination()
+    assert Versions(spark, f"file://{tmp_path}/fresh").read().count() == len(rows)
 
 
 def test_lattice_rasters():
