@@ -240,6 +240,10 @@ SELECT p_partkey, layout, layout IN ('desktop','tabletLandscape') AS sidebar, la
     "debounced_last": _with(_SESSION.format(gap="30 MINUTES")) + "SELECT user_id, max(ts) AS last_ts, arg_max(event_id, (ts, event_id)) AS last_event FROM grouped GROUP BY user_id, g",
     "cube_decode": _with(_OBS) + """, p AS (SELECT point_id, salinity, row_number() OVER (PARTITION BY point_id ORDER BY event_id) - 1 AS pos FROM obs)
 SELECT point_id, (pos // 6)::INT AS t, (pos // 3 % 2)::INT AS y, (pos % 3)::INT AS x, round(salinity, 6) AS value FROM p""",
+    "coverage_scan": _with(_OBS) + f""", c AS (SELECT ts::DATE AS day, point_id % 5 AS y, point_id % 7 AS x, max(round({_SPEED}, 6)) AS speed, max(event_id)::DOUBLE AS event FROM obs GROUP BY ALL),
+l AS (SELECT d.day, a.y, b.x, speed, event FROM (SELECT DISTINCT day FROM c) d, range(1, 5) a(y), range(0, 5) b(x) LEFT JOIN c ON c.day = d.day AND c.y = a.y AND c.x = b.x)
+SELECT parameter, 55.0::DOUBLE + y AS lat, 10.0::DOUBLE + x AS lon, count(value) AS n, count(*) - count(value) AS n_missing, round(max(value), 6) AS most
+FROM (SELECT y, x, 'speed' AS parameter, speed AS value FROM l UNION ALL SELECT y, x, 'event', event FROM l UNION ALL SELECT y, x, 'event', event FROM l) GROUP BY ALL""",
     "catalog_filter": """SELECT page_id, split_part(url, '?', 1) AS address, array_to_string(string_split(split_part(url, '?', 1), '/')[1:3], '/') AS head FROM pages WHERE contains(lower(url), 'a')""",
     "parameter_batches": "SELECT n_nationkey, n_name, ((row_number() OVER (ORDER BY n_nationkey) - 1)//4)::INT AS batch FROM nation",
     "skip_existing": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",

@@ -27,6 +27,7 @@ from ..sinks.documents import Documents, Folder
 from ..sinks.files import features, missing, shared_path, write_document
 from ..sinks.versions import Versions
 from ..sources import area, catalog, coverage, geometry
+from ..sources.coverages import Coverages
 from ..sources.observations import observations, table
 from .fixtures import BASE, DAY, LAT, LON, RADIUS, TOLERANCE, event_rings, ring_points
 
@@ -459,6 +460,28 @@ def cube_decode(spark, folder):
     return cells.select("point_id", t.alias("t"), y.alias("y"), x.alias("x"), r6(F.col("e.salinity")).alias("value"))
 
 
+@query
+def coverage_scan(spark, folder):
+    """A cube for each day by two batches of parameters, written as coverages and scanned within bounds."""
+    spark.dataSource.register(Coverages)
+    rows = observations(spark, folder).withColumns({"day": day(), "speed": r6(V.magnitude(F.col("u"), F.col("v")))})
+    path = shared_path(spark, "coverages")
+    cells = rows.groupBy("day", (F.col("point_id") % 5).alias("y"), (F.col("point_id") % 7).alias("x"))
+    cells = cells.agg(F.max("speed").alias("speed"), F.max("event_id").cast("double").alias("event"))
+    days = cells.select("day").distinct()
+    lattice = days.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    flat = lattice.join(cells, ["day", "y", "x"], "left").groupBy("day").agg(F.sort_array(F.collect_list(F.struct("y", "x", "speed", "event"))).alias("c"))
+    axis = lambda first, n: F.struct(F.lit(first).alias("start"), F.lit(first + n - 1).alias("stop"), F.lit(n).alias("num"))
+    cube = F.struct(F.lit("Grid").alias("domainType"), F.struct(F.struct(F.array("day").alias("values")).alias("t"), axis(55.0, 5).alias("y"), axis(10.0, 7).alias("x")).alias("axes"))
+    values = lambda c: F.struct(F.transform("c", lambda e: e[c]).alias("values")).alias(c)
+    for names in (("speed", "event"), ("event",)):
+        document = flat.select(cube.alias("domain"), F.struct(*[values(c) for c in names]).alias("ranges"))
+        document.write.option("ignoreNullFields", "false").json(f"{path}/cube/{'+'.join(names)}")
+    scan_ = spark.read.format("coverages").options(base=path, kind="cube", parameters="speed\nevent\nevent", box="10,55,16,59", mode="skip").load()
+    near = scan_.where((F.col("lat") >= 56.0) & (F.col("lon") <= 14.0))
+    return near.groupBy("parameter", "lat", "lon").agg(F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("n_missing"), r6(F.max("value")).alias("most"))
+
+
 @query
 def catalog_filter(spark, folder):
     """Names that hold a text in any case, their first words, and addresses without a query."""
