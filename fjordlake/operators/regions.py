@@ -38,6 +38,19 @@ def region_of(lon: Column, lat: Column) -> Column:
     return out
 
 
+def region_of_box(west: Column, east: Column, south: Column, north: Column) -> Column:
+    """The region of a box, which is that of its centre."""
+    return region_of((west + east) / 2, (south + north) / 2)
+
+
+def offsets_named(name: Column) -> Column:
+    """Struct ``lat_offset, lon_offset`` of the region of a name; null for other names."""
+    named = F.map_from_entries(
+        F.array(*[F.struct(F.lit(r[0]).alias("k"), F.struct(F.lit(r[5]).alias("lat_offset"), F.lit(r[6]).alias("lon_offset")).alias("v")) for r in REGIONS])
+    )
+    return named[name]
+
+
 def corners(lat_offset: Column, lon_offset: Column, box: tuple[float, float, float, float]) -> Column:
     """Corners of an overlay, clockwise from the top left, as ``lon, lat`` structs."""
     west, east, south, north = box

@@ -39,6 +39,22 @@ def dedup_points(rows: DataFrame, keys: dict[str, Column], order: tuple[str, ...
     return rows.withColumns(keys).groupBy(*keys).agg(*firsts, *lasts)
 
 
+def dedup_series(rows: DataFrame, keys: dict[str, Column], time: str, order: tuple[str, ...], values: list[str]) -> DataFrame:
+    """One row per key and time: the key's first coordinates, and of each value the last of that time that is not null.
+
+    Coordinates are the first of all times of a key, so they are found by an
+    aggregate over the aggregate of key and time and joined to nothing.
+    """
+    place = F.struct(*order)
+    by_time = rows.withColumns(keys).groupBy(*keys, time).agg(
+        F.min(F.struct(*order, "lat", "lon")).alias("first"),
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), place)).alias(c) for c in values],
+    )
+    entry = F.struct(time, *values)
+    points = by_time.groupBy(*keys).agg(F.min("first").alias("first"), F.sort_array(F.collect_list(entry)).alias("entries"))
+    return points.select(*keys, "first.lat", "first.lon", F.inline("entries"))
+
+
 def with_control_points(rows: DataFrame, points: list[tuple[float, float, str]]) -> DataFrame:
     """Grid points and then control points; the latter have names and are marked."""
     extra = rows.sparkSession.createDataFrame(points, "lat double, lon double, name string")
@@ -46,6 +62,24 @@ def with_control_points(rows: DataFrame, points: list[tuple[float, float, str]])
     return marked.unionByName(extra.withColumn("is_point_specific", F.lit(True)), allowMissingColumns=True)
 
 
+def with_control_series(rows: DataFrame, series: DataFrame) -> DataFrame:
+    """Rows of grid points and then those of control points (with ``name``), marked, each with its series."""
+    marked = rows.withColumn("is_point_specific", F.lit(False))
+    return marked.unionByName(series.withColumn("is_point_specific", F.lit(True)), allowMissingColumns=True)
+
+
+def area_counts(rows: DataFrame, place: tuple[str, ...], water: DataFrame | None = None) -> DataFrame:
+    """Numbers of points, of those of the grid, of control points, of points with a value and, by a semi-join, of points in the water."""
+    points = rows.groupBy("is_point_specific", *place).agg(F.max(F.col("temperature").isNotNull() | F.col("salinity").isNotNull()).alias("valid"))
+    if water is not None:
+        points = points.join(water.select(*place).distinct().withColumn("wet", F.lit(True)), list(place), "left")
+    wet = F.count_if("wet") if water is not None else F.lit(None).cast("long")
+    return points.agg(
+        F.count(F.lit(1)).alias("n_points"), F.count_if(~F.col("is_point_specific")).alias("n_grid"), F.count_if("is_point_specific").alias("n_control"),
+        F.count_if("valid").alias("n_valid"), wet.alias("n_water"),
+    )
+
+
 def is_apart(lat: Column, lon: Column, points: list[tuple[float, float, str]], tolerance: float = 0.001) -> Column:
     """Whether no control point is within the tolerance in both axes. A dozen points are cheaper as an expression than a join."""
     near = F.lit(False)

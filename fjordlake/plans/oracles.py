@@ -119,6 +119,8 @@ _LABEL = """CASE WHEN hour = 0 THEN 'Nu' ELSE (CASE WHEN hour > 0 THEN '+' ELSE
 _LONG = """'+' || CASE WHEN floor(hour/24::DOUBLE) > 0 THEN floor(hour/24::DOUBLE)::BIGINT::VARCHAR ||
  CASE WHEN floor(hour/24::DOUBLE) > 1 THEN ' dagar ' ELSE ' dag ' END ELSE '' END || (hour % 24)::VARCHAR || 'h'"""
 _NEAREST = """nearest AS (SELECT target, arg_min(h, (abs(h - target), h)) AS nearest FROM targets, avail GROUP BY target)"""
+_NEAR_CONTROL = """near AS (SELECT c.name, any_value(c.lat) AS lat, any_value(c.lon) AS lon,
+ arg_min(p.point_id, ((p.lon-c.lon)*(p.lon-c.lon)+(p.lat-c.lat)*(p.lat-c.lat), p.point_id)) AS point_id FROM control c, pts p GROUP BY c.name)"""
 _SESSION = """marked AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL {gap}, true)::INT AS fresh FROM events
  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
  grouped AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM marked)"""
@@ -259,6 +261,31 @@ r(k, day, i, j, z, sweep) AS (SELECT 0, day, i, j, z, CASE WHEN z IS NOT NULL TH
   coalesce(any_value(c.sweep), CASE WHEN any_value(c.z) IS NULL AND bool_or(n.z IS NOT NULL AND (n.i = c.i OR n.j = c.j)) THEN any_value(c.k) + 1 END)
  FROM r c JOIN r n ON n.day = c.day AND n.i BETWEEN c.i - 1 AND c.i + 1 AND n.j BETWEEN c.j - 1 AND c.j + 1 WHERE c.k < 20 GROUP BY c.day, c.i, c.j)
 SELECT day, i, j, sweep::INT AS sweep, round(z, 4) AS z FROM r WHERE k = 20""",
+    "arrow_features": _with(_OBS, _REGION) + f""", f AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM obs QUALIFY row_number() OVER (PARTITION BY point_id, ts::DATE ORDER BY ts, event_id) = 1),
+a AS (SELECT *, coalesce((SELECT arg_min(region, ({_AREA}, idx)) FROM region WHERE {_IN_REGION}), 'Default_Östersjön') AS region, point_id % 4 + 5 AS zoom FROM f WHERE u <> 0 AND v <> 0)
+SELECT day, region, (row_number() OVER (PARTITION BY day, region ORDER BY point_id) - 1)::INT AS k,
+ 'rgb(' || {_arrow(0)} || ', ' || {_arrow(1)} || ', ' || {_arrow(2)} || ')' AS color, round({_SPEED}, 6) AS magnitude, CASE WHEN point_id % 2 = 0 THEN 0.8::DOUBLE ELSE 1::DOUBLE END AS opacity,
+ round(90 - degrees(atan2(v, u)), 6) AS rotation, CASE WHEN point_id % 2 <> 0 THEN 0.025::DOUBLE WHEN zoom < 6 THEN 0.010::DOUBLE WHEN zoom < 7 THEN 0.013::DOUBLE ELSE 0.016::DOUBLE END AS size,
+ round(lon, 6) AS lon, round(lat, 6) AS lat FROM a""",
+    "region_of_boxes": _with(_OBS, _REGION) + f""", b AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, (min(lon) + max(lon))/2 AS lon, (min(lat) + max(lat))/2 AS lat FROM obs GROUP BY ALL),
+m AS (SELECT day, event_type, arg_min(idx, ({_AREA}, idx)) AS idx FROM b JOIN region ON {_IN_REGION} GROUP BY ALL)
+SELECT b.day, b.event_type, region, lat_offset, lon_offset FROM b LEFT JOIN m USING (day, event_type) JOIN region ON region.idx = coalesce(m.idx, 25)""",
+    "dedup_by_key_and_time": _with(_OBS) + """, k AS (SELECT *, round(lat*1000)::BIGINT AS lat_key, round(lon*1000)::BIGINT AS lon_key, date_trunc('day', ts)::TIMESTAMP AS hour FROM obs),
+p AS (SELECT lat_key, lon_key, arg_min(lat, (ts, event_id)) AS lat, arg_min(lon, (ts, event_id)) AS lon FROM k GROUP BY ALL)
+SELECT lat_key, lon_key, hour, round(any_value(p.lat), 6) AS lat, round(any_value(p.lon), 6) AS lon,
+ round(arg_max(temperature, (ts, event_id)) FILTER (temperature IS NOT NULL), 6) AS temperature, round(arg_max(salinity, (ts, event_id)) FILTER (salinity IS NOT NULL), 6) AS salinity
+FROM k JOIN p USING (lat_key, lon_key) GROUP BY lat_key, lon_key, hour""",
+    "control_point_series": _with(_OBS, _CONTROL, _NEAR_CONTROL) + """SELECT is_point_specific, name, round(lat, 6) AS lat, round(lon, 6) AS lon, count(*) AS n, min(ts) AS first_ts, round(max(temperature), 6) AS most
+FROM (SELECT false AS is_point_specific, NULL::VARCHAR AS name, lat, lon, ts, temperature FROM obs UNION ALL
+ SELECT true, c.name, c.lat, c.lon, ts, temperature FROM obs JOIN near c USING (point_id)) GROUP BY 1, 2, 3, 4""",
+    "area_counts": _with(_OBS, _CONTROL, _NEAR_CONTROL, _RINGS_OF, _inside("pts", "point_id")) + """, q AS (SELECT lat, lon, false AS c, bool_or(temperature IS NOT NULL OR salinity IS NOT NULL) AS valid FROM obs GROUP BY lat, lon UNION ALL
+ SELECT c.lat, c.lon, true, bool_or(temperature IS NOT NULL OR salinity IS NOT NULL) FROM obs JOIN near c USING (point_id) GROUP BY c.lat, c.lon)
+SELECT count(*) AS n_points, count(*) FILTER (NOT c) AS n_grid, count(*) FILTER (c) AS n_control, count(*) FILTER (valid) AS n_valid,
+ count(*) FILTER ((lat, lon) IN (SELECT (lat, lon) FROM pts JOIN wet USING (point_id))) AS n_water FROM q""",
+    "keyed_maps": _with(_OBS) + """, k AS (SELECT round(lat*1000)::BIGINT AS lat_key, round(lon*1000)::BIGINT AS lon_key, max(event_id) AS last_event FROM obs GROUP BY ALL),
+p AS (SELECT point_id, round(lat*1000)::BIGINT AS lat_key, round(lon*1000)::BIGINT AS lon_key FROM pts)
+SELECT point_id, (SELECT count(*) FROM k WHERE k.lat_key = p.lat_key)::INT AS n_keys, h.last_event AS here, e.last_event AS east FROM p
+ LEFT JOIN k h ON h.lat_key = p.lat_key AND h.lon_key = p.lon_key LEFT JOIN k e ON e.lat_key = p.lat_key AND e.lon_key = p.lon_key + 470""",
     "first_of_area": _with(_OBS) + """, r AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS rank FROM obs)
 SELECT day, rank::INT AS rank, event_id FROM r WHERE rank <= 3""",
     "raster_job_statistics": _with(_OBS, _RING, _lattice(32), _inside("cells", "cell")) + f""", p AS (SELECT event_id AS seq, lon, lat, {_SPEED} AS current, temperature, salinity - 2 AS salinity FROM obs WHERE {_DAY}),

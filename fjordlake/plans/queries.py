@@ -24,7 +24,7 @@ from ..operators import search as Q
 from ..operators import series as E
 from ..operators.dilate import dilate
 from ..sinks.documents import Documents, Folder
-from ..sinks.files import features, missing, shared_path, write_document
+from ..sinks.files import feature_collections, features, missing, shared_path, write_document
 from ..sinks.versions import Versions
 from ..sources import area, catalog, coverage, geometry
 from ..sources.coverages import Coverages
@@ -570,6 +570,79 @@ def geojson_features(spark, folder):
     return features(rows, "magnitude", "rotation", "opacity").select("point_id", "feature")
 
 
+@query
+def arrow_features(spark, folder):
+    """Arrows of each day as a collection for each region, with colour, opacity and size, written as documents and read back."""
+    rows = observations(spark, folder).withColumn("day", day()).select("point_id", "day", "ts", "event_id", "lat", "lon", "u", "v")
+    first = E.first_entry(rows, "point_id", "day")
+    size, c = V.magnitude(F.col("u"), F.col("v")), C.arrow_colour(V.magnitude(F.col("u"), F.col("v")))
+    colour = F.concat(F.lit("rgb("), F.concat_ws(", ", *[c[k].cast("string") for k in "rgb"]), F.lit(")"))
+    mobile, zoom = F.col("point_id") % 2 == 0, (F.col("point_id") % 4 + 5).cast("double")
+    arrows = first.where((F.col("u") != 0) & (F.col("v") != 0)).withColumns({
+        "color": colour, "magnitude": r6(size), "opacity": F.when(mobile, 0.8).otherwise(1.0), "rotation": r6(V.rotation(F.col("u"), F.col("v"))),
+        "size": L.arrow_size(mobile, zoom), "region": G.region_of(F.col("lon"), F.col("lat"))["region"],
+    })
+    names = ("color", "magnitude", "opacity", "rotation", "size")
+    path = shared_path(spark, "arrows")
+    made = feature_collections(arrows, ["day", "region"], "point_id", *names)
+    made.write.json(path)
+    read = spark.read.schema(made.schema).json(path).where("type = 'FeatureCollection'")
+    found = read.select("day", "region", F.posexplode("features").alias("k", "f"))
+    xy = F.col("f.geometry.coordinates")
+    return found.select("day", "region", "k", *[F.col(f"f.properties.{n}").alias(n) for n in names], r6(xy[0]).alias("lon"), r6(xy[1]).alias("lat"))
+
+
+@query
+def region_of_boxes(spark, folder):
+    """The region of the box around each day's events of a kind, by its centre, and the offsets by its name."""
+    rows = observations(spark, folder).groupBy(day().alias("day"), "event_type").agg(*[f(c).alias(f"{n}_{c}") for c in ("lon", "lat") for n, f in (("low", F.min), ("high", F.max))])
+    box = [F.col(c) for c in ("low_lon", "high_lon", "low_lat", "high_lat")]
+    found = rows.select("day", "event_type", G.region_of_box(*box)["region"].alias("region"))
+    return found.select("day", "event_type", "region", G.offsets_named(F.col("region")).alias("o")).select("day", "event_type", "region", "o.*")
+
+
+@query
+def dedup_by_key_and_time(spark, folder):
+    """Of each place and hour the last values, with the place's first coordinates."""
+    keys = {"lat_key": V.key3(F.col("lat")), "lon_key": V.key3(F.col("lon"))}
+    rows = observations(spark, folder).withColumn("hour", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    found = E.dedup_series(rows, keys, "hour", ("ts", "event_id"), ["temperature", "salinity"])
+    return found.withColumns({c: r6(F.col(c)) for c in ("lat", "lon", "temperature", "salinity")})
+
+
+def control_series(spark, folder):
+    """Observations at the control points: those of the nearest point of the grid."""
+    control = spark.createDataFrame(CONTROL_POINTS, "lat double, lon double, name string")
+    near = N.nearest(control, points(spark, folder), "name", "point_id", "point_id").select("name", "lat", "lon", "point_id")
+    rows = observations(spark, folder).drop("lat", "lon")
+    return rows.join(F.broadcast(near), "point_id")  # a row for each control point
+
+
+@query
+def control_point_series(spark, folder):
+    """Grid points and control points, each with its series."""
+    rows = E.with_control_series(observations(spark, folder), control_series(spark, folder))
+    entry = F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), r6(F.max("temperature")).alias("most")
+    return rows.groupBy("is_point_specific", "name", r6(F.col("lat")).alias("lat"), r6(F.col("lon")).alias("lon")).agg(*entry)
+
+
+@query
+def area_counts(spark, folder):
+    rows = E.with_control_series(observations(spark, folder), control_series(spark, folder))
+    water = M.inside(points(spark, folder), mask_edges(spark, folder), "point_id")
+    return E.area_counts(rows, ("lat", "lon"), water)
+
+
+@query
+def keyed_maps(spark, folder):
+    """Series by latitude as maps from longitude to the last event, looked up for each point and its neighbour to the east."""
+    keys = {"lat_key": V.key3(F.col("lat")), "lon_key": V.key3(F.col("lon"))}
+    last = observations(spark, folder).withColumns(keys).groupBy(*keys).agg(F.max("event_id").alias("last_event"))
+    maps = last.groupBy("lat_key").agg(F.map_from_entries(F.collect_list(F.struct("lon_key", "last_event"))).alias("m"))
+    asked = points(spark, folder).withColumns(keys).join(maps, "lat_key")
+    return asked.select("point_id", F.size("m").alias("n_keys"), F.try_element_at("m", "lon_key").alias("here"), F.try_element_at("m", F.col("lon_key") + 470).alias("east"))
+
+
 @query
 def first_of_area(spark, folder):
     """The three first rows of each day by time, as a top-k of each group."""

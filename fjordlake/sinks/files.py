@@ -28,6 +28,16 @@ def features(rows: DataFrame, *properties: str) -> DataFrame:
     return rows.select(*[c for c in rows.columns], F.to_json(shape).alias("feature"))
 
 
+def feature_collections(rows: DataFrame, by: list[str], order: str, *properties: str) -> DataFrame:
+    """A GeoJSON collection for each group of rows of ``lon, lat``: one nested row, in order, as a document of a map."""
+    shape = F.struct(
+        F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"),
+        F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"),
+    )
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(order, shape.alias("feature")))), lambda e: e["feature"])
+    return rows.groupBy(*by).agg(listed.alias("features")).select(*by, F.lit("FeatureCollection").alias("type"), "features")
+
+
 def raster_metadata(spark: SparkSession, name: str, timestamps: list[str], written: int, box: list[float], resolution: int, now: str) -> DataFrame:
     """The one-row metadata of a parameter's rasters: it lists all timestamps, also those without a raster."""
     unit, native, _, _ = parameter(name)
