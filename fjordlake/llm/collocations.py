@@ -36,6 +36,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _COUNTED = "lang string, phrase string, n long"
 _SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 _SALTS = 8
+#: Runs made strings at once; their places take some 16 bytes for each byte of them.
+_RUNS = 100_000
 
 
 def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -52,7 +54,7 @@ def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
 def _sums(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Summed numbers of equal runs, those of at least ``least``, by duckdb with a bound on memory."""
     folder = tempfile.mkdtemp(prefix="runs-", dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": folder})
+    con = duckdb.connect(config={"threads": 1, "memory_limit": "192MB", "temp_directory": folder})
     try:
         con.register("runs", pa.RecordBatchReader.from_batches(_SCHEMA, batches))
         sums = f"SELECT lang, phrase, sum(n)::BIGINT AS n FROM runs GROUP BY lang, phrase HAVING sum(n) >= {least}"
@@ -95,7 +97,7 @@ def _taken(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def _runs(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], marks=None, marked: int = 0) -> Iterator[pa.RecordBatch]:
     """The runs of ``sizes`` words whose runs of ``marked`` words are all in the bitmap, with their pieces' numbers."""
-    for batch in chunks(batches, "piece", 1 << 21):
+    for batch in chunks(batches, "piece", 1 << 20):
         langs, n = batch.column("lang"), batch.column("n").to_numpy()
         data, starts, ends, row = _words(batch.column("piece"))
         if marked and len(starts) >= marked:
@@ -108,7 +110,7 @@ def _runs(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], marks=None,
             for j in range(size - marked + 1 if marked else 0):
                 first &= found[j : j + len(first)]
             first = np.flatnonzero(first)
-            for some in np.array_split(first, len(first) // 500_000 + 1):
+            for some in np.array_split(first, len(first) // _RUNS + 1):
                 if len(some):
                     run = _taken(data, starts[some], ends[some + size - 1])
                     yield pa.RecordBatch.from_arrays([langs.take(pa.array(row[some])), run, pa.array(n[row[some]])], schema=_SCHEMA)
