@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,10 +53,10 @@ def offsets_named(name: Column) -> Column:
     return named[name]
 
 
-def corners(lat_offset: Column, lon_offset: Column, box: tuple[float, float, float, float]) -> Column:
-    """Corners of an overlay, clockwise from the top left, as ``lon, lat`` structs."""
-    west, east, south, north = box
-    place = lambda x, y: F.struct((F.lit(x) + lon_offset).alias("lon"), (F.lit(y) + lat_offset).alias("lat"))
+def corners(lat_offset: Column, lon_offset: Column, box: Sequence[float | Column]) -> Column:
+    """Corners of an overlay of a box (west, east, south, north), clockwise from the top left, as ``lon, lat`` structs."""
+    west, east, south, north = (x if isinstance(x, Column) else F.lit(x) for x in box)
+    place = lambda x, y: F.struct((x + lon_offset).alias("lon"), (y + lat_offset).alias("lat"))
     return F.array(place(west, north), place(east, north), place(east, south), place(west, south))
 
 

@@ -170,17 +170,22 @@ SELECT point_id, region, lat_offset, lon_offset FROM pts LEFT JOIN m USING (poin
 c AS (SELECT coalesce(m.idx, 25) AS idx, count(*) AS n FROM pts LEFT JOIN m USING (point_id) GROUP BY 1)
 SELECT idx::INT AS idx, region, round({_AREA}, 6) AS area, round((lon_min + lon_max)/2, 6) AS centre_lon, round((lat_min + lat_max)/2, 6) AS centre_lat,
  coalesce(n, 0) AS n_points FROM region LEFT JOIN c USING (idx)""",
-    "overlay_corners": """SELECT corner::INT AS corner, round(lon::DOUBLE, 6) AS lon, round(lat - 0.052::DOUBLE, 6) AS lat
-FROM (VALUES (0, 10.3::DOUBLE, 59.6::DOUBLE), (1, 16.6::DOUBLE, 59.6::DOUBLE), (2, 16.6::DOUBLE, 54.9::DOUBLE), (3, 10.3::DOUBLE, 54.9::DOUBLE)) t(corner, lon, lat)""",
-    "exclude_control_points": _with(_CONTROL) + """, m AS (SELECT name, step, lat + step AS lat, lon + step AS lon FROM control, (VALUES (0.0009::DOUBLE), (0.0011::DOUBLE)) s(step))
-SELECT name, step, round(lat, 6) AS lat, round(lon, 6) AS lon FROM m
-WHERE NOT EXISTS (SELECT 1 FROM control c WHERE c.name = 'Öresund Nord' AND abs(c.lat - m.lat) < 0.001::DOUBLE AND abs(c.lon - m.lon) < 0.001::DOUBLE)""",
+    "overlay_corners": _with(_OBS, _REGION) + f""", b AS (SELECT strftime(ts, '%Y-%m-%d') AS day, min(lon) AS west, max(lon) AS east, min(lat) AS south, max(lat) AS north, (min(lon) + max(lon))/2 AS lon, (min(lat) + max(lat))/2 AS lat FROM obs GROUP BY 1),
+m AS (SELECT day, arg_min(idx, ({_AREA}, idx)) AS idx FROM b JOIN region ON {_IN_REGION} GROUP BY day),
+r AS (SELECT b.*, lat_offset, lon_offset FROM b LEFT JOIN m USING (day) JOIN region ON region.idx = coalesce(m.idx, 25))
+SELECT day, corner::INT AS corner, round(CASE WHEN corner IN (0, 3) THEN west ELSE east END + lon_offset, 6) AS lon, round(CASE WHEN corner < 2 THEN north ELSE south END + lat_offset, 6) AS lat
+FROM r, range(4) c(corner)""",
+    "exclude_control_points": _with(_OBS, _CONTROL) + f""", m AS (SELECT event_id, c.name, c.lat + (event_id % 31 - 15)/10000::DOUBLE AS lat, c.lon + (event_id % 31 - 15)/10000::DOUBLE AS lon
+ FROM obs JOIN (VALUES {", ".join(f"({i}, '{n}')" for i, (_, _, n) in enumerate(CONTROL_POINTS))}) k(i, name) ON k.i = event_id % {len(CONTROL_POINTS)} JOIN control c ON c.name = k.name)
+SELECT name, count(*) AS n, round(max(lat), 6) AS north FROM m
+WHERE NOT EXISTS (SELECT 1 FROM control c WHERE abs(c.lat - m.lat) < 0.001::DOUBLE AND abs(c.lon - m.lon) < 0.001::DOUBLE) GROUP BY name""",
     "deterministic_sample": _with(_OBS) + "SELECT point_id, lat, lon FROM pts WHERE (floor(lat*1000)::BIGINT + floor(lon*1000)::BIGINT) % 20 = 0",
     "bbox_filter": _with(_OBS) + "SELECT point_id, count(*) AS n, round(max(u), 6) AS max_u FROM obs WHERE lon BETWEEN 7.5::DOUBLE AND 13.5::DOUBLE AND lat BETWEEN 54.5::DOUBLE AND 58.0::DOUBLE GROUP BY point_id",
-    "first_lattice_points": """WITH RECURSIVE y(i, lat) AS (SELECT 0, 54.9::DOUBLE UNION ALL SELECT i + 1, lat + 0.1::DOUBLE FROM y WHERE lat + 0.1::DOUBLE <= 59.6::DOUBLE),
-x(j, lon) AS (SELECT 0, 10.3::DOUBLE UNION ALL SELECT j + 1, lon + 0.1::DOUBLE FROM x WHERE lon + 0.1::DOUBLE <= 16.6::DOUBLE)
-SELECT i::INT AS i, j::INT AS j, round(lat, 4) AS lat, round(lon, 4) AS lon FROM y, x
-WHERE round(lon, 4) BETWEEN 11.0::DOUBLE AND 13.5::DOUBLE AND round(lat, 4) BETWEEN 55.5::DOUBLE AND 58.0::DOUBLE ORDER BY i, j LIMIT 100""",
+    "first_lattice_points": _with(_OBS, _RINGS_OF).replace("WITH", "WITH RECURSIVE", 1) + f""", y(i, lat) AS (SELECT 0, 54.9::DOUBLE UNION ALL SELECT i + 1, lat + 0.1::DOUBLE FROM y WHERE lat + 0.1::DOUBLE <= 59.6::DOUBLE),
+x(j, lon) AS (SELECT 0, 10.3::DOUBLE UNION ALL SELECT j + 1, lon + 0.1::DOUBLE FROM x WHERE lon + 0.1::DOUBLE <= 16.6::DOUBLE),
+l AS (SELECT i::INT AS i, j::INT AS j, i*1000 + j AS cell, round(lat, 4) AS lat, round(lon, 4) AS lon FROM y, x
+ WHERE round(lon, 4) BETWEEN 11.0::DOUBLE AND 13.5::DOUBLE AND round(lat, 4) BETWEEN 55.5::DOUBLE AND 58.0::DOUBLE), {_inside("l", "cell")}
+SELECT i, j, lat, lon FROM l JOIN wet USING (cell) ORDER BY i, j LIMIT 100""",
     "tolerance_topk": _with(_OBS) + f""", a AS (SELECT point_id, sqrt((lat - {_d(LAT)})*(lat - {_d(LAT)}) + (lon - {_d(LON)})*(lon - {_d(LON)})) AS dist FROM pts
  WHERE abs(lat - {_d(LAT)}) <= {_d(TOLERANCE)} AND abs(lon - {_d(LON)}) <= {_d(TOLERANCE)} ORDER BY dist, point_id LIMIT 3),
 b AS (SELECT point_id, sqrt((lat - 40::DOUBLE)*(lat - 40::DOUBLE) + (lon - {_d(LON)})*(lon - {_d(LON)})) AS dist
@@ -220,7 +225,9 @@ SELECT day, i, j, CASE WHEN wet.cell IS NOT NULL THEN round(speed, 6) END AS spe
     "progress_colors": _with(_OBS) + f""", h AS (SELECT DISTINCT {_HOUR} AS hour FROM obs)
 SELECT hour, CASE WHEN hour = 0 THEN 'rgb(255, 223, 0)' WHEN hour < 0 THEN {_progress("least(abs(hour)/340::DOUBLE, 1::DOUBLE)", PAST)}
  ELSE {_progress("least(hour/380::DOUBLE, 1::DOUBLE)", FUTURE)} END AS colour FROM h""",
-    "legend_stops": "SELECT parameter, idx::INT AS idx, value::DOUBLE AS value, colour, round(idx/(n-1)::DOUBLE*100, 6) AS share FROM (VALUES " + _values((p, i, v, c, len(s)) for p, s in RAMPS.items() for i, (v, c) in enumerate(s)) + ") t(parameter, idx, value, colour, n)",
+    "legend_stops": _with(_OBS) + f""", s AS (SELECT parameter, idx::INT AS idx, value::DOUBLE AS value, colour, n, lead(value::DOUBLE) OVER (PARTITION BY parameter ORDER BY idx) AS until FROM (VALUES """ + _values((p, i, v, c, len(s)) for p, s in RAMPS.items() for i, (v, c) in enumerate(s)) + f""") t(parameter, idx, value, colour, n)),
+p AS (SELECT {_SPEED} AS current, temperature, salinity - 2 AS salinity FROM obs), val AS (UNPIVOT p ON current, temperature, salinity INTO NAME parameter VALUE x)
+SELECT s.parameter, idx, s.value, colour, round(idx/(n-1)::DOUBLE*100, 6) AS share, (SELECT count(*) FROM val WHERE val.parameter = s.parameter AND x >= s.value AND (until IS NULL OR x < until)) AS n_observations FROM s""",
     "sun_times": _with("days AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders)", _sun("days")) + "SELECT strftime(date, '%Y-%m-%d') AS date, round(rise, 4) AS rise, round(fall, 4) AS fall, summer FROM sun",
     "day_night_opacity": _with(_OBS, "days AS (SELECT DISTINCT ts::DATE AS date FROM obs)", _sun("days")) + """
 , t AS (SELECT event_id, hour(ts) AS h, rise, fall FROM obs JOIN sun ON ts::DATE = date),
@@ -288,19 +295,19 @@ SELECT point_id, (SELECT count(*) FROM k WHERE k.lat_key = p.lat_key)::INT AS n_
  LEFT JOIN k h ON h.lat_key = p.lat_key AND h.lon_key = p.lon_key LEFT JOIN k e ON e.lat_key = p.lat_key AND e.lon_key = p.lon_key + 470""",
     "first_of_area": _with(_OBS) + """, r AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS rank FROM obs)
 SELECT day, rank::INT AS rank, event_id FROM r WHERE rank <= 3""",
-    "raster_job_statistics": _with(_OBS, _RING, _lattice(32), _inside("cells", "cell")) + f""", p AS (SELECT event_id AS seq, lon, lat, {_SPEED} AS current, temperature, salinity - 2 AS salinity FROM obs WHERE {_DAY}),
+    "raster_job_statistics": _with(_OBS, _RINGS_OF, _lattice(32), _inside("cells", "cell")) + f""", p AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id AS seq, lon, lat, {_SPEED} AS current, temperature, salinity - 2 AS salinity FROM obs),
 val AS (UNPIVOT p ON current, temperature, salinity INTO NAME parameter VALUE value),
 e AS (SELECT s*25 + k AS id, s, k/24::DOUBLE AS f FROM range(4) a(s), range(25) b(k)),
 g AS (SELECT id, CASE WHEN s < 2 THEN 10.3::DOUBLE + f*(16.6::DOUBLE-10.3::DOUBLE) WHEN s = 2 THEN 10.3::DOUBLE ELSE 16.6::DOUBLE END AS lon,
  CASE WHEN s = 0 THEN 54.9::DOUBLE WHEN s = 1 THEN 59.6::DOUBLE ELSE 54.9::DOUBLE + f*(59.6::DOUBLE-54.9::DOUBLE) END AS lat FROM e),
-h AS (SELECT parameter, id + 1000000000000 AS seq, any_value(g.lon) AS lon, any_value(g.lat) AS lat,
- arg_min(value, ((val.lon-g.lon)*(val.lon-g.lon)+(val.lat-g.lat)*(val.lat-g.lat), val.seq)) AS value FROM g, val GROUP BY parameter, id),
-a AS (SELECT parameter, seq, lon, lat, value FROM val UNION ALL SELECT parameter, seq, lon, lat, value FROM h),
-n AS (SELECT parameter, cell, arg_min(value, ((a.lon-c.lon)*(a.lon-c.lon)+(a.lat-c.lat)*(a.lat-c.lat), seq)) AS raw FROM cells c, a GROUP BY ALL),
-z AS (SELECT parameter, CASE WHEN parameter <> 'temperature' AND raw < 0 THEN 0 ELSE raw END AS value FROM n JOIN wet USING (cell)),
-c AS (SELECT parameter, count(*) AS n_points FROM val GROUP BY parameter)
-SELECT parameter, '{DAY}' AS day, any_value(n_points) AS n_points, count(*) AS n_values, 1024 - count(*) AS n_empty,
- round(min(value), 6) AS least, round(max(value), 6) AS most, round(avg(value), 4) AS mean FROM z JOIN c USING (parameter) GROUP BY parameter""",
+h AS (SELECT parameter, day, id + 1000000000000 AS seq, any_value(g.lon) AS lon, any_value(g.lat) AS lat,
+ arg_min(value, ((val.lon-g.lon)*(val.lon-g.lon)+(val.lat-g.lat)*(val.lat-g.lat), val.seq)) AS value FROM g, val GROUP BY parameter, day, id),
+a AS (SELECT parameter, day, seq, lon, lat, value FROM val UNION ALL SELECT parameter, day, seq, lon, lat, value FROM h),
+n AS (SELECT parameter, day, cell, arg_min(value, ((a.lon-c.lon)*(a.lon-c.lon)+(a.lat-c.lat)*(a.lat-c.lat), seq)) AS raw FROM cells c, a GROUP BY ALL),
+z AS (SELECT parameter, day, CASE WHEN parameter <> 'temperature' AND raw < 0 THEN 0 ELSE raw END AS value FROM n JOIN wet USING (cell)),
+c AS (SELECT parameter, day, count(*) AS n_points FROM val GROUP BY parameter, day)
+SELECT parameter, day, any_value(n_points) AS n_points, count(*) AS n_values, 1024 - count(*) AS n_empty,
+ round(min(value), 6) AS least, round(max(value), 6) AS most, round(avg(value), 4) AS mean FROM z JOIN c USING (parameter, day) GROUP BY parameter, day""",
     "exact_time": _with(_OBS) + "SELECT event_id, point_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM obs WHERE ts = (SELECT ts FROM obs WHERE event_id = 7)",
     "hour_prefix": _with(_OBS) + f"SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS time FROM obs WHERE starts_with(strftime(ts, '%Y-%m-%dT%H:%M:%S'), '{DAY}T1')",
     "wanted_parameters": _with(_OBS) + f""", p AS (SELECT {_SPEED} AS current, temperature, salinity - 2 AS salinity FROM obs WHERE {_DAY}),

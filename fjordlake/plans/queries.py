@@ -14,6 +14,7 @@ from ..functions import hours as H
 from ..functions import layout as L
 from ..functions import sun as S
 from ..functions import vectors as V
+from ..operators import lattices as W
 from ..operators import mask as M
 from ..operators import merge as P
 from ..operators import nearest as N
@@ -219,21 +220,23 @@ def region_summary(spark, folder):
 
 @query
 def overlay_corners(spark, folder):
-    found = G.region_of(F.lit((LON_MIN + LON_MAX) / 2), F.lit((LAT_MIN + LAT_MAX) / 2))
-    one = spark.range(1).select(G.corners(found["lat_offset"], found["lon_offset"], BOX).alias("c"))
-    rows = one.select(F.posexplode("c").alias("corner", "p"))
-    return rows.select("corner", r6(F.col("p.lon")).alias("lon"), r6(F.col("p.lat")).alias("lat"))
+    """Corners of each day's overlay, the box of its observations moved by the offsets of its region."""
+    names = {"west": F.min("lon"), "east": F.max("lon"), "south": F.min("lat"), "north": F.max("lat")}
+    boxes = observations(spark, folder).groupBy(day().alias("day")).agg(*[c.alias(k) for k, c in names.items()])
+    box = [F.col(k) for k in names]
+    found = boxes.withColumn("r", G.region_of_box(*box))
+    rows = found.select("day", F.posexplode(G.corners(F.col("r.lat_offset"), F.col("r.lon_offset"), box)).alias("corner", "p"))
+    return rows.select("day", "corner", r6(F.col("p.lon")).alias("lon"), r6(F.col("p.lat")).alias("lat"))
 
 
 @query
 def exclude_control_points(spark, folder):
-    """Points at 0.0009 and 0.0011 degrees from control points: the near ones go."""
-    control = spark.createDataFrame(CONTROL_POINTS, "lat double, lon double, name string")
-    step = F.explode(F.array(F.lit(0.0009), F.lit(0.0011))).alias("step")
-    shifted = control.select("name", step, "lat", "lon")
-    moved = shifted.select("name", "step", (F.col("lat") + F.col("step")).alias("lat"), (F.col("lon") + F.col("step")).alias("lon"))
-    alone = [c for c in CONTROL_POINTS if c[2] == "Öresund Nord"]
-    return moved.where(E.is_apart(F.col("lat"), F.col("lon"), alone)).select("name", "step", r6(F.col("lat")).alias("lat"), r6(F.col("lon")).alias("lon"))
+    """Observations a few thousandths of a degree beside control points, by their event: those within the tolerance go."""
+    rows = observations(spark, folder)
+    control = F.array(*[F.struct(F.lit(y).alias("lat"), F.lit(x).alias("lon"), F.lit(n).alias("name")) for y, x, n in CONTROL_POINTS])
+    near = rows.select("event_id", control[(F.col("event_id") % len(CONTROL_POINTS)).cast("int")].alias("c"), ((F.col("event_id") % 31 - 15) / F.lit(10_000.0)).alias("step"))
+    moved = near.select("event_id", "c.name", (F.col("c.lat") + F.col("step")).alias("lat"), (F.col("c.lon") + F.col("step")).alias("lon"))
+    return moved.where(E.is_apart(F.col("lat"), F.col("lon"), CONTROL_POINTS)).groupBy("name").agg(F.count(F.lit(1)).alias("n"), r6(F.max("lat")).alias("north"))
 
 
 @query
@@ -250,9 +253,10 @@ def bbox_filter(spark, folder):
 
 @query
 def first_lattice_points(spark, folder):
-    """The first hundred points of a stepped lattice in a box, in order of making."""
+    """The first hundred points of a stepped lattice that are in a box and in the water, in order of making."""
     cells = geometry.stepped_lattice(spark, (LON_MIN, LON_MAX), (LAT_MIN, LAT_MAX), 0.1)
-    return Q.within_box(cells, 11.0, 13.5, 55.5, 58.0).orderBy("i", "j").limit(100)
+    boxed = Q.within_box(cells, 11.0, 13.5, 55.5, 58.0).withColumn("cell", F.col("i") * 1000 + F.col("j"))
+    return M.inside(boxed, mask_edges(spark, folder), "cell").orderBy("i", "j").limit(100).drop("cell")
 
 
 @query
@@ -377,9 +381,18 @@ def progress_colors(spark, folder):
 
 @query
 def legend_stops(spark, folder):
+    """Stops of the legends with the number of observations from each stop up to the next."""
     rows = [(p, i, v, c, len(s)) for p, s in RAMPS.items() for i, (v, c) in enumerate(s)]
     stops = spark.createDataFrame(rows, "parameter string, idx int, value double, colour string, n int")
-    return stops.select("parameter", "idx", "value", "colour", r6(C.legend_share(F.col("idx"), F.col("n"))).alias("share"))
+    at = F.lit(None).cast("int")
+    for p, stops_of in RAMPS.items():
+        reached = F.lit(None).cast("int")
+        for i, (v, _) in enumerate(stops_of):
+            reached = F.when(F.col("value") >= v, i).otherwise(reached)
+        at = F.when(F.col("parameter") == p, reached).otherwise(at)
+    counted = _values(observations(spark, folder)).where("value IS NOT NULL").groupBy("parameter", at.alias("idx")).count()
+    found = stops.join(counted, ["parameter", "idx"], "left")
+    return found.select("parameter", "idx", "value", "colour", r6(C.legend_share(F.col("idx"), F.col("n"))).alias("share"), F.coalesce("count", F.lit(0)).alias("n_observations"))
 
 
 @query
@@ -651,14 +664,18 @@ def first_of_area(spark, folder):
     return rows.withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("day", "rank", "event_id")
 
 
-def _values_of_day(spark, folder):
-    """A day's values of all three parameters."""
-    rows = of_day(observations(spark, folder))
+def _values(rows: DataFrame) -> DataFrame:
+    """Values of all three parameters, a row each."""
     values = {"current": V.magnitude(F.col("u"), F.col("v")), "temperature": F.col("temperature"), "salinity": F.col("salinity") - 2}
     parts = F.array(*[F.struct(F.lit(p).alias("parameter"), v.alias("value")) for p, v in values.items()])
     return rows.select(day().alias("day"), "lon", "lat", F.col("event_id").alias("seq"), F.explode(parts).alias("p")).select("day", "lon", "lat", "seq", "p.*")
 
 
+def _values_of_day(spark, folder):
+    """A day's values of all three parameters."""
+    return _values(of_day(observations(spark, folder)))
+
+
 def raster_job(spark, folder, n=64, method="cubic", draw=True, parameters=None):
     """The rasters of a day, from edges to pictures."""
     edges = [tuple(r) for r in geometry.edges(ring_points(spark)).select("poly_id", "x1", "y1", "x2", "y2").collect()]
@@ -675,10 +692,12 @@ def raster_pictures(spark, folder):
 
 @query
 def raster_job_statistics(spark, folder):
-    """Edges, nearest values, clamp, mask and statistics of each raster of a day."""
-    found = raster_job(spark, folder, 32, "nearest", draw=False)
+    """Edges, nearest values, clamp, mask and statistics of the rasters of each day and parameter, as joins."""
+    rows, by = _values(observations(spark, folder)), ["parameter", "day"]
+    counted = rows.groupBy(*by).agg(F.count("value").alias("n_points"))
+    found = W.statistics(W.nearest_rasters(rows, by, 32, BOX, mask_edges(spark, folder)), by, 32).join(counted, by)
     numbers = [r6(F.col(c)).alias(c) for c in ("least", "most")]
-    return found.select("parameter", "day", "n_points", "n_values", "n_empty", *numbers, F.round("mean", 4).alias("mean"))
+    return found.select(*by, "n_points", "n_values", "n_empty", *numbers, F.round("mean", 4).alias("mean"))
 
 
 @query
