@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..constants import RAMPS, rgb
 
@@ -284,23 +285,38 @@ def rasters(rows: DataFrame, by: list[str], value: str, n: int, box: tuple[float
     return rows.groupBy(*by).applyInPandas(make, f"{kinds}, n_points long, `values` array<double>")
 
 
-def hulls(rows: DataFrame, by: list[str], lon: float, lat: float) -> DataFrame:
-    """Convex hull of each group's points: its size, whether it holds a place, and the distance of its nearest corner."""
+#: Twice the area of a triangle whose corners are on one line but for rounding.
+_FLAT = 1e-9
+
+
+def hulls(rows: DataFrame, by: list[str], lon: float, lat: float, salts: int = 32) -> DataFrame:
+    """Convex hull of each group's points: its corners in order, their number, whether it holds a place, and the distance of its nearest corner.
+
+    Distinct places of a group are dealt to ``salts`` tasks, whose hulls meet
+    in one: a corner of all is a corner of its part, so few rows do.
+    """
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields)
 
-    def make(frame: pd.DataFrame) -> pd.DataFrame:
+    def part(frame: pd.DataFrame) -> pd.DataFrame:
+        corners = convex_hull(frame[["lon", "lat"]].to_numpy(float))
+        return pd.DataFrame(corners, columns=["lon", "lat"]).assign(**{c: frame[c].iloc[0] for c in by})[[*by, "lon", "lat"]]
+
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
         hull = np.array(convex_hull(frame[["lon", "lat"]].to_numpy(float)))
         nxt = np.roll(hull, -1, axis=0)
         side = (nxt[:, 0] - hull[:, 0]) * (lat - hull[:, 1]) - (nxt[:, 1] - hull[:, 1]) * (lon - hull[:, 0])
         away = float(np.sqrt(((hull - [lon, lat]) ** 2).sum(1)).min())
         holds = bool(len(hull) > 2 and (side > 0).all())
-        return pd.DataFrame([{**{c: frame[c].iloc[0] for c in by}, "n_corners": len(hull), "holds": holds, "corner_distance": away}])
+        found = {c: frame[c].iloc[0] for c in by} | {"corners": [{"lon": x, "lat": y} for x, y in hull.tolist()]}
+        return pd.DataFrame([found | {"n_corners": len(hull), "holds": holds, "corner_distance": away}])
 
-    return rows.groupBy(*by).applyInPandas(make, f"{kinds}, n_corners long, holds boolean, corner_distance double")
+    places = rows.select(*by, "lon", "lat").distinct().withColumn("salt", F.pmod(F.hash("lon", "lat"), F.lit(salts)))
+    parts = places.groupBy(*by, "salt").applyInPandas(part, f"{kinds}, lon double, lat double")
+    return parts.groupBy(*by).applyInPandas(whole, f"{kinds}, corners array<struct<lon: double, lat: double>>, n_corners long, holds boolean, corner_distance double")
 
 
 def convex_hull(points: np.ndarray) -> list[tuple[float, float]]:
-    """Corners of the hull, counterclockwise (monotone chains)."""
+    """Corners of the hull, counterclockwise (monotone chains); what rounding alone makes a corner is none."""
     distinct = sorted(set(map(tuple, points.tolist())))
     if len(distinct) < 3:
         return distinct
@@ -308,7 +324,7 @@ def convex_hull(points: np.ndarray) -> list[tuple[float, float]]:
     def chain(order):
         out: list[tuple[float, float]] = []
         for p in order:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= _FLAT:
                 out.pop()
             out.append(p)
         return out[:-1]

@@ -293,6 +293,13 @@ SELECT count(*) AS n_points, count(*) FILTER (NOT c) AS n_grid, count(*) FILTER
 p AS (SELECT point_id, round(lat*1000)::BIGINT AS lat_key, round(lon*1000)::BIGINT AS lon_key FROM pts)
 SELECT point_id, (SELECT count(*) FROM k WHERE k.lat_key = p.lat_key)::INT AS n_keys, h.last_event AS here, e.last_event AS east FROM p
  LEFT JOIN k h ON h.lat_key = p.lat_key AND h.lon_key = p.lon_key LEFT JOIN k e ON e.lat_key = p.lat_key AND e.lon_key = p.lon_key + 470""",
+    "convex_hull": _with(_OBS) + f""", p AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day, lon, lat FROM obs),
+x AS (SELECT a.day, a.lon AS ax, a.lat AS ay, b.lon AS bx, b.lat AS by_, c.lon AS cx, c.lat AS cy, (b.lon-a.lon)*(c.lat-a.lat) - (b.lat-a.lat)*(c.lon-a.lon) AS side
+ FROM p a JOIN p b ON a.day = b.day AND (a.lon <> b.lon OR a.lat <> b.lat) JOIN p c ON c.day = a.day),
+e AS (SELECT day, ax, ay, bx, by_ FROM x GROUP BY ALL HAVING bool_and(side > 1e-9 OR (abs(side) <= 1e-9 AND cx BETWEEN least(ax, bx) AND greatest(ax, bx) AND cy BETWEEN least(ay, by_) AND greatest(ay, by_)))),
+s AS (SELECT day, count(*) AS n_corners, bool_and((bx-ax)*({_d(LAT)}-ay) - (by_-ay)*({_d(LON)}-ax) > 0) AS holds,
+ min(sqrt((ax-{_d(LON)})*(ax-{_d(LON)}) + (ay-{_d(LAT)})*(ay-{_d(LAT)}))) AS away FROM e GROUP BY day)
+SELECT day, n_corners, holds, round(away, 6) AS corner_distance, round(ax, 6) AS lon, round(ay, 6) AS lat FROM e JOIN s USING (day)""",
     "first_of_area": _with(_OBS) + """, r AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS rank FROM obs)
 SELECT day, rank::INT AS rank, event_id FROM r WHERE rank <= 3""",
     "raster_job_statistics": _with(_OBS, _RINGS_OF, _lattice(32), _inside("cells", "cell")) + f""", p AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id AS seq, lon, lat, {_SPEED} AS current, temperature, salinity - 2 AS salinity FROM obs),

@@ -567,7 +567,10 @@ def _rasters(spark, folder, method, fill):
 
 @query
 def convex_hull(spark, folder):
-    return R.hulls(observations(spark, folder).select(day().alias("day"), "lon", "lat"), ["day"], LON, LAT)
+    """The hull of each day's places: its corners, and whether it holds a place."""
+    found = R.hulls(observations(spark, folder).select(day().alias("day"), "lon", "lat"), ["day"], LON, LAT)
+    corner = found.select("day", "n_corners", "holds", r6(F.col("corner_distance")).alias("corner_distance"), F.explode("corners").alias("c"))
+    return corner.select("day", "n_corners", "holds", "corner_distance", r6(F.col("c.lon")).alias("lon"), r6(F.col("c.lat")).alias("lat"))
 
 
 @query
