@@ -436,11 +436,10 @@ def passage_spans(docs: DataFrame, limits: Limits) -> DataFrame:
     then one drawn by a hash, so a passage costs as many pairs as it has
     copies. Windows of which all words from ``lo`` to ``hi`` are in verified
     passages are done, as every passage that they stand for is found; the
-    others go on. After the last round windows whose center is in no passage
-    yet, nor within a quarter of one beside it, meet those of their lists with
-    which they share half of a sketch's side: lists of a common phrase come
-    apart by what stands beside it. Copies inside one text are found
-    apart, see :func:`_own_spans`.
+    others go on. After the last round the windows that are left meet those
+    of their lists with which they share half of a sketch's side: lists of a
+    common phrase come apart by what stands beside it. Copies inside one text
+    are found apart, see :func:`_own_spans`.
     """
     shared = _keys(docs, limits).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     shared = materialize(shared, "shared")
@@ -472,14 +471,9 @@ def passage_spans(docs: DataFrame, limits: Limits) -> DataFrame:
         asked = pairs if asked is None else asked.unionByName(pairs)
         # the windows drawn have met all others of their lists; covered ones need no more partners
         tried = first.select("key", "f.doc", "f.at", "f.sketch")
-        # before the last round, places beside a passage are left to it: a passage of their own has places farther off
-        final = turn == limits.rounds - 1
-        more = limits.length // 4 if final else 0
-        spans = found.select("doc", (F.col("start") - more).alias("start"), (F.col("end") + more).alias("end"))
-        covered = materialize(merge_spans(spans.distinct()), "covered")
+        covered = materialize(merge_spans(found.select("doc", "start", "end").distinct()), "covered")
         left = open_.join(tried, ["key", "doc", "at", "sketch"], "left_anti")
-        a, b = ("at", "at") if final else ("lo", "hi")
-        done = left.join(broadcast_if_small(covered), "doc").where((F.col("start") <= F.col(a)) & (F.col(b) + limits.width <= F.col("end")))
+        done = left.join(broadcast_if_small(covered), "doc").where((F.col("start") <= F.col("lo")) & (F.col("hi") + limits.width <= F.col("end")))
         done = done.select("key", "doc", "at").distinct()
         still = materialize(left.join(done, ["key", "doc", "at"], "left_anti"), "open")
         discard(first, *([open_] if turn else []))

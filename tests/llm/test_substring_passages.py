@@ -93,3 +93,17 @@ def test_longer_copies_keep_their_tails(spark):
         p = fresh(75)
         got = found(spark, [(1, fresh(50) + p[:60] + fresh(50)), (2, fresh(50) + p + fresh(50)), (3, fresh(50) + p + fresh(50))])
         assert got == {1: [(50, 110)], 2: [(50, 125)], 3: [(50, 125)]}
+
+
+def test_groups_whose_copies_reach_beyond_a_common_passage(spark):
+    common, docs, want = new_words("c")(60), [], {}
+    docs.append((0, new_words("o")(30) + common + new_words("q")(30)))
+    want[0] = [(30, 90)]
+    for pair in range(12):  # each pair shares more words after the passage, or before it, than all share
+        more = new_words(f"m{pair}x")(12 if pair % 3 else 20)
+        for k in (1, 2):
+            i, own = 2 * pair + k, new_words(f"w{pair}x{k}x")
+            shared = common + more if pair % 2 else more + common
+            docs.append((i, own(25) + shared + own(25)))
+            want[i] = [(25, 25 + len(shared))]
+    assert found(spark, docs) == want
