@@ -317,7 +317,7 @@ SELECT parameter, day, any_value(n_points) AS n_points, count(*) AS n_values, 10
  round(min(value), 6) AS least, round(max(value), 6) AS most, round(avg(value), 4) AS mean FROM z JOIN c USING (parameter, day) GROUP BY parameter, day""",
     "exact_time": _with(_OBS) + "SELECT event_id, point_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM obs WHERE ts = (SELECT ts FROM obs WHERE event_id = 7)",
     "hour_prefix": _with(_OBS) + f"SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS time FROM obs WHERE starts_with(strftime(ts, '%Y-%m-%dT%H:%M:%S'), '{DAY}T1')",
-    "wanted_parameters": _with(_OBS) + f""", p AS (SELECT {_SPEED} AS current, temperature, salinity - 2 AS salinity FROM obs WHERE {_DAY}),
+    "wanted_parameters": _with(_OBS) + f""", p AS (SELECT {_SPEED} AS current, temperature, salinity - 2 AS salinity FROM obs),
 val AS (UNPIVOT p ON current, temperature, salinity INTO NAME parameter VALUE value)
 SELECT asked, parameter, count(value) AS n, round(max(value), 6) AS most FROM val, (VALUES ('two'), ('all')) w(asked)
  WHERE asked = 'all' OR parameter IN ('salinity', 'temperature') GROUP BY ALL""",
@@ -332,9 +332,9 @@ SELECT event_type AS kind, count(*) AS n_rows, sum(strlen('{"event_id":' || even
  true AS smaller, count(*) AS n_read, max(event_id) AS last_event FROM w GROUP BY event_type""",
     "refreshed_table": """SELECT user_id, count(*) AS n, max(event_id) AS last_event, 'first' AS version FROM events WHERE event_type <> 'click' GROUP BY user_id
 UNION ALL SELECT user_id, count(*), max(event_id), 'second' FROM events GROUP BY user_id""",
-    "image_of_hour": _with(_OBS) + f""", t AS (SELECT DISTINCT strftime(ts, '%Y-%m-%dT%H') AS hour FROM obs WHERE {_DAY})
-SELECT parameter, asked, (SELECT min(hour) || ':00:00.000Z' FROM t WHERE hour = '{DAY}T' || asked) AS timestamp
- FROM (VALUES ('current'), ('temperature'), ('salinity')) p(parameter), (VALUES ('00'), ('09'), ('15'), ('24')) a(asked)""",
+    "image_of_hour": _with(_OBS) + """, t AS (SELECT DISTINCT strftime(ts, '%Y-%m-%dT%H') AS hour FROM obs),
+a AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') || 'T' || lpad(h::VARCHAR, 2, '0') AS hour FROM obs, range(24) r(h))
+SELECT parameter, a.hour, t.hour || ':00:00.000Z' AS timestamp FROM a LEFT JOIN t ON t.hour = a.hour, (VALUES ('current'), ('temperature'), ('salinity')) p(parameter)""",
     "accepted_changes": """WITH RECURSIVE x AS (SELECT user_id, event_id, value/500 AS share, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 w AS (SELECT user_id, event_id, share, n, true AS kept, share AS last FROM x WHERE n = 1 UNION ALL
  SELECT x.user_id, x.event_id, x.share, x.n, abs(x.share - w.last) <= 0.5, CASE WHEN abs(x.share - w.last) <= 0.5 THEN x.share ELSE w.last END

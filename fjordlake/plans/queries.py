@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -723,7 +721,7 @@ def wanted_parameters(spark, folder):
     """Values of the wanted parameters, with ``all`` standing for every one, counted by day."""
     wanted = Q.expand_all(["salinity", "temperature"], list(PARAMETERS))
     everything = Q.expand_all(["all"], list(PARAMETERS))
-    rows = _values_of_day(spark, folder)
+    rows = _values(observations(spark, folder))
     kept = rows.where(Q.is_wanted(F.col("parameter"), wanted)).withColumn("asked", F.lit("two"))
     kept = kept.unionByName(rows.where(Q.is_wanted(F.col("parameter"), everything)).withColumn("asked", F.lit("all")))
     return kept.groupBy("asked", "parameter").agg(F.count("value").alias("n"), r6(F.max("value")).alias("most"))
@@ -802,12 +800,13 @@ def refreshed_table(spark, folder):
 
 @query
 def image_of_hour(spark, folder):
-    """The picture of an hour by the metadata of a day's pictures, written and read back."""
-    times = of_day(observations(spark, folder)).select(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("time"))
+    """The picture of each hour of each day by the metadata of all pictures, written and read back."""
+    rows = observations(spark, folder)
+    times = rows.select(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("time"))
     listed = times.distinct().agg(F.sort_array(F.collect_list("time")).alias("timestamps"))
     meta = listed.select(F.explode(F.array(*[F.lit(p) for p in PARAMETERS])).alias("parameter"), "timestamps")
     path = shared_path(spark, "metadata")
     write_document(meta, path)
-    found = catalog.raster_metadata(spark, path)
-    hits = [catalog.image_for_hour(found, f"{DAY}T{h}").withColumn("asked", F.lit(h)) for h in ("00", "09", "15", "24")]
-    return reduce(DataFrame.unionByName, hits)
+    hours = F.explode(F.sequence(F.lit(0), F.lit(23)))
+    asked = rows.select(day().alias("day")).distinct().select("day", hours.alias("h")).select(F.concat("day", F.lit("T"), F.lpad(F.col("h").cast("string"), 2, "0")).alias("hour"))
+    return catalog.images_for_hours(catalog.raster_metadata(spark, path), asked)

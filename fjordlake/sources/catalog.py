@@ -33,3 +33,15 @@ def image_for_hour(metadata: DataFrame, prefix: str) -> DataFrame:
     """The first timestamp of each raster's list that begins with an hour's prefix; null without one."""
     hits = F.filter("timestamps", lambda t: t.startswith(prefix))
     return metadata.select("parameter", F.get(hits, F.lit(0)).alias("timestamp"))
+
+
+def images_for_hours(metadata: DataFrame, asked: DataFrame, hour: str = "hour") -> DataFrame:
+    """For each parameter of the metadata and each asked hour (``yyyy-MM-ddTHH``) the first listed time that begins with it, or null.
+
+    An hour is 13 characters, so listed times meet it by equality.
+    """
+    listed = metadata.select("parameter", F.explode("timestamps").alias("timestamp"))
+    first = listed.groupBy("parameter", F.substring("timestamp", 1, 13).alias(hour)).agg(F.min("timestamp").alias("timestamp"))
+    names = metadata.agg(F.collect_set("parameter").alias("names"))  # one row of a few names
+    wanted = asked.select(hour).distinct().join(F.broadcast(names)).select(hour, F.explode("names").alias("parameter"))
+    return wanted.join(first, ["parameter", hour], "left").select("parameter", hour, "timestamp")
