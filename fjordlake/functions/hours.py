@@ -93,3 +93,9 @@ def position_to_hour(position: Column, low, high) -> Column:
     """Hour at a share of a slider's length, which is held to its ends."""
     share = F.least(F.greatest(position, F.lit(0.0)), F.lit(1.0))
     return round_half_up(share * (F.lit(high) - F.lit(low)) + F.lit(low))
+
+
+def knob_to_hour(position: Column, low, high) -> Column:
+    """Hour at a share of a knob's turn; null for a position whose hour is out of range, which a knob rejects."""
+    hour = round_half_up(position * (F.lit(high) - F.lit(low)) + F.lit(low))
+    return F.when(hour.between(low, high), hour)

@@ -113,7 +113,8 @@ def polygon_report(edges: DataFrame, lon: float, lat: float) -> DataFrame:
     return rows.withColumn("distance", F.when(F.col("holds"), 0.0).otherwise(F.col("edge_distance"))).drop("edge_distance")
 
 
-def mask_bounds(points: DataFrame, fallback: tuple[float, float, float, float]) -> DataFrame:
-    """Bounds of all polygons; the fallback for none."""
+def mask_bounds(points: DataFrame, fallback: tuple[float, float, float, float], outer: bool = False) -> DataFrame:
+    """Bounds of all polygons, or of their outer rings alone (ring 0); the fallback for none."""
+    points = points.where("ring_id = 0") if outer else points
     parts = zip(("west", "east", "south", "north"), (F.min("x"), F.max("x"), F.min("y"), F.max("y")), fallback)
     return points.agg(*[F.coalesce(c, F.lit(d)).alias(n) for n, c, d in parts])

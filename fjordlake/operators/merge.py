@@ -52,3 +52,13 @@ def merge_by_position(base: DataFrame, batches: Sequence[DataFrame | None], posi
         return joined.withColumn("entries", F.when(F.col("__new").isNull(), F.col("entries")).otherwise(zipped)).drop("__at", "__new")
 
     return reduce(merge, batches, base)
+
+
+def all_there(values: Column, names: Sequence[str]) -> Column:
+    """Whether a map has a value that is not null for each name."""
+    return reduce(Column.__and__, [values[n].isNotNull() for n in names])
+
+
+def any_not_null(values: Column, names: Sequence[str]) -> Column:
+    """Whether a map has anything but a null for some name: a name that is absent counts."""
+    return reduce(Column.__or__, [~F.map_contains_key(values, n) | values[n].isNotNull() for n in names])

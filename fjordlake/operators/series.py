@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import numbered
+
 
 def first_entry(rows: DataFrame, *by: str, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """The first row of each group, whatever it lacks: test its values for null afterwards."""
@@ -99,5 +101,5 @@ def gap_sessions(rows: DataFrame, by: str, gap: str, time: str = "ts") -> DataFr
 
 
 def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
-    """Numbers rows of a small table in batches of a size."""
-    return rows.withColumn("batch", ((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("int"))
+    """Numbers rows in batches of a size, in an order."""
+    return numbered(rows, order, name="batch").withColumn("batch", (F.col("batch") / size).cast("int"))

@@ -146,11 +146,13 @@ SELECT event_id, hour, {_LABEL} AS label, {_LONG} AS long_label, ((hour % 24) +
 SELECT event_id, stamp, 'current_magnitude_' || replace(replace(stamp, ':', '-'), '+', 'plus') || '.png' AS file FROM s""",
     "nearest_available_hour": _with(_OBS, f"targets AS (SELECT DISTINCT {_HOUR} AS target FROM obs)", f"avail AS (SELECT DISTINCT {_HOUR} AS h FROM obs WHERE event_type = 'error')", _NEAREST) + "SELECT target, nearest FROM nearest",
     "hour_steps": _with(_OBS, f"steps AS (SELECT hour, step::INT AS step, hour + step AS target FROM (SELECT DISTINCT {_HOUR} AS hour FROM obs), (VALUES (-24), (-1), (1), (24)) s(step))", "targets AS (SELECT DISTINCT target FROM steps)", f"avail AS (SELECT DISTINCT {_HOUR} AS h FROM obs WHERE event_type = 'error')", _NEAREST) + """
-SELECT hour, step, nearest, floor(least(greatest((hour + 400)/700::DOUBLE, 0), 1)*240 - 120 + 0.5::DOUBLE)::BIGINT AS slider FROM steps JOIN nearest USING (target)""",
+SELECT hour, step, nearest, floor(least(greatest((hour + 400)/700::DOUBLE, 0), 1)*240 - 120 + 0.5::DOUBLE)::BIGINT AS slider,
+ CASE WHEN floor((hour + 400)/700::DOUBLE*240 - 120 + 0.5::DOUBLE) BETWEEN -120 AND 120 THEN floor((hour + 400)/700::DOUBLE*240 - 120 + 0.5::DOUBLE)::BIGINT END AS knob FROM steps JOIN nearest USING (target)""",
     "first_entry_per_point": _with(_OBS) + """, f AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY point_id, ts::DATE ORDER BY ts, event_id) AS k FROM obs)
 SELECT point_id, day, round(temperature, 6) AS temperature FROM f WHERE k = 1 AND temperature IS NOT NULL""",
     "series_by_point": _with(_OBS) + """SELECT point_id, count(*) AS n, min(ts) AS first_ts, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS ids FROM obs GROUP BY point_id""",
-    "series_validity": _with(_OBS) + """SELECT point_id, bool_and(temperature IS NOT NULL AND salinity IS NOT NULL) AS all_valid, bool_or(temperature IS NOT NULL OR salinity IS NOT NULL) AS any_valid FROM obs GROUP BY point_id""",
+    "series_validity": _with(_OBS) + """SELECT point_id, bool_and(temperature IS NOT NULL AND salinity IS NOT NULL AND event_type <> 'click') AS all_valid,
+ bool_or(temperature IS NOT NULL OR salinity IS NOT NULL OR event_type = 'click') AS any_valid, count(*) FILTER (event_type = 'click' OR salinity IS NOT NULL) AS n_salinity FROM obs GROUP BY point_id""",
     "merge_parameter_batches": _with(_OBS) + """, a AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY ts, event_id) - 1 AS k FROM obs),
 b AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY ts, event_id) - 1 AS k FROM obs WHERE event_type <> 'error')
 SELECT a.point_id AS position, a.k::INT AS k, (CASE WHEN a.event_type <> 'click' THEN 2 ELSE 1 END)::INT AS n_values,

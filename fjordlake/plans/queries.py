@@ -129,7 +129,7 @@ def hour_steps(spark, folder):
     wanted = steps.withColumn("target", F.col("hour") + F.col("step"))
     snapped = G.nearest_hours(wanted.select("target").distinct(), rows.where("event_type = 'error'").select("hour"))
     share = (F.col("hour") + 400) / F.lit(700.0)
-    return wanted.join(snapped, "target").select("hour", "step", "nearest", H.position_to_hour(share, -120, 120).alias("slider"))
+    return wanted.join(snapped, "target").select("hour", "step", "nearest", H.position_to_hour(share, -120, 120).alias("slider"), H.knob_to_hour(share, -120, 120).alias("knob"))
 
 
 @query
@@ -151,11 +151,15 @@ def series_by_point(spark, folder):
 
 @query
 def series_validity(spark, folder):
-    entry = F.struct("ts", "event_id", "temperature", "salinity")
-    rows = observations(spark, folder).groupBy("point_id").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    whole = F.forall("entries", lambda e: e["temperature"].isNotNull() & e["salinity"].isNotNull())
-    some = F.exists("entries", lambda e: e["temperature"].isNotNull() | e["salinity"].isNotNull())
-    return rows.select("point_id", whole.alias("all_valid"), some.alias("any_valid"))
+    """Whether all entries of a point have both values, and whether some entry has more than nulls: clicks lack a salinity, which counts."""
+    values = P.present(temperature=(F.col("temperature"), F.lit(True)), salinity=(F.col("salinity"), F.col("event_type") != "click"))
+    rows = observations(spark, folder).select("point_id", values.alias("values"))
+    names = ("temperature", "salinity")
+    held = F.col("values")
+    return rows.groupBy("point_id").agg(
+        F.bool_and(P.all_there(held, names)).alias("all_valid"), F.bool_or(P.any_not_null(held, names)).alias("any_valid"),
+        F.count_if(P.any_not_null(held, ["salinity"])).alias("n_salinity"),
+    )
 
 
 @query
@@ -322,7 +326,7 @@ def mask_grid(spark, folder):
 def mask_bounds(spark, folder):
     rings = event_rings(observations(spark, folder))
     return M.mask_bounds(rings, (7.5, 13.5, 54.5, 58.0)).withColumn("of", F.lit("all")).unionByName(
-        M.mask_bounds(rings.where("ring_id = 0 AND poly_id < 3"), (7.5, 13.5, 54.5, 58.0)).withColumn("of", F.lit("outer"))
+        M.mask_bounds(rings.where("poly_id < 3"), (7.5, 13.5, 54.5, 58.0), outer=True).withColumn("of", F.lit("outer"))
     ).unionByName(M.mask_bounds(rings.where("false"), (7.5, 13.5, 54.5, 58.0)).withColumn("of", F.lit("none")))
 
 
@@ -705,7 +709,7 @@ def raster_job_statistics(spark, folder):
 def exact_time(spark, folder):
     """Observations at one time: that of event 7."""
     rows = observations(spark, folder)
-    at = rows.where("event_id = 7").select("ts")
+    at = rows.where("event_id = 7").agg(F.min("ts").alias("ts"))  # one row
     return rows.join(F.broadcast(at), "ts").select("event_id", "point_id", r6(F.col("lat")).alias("lat"), r6(F.col("lon")).alias("lon"))
 
 

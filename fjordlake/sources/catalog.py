@@ -25,6 +25,12 @@ def collections(spark: SparkSession, path: str, text: str = "", parameters: int
     )
 
 
+def instances(spark: SparkSession, path: str) -> DataFrame:
+    """Ids of the instances that a collection's document lists, in order."""
+    raw = spark.read.schema(CATALOG_SCHEMA).option("multiLine", True).json(path)
+    return raw.select(F.posexplode("instances").alias("seq", "i")).select("seq", "i.id")
+
+
 def raster_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(META_SCHEMA).option("multiLine", True).json(path)
 

@@ -100,3 +100,11 @@ def test_asof_over_a_million_hours(spark):
     assert got.count() == targets.count() and wrong.where("t < 2999997").count() == 0
     with pytest.raises(ValueError):
         asof.nearest_asof(targets, hours, "t", direction="up")
+
+
+def test_places_over_all_ranges(spark):
+    from fjordlake.operators.ranges import numbered
+
+    rows = spark.range(500).select((F.col("id") * 37 % 500).alias("x"), F.lit("a").alias("y")).repartition(7)
+    assert [(r.x, r.place) for r in numbered(rows, "x").orderBy("x").collect()] == [(i, i) for i in range(500)]
+    assert numbered(rows.limit(0), "x").count() == 0

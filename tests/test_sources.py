@@ -165,12 +165,16 @@ def test_catalogue_metadata_and_listing(spark, tmp_path):
     doc = {"collections": [{"id": "DKSS_a", "title": "A", "parameter_names": {f"p{i}": "x" for i in range(7)}, "links": [{"rel": "self", "href": "h/x?k=1"}]}, {"id": "other"}]}
     found = catalog.collections(spark, put(tmp_path, "cat.json", doc), "dkss").collect()
     assert len(found) == 1 and len(found[0].parameters) == 5 and found[0].addresses == ["h/x"]
+    listed = put(tmp_path, "one.json", {"instances": [{"id": "2025-06-29T00:00:00Z"}, {"id": "2025-06-29T06:00:00Z"}]})
+    assert [r.id for r in catalog.instances(spark, listed).orderBy("seq").collect()] == ["2025-06-29T00:00:00Z", "2025-06-29T06:00:00Z"]
     meta = files.raster_metadata(spark, "salinity", ["2025-06-29T12:00:00.000Z", "2025-06-29T13:00:00.000Z"], 1, [10.3, 16.6, 54.9, 59.6], 64, "now")
     meta.coalesce(1).write.json(f"file://{tmp_path}/meta")
     again = catalog.raster_metadata(spark, f"file://{tmp_path}/meta")
     assert again.first().total_images == 1 and len(again.first().timestamps) == 2
     assert catalog.image_for_hour(again, "2025-06-29T13").first().timestamp == "2025-06-29T13:00:00.000Z"
     assert catalog.image_for_hour(again, "2030").first().timestamp is None
+    hours = spark.createDataFrame([("2025-06-29T12",), ("2030-01-01T00",)], "hour string")
+    assert sorted((r.hour, r.timestamp) for r in catalog.images_for_hours(again, hours).collect()) == [("2025-06-29T12", "2025-06-29T12:00:00.000Z"), ("2030-01-01T00", None)]
     wanted = spark.createDataFrame([("a",), ("b",)], "name string")
     assert files.missing(wanted, wanted.limit(1), "name").count() == 1 and files.missing(wanted, wanted, "name", force=True).count() == 2
 
