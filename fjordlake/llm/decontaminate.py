@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .text import ALNUM, chunks, words
+from .text import ALNUM, Words, chunks, exact, hard_hashes, lowered, same_words, words
 
 _KEY_BITS = 63
 
@@ -32,15 +32,22 @@ MATCH_TYPE = T.StructType(
 class TestSuffixes:
     """One block of the benchmark: every suffix of every item, cut to a window, as word numbers.
 
-    Word numbers start at 1 and follow the sorted hashes of the block's words;
+    Word numbers start at 1 and follow the hashes of the block's words, which are told apart by their bytes;
     0 stands for any other word and for the end of a text.
     """
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        found = words(pa.array([text for _, text in items], pa.large_string()), ALNUM)
+        texts = pa.array([text for _, text in items], pa.large_string())
+        found = words(texts, ALNUM, hard_hashes)
         self.window = window
-        self.vocabulary = np.unique(found.hashes)
-        ids = np.searchsorted(self.vocabulary, found.hashes) + 1
+        _, first, ids = np.unique(exact(found, texts), return_index=True, return_inverse=True)
+        order = np.argsort(found.hashes[first], kind="stable")
+        self.vocabulary = found.hashes[first[order]]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(1, len(order) + 1)
+        ids = number[ids]
+        spans = [lowered(texts, found.starts[i], found.ends[i]) for i in first[order].tolist()]
+        self.spelled, self.spell_at = b"".join(spans), np.cumsum([0, *map(len, spans)])
         self.bits = max(1, int(len(self.vocabulary)).bit_length())
         rows, lengths, owner, place = [], [], [], []
         for i, (a, b) in enumerate(zip(found.rows[:-1], found.rows[1:])):
@@ -64,11 +71,21 @@ class TestSuffixes:
         full = (1 << self.bits) - 1
         self.masks = pack(np.where(self.patterns > 0, full, 0).T, self.bits)
 
-    def word_ids(self, hashes: np.ndarray) -> np.ndarray:
+    def word_ids(self, found: Words, column: pa.Array) -> np.ndarray:
+        """The number of each word found: that of a word of one hash and, as hashes may meet, the same bytes."""
+        ids = np.zeros(len(found.hashes), np.int64)
         if not len(self.vocabulary):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at + 1, 0)
+            return ids
+        at = np.minimum(np.searchsorted(self.vocabulary, found.hashes), len(self.vocabulary) - 1)
+        todo = np.flatnonzero(self.vocabulary[at] == found.hashes)
+        while len(todo):
+            same = same_words(found, column, todo, self.spelled, self.spell_at, at[todo])
+            ids[todo[same]] = at[todo[same]] + 1
+            todo = todo[~same]  # go on to the next word of this hash
+            at[todo] += 1
+            todo = todo[at[todo] < len(self.vocabulary)]
+            todo = todo[self.vocabulary[at[todo]] == found.hashes[todo]]
+        return ids
 
 
 def pack(columns, bits: int) -> list[np.ndarray]:
@@ -136,12 +153,12 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _search(column: pa.Array, block: TestSuffixes) -> list[dict]:
     """Matches of one shard's texts with the block: a MATCH_TYPE dict per row."""
-    found = words(column, ALNUM)
+    found = words(column, ALNUM, hard_hashes)
     n_rows = len(column)
     # a zero after each row keeps suffixes inside their text
     ids = np.zeros(len(found.hashes) + n_rows, np.int64)
     row_of = found.row_of()
-    ids[np.arange(len(found.hashes)) + row_of] = block.word_ids(found.hashes)
+    ids[np.arange(len(found.hashes)) + row_of] = block.word_ids(found, column)
     shifted = found.rows[:-1] + np.arange(n_rows)
     out = [
         {"n_words": int(c), "n_hit": 0, "items": [], "hit_starts": [], "hit_ends": [], "longest": 0}

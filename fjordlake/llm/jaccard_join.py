@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .list_links import all_links, link_lists
 from .storage import broadcast_if_small, discard, join_groups, materialize
-from .text import SPACE, chunks, distinct_by_row, exact, mix, shingles, words
+from .text import SPACE, chunks, distinct_by_row, exact, hard_hashes, mix, shingles, words
 
 _SUBSET = 2
 _MOST_COMMON = 1 << 20
@@ -32,17 +33,14 @@ def overlap_needed(n, numerator: int, denominator: int):
 
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each row, and where each row starts."""
-    return distinct_by_row(*shingles(words(column, SPACE), width), len(column))
+    return distinct_by_row(*shingles(words(column, SPACE, hard_hashes), width), len(column))
 
 
 def set_digests(flat: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """16 bytes for each set, the same for equal sets."""
-    with np.errstate(over="ignore"):
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(flat))])
-        sums = total[at[1:]] - total[at[:-1]]
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(flat ^ np.uint64(0x5DEECE66D1234567)))])
-        more = total[at[1:]] - total[at[:-1]]
-    return [r.tobytes() for r in np.stack([sums, more], axis=1).astype("<u8")]
+    """16 bytes for each set, the same for equal sets: a digest of its sorted elements, which nobody can steer."""
+    raw = memoryview(np.ascontiguousarray(flat, "<u8")).cast("B")
+    bounds = (np.asarray(at) * 8).tolist()
+    return [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(bounds, bounds[1:])]
 
 
 def choose_boundary(sizes: dict[int, int], scanned: float, numerator: int, denominator: int) -> int:

@@ -21,6 +21,10 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 #: Words above this many bytes are hashed one by one.
 _LONG = 64
+#: Words hashed in one go by :func:`hard_hashes`, so that their state stays in a cache.
+_AT_ONCE = 1 << 13
+#: The state that :func:`hard_hashes` begins with (fixed values of SipHash).
+_STATE = (0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573)
 #: Which bits of 8 bytes, read little-endian, belong to a word of 0 to 8 bytes.
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
@@ -65,8 +69,9 @@ def lanes(data: np.ndarray) -> np.ndarray:
 def hash_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each slice of ``data``: its 8-byte lanes and its length, mixed one after the other.
 
-    No step is linear in the bytes, so different slices meet by chance alone;
-    where two hashes decide something, :func:`same_slices` compares the bytes.
+    No step is linear in the bytes, so different slices of ordinary texts meet by chance alone.
+    Whoever undoes the steps can find some that meet; :func:`hard_hashes` are
+    for hashes that decide something, and :func:`same_slices` compares the bytes.
     """
     eight, length = lanes(data), ends - starts
     value = mix(length.astype(np.uint64) ^ mix(eight[starts] & _KEEP[np.minimum(length, 8)]))
@@ -83,6 +88,65 @@ def hash_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return value
 
 
+def hard_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """As :func:`hash_slices`, but nobody finds slices that meet by undoing steps.
+
+    The state is four times as wide as what is given (the rounds of SipHash-1-3,
+    all slices at once): a step can be undone, but not from 64 bits of 256. What is left
+    is to hash some 2^32 words of one's own until two meet.
+    """
+    eight, length = lanes(data), ends - starts
+    out = np.empty(len(starts), np.uint64)
+    for a in range(0, len(starts), _AT_ONCE):
+        at, size = starts[a : a + _AT_ONCE], length[a : a + _AT_ONCE]
+        state = [np.full(len(at), c, np.uint64) for c in _STATE]
+        _take_in(state, eight[at] & _KEEP[np.minimum(size, 8)])
+        todo, k = np.flatnonzero(size > 8), 8
+        while len(todo) and k < _LONG:
+            left = size[todo] - k
+            some = [v[todo] for v in state]
+            _take_in(some, eight[at[todo] + k] & _KEEP[np.minimum(left, 8)])
+            for v, new in zip(state, some):
+                v[todo] = new
+            k += 8
+            todo = todo[left > 8]
+        _take_in(state, size.astype(np.uint64))
+        state[2] ^= np.uint64(0xFF)
+        for _ in range(3):
+            _round(state)
+        out[a : a + _AT_ONCE] = state[0] ^ state[1] ^ state[2] ^ state[3]
+        for i in todo.tolist():
+            raw = data[at[i] : at[i] + size[i]].tobytes()
+            out[a + i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+    return out
+
+
+def _take_in(state: list[np.ndarray], lane: np.ndarray) -> None:
+    state[3] ^= lane
+    _round(state)
+    state[0] ^= lane
+
+
+def _round(state: list[np.ndarray]) -> None:
+    v0, v1, v2, v3 = state
+    for x, y, turn in ((v0, v1, 13), (v2, v3, 16)):
+        x += y
+        _turn(y, turn)
+        y ^= x
+    _turn(v0, 32)
+    for x, y, turn in ((v0, v3, 21), (v2, v1, 17)):
+        x += y
+        _turn(y, turn)
+        y ^= x
+    _turn(v2, 32)
+
+
+def _turn(x: np.ndarray, by: int) -> None:
+    high = x >> np.uint64(64 - by)
+    x <<= np.uint64(by)
+    x |= high
+
+
 def same_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether slice x[i] has the bytes of slice y[i]."""
     eight, length = lanes(data), ends - starts
@@ -129,11 +193,12 @@ class Words:
         return np.repeat(np.arange(len(self.rows) - 1), self.counts())
 
 
-def words(column: pa.Array, kind: WordClass) -> Words:
+def words(column: pa.Array, kind: WordClass, hashed=hash_slices) -> Words:
     """The words of every row of a string column.
 
     A word's hash is that of its bytes with A-Z in lower case, so no word
-    becomes a Python object.
+    becomes a Python object. Where hashes alone decide which words are the
+    same, ``hashed`` is :func:`hard_hashes`.
     """
     data, at = text_buffer(column)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -146,7 +211,7 @@ def words(column: pa.Array, kind: WordClass) -> Words:
                 b += int(ahead[0])
                 break
             b = min(n, b + 4096)
-        found.append(_span(data[a:b], a, at, kind))
+        found.append(_span(data[a:b], a, at, kind, hashed))
         a = b
     if not found:
         empty = np.empty(0, np.int64)
@@ -155,7 +220,7 @@ def words(column: pa.Array, kind: WordClass) -> Words:
     return Words(hashes, starts, ends, np.searchsorted(starts, at))
 
 
-def _span(data: np.ndarray, base: int, at: np.ndarray, kind: WordClass):
+def _span(data: np.ndarray, base: int, at: np.ndarray, kind: WordClass, hashed):
     n = len(data)
     inside = ~kind.parts[data]
     edge = np.zeros(n + 1, bool)
@@ -169,7 +234,7 @@ def _span(data: np.ndarray, base: int, at: np.ndarray, kind: WordClass):
     after[-1] = False
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    return hash_slices(_LOWER[data], starts, ends), starts + base, ends + base
+    return hashed(_LOWER[data], starts, ends), starts + base, ends + base
 
 
 def exact(found: Words, column: pa.Array) -> np.ndarray:
@@ -210,6 +275,20 @@ def _run(h: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
         return mix(value)
 
 
+def same_words(found: Words, column: pa.Array, of: np.ndarray, known: bytes, starts: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Whether word ``of[i]`` of the column (A-Z as a-z) is that of ``known`` from ``starts[which[i]]`` to the next start."""
+    data = np.concatenate([_LOWER[text_buffer(column)[0]], np.frombuffer(known, np.uint8)])
+    base = len(data) - len(known)
+    begin = np.concatenate([found.starts, starts[:-1] + base])
+    end = np.concatenate([found.ends, starts[1:] + base])
+    return same_slices(data, begin, end, of, which + len(found.starts))
+
+
+def lowered(column: pa.Array, start: int, end: int) -> bytes:
+    """Bytes of the column from ``start`` to ``end``, A-Z as a-z."""
+    return _LOWER[text_buffer(column)[0][start:end]].tobytes()
+
+
 def distinct_by_row(values: np.ndarray, owner: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each row, one row after the other; and where each row starts."""
     order = np.argsort(owner, kind="stable")

@@ -64,6 +64,71 @@ def test_words_that_polynomials_confuse(size):
     assert number[0] == number[2] and len(set(number)) == 3
 
 
+def unmix(y):
+    """The number that ``mix`` takes to y."""
+    full = (1 << 64) - 1
+
+    def unshift(x, by):
+        out = x
+        for _ in range(64 // by + 1):
+            out = x ^ (out >> by)
+        return out
+
+    y = unshift(y, 31) * pow(0x94D049BB133111EB, -1, 1 << 64) & full
+    y = unshift(y, 27) * pow(0xBF58476D1CE4E5B9, -1, 1 << 64) & full
+    return (unshift(y, 30) - 0x9E3779B97F4A7C15) & full
+
+
+PAIR = "forecastcurrents", "st8aqe1t3bls6ich"  # found by undoing the steps of hash_slices
+
+
+def test_hard_hashes():
+    a, b = PAIR
+    assert unmix(int(T.mix(np.array([12345], np.uint64))[0])) == 12345
+    column = pa.array([a, b, a.upper(), "", "a\0", "a", "\0a", "abcdefgh", "abcdefgh\0", "x" * 64, "x" * 65, "x" * 66])
+    found = T.words(column, T.SPACE, T.hard_hashes)
+    h = found.hashes.tolist()
+    assert h[0] == h[2] and len(set(h)) == len(h) - 1
+    assert T.words(column.slice(0, 2), T.SPACE).hashes.tolist()[0] == T.words(column.slice(1, 1), T.SPACE).hashes[0]
+    # a second 8 bytes made so that the last steps would meet, as it is done for hash_slices, does not meet here
+    lane = lambda w: int.from_bytes(w.encode(), "little")
+    head = np.array([lane("currents")], np.uint64)
+    for other in ("aaaaaaaa", "zzzzzzzz"):
+        of = [T.mix(np.array([16 ^ int(T.mix(np.array([lane(w)], np.uint64))[0])], np.uint64))[0] for w in ("forecast", other)]
+        tail = unmix(int(of[0] ^ of[1] ^ T.mix(head + np.uint64(8))[0])) - 8 & (1 << 64) - 1
+        data = np.frombuffer(b"forecastcurrents" + other.encode() + tail.to_bytes(8, "little"), np.uint8)
+        at = np.array([0, 16]), np.array([16, 32])
+        plain, hard = T.hash_slices(data, *at), T.hard_hashes(data, *at)
+        assert plain[0] == plain[1] and hard[0] != hard[1]
+
+
+def test_operators_tell_words_of_one_plain_hash_apart(spark):
+    from fjordlake.llm.decontaminate import contamination
+    from fjordlake.llm.jaccard_join import near_duplicates
+    from fjordlake.llm.suffix_tree import score_texts
+
+    a, b = PAIR
+    docs = spark.createDataFrame([(2, a), (11, b), (3, a.upper())], "doc_id long, text string")  # 11 is held out
+    assert sorted(tuple(r) for r in near_duplicates(docs).collect()) == [(2, 1, 2), (3, 1, 2), (11, 1, 11)]
+    items = spark.createDataFrame([("x", a)], "item_id string, text string")
+    assert {r.doc_id: r.n_hit for r in contamination(docs, items).collect()} == {2: 1, 3: 1, 11: 0}
+    assert {r.doc_id: r.n_known for r in score_texts(docs).collect()} == {2: 2, 3: 2, 11: 1}
+
+
+@pytest.mark.parametrize("bits", [0, 3, 8])
+def test_benchmark_words_are_compared_where_hashes_meet(monkeypatch, bits):
+    from fjordlake.llm import decontaminate as D
+
+    short = lambda *a: T.hash_slices(*a) & np.uint64((1 << bits) - 1)
+    names = [f"w{i}" for i in range(400)]
+    items = [("x", " ".join(names[:12])), ("y", " ".join(names[100:104])), ("z", " ".join(names[200:230]))]
+    texts = pa.array([" ".join(names[:12]), " ".join(names[300:]), " ".join(["W7", *names[100:104]]), None, " ".join(names[219:231])])
+    want = D._search(texts, D.TestSuffixes(items, 10))
+    assert [r["n_hit"] for r in want] == [12, 0, 4, 0, 11]
+    monkeypatch.setattr(D, "hard_hashes", short)
+    assert D._search(texts, D.TestSuffixes(items, 10)) == want
+
+
 def test_equal_hashes_are_told_apart_by_their_bytes():
     column = pa.array(["one two one", "two three One"])
     found = T.words(column, T.SPACE)
