@@ -252,17 +252,20 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = False,
+    rounds: int | None = 7,
+    fewer: float = 0.7,
 ) -> DataFrame:
     """Packs the token ids of all documents into sequences of at most ``capacity`` tokens.
 
     Returns per piece: ``doc_id, piece, start, length, ids_crc32,
     sequence_id, offset`` and, with ``with_ids``, the piece's ``ids`` as
-    little-endian unsigned 32-bit integers. Null and empty texts are the end
+    little-endian unsigned 32-bit integers. ``rounds`` and ``fewer`` say how long underfull
+    sequences are packed again, see :func:`pack_pieces`. Null and empty texts are the end
     id alone. Rows that repeat an id are packed each for itself. Extra
     columns are ignored; an empty table gives no pieces.
     """
     pieces = token_pieces(docs, capacity, tokenizer or default_path(), end_id, id_col, text_col, with_ids)
-    packed = pack_pieces(pieces, capacity)
+    packed = pack_pieces(pieces, capacity, rounds=rounds, fewer=fewer)
     columns = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else [])]
     return packed.select(F.col("doc_id").alias(id_col), *columns)
 

@@ -1,4 +1,5 @@
 import zlib
+from functools import partial
 
 import numpy as np
 import pytest
@@ -91,3 +92,12 @@ def test_sequences_and_empty(spark):
     row = K.sequences(packed).collect()
     assert len(row) == 1 and len(row[0].ids) == 4 * row[0].n_tokens
     assert K.pack_documents(docs(spark, [])).count() == 0
+
+
+def test_pack_documents_until_no_round_settles_any(spark, monkeypatch):
+    monkeypatch.setattr(K, "pack_pieces", partial(K.pack_pieces, group_rows=16))  # many groups, so rounds count
+    table = docs(spark, [(i, "word " * (1 + i * 37 % 90), "") for i in range(120)])
+    few, whole = (K.pack_documents(table, capacity=64, rounds=r, fewer=f).collect() for r, f in ((1, 0.7), (None, 1.0)))
+    key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
+    assert sorted(map(key, few)) == sorted(map(key, whole))
+    assert len({r.sequence_id for r in whole}) <= len({r.sequence_id for r in few})
