@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _POLYGON, _MULTI = "array<array<array<double>>>", "array<array<array<array<double>>>>"
-MASK_SCHEMA = "type string, features array<struct<type:string,geometry:string>>"
+MASK_SCHEMA = "type string, first bigint, features array<struct<type:string,geometry:string>>"
 
 
-def read_mask(spark: SparkSession, path: str) -> DataFrame:
-    """Polygons of a feature collection as ``poly_id, ring_id, seq, x, y``; other geometries are ignored."""
-    features = spark.read.schema(MASK_SCHEMA).option("multiLine", True).json(path)
-    shape = features.select(F.posexplode("features").alias("feature", "f")).select("feature", F.col("f.geometry").alias("g"))
+def read_mask(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Polygons of a feature collection as ``poly_id, ring_id, seq, x, y``; other geometries are ignored.
+
+    A large collection is many, one on each of the ``lines``; ``first`` is
+    the number of a collection's first feature, 0 where it is not there.
+    """
+    features = spark.read.schema(MASK_SCHEMA).option("multiLine", not lines).json(path)
+    number = F.coalesce("first", F.lit(0)).cast("bigint") + F.col("at")
+    shape = features.select("first", F.posexplode("features").alias("at", "f")).select(number.alias("feature"), F.col("f.geometry").alias("g"))
     kind = F.get_json_object("g", "$.type")
     raw = F.get_json_object("g", "$.coordinates")
     one = shape.where(kind == "Polygon").select("feature", F.lit(0).alias("part"), F.from_json(raw, _POLYGON).alias("rings"))

@@ -271,3 +271,18 @@ def test_document_sizes(spark, tmp_path):
     files.write_document(rows, f"file://{tmp_path}/sized")
     found = files.sizes(spark, f"file://{tmp_path}/sized", rows).first()
     assert found.n_files == 20 and found.n_raw == sum(len('{"id":%d,"text":"%s"}' % (i, "same " * 50)) + 1 for i in range(20)) and found.share < 1
+
+
+def test_collections_on_lines(spark, tmp_path):
+    """Features are numbered through all collections, past what an int times a million holds."""
+    polygon = '{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[%d,0],[1,0],[1,1],[%d,0]]]}}'
+    lines = ['{"type":"FeatureCollection","first":%d,"features":[%s,%s]}' % (k, polygon % (k, k), polygon % (k + 1, k + 1)) for k in (0, 2, 5000)]
+    (tmp_path / "lines.json").write_text("\n".join(lines))
+    rows = geometry.read_mask(spark, str(tmp_path / "lines.json"), lines=True).where("seq = 0").collect()
+    assert sorted((r.poly_id, r.x) for r in rows) == [(k * 1_000_000, float(k)) for k in (0, 1, 2, 3, 5000, 5001)]
+
+
+def test_mask_of_many_polygons(spark, tmp_path):
+    many = {"type": "FeatureCollection", "features": MASK["features"][:1] * 2_200}
+    rows = geometry.read_mask(spark, put(tmp_path, "many.json", many))
+    assert rows.agg({"poly_id": "max"}).first()[0] == 2_199_000_000
