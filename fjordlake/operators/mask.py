@@ -28,8 +28,8 @@ class PolygonGrid:
 
     A polygon of n edges has cells whose side is a power of two, about
     sqrt(n) along its longer side, so its rows hold few edges. ``cells`` has
-    the cells that are not outside, ``rows`` the edges of each row of cells
-    of each polygon, which are all that a ray from a point in it can cross.
+    the cells that are not outside; a cut one has the edges of its row of
+    cells, which are all that a ray from a point in it can cross.
     """
 
     def __init__(self, edges: DataFrame) -> None:
@@ -50,30 +50,75 @@ class PolygonGrid:
         rows = banded.withColumn("cut", cut).groupBy("poly_id", "k", "s", "iy").agg(
             F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"), F.collect_list("cut").alias("cuts"), F.min("cut.a").alias("a"), F.max("cut.b").alias("b")
         )
-        self.rows = stage(rows, "polygon_rows")
-        spread = self.rows.withColumn("ix", F.explode(F.sequence("a", "b")))
+        spread = rows.withColumn("ix", F.explode(F.sequence("a", "b")))
         is_cut = F.exists("cuts", lambda c: (c["a"] <= F.col("ix")) & (F.col("ix") <= c["b"]))
         centre = self.crossings((F.col("ix") + 0.5) * F.col("s"), (F.col("iy") + 0.5) * F.col("s"))
-        spread = spread.select("poly_id", "k", "s", "ix", "iy", is_cut.alias("cut"), F.when(is_cut, True).otherwise(centre % 2 == 1).alias("held"))
-        self.cells = stage(spread.where("held").drop("held"), "polygon_cells")
+        spread = spread.select("poly_id", "k", "ix", "iy", is_cut.alias("cut"), F.when(is_cut, True).otherwise(centre % 2 == 1).alias("held"), "edges")
+        spread = spread.where("held").withColumn("edges", F.when(F.col("cut"), F.col("edges")))
+        self.cells = stage(spread.drop("held"), "polygon_cells")
+        self.sides = [r.k for r in self.cells.select("k").distinct().collect()]  # exponents of two: some dozens at most
 
     @staticmethod
     def crossings(x: Column, y: Column) -> Column:
         """How many of a row's edges a ray to the east of a place crosses."""
         return F.aggregate("edges", F.lit(0), lambda n, e: n + _crossing(x, y, lambda c: e[c]))
 
-    def containing(self, points: DataFrame, key: str, boundary: bool) -> DataFrame:
-        sides = [r.k for r in self.cells.select("k").distinct().collect()]  # exponents of two: some dozens at most
+    def probes(self, places: DataFrame) -> DataFrame:
+        """The cell of each place on each grid."""
+        grids = F.array(*[F.lit(k) for k in self.sides]).cast("array<int>")
+        probes = places.withColumn("k", F.explode(grids)).withColumn("s", F.pow(F.lit(2.0), "k"))
+        return probes.withColumns({"ix": F.floor(F.col("lon") / F.col("s")), "iy": F.floor(F.col("lat") / F.col("s"))}).drop("s")
+
+    @staticmethod
+    def meet(probes: DataFrame, cells: DataFrame, weight: Column, most: int) -> DataFrame:
+        """Probes with the polygons of their cells, in tasks of about as many pairs each.
+
+        A cell of more than ``most`` pairs is dealt to as many parts, those of
+        its side that has more rows; the other side goes to all of them.
+        """
+        cell = ["k", "ix", "iy"]
+        held = cells.groupBy(*cell).agg(F.count(F.lit(1)).alias("polygons"))
+        load = probes.groupBy(*cell).agg(F.count(F.lit(1)).alias("places"), F.sum(weight).alias("n")).join(held, cell)
+        load = stage(load.withColumn("pairs", F.col("n") * F.col("polygons")), "polygon_load")
+        pairs = load.agg(F.sum("pairs")).first()[0] or 0
+        hot = load.where(F.col("pairs") > most).select(*cell, F.ceil(F.col("pairs") / most).cast("int").alias("parts"), (F.col("places") > F.col("polygons")).alias("by_place"))
+        hot = F.broadcast(hot)  # a row for ``most`` pairs at most
+        every = F.sequence(F.lit(0), F.col("parts") - 1)
+
+        def dealt(rows: DataFrame, by_this: Column, *key: str) -> DataFrame:
+            part = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(by_this, F.array(F.pmod(F.xxhash64(*key), "parts").cast("int"))).otherwise(every)
+            return rows.join(hot, cell, "left").withColumn("part", F.explode(part)).drop("parts", "by_place")
+
+        tasks = max(int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // (2 * most)))
+        on = [*cell, "part"]
+        left = dealt(probes, F.col("by_place"), "lon", "lat").repartition(tasks, *on)
+        return left.join(dealt(cells, ~F.col("by_place"), "poly_id").repartition(tasks, *on), on)
+
+    def exact(self) -> tuple[Column, Column]:
+        """Of a place and a polygon that meet: whether it is inside or on an edge, and whether it is inside and on none."""
         lon, lat = F.col("lon"), F.col("lat")
-        grids = F.array(*[F.lit(k) for k in sides]).cast("array<int>")
-        probes = points.select(key, "lon", "lat", F.explode(grids).alias("k")).withColumn("s", F.pow(F.lit(2.0), "k"))
-        probes = probes.withColumns({"ix": F.floor(lon / F.col("s")), "iy": F.floor(lat / F.col("s"))}).drop("s")
-        met = probes.join(self.cells.drop("s"), ["k", "ix", "iy"])
-        near = met.where("cut").join(self.rows.select("poly_id", "k", "iy", "edges"), ["poly_id", "k", "iy"])
         odd = self.crossings(lon, lat) % 2 == 1
         on_edge = F.exists("edges", lambda e: _on_edge(lon, lat, lambda c: e[c]))
-        exact = near.where((odd | on_edge) if boundary else (odd & ~on_edge))
-        return met.where("NOT cut").select(key, "poly_id").unionByName(exact.select(key, "poly_id"))
+        return ~F.col("cut") | odd | on_edge, ~F.col("cut") | (odd & ~on_edge)
+
+    def containing(self, points: DataFrame, key: str, most: int = 2_000_000) -> DataFrame:
+        """``key, poly_id, open`` of the polygons around each point: ``open`` unless it is on an edge. Points of one place are tested once."""
+        lists = F.lit(1 + points.count() // 1_000_000)
+        places = points.groupBy("lon", "lat", F.pmod(F.xxhash64(key), lists).alias("list")).agg(F.collect_list(key).alias("keys")).drop("list")
+        met = self.meet(self.probes(places), self.cells, F.size("keys"), most)
+        closed, open_ = self.exact()
+        found = met.select("keys", "poly_id", closed.alias("closed"), open_.alias("open")).where("closed")
+        return found.select(F.explode("keys").alias(key), "poly_id", "open")
+
+    def inside(self, places: DataFrame, boundary: bool, most: int = 2_000_000) -> DataFrame:
+        """The places ``lon, lat`` with a polygon around them. Those of a cell that is inside a polygon meet no edges."""
+        cell = ["k", "ix", "iy"]
+        probes = stage(self.probes(places), "polygon_probes")
+        whole = probes.join(self.cells.where("NOT cut").select(*cell).distinct(), cell, "left_semi").select("lon", "lat").distinct()
+        rest = stage(probes.join(whole, ["lon", "lat"], "left_anti"), "polygon_rest")
+        met = self.meet(rest, self.cells.where("cut"), F.lit(1), most)
+        closed, open_ = self.exact()
+        return whole.unionByName(met.where(closed if boundary else open_).select("lon", "lat").distinct())
 
 
 def containing(points: DataFrame, edges: DataFrame, key: str, boundary: bool = False) -> DataFrame:
@@ -84,12 +129,14 @@ def containing(points: DataFrame, edges: DataFrame, key: str, boundary: bool = F
     cells of a :class:`PolygonGrid` by equality, and only those in cut cells
     the edges of their row; keys are not repeated.
     """
-    return PolygonGrid(edges).containing(points, key, boundary)
+    found = PolygonGrid(edges).containing(points, key)
+    return (found if boundary else found.where("open")).drop("open")
 
 
 def inside(points: DataFrame, edges: DataFrame, key: str, boundary: bool = False) -> DataFrame:
-    """The points with a polygon around them."""
-    return points.join(containing(points, edges, key, boundary).select(key).distinct(), key, "left_semi")
+    """The points with a polygon around them; ``key`` tells them apart. No pairs are made of points in cells inside a polygon."""
+    places = points.select("lon", "lat").distinct()
+    return points.join(PolygonGrid(edges).inside(places, boundary), ["lon", "lat"], "left_semi").select(points.columns)
 
 
 def wet(rows: DataFrame, water: DataFrame, keys: dict[str, Column]) -> DataFrame:

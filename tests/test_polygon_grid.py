@@ -46,3 +46,30 @@ def test_many_polygons(spark, boundary):
 def test_no_polygons(spark):
     edges = spark.createDataFrame([], "poly_id long, x1 double, y1 double, x2 double, y2 double")
     assert M.containing(spark.createDataFrame([(1, 1.0, 2.0)], "id int, lon double, lat double"), edges, "id").count() == 0
+
+
+def test_hot_cells_are_dealt(spark):
+    """Cells of many points or many polygons go to many parts, and no pair is lost or made twice."""
+    rng = random.Random(7)
+    polygons = {k: star(rng, 8) for k in range(30)} | {k: star(random.Random(1), 8) for k in range(100, 160)}
+    points = [(rng.uniform(9, 17), rng.uniform(53, 61)) for _ in range(100)] + [polygons[100][k % 3][:2] for k in range(80)] + [(13.0, 57.0)] * 50
+    edges = spark.createDataFrame([(k, *e) for k, es in polygons.items() for e in es], "poly_id long, x1 double, y1 double, x2 double, y2 double")
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "id int, lon double, lat double")
+    grid = M.PolygonGrid(edges)
+    pairs = [(i, k, plain(p, es, False)) for i, p in enumerate(points) for k, es in polygons.items() if plain(p, es, True)]
+    assert sorted(tuple(r) for r in grid.containing(frame, "id", most=20).collect()) == sorted(pairs)
+    for boundary in (False, True):
+        found = frame.join(grid.inside(frame.select("lon", "lat").distinct(), boundary, most=5), ["lon", "lat"], "left_semi")
+        assert sorted(r.id for r in found.collect()) == sorted({i for i, _, open_ in pairs if open_ or boundary})
+
+
+def test_inside_makes_no_pairs(spark):
+    """Points in cells inside a polygon meet no polygon, however many are there."""
+    square = [(0.0, 0.0, 8.0, 0.0), (8.0, 0.0, 8.0, 8.0), (8.0, 8.0, 0.0, 8.0), (0.0, 8.0, 0.0, 0.0)]
+    edges = spark.createDataFrame([(k, *e) for k in range(50) for e in square], "poly_id long, x1 double, y1 double, x2 double, y2 double")
+    frame = spark.createDataFrame([(i, 3.0 + i / 1000, 5.0) for i in range(100)], "id int, lon double, lat double")
+    met = []
+    grid = M.PolygonGrid(edges)
+    grid.meet = lambda probes, *rest: met.append(probes.count()) or M.PolygonGrid.meet(probes, *rest)
+    assert grid.inside(frame.select("lon", "lat"), False).count() == 100
+    assert met == [0]
