@@ -19,7 +19,8 @@ def triangulate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
     Points of one circle or line, as on lattices, are told apart by a fixed
     shift of a billionth of the extent. Fewer than three points, or points on
-    one line, have none.
+    one line, have none. Triangles are in order of their largest point, which
+    is their last corner, and then of the others.
     """
     n = len(x)
     if n < 3:
@@ -29,31 +30,83 @@ def triangulate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     centre_x, centre_y = (x.min() + x.max()) / 2, (y.min() + y.max()) / 2
     px = np.concatenate([(x + turn[0] - centre_x) / span, [-60.0, 60.0, 0.0]])
     py = np.concatenate([(y + turn[1] - centre_y) / span, [-60.0, -60.0, 60.0]])
-    triangles = np.array([[n, n + 1, n + 2]])
-    circles = _circles(px, py, triangles)
-    for k in range(n):
-        bad = (px[k] - circles[0]) ** 2 + (py[k] - circles[1]) ** 2 < circles[2]
-        sides = triangles[bad][:, [0, 1, 1, 2, 2, 0]].reshape(-1, 2)
-        codes = np.sort(sides, axis=1) @ np.array([n + 3, 1])
-        _, first, times = np.unique(codes, return_index=True, return_counts=True)
-        rim = sides[first[times == 1]]
-        new = np.column_stack([rim, np.full(len(rim), k)])
-        triangles = np.concatenate([triangles[~bad], new])
-        circles = np.concatenate([circles[:, ~bad], _circles(px, py, new)], axis=1)
+    triangles = np.array(_inserted(px.tolist(), py.tolist(), _rounds(px[:n], py[:n])), np.int64).reshape(-1, 3)
     triangles = triangles[(triangles < n).all(1)]
+    triangles = triangles[np.arange(len(triangles))[:, None], (triangles.argmax(1)[:, None] + [1, 2, 3]) % 3]
+    triangles = triangles[np.lexsort((triangles[:, :2].max(1), triangles[:, :2].min(1), triangles[:, 2]))]
     a, b, c = triangles.T
     area = (x[b] - x[a]) * (y[c] - y[a]) - (x[c] - x[a]) * (y[b] - y[a])
     return triangles[np.abs(area) > 1e-12 * span * span]
 
 
-def _circles(x: np.ndarray, y: np.ndarray, triangles: np.ndarray) -> np.ndarray:
-    a, b, c = triangles.T
-    bx, by, cx, cy = x[b] - x[a], y[b] - y[a], x[c] - x[a], y[c] - y[a]
-    d = 2 * (bx * cy - by * cx)
-    d = np.where(d == 0, 1e-300, d)
-    b2, c2 = bx * bx + by * by, cx * cx + cy * cy
-    ux, uy = (cy * b2 - by * c2) / d, (bx * c2 - cx * b2) / d
-    return np.array([x[a] + ux, y[a] + uy, ux * ux + uy * uy])
+def _rounds(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """An order of points in which few triangles are made in vain and neighbours follow each other: rounds drawn at random, twice as many points in each, in strips."""
+    drawn, out, at = np.random.default_rng(54321).permutation(len(x)), [], 0
+    while at < len(x):
+        part = drawn[at : max(2 * at, 64)]
+        at += len(part)
+        strip = np.floor((y[part] + 0.5) * np.sqrt(len(part) / 2))
+        out += part[np.lexsort((np.where(strip % 2, -x[part], x[part]), strip))].tolist()
+    return out
+
+
+def _inserted(px: list[float], py: list[float], order: list[int]) -> list[tuple[int, int, int]]:
+    """Triangles of the points and of the three last ones around them. A walk finds the triangle of a point; those whose circles hold it lie around."""
+    n = len(px) - 3
+    corners: list = [(n, n + 1, n + 2)]
+    beside: list = [[-1, -1, -1]]  # across the side from corner i to the next
+    free: list[int] = []
+    last = 0
+    for p in order:
+        x, y = px[p], py[p]
+        t, came = last, -1
+        for _ in range(len(corners) + 1):
+            abc, around = corners[t], beside[t]
+            for i in (0, 1, 2):
+                a, b, to = abc[i], abc[i - 2], around[i]
+                if to != came and to >= 0 and (px[b] - px[a]) * (y - py[a]) - (x - px[a]) * (py[b] - py[a]) < 0:
+                    t, came = to, t
+                    break
+            else:
+                break
+        bad, stack, rim = {t}, [t], []
+        while stack:
+            t = stack.pop()
+            abc, around = corners[t], beside[t]
+            for i in (0, 1, 2):
+                to = around[i]
+                if to in bad:
+                    continue
+                a, b = abc[i], abc[i - 2]
+                if to >= 0:
+                    k, l, m = corners[to]
+                    ax, ay, bx, by, cx, cy = px[k] - x, py[k] - y, px[l] - x, py[l] - y, px[m] - x, py[m] - y
+                    hold = (ax * ax + ay * ay) * (bx * cy - by * cx) + (bx * bx + by * by) * (cx * ay - cy * ax) + (cx * cx + cy * cy) * (ax * by - ay * bx)
+                    if hold > 0 or (px[b] - px[a]) * (y - py[a]) - (x - px[a]) * (py[b] - py[a]) <= 0:
+                        bad.add(to)
+                        stack.append(to)
+                        continue
+                rim.append((a, b, to))
+        rim = [r for r in rim if r[2] not in bad]
+        free.extend(bad)
+        made = {}
+        for a, b, to in rim:
+            t = free.pop() if free else len(corners)
+            if t == len(corners):
+                corners.append(None)
+                beside.append(None)
+            made[a] = t, b, to
+        for a, (t, b, to) in made.items():
+            corners[t] = (a, b, p)
+            beside[t] = [to, made[b][0], -1]
+        for a, (t, b, to) in made.items():
+            beside[made[b][0]][2] = t
+            if to >= 0:
+                k = corners[to].index(b)
+                beside[to][k] = t
+            last = t
+    gone = set(free)
+    return [c for t, c in enumerate(corners) if t not in gone]
 
 
 def gradients(x: np.ndarray, y: np.ndarray, z: np.ndarray, triangles: np.ndarray) -> np.ndarray:
@@ -264,25 +317,34 @@ def raster_job(
     return rows.groupBy(*by).applyInPandas(make, out)
 
 
-def rasters(rows: DataFrame, by: list[str], value: str, n: int, box: tuple[float, float, float, float], method: str = "cubic", fill: bool = True) -> DataFrame:
+def rasters(
+    rows: DataFrame, by: list[str], value: str, n: int, box: tuple[float, float, float, float], method: str = "cubic", fill: bool = True, seq: str | None = None
+) -> DataFrame:
     """Rasters of n by n values, row by row from below, one for each group of ``lon, lat, value`` rows.
 
     ``values`` has nulls outside the hull unless filled from the nearest
-    point. Rows are grouped by parameter and hour, so a task holds the points
-    of one raster, and rasters are made side by side.
+    point. Of a place's rows with a value the first by ``seq`` counts (the
+    one of the least value without it), which is found before the rows of a
+    parameter and hour meet: a task holds the distinct places of one raster,
+    and rasters are made side by side.
     """
     west, east, south, north = box
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields)
+    there = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    first = F.min(F.when(there, F.struct(*([seq] if seq else []), F.col(value).alias("value"))))
+    places = rows.groupBy(*by, "lon", "lat").agg(F.count_if(there).alias("n"), first.alias("first"))
 
     def make(frame: pd.DataFrame) -> pd.DataFrame:
-        good = frame.dropna(subset=[value]).sort_values(["lat", "lon"], kind="stable")
-        x, y, z = (good[c].to_numpy(float) for c in ("lon", "lat", value))
+        good = frame[frame["n"] > 0].sort_values(["lat", "lon"], kind="stable")
+        x, y, z = (good[c].to_numpy(float) for c in ("lon", "lat", "value"))
         at_x, at_y = np.linspace(west, east, n), np.linspace(south, north, n)
         grid = lattice_values(x, y, z, at_x, at_y, method, fill)
         values = [None if np.isnan(v) else float(v) for v in grid]
-        return pd.DataFrame([{**{c: frame[c].iloc[0] for c in by}, "n_points": len(x), "values": values}])
+        return pd.DataFrame([{**{c: frame[c].iloc[0] for c in by}, "n_points": good["n"].sum(), "values": values}])
 
-    return rows.groupBy(*by).applyInPandas(make, f"{kinds}, n_points long, `values` array<double>")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a group is few bytes and much work: not to be merged by size
+    held = places.select(*by, "lon", "lat", "n", F.col("first.value").alias("value")).repartition(tasks, *by)
+    return held.groupBy(*by).applyInPandas(make, f"{kinds}, n_points long, `values` array<double>")
 
 
 #: Twice the area of a triangle whose corners are on one line but for rounding.
