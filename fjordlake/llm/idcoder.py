@@ -1,20 +1,20 @@
-"""A context-mixing range coder for token ids, many blocks at a time.
+"""A range coder with three models for token ids, many blocks at a time.
 
 Format of a segment, all integers little-endian:
 
-    magic "FJI2", then u32: ids there may be, ids in a block, documents, blocks
+    magic "FJI3", then u32: ids there may be, ids in a block, documents, blocks
     i64 per document: its id; u8 per document: 1 if the id is null; u32 per document: its ids
     u32 per block: ids in it, bytes of its code, CRC-32 of its ids
     the blocks' codes, one after the other
 
 The ids of all documents of a segment follow each other and are cut into
 blocks. Each block is coded on its own: all three models are empty where it
-starts, so any block can be read without the others. An id's share of the
-interval is the sum of its shares under three models. Order 2 names the id
+starts, so any block can be read without the others. Order 2 names the id
 that last followed the two ids before it and order 1 the one that last
-followed the id before it; the weight of either adapts to how often its
-predictions of the same confidence came true. Order 0 has the rest and spreads
-it over classes of neighbouring ids in proportion to how often they have
+followed the id before it; the interval begins with the shares of the two, and
+an id that one of them names is coded by that share alone. The share of either
+adapts to how often its predictions of the same confidence came true. Order 0
+has the rest and spreads it over classes of neighbouring ids in proportion to how often they have
 occurred in the block, evenly inside a class; its shares are taken anew every
 32 ids. As ids of common tokens are small, classes are single ids at first and
 get wider as the ids get larger.
@@ -31,14 +31,17 @@ from functools import lru_cache
 
 import numpy as np
 
-MAGIC = b"FJI2"
+MAGIC = b"FJI3"
 _TOTAL = 30  # an id's interval is a share of 2**30
 _SLOT_BITS = 9
-_LEVELS = 4
+_LEVELS = 8  # confidences of a prediction: 0 for none, then 1 to 4
 _RENEW = 32  # steps after which order 0 takes its shares anew
 _FIRST, _MORE = 16, 8  # count of a class at first, and for each id in it
 _SCALE = 16  # order 0 shares of classes add up to 2**16
 _MOST = 60000  # chance, of 2**16, that a prediction can have at most
+# by confidence, and 8 more if the prediction was right: what the confidence gains, and where its chance goes
+_GAIN = np.array([0, 0, -1, -1, -1, 0, 0, 0, 0, 1, 1, 1, 0, 0, 0, 0], np.int64).astype(np.uint32)
+_GOAL = np.array([0, 64, 64, 64, 64, 0, 0, 0, 0, _MOST, _MOST, _MOST, _MOST, 0, 0, 0], np.int64)
 _MASK48 = np.uint64((1 << 48) - 1)
 _LOW32 = np.uint64((1 << 32) - 1)
 
@@ -62,20 +65,24 @@ class Models:
     def __init__(self, blocks: int, size: int):
         self.of, self.first, self.power = classes(max(size, 1))
         self.width = len(self.first) + 1
-        self.base = np.arange(blocks, dtype=np.int64) << _SLOT_BITS
+        self.base = np.arange(blocks, dtype=np.uint32) << np.uint32(_SLOT_BITS)
         self.level_base = np.arange(blocks, dtype=np.int64) * (2 * _LEVELS)
-        # an entry is (id + 1) << 2 | confidence; 0 is empty
+        # an entry is (id + 1) << 3 | confidence; 0 is empty
         self.one = np.zeros(blocks << _SLOT_BITS, np.uint32)
         self.two = np.zeros(blocks << _SLOT_BITS, np.uint32)
         # chance in 2**16 that a prediction of each order and confidence comes true
-        start = [3000, 9000, 20000, 36000, 12000, 26000, 40000, 52000]
+        start = [0, 3000, 9000, 20000, 36000, 0, 0, 0, 0, 12000, 26000, 40000, 52000, 0, 0, 0]
         self.chance = np.tile(np.array(start, np.int64), blocks)
         self.last = np.zeros(blocks, np.uint32)
         self.hash2 = np.zeros(blocks, np.uint32)
         self.count = np.full((blocks, self.width - 1), _FIRST, np.uint32)
+        self.counts = self.count.ravel()
         self.count_base = np.arange(blocks, dtype=np.int64) * (self.width - 1)
-        self.below = np.zeros((blocks, self.width), np.int64)
-        self.below_base = np.arange(blocks, dtype=np.int64) * self.width
+        # a power of two columns for each block; those after its last share are never below a goal
+        self.stride = 1 << (self.width - 1).bit_length()
+        self.below = np.full((blocks, self.stride), 1 << _SCALE, np.int64)
+        self.below[:, 0] = 0
+        self.below_base = np.arange(blocks, dtype=np.int64) * self.stride
         self.active = blocks
         self.steps = 0
 
@@ -90,90 +97,87 @@ class Models:
         """Ids + 1 that orders 1 and 2 name (0: none), their shares, and the ``rest`` that is order 0's."""
         if self.steps % _RENEW == 0:
             total = _FIRST * (self.width - 1) + _MORE * self.steps
-            sums = np.cumsum(self.count, axis=1, dtype=np.int64)
-            self.below[:, 1:] = (sums << _SCALE) // total if total & (total - 1) else sums << _SCALE >> (total.bit_length() - 1)
+            sums = np.cumsum(self.count, axis=1, dtype=np.uint32).astype(np.int64)
+            sums *= (1 << (_SCALE + 20)) // total
+            sums >>= 20
+            sums[:, -1] = 1 << _SCALE
+            self.below[:, 1 : self.width] = sums
             self.flat = self.below.ravel()
-        self.at1 = self.base + (self.last * np.uint32(0x9E3779B1) >> np.uint32(32 - _SLOT_BITS))
-        self.at2 = self.base + (self.hash2 >> np.uint32(32 - _SLOT_BITS))
-        self.e1, self.e2 = self.one[self.at1], self.two[self.at2]
-        self.id1, self.id2 = self.e1 >> np.uint32(2), self.e2 >> np.uint32(2)
-        self.level1 = self.level_base + (self.e1 & np.uint32(3))
-        self.level2 = self.level_base + (self.e2 & np.uint32(3)) + _LEVELS
-        self.c1, self.c2 = self.chance[self.level1], self.chance[self.level2]
-        self.share2 = np.where(self.id2 > 0, self.c2 << (_TOTAL - 16), 0)
+        self.at1 = (self.base + (self.last * np.uint32(0x9E3779B1) >> np.uint32(32 - _SLOT_BITS))).astype(np.int64)
+        self.at2 = (self.base + (self.hash2 >> np.uint32(32 - _SLOT_BITS))).astype(np.int64)
+        self.e1, self.e2 = self.one.take(self.at1), self.two.take(self.at2)
+        self.id1, self.id2 = self.e1 >> np.uint32(3), self.e2 >> np.uint32(3)
+        self.sure1, self.sure2 = (self.e1 & np.uint32(7)).astype(np.int64), (self.e2 & np.uint32(7)).astype(np.int64)
+        self.level1, self.level2 = self.level_base + self.sure1, self.level_base + self.sure2 + _LEVELS
+        self.c1, self.c2 = self.chance.take(self.level1), self.chance.take(self.level2)
+        self.share2 = self.c2 << (_TOTAL - 16)
         left = (1 << _TOTAL) - self.share2
-        self.share1 = np.where(self.id1 > 0, self.c1 * (left >> 16), 0)
+        self.share1 = self.c1 * (left >> 16) * (self.id1 != self.id2)
         self.rest = left - self.share1
 
-    def order0(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the shares of ids begin under order 0 alone, and their sizes."""
-        k = self.of[ids]
-        at = self.below_base + k
-        a, b = (self.flat[at] * self.rest) >> _SCALE, (self.flat[at + 1] * self.rest) >> _SCALE
-        size, power, inside = b - a, self.power[k], ids - self.first[k]
-        first = (size * inside) >> power
-        return a + first, ((size * (inside + 1)) >> power) - first
-
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the shares of ids begin when all models are added up, and their sizes."""
-        first, size = self.order0(ids)
-        seen = ids + 1
-        first += np.where(self.id1 < seen, self.share1, 0)
-        first += np.where(self.id2 < seen, self.share2, 0)
-        size += np.where(self.id1 == seen, self.share1, 0)
-        size += np.where(self.id2 == seen, self.share2, 0)
+        """Where the shares of ids begin, and their sizes."""
+        seen = (ids + 1).astype(np.uint32)
+        in2 = self.id2 == seen
+        first, size = self.share2 * ~in2, np.where(in2, self.share2, self.share1)
+        other = np.flatnonzero(~(in2 | (self.id1 == seen)))
+        if len(other):
+            rest = self.rest.take(other)
+            k = self.of.take(ids.take(other))
+            a, b = self._class(self.below_base.take(other) + k, rest)
+            inside, power = ids.take(other) - self.first.take(k), self.power.take(k)
+            at = ((b - a) * inside) >> power
+            first[other] = (1 << _TOTAL) - rest + a + at
+            size[other] = (((b - a) * (inside + 1)) >> power) - at
         return first, size
 
-    def id_at(self, value: np.ndarray) -> np.ndarray:
-        """The id whose interval holds a value: one that is named, or that of order 0 once named shares before it are off."""
-        swap = self.id1 > self.id2
-        low, high = np.minimum(self.id1, self.id2).astype(np.int64), np.maximum(self.id1, self.id2).astype(np.int64)
-        share_low = np.where(swap, self.share2, self.share1)
-        share_high = self.share1 + self.share2 - share_low
-        # an order that names none has no share, whichever id stands for it
-        a, size = self.order0(np.maximum(low - 1, 0))
-        beyond = value >= a + size + share_low
-        is_low = (value >= a) & ~beyond & (share_low > 0)
-        value = value - np.where(beyond, share_low, 0)
-        a, size = self.order0(np.maximum(high - 1, 0))
-        beyond = value >= a + size + share_high
-        is_high = (value >= a) & ~beyond & (share_high > 0) & ~is_low
-        value = value - np.where(beyond, share_high, 0)
-        found = np.where(is_low, low - 1, high - 1)
-        rest = np.flatnonzero(~(is_low | is_high))
-        if len(rest):
-            found[rest] = self._order0_at(value[rest], self.below_base[rest], self.rest[rest])
-        return found
-
-    def _order0_at(self, value: np.ndarray, base: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        # shares begin at (below * rest) >> 16, so the class is the last whose below is not above this
-        goal = np.minimum((((value + 1) << _SCALE) - 1) // rest, (1 << _SCALE) - 1)
-        at = base.copy()
-        step = 1 << ((self.width - 1).bit_length() - 1)
-        end = base + (self.width - 2)
-        while step:
-            probe = np.minimum(at + step, end)
-            at = np.where(self.flat[probe] <= goal, probe, at)
-            step >>= 1
-        k = at - base
-        a, b = (self.flat[at] * rest) >> _SCALE, (self.flat[at + 1] * rest) >> _SCALE
-        inside = (((value - a + 1) << self.power[k]) - 1) // np.maximum(b - a, 1)
-        return np.minimum(self.first[k] + inside, len(self.of) - 1)  # beyond it only where a code is damaged
+    def ids_at(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids whose shares hold the values, where those begin, and their sizes."""
+        in2 = value < self.share2
+        found = np.where(in2, self.id2, self.id1).astype(np.int64) - 1
+        first, size = self.share2 * ~in2, np.where(in2, self.share2, self.share1)
+        named = (1 << _TOTAL) - self.rest
+        other = np.flatnonzero(value >= named)
+        if len(other):
+            rest, start, base = self.rest.take(other), named.take(other), self.below_base.take(other)
+            inner = value.take(other) - start
+            # shares begin at (below * rest) >> 16, so the class is the last whose below is not above this
+            goal = np.minimum((((inner + 1) << _SCALE) - 1) // rest, (1 << _SCALE) - 1)
+            at, step = base, self.stride >> 1
+            while step:
+                at = at + (self.flat.take(at + step) <= goal) * step
+                step >>= 1
+            k = at - base
+            a, b = self._class(at, rest)
+            power = self.power.take(k)
+            inside = (((inner - a + 1) << power) - 1) // np.maximum(b - a, 1)
+            # beyond the last id only where a code is damaged
+            found[other] = np.minimum(self.first.take(k) + inside, len(self.of) - 1)
+            at = ((b - a) * inside) >> power
+            first[other] = start + a + at
+            size[other] = (((b - a) * (inside + 1)) >> power) - at
+        return found, first, size
+
+    def _class(self, at: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the shares of classes begin and end inside order 0's."""
+        return (self.flat.take(at) * rest) >> _SCALE, (self.flat.take(at + 1) * rest) >> _SCALE
 
     def update(self, ids: np.ndarray) -> None:
         self.steps += 1
-        self.count.ravel()[self.count_base + self.of[ids]] += np.uint32(_MORE)
+        at = self.count_base + self.of.take(ids)
+        self.counts[at] = self.counts.take(at) + np.uint32(_MORE)
         seen = (ids + 1).astype(np.uint32)
-        for entries, at, entry, named, level, chance in (
-            (self.two, self.at2, self.e2, self.id2, self.level2, self.c2),
-            (self.one, self.at1, self.e1, self.id1, self.level1, self.c1),
+        fresh = (seen << np.uint32(3)) | np.uint32(1)
+        for entries, at, entry, named, sure, level, chance in (
+            (self.two, self.at2, self.e2, self.id2, self.sure2, self.level2, self.c2),
+            (self.one, self.at1, self.e1, self.id1, self.sure1, self.level1, self.c1),
         ):
-            right = named == seen
+            case = sure + ((named == seen).astype(np.int64) << 3)
             # a right one gains confidence; a wrong one loses it, or is replaced
-            kept = np.where(right, np.minimum(entry + np.uint32(1), entry | np.uint32(3)), entry - np.uint32(1))
-            entries[at] = np.where(right | ((entry & np.uint32(3)) > 0), kept, seen << np.uint32(2))
-            goal = np.where(right, _MOST, 64) - chance
-            self.chance[level] = np.where(named > 0, chance + (goal >> 4), chance)
+            entry += _GAIN.take(case)
+            np.copyto(entry, fresh, where=case < 2)
+            entries[at] = entry
+            self.chance[level] = chance + ((_GOAL.take(case) - chance) >> 4)
         self.hash2 = (self.last * np.uint32(0x85EBCA6B) + seen) * np.uint32(0xC2B2AE35)
         self.last = seen
 
@@ -223,6 +227,7 @@ def encode_ids(ids: np.ndarray, block: int, size: int) -> tuple[list[bytes], np.
     for shift in (32, 16, 0):
         words[place, column] = ((low >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint32)
         place += 1
+    words = words[: place.max() + 1]
     while True:
         carry = words >> np.uint32(16)
         if not carry.any():
@@ -262,8 +267,7 @@ def decode_ids(codes: list[bytes], lengths: np.ndarray, size: int) -> list[np.nd
         unit = width >> np.uint64(_TOTAL)
         with np.errstate(divide="ignore"):  # a damaged code may run dry; its checksum tells
             value = np.minimum(code // unit, np.uint64((1 << _TOTAL) - 1)).astype(np.int64)
-        now = model.id_at(value)
-        first, share = model.interval(now)
+        now, first, share = model.ids_at(value)
         code = code - unit * first.astype(np.uint64)
         width = unit * share.astype(np.uint64)
         small = np.flatnonzero(width <= _LOW32)

@@ -38,6 +38,21 @@ def test_counts_of_a_block_sharpen_its_predictions():
     assert 8 * sum(map(len, codes)) / len(ids) < 0.85 * unlearnt and lengths.tolist() == [2048, 2048]
 
 
+def test_intervals_are_found_again_and_do_not_overlap():
+    rng = np.random.default_rng(3)
+    model = C.Models(50, 700)
+    for _ in range(200):
+        model.predict()
+        ids = np.where(rng.random(50) < 0.7, rng.integers(0, 3, 50), rng.integers(0, 700, 50))
+        first, size = model.interval(ids)
+        for value in (first, first + size - 1):
+            found = model.ids_at(value)
+            assert all((a == b).all() for a, b in zip(found, (ids, first, size)))
+        named = model.id2 == ids + 1
+        assert (size > 0).all() and (size[named] == model.share2[named]).all() and (first[named] == 0).all()
+        model.update(ids)
+
+
 def test_damage_is_found():
     data = bytearray(C.write_segment([5], np.arange(3000, dtype=np.uint32) % 700, np.array([3000]), 512))
     data[-40] ^= 16
