@@ -24,6 +24,8 @@ _LEAST_COMMON = 4
 _CHUNK = 2 << 20
 #: Sets above this size are large whatever the costs; a boundary there never pays.
 _MOST_SUBSET_SIZE = 256
+#: Words of 64 bits of a set's bitmap.
+_BITMAP = 4
 
 
 def overlap_needed(n, numerator: int, denominator: int):
@@ -43,6 +45,18 @@ def set_digests(flat: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(bounds, bounds[1:])]
 
 
+def bitmaps(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``_BITMAP`` words for each set, in which each element turns one bit over.
+
+    Two sets differ in as many elements as their bitmaps in bits, or more.
+    """
+    out = np.zeros((len(at) - 1, _BITMAP), np.uint64)
+    place = mix(flat) % np.uint64(64 * _BITMAP)
+    row, bit = np.repeat(np.arange(len(at) - 1), np.diff(at)), np.uint64(1) << (place & np.uint64(63))
+    np.bitwise_xor.at(out.ravel(), row * _BITMAP + (place >> np.uint64(6)).astype(np.int64), bit)
+    return out.view(np.int64)
+
+
 def choose_boundary(sizes: dict[int, int], scanned: float, numerator: int, denominator: int) -> int:
     """The largest size that counts as small: where subsets cost less than scanning lists.
 
@@ -144,10 +158,11 @@ def _signed(docs: DataFrame, width: int, common, boundary: int, numerator: int,
             flat, at = shingle_sets(part.column("text"), width)
             value, starts = _keys(flat, at, held.value, boundary, numerator, denominator)
             keys = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(value.view(np.int64)))
-            columns = [part.column("doc_id"), pa.array(np.diff(at)), pa.array(set_digests(flat, at)), keys]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "keys"])
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(at)) * _BITMAP, pa.int32()), pa.array(bitmaps(flat, at).ravel()))
+            columns = [part.column("doc_id"), pa.array(np.diff(at)), pa.array(set_digests(flat, at)), keys, bits]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "keys", "bits"])
 
-    return docs.mapInArrow(sign, "doc_id long, n long, digest binary, keys array<long>")
+    return docs.mapInArrow(sign, "doc_id long, n long, digest binary, keys array<long>, bits array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
@@ -194,25 +209,30 @@ def links(docs: DataFrame, width: int, numerator: int, denominator: int, connect
     rep = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("rep")
     members = materialize(join_groups(signed.select("doc_id", "n", "digest"), groups, "digest").select("digest", "doc_id", "n", rep), "members")
     # with each key go the two before it, which tell that two sets have met at an earlier key
+    bits = [f"b{i}" for i in range(_BITMAP)]
     linked = F.expr(
         "transform(keys, (k, i) -> named_struct('key', k, 'p', if(i > 0, get(keys, i - 1), NULL), 'q', if(i > 1, get(keys, i - 2), NULL)))"
     )
-    listed = sets.select("doc_id", "n", F.posexplode(linked).alias("place", "k"))
+    listed = sets.select("doc_id", "n", *[F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(bits)], F.posexplode(linked).alias("place", "k"))
     # the smaller set of a pair has a common element even in a shorter prefix: it shares 2t/(1+t) of its elements or more
     early = F.col("place") <= F.col("n") - F.ceil(2 * numerator * F.col("n") / F.lit(numerator + denominator) - 1e-6)
-    listed = listed.select("doc_id", "k.key", "k.p", "k.q", ((F.col("n") <= boundary) | early).alias("early"))
+    listed = listed.select("doc_id", "n", *bits, "k.key", "k.p", "k.q", ((F.col("n") <= boundary) | early).alias("early"))
     shared = listed.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.max("early").alias("early"))
     shared = shared.where("x < y AND early").select("key")
-    rep_of = members.where("rep IS NOT NULL").select("doc_id", F.col("rep").alias("item"), "n").distinct()
+    rep_of = members.where("rep IS NOT NULL").select("doc_id", F.col("rep").alias("item")).distinct()
     postings = listed.join(shared, "key").join(rep_of, "doc_id").groupBy("key", "item")
     only = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).alias(c)  # noqa: E731  texts that share an id may differ
-    postings = postings.agg(F.max("n").alias("n"), F.max("early").alias("early"), only("p"), only("q"))
-    postings = materialize(postings.select("key", "item", F.struct("n", "early", "p", "q").alias("mark")), "postings")
+    postings = postings.agg(only("n"), F.max("early").alias("early"), only("p"), only("q"), *[only(b) for b in bits])
+    postings = materialize(postings.select("key", "item", F.struct("n", "early", "p", "q", *bits).alias("mark")), "postings")
 
     def fits(x, y):
         n, m = x["n"], y["n"]
         able = F.when(n < m, x["early"]).when(n > m, y["early"]).otherwise(x["early"] & y["early"])
-        return able & (F.least(n, m) * denominator >= F.greatest(n, m) * numerator)
+        able &= F.least(n, m) * denominator >= F.greatest(n, m) * numerator
+        # linked sets differ in at most (1 - t) / (1 + t) of the sum of their sizes
+        apart = reduce(Column.__add__, [F.bit_count(x[b].bitwiseXOR(y[b])) for b in bits])
+        able &= apart * (numerator + denominator) <= (n + m) * (denominator - numerator)
+        return n.isNull() | m.isNull() | F.coalesce(able, F.lit(True))
 
     def met(x, y):  # in an earlier list, whose keys p and q name, both are early if they are in this one
         return F.coalesce(reduce(Column.__or__, [x[i] == y[j] for i in "pq" for j in "pq"]), F.lit(False))
