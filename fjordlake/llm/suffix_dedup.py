@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import discard, join_groups, materialize
+from .storage import discard, join_groups, materialize, shuffled
 from .text import chunks, lanes, mix, release, text_buffer
 
 _SEGMENT = 1 << 20
@@ -278,7 +278,7 @@ def _block_hits(rows: DataFrame, width: int, shard_bytes: int) -> DataFrame:
     wanted = materialize(wanted.groupBy("key").agg(F.collect_list("w").alias("wanted")), "wanted")
     keys = materialize(wanted.select("key", F.lit(True).alias("is_wanted")), "keys")
     texts = join_groups(rows, keys, "key", _SALTS).where("is_wanted").groupBy("key").agg(F.first("text").alias("text"))
-    asked = texts.join(wanted, "key").select("text", "wanted")
+    asked = texts.join(shuffled(wanted), "key").select("text", "wanted")
     cut = materialize(asked.mapInArrow(lambda it: _cut(it, width), _CUT), "cut")
     discard(wanted, keys)
 
